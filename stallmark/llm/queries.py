@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import op10
+from . import op8, op10
 
-QUERIES = {"op10_decontaminate": op10.query}
+QUERIES = {"op8_secrets": op8.query, "op10_decontaminate": op10.query}
 ORACLES = {"op10_decontaminate": op10.SQL}
