@@ -164,14 +164,15 @@ def build_index(texts: DataFrame, wins: DataFrame, anchors: int) -> tuple[DataFr
 
 def phrase_candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
     """(key, doc_id, wid, terms, starts): where all of a window's anchor lists agree on a start."""
-    shifted = index.join(chosen, "term").select("key", "doc_id", "wid", "terms", "wanted", F.expr("transform(positions, p -> p - offset)").alias("starts"))
-    return (
-        shifted.groupBy("key", "doc_id", "wid", "terms", "wanted")
+    shifted = index.join(chosen.drop("terms"), "term").select("key", "doc_id", "wid", "wanted", F.expr("transform(positions, p -> p - offset)").alias("starts"))
+    agreed = (
+        shifted.groupBy("key", "doc_id", "wid", "wanted")
         .agg(F.collect_list("starts").alias("lists"))
         .where(F.size("lists") == F.col("wanted"))
-        .select("key", "doc_id", "wid", "terms", F.expr("filter(aggregate(slice(lists, 2, size(lists)), lists[0], (a, b) -> array_intersect(a, b)), s -> s >= 0)").alias("starts"))
+        .select("key", "doc_id", "wid", F.expr("filter(aggregate(slice(lists, 2, size(lists)), lists[0], (a, b) -> array_intersect(a, b)), s -> s >= 0)").alias("starts"))
         .where(F.size("starts") > 0)
     )
+    return agreed.join(chosen.select("wid", "terms").distinct(), "wid")
 
 
 def _verified(found: DataFrame) -> DataFrame:
