@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import op8, op10
+from . import op4, op8, op10
 
-QUERIES = {"op8_secrets": op8.query, "op10_decontaminate": op10.query}
+QUERIES = {"op4_language": op4.query, "op8_secrets": op8.query, "op10_decontaminate": op10.query}
 ORACLES = {"op10_decontaminate": op10.SQL}
