@@ -1,6 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import op4, op8, op10
+from . import op4, op6, op8, op9, op10
 
-QUERIES = {"op4_language": op4.query, "op8_secrets": op8.query, "op10_decontaminate": op10.query}
-ORACLES = {"op10_decontaminate": op10.SQL}
+QUERIES = {
+    "op4_language": op4.query,
+    "op6_line_dedup": op6.query,
+    "op8_secrets": op8.query,
+    "op9_token_counts": op9.query,
+    "op10_decontaminate": op10.query,
+}
+ORACLES = {"op6_line_dedup": op6.SQL, "op10_decontaminate": op10.SQL}
