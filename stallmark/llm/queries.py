@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import op4, op6, op8, op9, op10
+from . import op1, op4, op6, op8, op9, op10
 
 QUERIES = {
+    "op1_pack": op1.query,
     "op4_language": op4.query,
     "op6_line_dedup": op6.query,
     "op8_secrets": op8.query,
