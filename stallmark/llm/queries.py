@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import op1, op3, op4, op5, op6, op8, op9, op10
+from . import op1, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_pack": op1.query,
@@ -8,8 +8,9 @@ QUERIES = {
     "op4_language": op4.query,
     "op5_fingerprints": op5.query,
     "op6_line_dedup": op6.query,
+    "op7_near_copies": op7.query,
     "op8_secrets": op8.query,
     "op9_token_counts": op9.query,
     "op10_decontaminate": op10.query,
 }
-ORACLES = {"op3_unit_dedup": op3.SQL, "op5_fingerprints": op5.SQL, "op6_line_dedup": op6.SQL, "op10_decontaminate": op10.SQL}
+ORACLES = {"op3_unit_dedup": op3.SQL, "op5_fingerprints": op5.SQL, "op6_line_dedup": op6.SQL, "op7_near_copies": op7.SQL, "op10_decontaminate": op10.SQL}
