@@ -1,9 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import op1, op3, op4, op5, op6, op7, op8, op9, op10
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_pack": op1.query,
+    "op2_lm_scores": op2.query,
     "op3_unit_dedup": op3.query,
     "op4_language": op4.query,
     "op5_fingerprints": op5.query,
