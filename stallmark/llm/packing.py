@@ -35,7 +35,7 @@ from .shared import written
 #: About as many pieces in a block.
 BLOCK = 16384
 #: Most pre-tokens whose ids a worker keeps.
-KEPT = 1 << 21
+KEPT = 1 << 20
 #: Sequences that local search empties at most before it looks no further for one that it can't: rounds without gain.
 STALE = 24
 
@@ -107,8 +107,12 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The model alone: pre-tokens are cut here, and special tokens' strings are ordinary text.
+        self.model = Tokenizer.from_file(path).model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        #: Byte-level vocabularies write each byte as a visible character.
+        self.visible = dict(zip(shown + hidden, shown + list(range(256, 256 + len(hidden))), strict=True))
         self.clear()
 
     def clear(self) -> None:
@@ -116,11 +120,11 @@ class Tokens:
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        new = [[t.id for t in self.model.tokenize(x.decode("latin-1").translate(self.visible))] for x in texts]
         count = np.concatenate([np.diff(self.first), [len(x) for x in new]])
         begin = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum([0, *[len(x) for x in new]])[:-1]])
-        flat = np.concatenate([self.ids, np.concatenate([np.array(x, np.int32) for x in new]) if new else []]).astype(np.int32)
+        flat = np.concatenate([self.ids, np.array([i for x in new for i in x], np.int32)])
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")
         self.keys, begin, count = every[order], begin[order], count[order]
@@ -138,7 +142,7 @@ class Tokens:
         at = np.searchsorted(self.keys, uniq)
         fresh = np.flatnonzero((at >= len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != uniq)) if len(self.keys) else np.arange(len(uniq))
         if len(fresh):
-            self.learn(uniq[fresh], [s.data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in where[fresh]])
+            self.learn(uniq[fresh], [s.data[start[i] : end[i]].tobytes() for i in where[fresh]])
             at = np.searchsorted(self.keys, uniq)
         one = at[back] if len(uniq) else np.zeros(0, np.int64)
         count = self.first[one + 1] - self.first[one]
