@@ -132,19 +132,21 @@ def sample(docs: DataFrame, train, *, text_col: str, lang_col: str) -> tuple[lis
     return got["t"].tolist(), got["l"].tolist()
 
 
-def identify(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang_pred, score, lead) of every row, learned from the rows for which ``train`` holds.
+def classified(docs: DataFrame, train, *, text_col: str = "text", lang_col: str = "lang", as_col: str = "langid") -> DataFrame:
+    """``docs`` with the struct column ``as_col`` (lang_pred, score, lead), learned from the rows for which ``train`` holds.
 
     The score is 1 / (1 + sum over other languages of exp(-SHARP * lead)); ``lead`` is how far the best value is before the second.
     """
     model = fit(*sample(docs, train, text_col=text_col, lang_col=lang_col))
     given = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lead", T.DoubleType())])
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lead", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(as_col, kind)])
+    where = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, flags = given.value, np.zeros(BUCKETS, bool)
         for batch in batches:
-            for s in tb.slices(batch.column(1)):
+            for s in tb.slices(batch.column(where)):
                 n = s.hi - s.lo
                 raw = s.data.tobytes()
                 ok = np.array([model is not None and bool(_LETTER.search(raw[s.at[r] : s.at[r + 1]].decode("utf-8", "replace"))) for r in range(n)], bool)
@@ -156,6 +158,14 @@ def identify(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str =
                     top = np.where(ok, 1 / np.exp(-SHARP * gap).sum(1), 0.0)
                     lead = np.where(ok, np.sort(gap, 1)[:, 1] if gap.shape[1] > 1 else 1.0, 0.0)
                     names[ok] = np.array(model.langs, object)[best[ok]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, n), pa.array(names, pa.string()), pa.array(top), pa.array(lead)], names=["doc_id", "lang_pred", "score", "lead"])
+                found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(top), pa.array(lead)], names=kind.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(s.lo, n) for c in batch.columns), found], names=schema.names)
+
+    return docs.mapInArrow(predict, schema)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, schema)
+
+def identify(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang_pred, score, lead) of every row."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    out = classified(named, train, text_col="text", lang_col="lang", as_col="found")
+    return out.select("doc_id", "found.lang_pred", "found.score", "found.lead")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import lowered, place
 
+#: The column that is added: a name of its own, so that none of the input's is in its way.
+STATS = "_line_stats"
 BLANK = " \t\n\x0b\f\r"
 
 
@@ -76,13 +78,13 @@ class LineRuns:
         self._write(self._rows(docs, id_col, text_col).groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")), 0)
 
     def _without(self, docs: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """``docs`` with text, n_lines and n_dropped after the digests of ``drop`` (_doc, _drop) are gone."""
+        """``docs`` after the lines with the digests of ``drop`` (_doc, _drop) are gone, and STATS."""
         kept = F.filter(lines(F.col(text_col)), lambda x: ~F.array_contains(F.col("_drop"), F.coalesce(digest(lowered(x), self.least), F.lit(0))))
         joined = docs.join(drop, docs[id_col] == F.col("_doc"), "left")
         kept = F.when(F.col("_drop").isNull(), lines(F.col(text_col))).otherwise(kept)
-        out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(lines(F.col(text_col))).cast("long"))
-        out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn(text_col, F.array_join("_kept", "\n"))
-        return out.drop("_kept", "_doc", "_drop")
+        out = joined.withColumn("_kept", kept).withColumn("_lines", F.size(lines(F.col(text_col))).cast("long"))
+        own = [F.array_join("_kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+        return out.select(*own, F.struct(F.col("_lines").alias("n_lines"), (F.col("_lines") - F.size("_kept")).alias("n_dropped")).alias(STATS))
 
     def unseen(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` without the lines that earlier batches had. Call before ``add``."""
@@ -109,7 +111,7 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, *, batches: int = 4, copies: int = 3, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All of ``docs`` with its repeated lines resolved, taken in as ``batches`` batches by id hash.
 
-    Returns the columns of ``docs`` (the text without dropped lines) and n_lines, n_dropped.
+    Returns the columns of ``docs`` (the text without dropped lines) and the struct STATS (n_lines, n_dropped).
     """
     runs = LineRuns(docs.sparkSession, least=least)
     part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linededup import dedup_lines
+from .linededup import STATS, dedup_lines
 from .shared import documents
 
 SQL = r"""
@@ -17,4 +17,4 @@ FROM m GROUP BY doc_id
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", f"{STATS}.n_lines", f"{STATS}.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
