@@ -1,5 +1,7 @@
 """Every query of the engine with its DuckDB oracle, by name."""
 
+from .plans import catalog
+
 FLAGSHIP = "catalog_rank"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = {**catalog.QUERIES}
+ORACLES: dict = {**catalog.ORACLES}
