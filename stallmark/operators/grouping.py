@@ -46,7 +46,7 @@ def blend_rating(listings: DataFrame, keys: list[str]) -> DataFrame:
 def majority(listings: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """The value with the largest sum of weights, the first seen on a tie."""
     sums = listings.groupBy(*keys, value).agg(F.sum(weight).alias("w"), F.min("ord").alias("first"))
-    return sums.groupBy(*keys).agg(F.max_by(value, F.struct("w", -F.col("first"))).alias(value), F.max("w").alias("weight"))
+    return sums.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("w"), F.col("first"))).alias(value), F.max("w").alias("weight"))
 
 
 def siblings(candidates: DataFrame, model: str = "model", config: str = "config", price: str = "price") -> DataFrame:
