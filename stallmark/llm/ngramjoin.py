@@ -39,7 +39,9 @@ CHUNK = 1 << 14
 #: Most texts of one token that are compared in one place.
 BUCKET = 2048
 #: Words of 64 bits in a parity sketch, and in the bitmap of another order's prefix.
-SKETCH, MASK = 8, 4
+SKETCH, MASK = 8, 2
+#: The largest bitmap has 2^MOST_BITS bits: 32 MB.
+MOST_BITS = 28
 _ORDERS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -237,21 +239,49 @@ def _candidates(shared: DataFrame, sketches: DataFrame, num: int, den: int, fore
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, texts: DataFrame, survey: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` whose whole sets overlap enough."""
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the column ``key`` by its lowest bits: eight times as many as there are keys, at most 2^MOST_BITS."""
+    n = keys.count()
+    size = min(MOST_BITS, max(16, (8 * n).bit_length()))
+    spots = keys.select(F.col("key").bitwiseAND((1 << size) - 1).alias("at")).distinct().withColumn("chunk", F.shiftright("at", 16))
+
+    def fill(key, table):
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[table.column("at").to_numpy() & 0xFFFF] = 1
+        return pa.table({"chunk": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}, schema=pa.schema([("chunk", pa.int64()), ("bits", pa.binary())]))
+
+    out = np.zeros(1 << (size - 3), np.uint8)
+    for row in spots.groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").collect():
+        out[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` may be in a bitmap; all that are in it."""
+    at = keys & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` whose whole sets overlap enough. The texts stay where they are; the sets that pairs need move."""
     needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    chosen = survey.join(needed, "sig").groupBy("sig").agg(F.min("doc_id").alias("chosen"))
-    picked = texts.join(chosen, F.col("doc_id") == F.col("chosen")).select("sig", "text")
+    given = texts.sparkSession.sparkContext.broadcast(bitmap(needed.select(F.col("sig").alias("key"))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for s in tb.slices(batch.column(1)):
-                want = batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist()
-                # Rows that share the id but not the text are not meant.
-                got = [(k, x.tobytes()) for k, x in zip(want, sets(s, n), strict=True) if len(x) and signature(x) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["sig", "grams"])
-
-    full = written(picked.mapInArrow(whole, "sig long, grams binary").dropDuplicates(["sig"]), "sets")
+                sig, grams = [], []
+                for x in sets(s, n):
+                    if len(x) and (key := signature(x)) not in seen and _marked(given.value, np.array([key]))[0]:
+                        if len(seen) < 1 << 20:
+                            seen.add(key)
+                        sig.append(key)
+                        grams.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(grams, pa.binary())], names=["sig", "grams"])
+
+    full = texts.mapInArrow(whole, "sig long, grams binary").join(needed, "sig", "left_semi")
+    full = written(full.dropDuplicates(["sig"]), "sets")
     both = pairs.join(full.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(full.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +304,20 @@ def near_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     rows = survey.where(F.col("chunk").isNull()).select("doc_id", "n", "sig")
     prefixed = written(_prefixed(texts, n, num, den, _classes(survey)), "prefixes")
 
-    tokens = prefixed.select("sig", F.explode("tokens").alias("token"))
-    hot = tokens.groupBy("token").agg(F.count("*").alias("rows"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("lo") != F.col("hi"))
-    hot = hot.select("token", F.ceil(F.col("rows") / BUCKET).cast("int").alias("blocks"))
-    shared = tokens.join(hot, "token").distinct()
+    # Tokens that occur once, which most do, are left out where they are.
+    twice = prefixed.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    given = docs.sparkSession.sparkContext.broadcast(bitmap(written(twice.select("key"), "twice")))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = batch.column(1).flatten().to_numpy()
+            sig = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            keep = _marked(given.value, token)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(token[keep])], names=["sig", "token"])
+
+    tokens = prefixed.select("sig", "tokens").mapInArrow(often, "sig long, token long").distinct()
+    hot = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = tokens.join(hot.select("token", F.ceil(F.col("rows") / BUCKET).cast("int").alias("blocks")), "token")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     shared = shared.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shared = written(shared.select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sig"), "shared")
@@ -285,10 +325,10 @@ def near_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
     sketches = prefixed.select("sig", "n", "sketch", "masks").dropDuplicates(["sig"]).join(shared.select("sig").distinct(), "sig", "left_semi")
     sketches = written(sketches, "sketches")
     first = written(_candidates(shared, sketches.withColumn("label", F.col("sig")), num, den, True), "pairs")
-    trees = components(_links(first, texts, rows, n, num, den))
+    trees = components(_links(first, texts, n, num, den))
     labelled = sketches.join(trees.withColumnRenamed("v", "sig"), "sig", "left").withColumn("label", F.coalesce("root", "sig")).drop("root")
     second = _candidates(shared, labelled, num, den, False).join(first, ["a", "b"], "left_anti")
-    more = _links(written(second, "pairs"), texts, rows, n, num, den)
+    more = _links(written(second, "pairs"), texts, n, num, den)
     top = trees.select(F.col("v").alias("a"), F.col("root").alias("ra"))
     joined = more.join(top, "a", "left").join(top.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
     upper = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
