@@ -7,7 +7,7 @@ P_w = (P_kt + prod P_w(child)) / 2. The weights that follow give a decision's pr
 estimates at all depths of its context; a text's score adds the logarithms. Contexts start with
 NUL bytes, and the text's end is not coded.
 
-The data flow. Texts are dealt by hash into blocks of about ``BLOCK_BYTES``, written once. A first pass
+The data flow. Texts are dealt by hash into blocks of about ``BLOCK_BYTES``. A first pass
 takes from each block its distinct grams (DEPTH context bytes and the coded byte, 48 bits) with their training counts,
 and its distinct words likewise. Counts are summed over blocks; grams that share their last
 ``ROOT`` context bytes meet in one task group, which has the whole subtree below; above it are at
@@ -35,7 +35,7 @@ from .shared import written
 
 DEPTH, ROOT = 5, 2
 #: About so many bytes of text in a block.
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 26
 #: Kinds of rows in the exchange: grams and words.
 GRAM, WORD = 0, 1
 
@@ -238,7 +238,8 @@ def _weighed(counts: DataFrame) -> DataFrame:
             at = np.searchsorted(nodes, key)
             one = fixed[at] + rest[at] * deep
             total += np.log10(np.where((gram >> np.uint64(7 - bit)) & np.uint64(1) == 1, one, 1 - one))
-        return pa.table({"key": table.column("key"), "value": total})
+        # Single precision: a ten-millionth of a byte's logarithm, in half the bytes of a shuffle.
+        return pa.table({"key": table.column("key"), "value": total.astype(np.float32).astype(np.float64)})
 
     return given.groupBy("part").applyInArrow(whole, "key long, value double")
 
@@ -269,15 +270,15 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = written(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1))).repartition("block"), "blocks")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)))
 
     counts = written(_counted(blocks), "counts")
     summed = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     words = summed.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
     total = words.agg(F.sum("n"), F.count("*")).first()
-    ends = blocks.where("train").count()
+    ends = rows.where("train").count()
     values = _weighed(summed.where(F.col("kind") == GRAM).select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
-    values = values.unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value")))
+    values = values.unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
     dealt = counts.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
 
     end = float(np.log10(ends + 1))
@@ -287,7 +288,9 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
         kind, key, value = (model.column(c).to_numpy() for c in ("kind", "key", "value"))
         index, logs = {}, {}
         for k in (GRAM, WORD):
-            index[k], logs[k] = Index(key[kind == k].view(np.uint64)), np.append(value[kind == k], 0.0)
+            own = value[kind == k]
+            # Words come with their counts.
+            index[k], logs[k] = Index(key[kind == k].view(np.uint64)), np.append(np.log10(own + 1) if k == WORD else own, 0.0)
         out = []
         for batch in texts.to_batches(max_chunksize=2000):
             for s in tb.slices(batch.column("text")):
