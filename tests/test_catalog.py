@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallmark.functions import maths, parse
-from stallmark.operators import grouping, history, intent, pages, ranking, specs, text
+from stallmark.operators import external, grouping, history, intent, notes, pages, ranking, specs, text
 from stallmark.plans import rank_cards
 from stallmark.sources import runs
 from stallmark.streaming import observations
@@ -148,6 +148,10 @@ def test_cards_to_ranking(spark, tmp_path):
     assert len(a) == 3 and all(r["price"] <= 15000 for r in a) and [r["rank"] for r in a] == [1, 2, 3]
     assert "Alpha" in a[0]["name"] and "TOP PICK" in a[0]["badges"] and sum(r["variant_of"] is not None for r in a) == 1
     assert len([r for r in out if r["query_id"] == "b"]) == 4
+    said = notes.annotated(ranked.withColumn("soc_name", F.lit(None).cast("string"))).where("query_id = 'a' AND rank = 1").first()
+    assert "AMOLED panel" in said["pros"] and "chipset unknown" in said["cons"] and said["verdict"].startswith("Best overall at ₹")
+    table = notes.head_to_head(ranked, ["price", "total"], 2).where("query_id = 'a' AND metric = 'total'").first()
+    assert float(table["p1"]) >= float(table["p2"])
     why = {x for r in rejected.collect() for x in r["reasons"]}
     assert {"over budget", "category"} <= why
 
@@ -158,6 +162,20 @@ def test_gates_let_unknown_pass(spark):
     assert [r["r"] for r in df.collect()] == [[], ["no x"], []]
 
 
+def test_external(spark):
+    html = '<a href="acme_one-12.php"><img><span>Acme One</span></a><a href="news-1.php">News</a><a href="acme_one_pro-13.php">Acme One Pro</a>'
+    index = external.index_entries(spark.createDataFrame([("Acme", html)], "brand string, html string"))
+    assert {(r["slug"], r["name"]) for r in index.collect()} == {("acme_one-12.php", "Acme One"), ("acme_one_pro-13.php", "Acme One Pro")}
+    asked = spark.createDataFrame([(1, "Acme One 5G", "Acme"), (2, "One", "Acme"), (3, "Acme Two", None)], "id long, name string, brand string")
+    assert [(r["id"], r["slug"]) for r in external.resolve(asked, index).collect()] == [(1, "acme_one-12.php")]
+    page = "Acme One - Full phone specifications\nDisplay Type AMOLED, 120Hz Size 6.67 inches Resolution 1080 x 2400 Chipset Qualcomm SM8 Snapdragon 8 (4 nm) AnTuTu: 900000 Main Camera 50 MP OIS NFC Yes Charging 67W 5000 mAh IP68"
+    row = external.spec_page(spark.createDataFrame([(page,)], "t string"), F.col("t")).first()
+    assert (row["external_name"], row["external_soc_name"], row["external_antutu"], row["external_panel"], row["external_resolution"], row["external_nfc"], row["external_ip_rating"]) == ("Acme One", "Snapdragon 8", 900000, "AMOLED", "FHD+", True, "IP68")
+    boxed = '{"name":[0,"Chipset"],"displayName":[0,"Processor"],"value":[0,"Chip 9"]} &quot;name&quot;:&quot;nfc&quot;,&quot;value&quot;:&quot;No&quot; "lowPrice": 9000, "highPrice": 12000'
+    assert one(spark, external.page_fields(F.col("c")), c=boxed) == {"chipset": "Chip 9", "processor": "Chip 9", "nfc": "No"}
+    assert tuple(one(spark, external.market_price(F.col("c")), c=boxed)) == (9000, 12000)
+
+
 def test_stream(spark, tmp_path):
     rows = [("k", "p", dt.datetime(2024, 1, d, 1), float(d)) for d in (1, 1, 2, 9)]
     spark.createDataFrame(rows, observations.SCHEMA).write.parquet(str(tmp_path / "in"))
