@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths as m
+from .globalrank import global_percent_rank, global_row_number
 
 # Weights of the components of the specification score.
 WEIGHTS = {"performance": 0.30, "memory": 0.15, "display": 0.15, "battery": 0.15, "camera": 0.15, "extras": 0.10}
@@ -85,9 +86,22 @@ def overall(value: Column, spec: Column, trust: Column, deal: Column, confidence
     return m.jround(m.clamp(base * (0.7 + 0.3 * confidence)), 1)
 
 
-def ranked(scored: DataFrame, order: list[Column], model: str = "model", name: str = "name", by: str = "query_id") -> DataFrame:
-    """Adds rank, and variant_of: the name of the first row of the same model, null for that row."""
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def with_percentile(df: DataFrame, value: Column, name: str, by: str = "query_id", parts: int = 0) -> DataFrame:
+    """Adds the percentile as a column; with ``parts``, over ranges instead of one task per query."""
+    if not parts:
+        return df.withColumn(name, percentile(value, by))
+    return global_percent_rank(df, [by], value, name, parts).withColumn(name, F.coalesce(F.col(name) * 100, F.lit(50.0)))
+
+
+def ranked(scored: DataFrame, order: list[Column], model: str = "model", name: str = "name", by: str = "query_id", parts: int = 0) -> DataFrame:
+    """Adds rank, and variant_of: the name of the first row of the same model, null for that row.
+
+    With ``parts``, ranks come from ranges of the whole order, for queries whose survivors exceed a task.
+    """
+    if parts:
+        out = global_row_number(scored, [by], order, "rank", parts)
+    else:
+        out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     first = F.first(name).over(Window.partitionBy(by, model).orderBy("rank"))
     return out.withColumn("_first", F.min("rank").over(Window.partitionBy(by, model))).withColumn("variant_of", F.when(F.col("rank") != F.col("_first"), first)).drop("_first")
 

@@ -65,8 +65,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     return written(out, "candidates")
 
 
-def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(ranked, rejected) for every query."""
+def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(ranked, rejected) for every query; ``parts`` ranges for queries whose survivors exceed a task."""
     gated = ranking.gated(cands, F.broadcast(intents), tolerance)
     rejected = gated.where(F.size("reasons") > 0)
     s = gated.where(F.size("reasons") == 0)
@@ -83,7 +83,8 @@ def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0) -> tuple[
     s = s.join(over, "query_id").withColumn("vouched", m.corroboration(F.col("rating_count"), F.lit(None).cast("string")))
     spec = F.col("spec_total") * F.col("vouched")
     s = s.withColumns({"trust": m.trust(F.col("rating"), F.col("rating_count"), F.col("prior")), "deal": m.deal(F.col("discount_pct"), F.col("mrp"), F.col("price"), F.col("spread"), F.col("n_offers"), F.col("middle")), "ratio": spec / (F.col("price") / 1000)})
-    s = s.withColumn("value", m.clamp(ranking.percentile(F.col("ratio")) * (0.45 + 0.55 * (1 - F.col("imputed_weight")))))
+    s = ranking.with_percentile(s, F.col("ratio"), "_percentile", parts=parts)
+    s = s.withColumn("value", m.clamp(F.col("_percentile") * (0.45 + 0.55 * (1 - F.col("imputed_weight")))))
     s = s.withColumn("confidence", ranking.confidence(F.col("imputed_weight"), F.col("completeness"), F.col("rating").isNotNull(), F.lit(None).cast("string")))
     s = s.withColumn("total", ranking.overall(F.col("value"), spec, F.col("trust"), F.col("deal"), F.col("confidence"), F.array_contains("priorities", "value")))
     weak = (got["soc_name"].isNull() if "soc_name" in cands.columns else F.lit(True)) & (F.coalesce("rating_count", F.lit(0)) < 20)
@@ -91,5 +92,5 @@ def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0) -> tuple[
     s = written(s, "scores")
     exact = F.coalesce(F.contains(parse.model_token(F.concat("name", "model")), parse.model_token(F.col("model_hint"))), F.lit(False))
     s = s.withColumn("exact", exact)
-    s = ranking.ranked(s, [F.desc("exact"), F.coalesce(F.col("in_stock") == F.lit(False), F.lit(False)), F.desc("total"), F.desc("confidence"), F.col("price"), F.col("best.ord")])
+    s = ranking.ranked(s, [F.desc("exact"), F.coalesce(F.col("in_stock") == F.lit(False), F.lit(False)), F.desc("total"), F.desc("confidence"), F.col("price"), F.col("best.ord")], parts=parts)
     return ranking.badges(s), rejected

@@ -148,6 +148,8 @@ def test_cards_to_ranking(spark, tmp_path):
     assert len(a) == 3 and all(r["price"] <= 15000 for r in a) and [r["rank"] for r in a] == [1, 2, 3]
     assert "Alpha" in a[0]["name"] and "TOP PICK" in a[0]["badges"] and sum(r["variant_of"] is not None for r in a) == 1
     assert len([r for r in out if r["query_id"] == "b"]) == 4
+    again, _ = rank_cards.rank(cands, asked, parts=3)
+    assert {(r["query_id"], r["rank"], r["name"], r["total"]) for r in again.collect()} == {(r["query_id"], r["rank"], r["name"], r["total"]) for r in out}
     said = notes.annotated(ranked.withColumn("soc_name", F.lit(None).cast("string"))).where("query_id = 'a' AND rank = 1").first()
     assert "AMOLED panel" in said["pros"] and "chipset unknown" in said["cons"] and said["verdict"].startswith("Best overall at ₹")
     table = notes.head_to_head(ranked, ["price", "total"], 2).where("query_id = 'a' AND metric = 'total'").first()
