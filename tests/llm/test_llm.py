@@ -307,7 +307,7 @@ def test_decontamination(spark, odd):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("score", F.lit(1))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("score", F.when(F.col("doc_id") >= 0, 1))
     first = docs.limit(1).collect()[0]
     extra = spark.createDataFrame([(9001, first["text"], "en", "s", 1, 1), (9002, "123 456", "en", "s", 7, 1), (9003, None, None, None, None, None)], docs.schema)
     now = docs.unionByName(extra)
