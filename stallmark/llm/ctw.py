@@ -24,18 +24,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import written
+from .shared import release, written
 
 DEPTH, ROOT = 5, 2
 #: About so many bytes of text in a block.
-BLOCK_BYTES = 1 << 26
+BLOCK_BYTES = 48 << 20
 #: Kinds of rows in the exchange: grams and words.
 GRAM, WORD = 0, 1
 
@@ -281,16 +281,18 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
     values = values.unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
     dealt = counts.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
 
+    release(docs.sparkSession)
     end = float(np.log10(ends + 1))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("train", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens", "n_known")], T.StructField("log_known", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def score(texts, model):
-        kind, key, value = (model.column(c).to_numpy() for c in ("kind", "key", "value"))
         index, logs = {}, {}
         for k in (GRAM, WORD):
-            own = value[kind == k]
+            part = model.filter(pc.equal(model.column("kind"), k))
+            own = part.column("value").to_numpy()
             # Words come with their counts.
-            index[k], logs[k] = Index(key[kind == k].view(np.uint64)), np.append(np.log10(own + 1) if k == WORD else own, 0.0)
+            index[k], logs[k] = Index(part.column("key").to_numpy().view(np.uint64)), np.append(np.log10(own + 1) if k == WORD else own, 0.0)
+        del part, own
         out = []
         for batch in texts.to_batches(max_chunksize=2000):
             for s in tb.slices(batch.column("text")):
