@@ -35,7 +35,7 @@ from .shared import release, written
 
 DEPTH, ROOT = 5, 2
 #: About so many bytes of text in a block.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 40 << 20
 #: Kinds of rows in the exchange: grams and words.
 GRAM, WORD = 0, 1
 
@@ -148,8 +148,10 @@ def _streamed(run):
     """A grouped function of (key, table) that gets the table's batches and returns one table."""
 
     def one(key, table):
-        out = list(run(key, table.to_batches(max_chunksize=2000)))
-        return pa.Table.from_batches(out)
+        out = pa.Table.from_batches(list(run(key, table.to_batches(max_chunksize=2000))))
+        # Workers live on after a block; what Arrow keeps for them is given back.
+        pa.default_memory_pool().release_unused()
+        return out
 
     return one
 
@@ -302,6 +304,7 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
                 at = index[WORD].find(h)
                 known = np.bincount(w.row, at >= 0, minlength=n).astype(np.int64)
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.lo, n), batch.column("train").slice(s.lo, n), pa.array(np.diff(s.at)), pa.array(np.bincount(w.row, minlength=n) + 1), pa.array(known + (ends > 0)), pa.array(np.bincount(w.row, logs[WORD][at], minlength=n) + end), pa.array(edge[s.at[1:]] - edge[s.at[:-1]])], names=schema.names))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, None if out else pa.schema([(f.name, pa.null()) for f in schema]))
 
     done = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(score, schema)
