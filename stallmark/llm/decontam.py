@@ -164,10 +164,12 @@ def build_index(texts: DataFrame, wins: DataFrame, anchors: int) -> tuple[DataFr
 
 def phrase_candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
     """(key, doc_id, wid, terms, starts): where all of a window's anchor lists agree on a start."""
-    shifted = index.join(chosen.drop("terms"), "term").select("key", "doc_id", "wid", "wanted", F.expr("transform(positions, p -> p - offset)").alias("starts"))
+    shifted = index.join(chosen.drop("terms"), "term").select("key", "doc_id", "wid", "wanted", "offset", F.expr("transform(positions, p -> p - offset)").alias("starts"))
+    # Rows repeated whole post the same list once each; a set keeps one of them for an anchor.
     agreed = (
         shifted.groupBy("key", "doc_id", "wid", "wanted")
-        .agg(F.collect_list("starts").alias("lists"))
+        .agg(F.collect_set(F.struct("offset", "starts")).alias("spots"))
+        .withColumn("lists", F.col("spots.starts"))
         .where(F.size("lists") == F.col("wanted"))
         .select("key", "doc_id", "wid", F.expr("filter(aggregate(slice(lists, 2, size(lists)), lists[0], (a, b) -> array_intersect(a, b)), s -> s >= 0)").alias("starts"))
         .where(F.size("starts") > 0)
@@ -232,7 +234,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFr
     that a phrase holds twice needs one place. The sweep runs over each document's own positions only.
     """
     wanted = phrases.select("phrase_id", F.array_distinct("terms").alias("terms")).select("phrase_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-    spots = index.join(wanted, "term").groupBy("key", "doc_id", "phrase_id", "wanted").agg(F.collect_list(F.struct("term", "positions")).alias("lists")).where(F.size("lists") == F.col("wanted"))
+    spots = index.join(wanted, "term").groupBy("key", "doc_id", "phrase_id", "wanted").agg(F.collect_set(F.struct("term", "positions")).alias("lists")).where(F.size("lists") == F.col("wanted"))
     schema = T.StructType([*[spots.schema[c] for c in ("key", "doc_id", "phrase_id")], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
     def sweep(frames):

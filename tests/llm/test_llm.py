@@ -306,6 +306,24 @@ def test_decontamination(spark, odd):
     assert decontam.proximity_matches(index, phrases, 3).count() == 0
 
 
+def test_decontamination_of_repeated_rows(spark):
+    item = " ".join(f"q{i % 6}" for i in range(14))
+    docs = [(1, f"pre {item} post")] * 2 + [(2, f"{item} {item}")] * 3 + [(3, "clean words only"), (None, item), (None, item), (4, None), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(10, item), (11, "q0 absent")], "item_id long, text string")
+    windows = {tuple(item.split()[i : i + 10]) for i in range(5)}
+    want = []
+    for doc, text in docs:
+        own = (text or "").split()
+        hit = {k for i in range(len(own)) if tuple(own[i : i + 10]) in windows for k in range(i, i + 10)}
+        want.append((doc, len(own), len(hit), ["10"] if hit else []))
+    assert rows_of(decontam.contamination(df, items), "doc_id", "n_words", "n_hit", "items") == sorted(want, key=str)
+    terms = np.array([textbytes.hash_of(w) for w in ("pre", "q3")], np.uint64).view(np.int64)
+    index = decontam.postings(decontam.keyed(df, "doc_id", "text"), terms)
+    near = decontam.proximity_matches(index, spark.createDataFrame([(1, terms.tolist())], "phrase_id int, terms array<long>"), 5)
+    assert rows_of(near, "doc_id", "first", "last") == [(1, 0, 4)]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("score", F.when(F.col("doc_id") >= 0, 1))
     first = docs.limit(1).collect()[0]
