@@ -89,3 +89,16 @@ def upper_median(column: str) -> Column:
 
 def topn_per(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "place") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+
+
+def nearest_ratio(known: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(q, ratio): of the ``n`` known rows (k, x, r) nearest in x to each asked row (q, x), the upper median of r.
+
+    A tie goes to the smaller k. An asked row that is known too counts among its own neighbours; one without x
+    has no ratio; known rows without x or r are left out. Distances are between distinct x only, and of the
+    known rows of one x the first ``n`` can be among the nearest, so that no asked row meets every known one.
+    """
+    first = topn_per(known.where("x IS NOT NULL AND r IS NOT NULL"), ["x"], [F.col("k")], n).select(F.col("x").alias("kx"), "k", "r")
+    near = asked.where("x IS NOT NULL").select("x").distinct().join(first, F.lit(True)).withColumn("d", F.abs(F.col("x") - F.col("kx")))
+    ratios = topn_per(near, ["x"], [F.col("d"), F.col("k")], n).groupBy("x").agg(jround(upper_median("r"), 3).alias("ratio"))
+    return asked.join(ratios, "x", "left").select("q", "ratio")

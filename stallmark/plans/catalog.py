@@ -323,7 +323,7 @@ def token_overlap(spark, sf_dir):
 n AS (SELECT q, k, y / (k.x + 1) AS r, row_number() OVER (PARTITION BY q ORDER BY abs(q.x - k.x), k) AS i FROM q, k) SELECT q, floor(list_sort(list(r))[3] * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS ratio FROM n WHERE i <= 5 GROUP BY q""")
 def knn_ratio(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    # The calibrated chips are a dimension table of tens of rows; here every tenth part stands for them.
+    # Its SQL fixes these subsets of the ids; knn_ratio_all takes every part on both sides.
     known = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("kx"), (F.col("p_retailprice") / (F.col("p_size") + 1)).alias("r"))
     asked = parts.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("q"), F.col("p_size").alias("x"))
     # One row of all known points by size; each query takes its five nearest from the sorted array.
@@ -333,6 +333,15 @@ def knn_ratio(spark, sf_dir):
     return five.groupBy("q").agg(m.jround(grouping.upper_median("p.r"), 3).alias("ratio"))
 
 
+def knn_ratio_all(spark, sf_dir):
+    """``knn_ratio`` asked of every part against every part; as SQL it compares all pairs, so that it has no oracle."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"), (F.col("p_retailprice") / (F.col("p_size") + 1)).alias("r"))
+    return grouping.nearest_ratio(parts.select(F.col("p_partkey").alias("k"), "x", "r"), parts.select(F.col("p_partkey").alias("q"), "x"), 5)
+
+
+QUERIES["knn_ratio_all"] = knn_ratio_all
+
+
 @query(r"SELECT l_orderkey, l_linenumber, try_cast(regexp_extract(regexp_replace('Rs. ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || ' only', '[^0-9]', '', 'g'), '^([0-9]+)', 1) AS DOUBLE) AS amount, CASE WHEN l_discount > 0 THEN floor(l_discount * 100 + CAST(0.5 AS DOUBLE)) END AS pct FROM lineitem")
 def money_parse(spark, sf_dir):
     whole = F.concat(F.lit("Rs "), F.floor("l_extendedprice").cast("string"), F.lit(" only"))

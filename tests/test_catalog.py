@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,21 @@ def test_fold_and_offers(spark):
     assert len(best[("m", "8r-128s")]["offers"]) == 1 and best[("m", "8r-128s")]["best"]["in_stock"] is True
 
 
+def test_knn_over_every_part(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rng = random.Random(4)
+    parts = [(i, rng.choice([1, 2, 3, 7, 8, 30]), round(rng.uniform(900, 2000), 2)) for i in range(1, 90)] + [(90, 50, 1000.0), (91, None, 1000.0), (92, 7, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["q"]: r["ratio"] for r in e.queries()["knn_ratio_all"](spark, str(tmp_path)).collect()}
+    want = {91: None}
+    for q, x, _ in parts:
+        if x is not None:
+            near = sorted((abs(kx - x), k, y / (kx + 1)) for k, kx, y in parts if kx is not None and y is not None)[:5]
+            want[q] = math.floor(sorted(r for *_, r in near)[2] * 1000 + 0.5) / 1000
+    assert got == want
+
+
 def test_history(spark):
     rows = spark.createDataFrame([("k", "a", dt.datetime(2024, 1, d), float(p), d) for d, p in ((1, 100), (2, 90), (3, 80))] + [("z", "a", dt.datetime(2024, 1, 1), 5.0, 9)], "key string, platform string, ts timestamp, price double, ord long")
     got = {r["key"]: r for r in history.stats(rows).collect()}
