@@ -1,4 +1,4 @@
-"""op3_unit_dedup: every document without the sentences that an earlier one has."""
+"""op3_unit_dedup and op3_line_units: every document without the sentences, or the lines, that an earlier one has."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,14 @@ SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_re
 """
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_units(documents(spark, sf_dir))
+def summed(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"), F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summed(dedup_units(documents(spark, sf_dir)))
+
+
+def by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines, however short their sentences; the columns are those of ``query``."""
+    return summed(dedup_units(documents(spark, sf_dir), unit="line"))

@@ -6,6 +6,7 @@ QUERIES = {
     "op1_pack": op1.query,
     "op2_lm_scores": op2.query,
     "op3_unit_dedup": op3.query,
+    "op3_line_units": op3.by_lines,
     "op4_language": op4.query,
     "op5_fingerprints": op5.query,
     "op6_line_dedup": op6.query,

@@ -153,6 +153,30 @@ def test_unit_dedup_keeps_offsets(spark, odd):
     assert unitdedup.dedup_units(odd).count() == odd.count()
 
 
+def test_repeated_lines_of_short_sentences_go_whole(spark, tmp_path):
+    import __spark_entry__ as e
+
+    short = "One is. Two is. Three is. Four is. Five is."
+    texts = [f"First line of the text, alone.\n{short}\n\nlast", f"{short}\nmine only\n  {short.upper()}  \n\n\nend", None, "", f"{short}", "tiny\ntiny\n", f"head\n{short} And more.\n"]
+    docs = [(9 - i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), []
+    for doc, text in sorted(docs):
+        tiles = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\n]+\n*|\n+", text or "")]
+        kept, removed = "", []
+        for start, end, tile in tiles:
+            norm = re.sub(r"[ \t\x0b\f\r\n]+", " ", tile.lower().strip(" \t\n\x0b\f\r.!?"))
+            if len(norm) >= 30 and norm in seen:
+                removed.append(f"{start}:{end}")
+            else:
+                kept += tile
+            seen.add(norm)
+        want.append((doc, len(tiles), len(removed), hashlib.sha256(kept.encode()).hexdigest(), ",".join(removed)))
+    assert sum(w[2] for w in want) == 3
+    got = e.queries()["op3_line_units"](spark, str(tmp_path))
+    assert rows_of(got, "doc_id", "n_units", "n_removed", "kept_sha256", "removed") == sorted(want, key=str)
+
+
 def test_language(spark, odd):
     rows = [(i, " ".join(np.random.default_rng(i).choice(w, 30)), lang) for i, (w, lang) in enumerate([(["the", "and", "with", "house"], "en"), (["der", "und", "mit", "haus"], "de")] * 20)] + [(98, None, "en"), (99, "123 ...", "de"), (97, "und der haus", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
