@@ -9,6 +9,12 @@
 5. A last pass compares the candidates with the documents' words, all ``width`` of them, and marks
    the words that lie in an occurrence.
 
+Proximity (``proximity``) looks for inserted, dropped, replaced and reordered words: a window is near where
+one run of its length and ``slop`` words holds its distinct terms in any order, of eight to fifteen all but
+one. Of its rarest terms, two more than may be lost, two must then lie in one run. Each text's positions of
+these anchors are paired where it lies, with the windows' pairs at hand in blocks of at most ``WINDOW_BLOCK``;
+the last pass tries all runs about the pairs that meet.
+
 Terms are 64-bit digests of lower-cased words. Terms go to executors as sorted arrays of at most
 ``TERM_BLOCK`` numbers (8 MB); a benchmark with more is done in as many blocks.
 
@@ -32,6 +38,10 @@ from .shared import written
 
 #: Most terms that one broadcast array holds.
 TERM_BLOCK = 1 << 20
+#: Most windows whose anchors one broadcast holds.
+WINDOW_BLOCK = 1 << 17
+#: A near match may lack one distinct term for each so many that its window has.
+PER_LOST = 8
 
 
 class TermSet:
@@ -177,54 +187,217 @@ def phrase_candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
     return agreed.join(chosen.select("wid", "terms").distinct(), "wid")
 
 
-def _verified(found: DataFrame) -> DataFrame:
-    """(key, doc_id, n_words, n_hit, wids) of rows (key, doc_id, text, cands)."""
-    schema = T.StructType([*found.schema.fields[:2], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("wids", T.ArrayType(T.LongType()))])
+def lost(distinct: int) -> int:
+    """How many of a window's distinct terms a near match may lack."""
+    return distinct // PER_LOST
+
+
+def near_anchors(texts: DataFrame, wins: DataFrame) -> DataFrame:
+    """(wid, terms, term, wanted) of each distinct anchor of a window, written: two of them, or its only one, are in each near run."""
+    spots = wins.select("wid", "terms").distinct().select("wid", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    counted = _all([term_counts(texts, b) for b in _blocks(spots)], texts.sparkSession.createDataFrame([], "term long, n long"))
+    spare = F.floor(F.size("spots") / PER_LOST).cast("int")
+    chosen = (
+        spots.join(counted, "term", "left")
+        .groupBy("wid", "terms")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("spots"))
+        .where(F.size(F.filter("spots", lambda x: x["n"] == 0)) <= spare)
+        .select("wid", "terms", F.least(F.size("spots"), F.lit(2)).alias("wanted"), F.explode(F.slice("spots", F.lit(1), spare + 2)).alias("spot"))
+        .where("spot.n > 0")
+        .select("wid", "terms", "wanted", "spot.term")
+    )
+    return written(chosen, "near-anchors")
+
+
+class Pairs:
+    """Windows by the pairs of their anchors, or by the only one."""
+
+    def __init__(self, wid: np.ndarray, term: np.ndarray, wanted: np.ndarray, reach: np.ndarray):
+        self.known = TermSet(np.unique(term))
+        order = np.argsort(wid, kind="stable")
+        wid, wanted, reach = wid[order], wanted[order], reach[order]
+        which = np.searchsorted(self.known.terms, term[order].view(np.uint64))
+        self.wid, head = np.unique(wid, return_index=True)
+        self.reach = reach[head] if len(head) else reach
+        self.most = int(reach.max(initial=0))
+        size = np.diff(np.append(head, len(wid)))
+        codes, owner = [], []
+        for a in range(int(size.max(initial=0))):
+            only = np.flatnonzero((size > a) & (wanted[head] == 1))
+            codes.append(self.code(which[head[only] + a], which[head[only] + a]))
+            owner.append(only)
+            for b in range(a):
+                both = np.flatnonzero((size > a) & (wanted[head] > 1))
+                codes.append(self.code(which[head[both] + a], which[head[both] + b]))
+                owner.append(both)
+        codes, owner = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*owner, np.zeros(0, np.int64)])
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.owner = codes[order], owner[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.bucket(self.codes)] = True
+
+    def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b) * len(self.known.terms) + np.maximum(a, b)
+
+    @staticmethod
+    def bucket(codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def find(self, at: np.ndarray, which: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices into ``at`` (ascending word places of anchors) where another follows within reach, and the windows."""
+        found, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lag in range(self.most):
+            i = np.arange(len(at) - lag)
+            gap = at[lag:] - at[: len(at) - lag]
+            i = i[(gap < self.most) & (row[lag:] == row[: len(at) - lag])]
+            if not len(i):
+                break
+            # Two unlike anchors are a pair; an anchor with itself, the code of an only one, counts at lag 0 alone.
+            i = i if lag == 0 else i[which[i] != which[i + lag]]
+            codes = self.code(which[i], which[i + lag])
+            maybe = self.seen[self.bucket(codes)]
+            i, codes = i[maybe], codes[maybe]
+            low, high = np.searchsorted(self.codes, codes), np.searchsorted(self.codes, codes, "right")
+            n = high - low
+            own = self.owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            i = np.repeat(i, n)
+            near = at[i + lag] - at[i] < self.reach[own]
+            found.append(i[near])
+            windows.append(own[near])
+        return np.concatenate(found), np.concatenate(windows)
+
+
+def _pair_blocks(chosen: DataFrame, slop: int) -> Iterator[Pairs]:
+    """The windows of ``chosen``, at most about WINDOW_BLOCK at a time."""
+    n = -(-chosen.select("wid").distinct().count() // WINDOW_BLOCK)
+    for b in range(n):
+        part = chosen if n == 1 else chosen.where(F.pmod(F.hash("wid"), F.lit(n)) == b)
+        pdf = part.select("wid", "term", "wanted", (F.size("terms") + slop).alias("reach")).toPandas()
+        yield Pairs(*(pdf[c].to_numpy(np.int64) for c in ("wid", "term", "wanted", "reach")))
+
+
+def near_candidates(texts: DataFrame, pairs: Pairs) -> DataFrame:
+    """(key, doc_id, wid, starts): each window's anchors that another of its anchors follows within a run's length."""
+    given = texts.sparkSession.sparkContext.broadcast(pairs)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("wid", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = given.value
+        for batch in batches:
+            for s in tb.slices(batch.column("text")):
+                w, h, first = _words(s)
+                at, which = pairs.known.find(h)
+                i, own = pairs.find(at, which, w.row[at])
+                if not len(i):
+                    continue
+                row, place = w.row[at[i]], at[i]
+                order = np.lexsort((place, own, row))
+                row, own, place = row[order], own[order], place[order]
+                fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])])
+                row, own, place = row[fresh], own[fresh], place[fresh]
+                head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)), pa.int32()), pa.array((place - first[row]).astype(np.int32)))
+                rows = pa.array(s.lo + row[head])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array(pairs.wid[own[head]]), lists], names=["key", "doc_id", "wid", "starts"])
+
+    return texts.select("key", "doc_id", "text").mapInArrow(meet, schema)
+
+
+def _exact(own: np.ndarray, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The word indices that lie in an occurrence of ``terms`` at one of ``starts``."""
+    starts = starts[(starts >= 0) & (starts + len(terms) <= len(own))]
+    at = starts[:, None] + np.arange(len(terms))
+    return at[(own[at] == terms).all(1)].ravel()
+
+
+def _near(own: np.ndarray, terms: np.ndarray, spots: np.ndarray, slop: int) -> np.ndarray:
+    """The word indices that are terms in a run, about one of ``spots``, that holds enough of the distinct terms."""
+    some, reach = np.unique(terms), min(len(terms) + slop, len(own))
+    first = np.unique(np.clip((spots[:, None] - np.arange(reach)).ravel(), 0, len(own) - reach))
+    at = first[:, None] + np.arange(reach)
+    which = np.minimum(np.searchsorted(some, own[at]), len(some) - 1)
+    known = some[which] == own[at]
+    n = sum(((which == k) & known).any(1).astype(int) for k in range(len(some)))
+    ok = n >= len(some) - lost(len(some))
+    return at[ok][known[ok]]
+
+
+def _verified(found: DataFrame, slop: int | None = None) -> DataFrame:
+    """(key, doc_id, n_words, n_hit, wids) of rows (key, doc_id, text, cands); n_near and near too where ``slop`` is given."""
+    more = [] if slop is None else [T.StructField("n_near", T.LongType()), T.StructField("near", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*found.schema.fields[:2], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("wids", T.ArrayType(T.LongType())), *more])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cands = batch.column("cands")
             for s in tb.slices(batch.column("text")):
                 _, h, first = _words(s)
-                h = tb.signed(h)
-                hit, wids = np.zeros(s.hi - s.lo, np.int64), []
-                for r in range(s.hi - s.lo):
-                    true = []
+                h, n = tb.signed(h), s.hi - s.lo
+                hit, wids, n_near, near = np.zeros(n, np.int64), [], np.zeros(n, np.int64), []
+                for r in range(n):
+                    true, close = [], []
                     if (cand := cands[s.lo + r]).is_valid and len(cand):
                         own = h[first[r] : first[r + 1]]
-                        mark = np.zeros(len(own), bool)
+                        mark, beside = np.zeros(len(own), bool), np.zeros(len(own), bool)
                         for c in cand.as_py():
                             terms, starts = np.array(c["terms"]), np.array(c["starts"])
-                            starts = starts[starts + len(terms) <= len(own)]
-                            starts = starts[(own[starts[:, None] + np.arange(len(terms))] == terms).all(1)]
-                            if len(starts):
+                            if slop is not None:
+                                if len(at := _near(own, terms, starts, slop)):
+                                    close.append(c["wid"])
+                                    beside[at] = True
+                                starts = np.unique(starts[:, None] - np.arange(len(terms)))
+                            if len(at := _exact(own, terms, starts)):
                                 true.append(c["wid"])
-                                mark[(starts[:, None] + np.arange(len(terms))).ravel()] = True
-                        hit[r] = mark.sum()
+                                mark[at] = True
+                        hit[r], n_near[r] = mark.sum(), beside.sum()
                     wids.append(true)
-                n = s.hi - s.lo
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(s.lo, n), batch.column("doc_id").slice(s.lo, n), pa.array(np.diff(first).astype(np.int64)), pa.array(hit), pa.array(wids, pa.list_(pa.int64()))], names=["key", "doc_id", "n_words", "n_hit", "wids"])
+                    near.append(close)
+                lists = pa.list_(pa.int64())
+                columns = [batch.column("key").slice(s.lo, n), batch.column("doc_id").slice(s.lo, n), pa.array(np.diff(first).astype(np.int64)), pa.array(hit), pa.array(wids, lists), pa.array(n_near), pa.array(near, lists)]
+                yield pa.RecordBatch.from_arrays(columns[: len(schema)], names=schema.fieldNames())
 
     return found.mapInArrow(check, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, anchors: int = 2) -> DataFrame:
-    """Per document row: key, doc_id, n_words, n_hit, items (the ids of items that occur, sorted as strings)."""
-    texts = keyed(docs, id_col, text_col)
-    wins = written(windows(items, item_col, item_text_col, width), "windows")
-    index, chosen = build_index(texts, wins, anchors)
-    cands = phrase_candidates(index, chosen).groupBy("key", "doc_id").agg(F.collect_list(F.struct("wid", "terms", "starts")).alias("cands"))
+def _checked(texts: DataFrame, cands: DataFrame, slop: int | None = None) -> DataFrame:
+    """The texts with their candidates verified, written."""
+    cands = cands.groupBy("key", "doc_id").agg(F.collect_list(F.struct("wid", "terms", "starts")).alias("cands"))
     cands = cands.select(F.col("key").alias("ckey"), F.col("doc_id").alias("cdoc"), "cands")
     found = texts.join(cands, (F.col("key") == F.col("ckey")) & F.col("doc_id").eqNullSafe(F.col("cdoc")), "left").select("key", "doc_id", "text", "cands")
-    done = written(_verified(found), "verified")
+    return written(_verified(found, slop), "verified")
+
+
+def _with_items(done: DataFrame, wins: DataFrame, wids: str, name: str) -> DataFrame:
+    """Adds the ids of the items, sorted as strings, that the windows in ``wids`` belong to."""
     hits = (
-        done.select("key", "doc_id", F.explode("wids").alias("wid"))
+        done.select("key", "doc_id", F.explode(wids).alias("wid"))
         .distinct()
         .join(wins.select("wid", "item_id").distinct(), "wid")
         .groupBy(F.col("key").alias("hkey"), F.col("doc_id").alias("hdoc"))
-        .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+        .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias(name))
     )
-    return done.join(hits, (F.col("key") == F.col("hkey")) & F.col("doc_id").eqNullSafe(F.col("hdoc")), "left").select("key", "doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return done.join(hits, (F.col("key") == F.col("hkey")) & F.col("doc_id").eqNullSafe(F.col("hdoc")), "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("hkey", "hdoc")
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, anchors: int = 2) -> DataFrame:
+    """Per document row: key, doc_id, n_words, n_hit, items (the ids of items that occur, sorted as strings)."""
+    texts = keyed(docs, id_col, text_col)
+    wins = written(windows(items, item_col, item_text_col, width), "windows")
+    index, chosen = build_index(texts, wins, anchors)
+    done = _checked(texts, phrase_candidates(index, chosen))
+    return _with_items(done, wins, "wids", "items").select("key", "doc_id", "n_words", "n_hit", "items")
+
+
+def proximity(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, slop: int = 4) -> DataFrame:
+    """The columns of ``contamination``, and n_near (words that are terms of a near window in its run) and near_items."""
+    texts = keyed(docs, id_col, text_col)
+    wins = written(windows(items, item_col, item_text_col, width), "windows")
+    chosen = near_anchors(texts, wins)
+    nothing = texts.limit(0).select("key", "doc_id", F.lit(0).cast("long").alias("wid"), F.array().cast("array<int>").alias("starts"))
+    met = written(_all([near_candidates(texts, p) for p in _pair_blocks(chosen, slop)], nothing).distinct(), "near-candidates")
+    done = _checked(texts, met.join(chosen.select("wid", "terms").distinct(), "wid"), slop)
+    out = _with_items(_with_items(done, wins, "wids", "items"), wins, "near", "near_items")
+    return out.select("key", "doc_id", "n_words", "n_hit", "items", "n_near", "near_items")
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:

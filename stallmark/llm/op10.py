@@ -1,9 +1,9 @@
-"""op10_decontaminate: which words of each document lie in a benchmark window."""
+"""op10_decontaminate and op10_proximity: which words of each document lie in a benchmark window, or near one."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontam import contamination
+from .decontam import contamination, proximity
 from .shared import documents
 
 SQL = r"""
@@ -20,6 +20,15 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def summed(out: DataFrame, *more: str) -> DataFrame:
+    found = ["doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")]
+    return out.select(*found, *more)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return summed(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``query``, and those of near windows."""
+    return summed(proximity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "n_near", "near_items")

@@ -14,5 +14,6 @@ QUERIES = {
     "op8_secrets": op8.query,
     "op9_token_counts": op9.query,
     "op10_decontaminate": op10.query,
+    "op10_proximity": op10.near,
 }
 ORACLES = {"op3_unit_dedup": op3.SQL, "op5_fingerprints": op5.SQL, "op6_line_dedup": op6.SQL, "op7_near_copies": op7.SQL, "op10_decontaminate": op10.SQL}

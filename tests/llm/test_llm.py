@@ -348,6 +348,54 @@ def test_decontamination_of_repeated_rows(spark):
     assert rows_of(near, "doc_id", "first", "last") == [(1, 0, 4)]
 
 
+def brute_near(text, items, width, slop):
+    """(exact words, exact items, near words, near items) of one text, over every run of words."""
+    own = re.findall(r"[a-z0-9]+", (text or "").lower())
+    hit, exact, beside, near = set(), set(), set(), set()
+    for item, body in items:
+        w = re.findall(r"[a-z0-9]+", (body or "").lower())
+        for win in [w[i : i + width] for i in range(max(1, len(w) - width + 1))] if w else []:
+            for i in range(len(own) - len(win) + 1):
+                if own[i : i + len(win)] == win:
+                    hit |= set(range(i, i + len(win)))
+                    exact.add(str(item))
+            reach = min(len(win) + slop, len(own))
+            for i in range(len(own) - reach + 1 if own else 0):
+                if len(set(own[i : i + reach]) & set(win)) >= len(set(win)) - len(set(win)) // 8:
+                    beside |= {k for k in range(i, i + reach) if own[k] in win}
+                    near.add(str(item))
+    return len(own), len(hit), sorted(exact), len(beside), sorted(near)
+
+
+def test_proximity_against_brute_force(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rng = np.random.default_rng(8)
+    long = [f"q{i}" for i in range(24)]
+    items = [(10, " ".join(long)), (11, "solo"), (12, None), (13, "pair made"), (14, "re re re re re re re re re re re re so"), (15, prose(40, 30)), (16, "never1 " + " ".join(f"z{i}" for i in range(9))), (17, "never2 never3 " + " ".join(f"y{i}" for i in range(8)))]
+    inserted = [x for i, w in enumerate(long) for x in ([w, "und"] if i % 5 == 0 else [w])]
+    dropped = [w for i, w in enumerate(long) if i % 10 != 4]
+    swapped = [long[i ^ 1] for i in range(24)]
+    texts = [" ".join(x) for x in (long, inserted, dropped, swapped, long[::-1], long[::2], inserted + dropped, ["pre"] * 20 + swapped + ["post"] * 20)]
+    texts += [None, "", "q0", "solo", "made a pair", "made a b c d e f pair", "re so", "so re re", " ".join(f"z{i}" for i in range(9)), " ".join(f"y{i}" for i in range(8)), texts[1], texts[1]]
+    for seed in range(25):
+        own = prose(40, 30).split() if seed % 2 else prose(seed, 60).split()
+        for _ in range(seed % 7):
+            own.insert(int(rng.integers(len(own))), own.pop(int(rng.integers(len(own)))) if rng.random() < 0.5 else "new")
+        texts.append(" ".join(prose(seed + 90, 8).split() + own))
+    docs = [(min(i, 18), t) for i, t in enumerate(texts[:20])] + [(None, texts[2])] + list(enumerate(texts[20:], 100))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = rows_of(decontam.proximity(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")), "doc_id", "n_words", "n_hit", "items", "n_near", "near_items")
+    want = sorted(((doc, *brute_near(t, items, 10, 4)) for doc, t in docs), key=str)
+    assert got == want
+    named = {doc: row for doc, *row in want}
+    assert all(named[i][1] == 0 and named[i][4] == ["10"] for i in (1, 2, 3))
+    shown = e.queries()["op10_proximity"](spark, str(tmp_path))
+    assert rows_of(shown, "doc_id", "n_hit", "n_near", "near_items") == sorted(((w[0], w[2], w[4], w[5]) for w in want), key=str)
+    assert decontam.proximity(spark.createDataFrame(docs, "doc_id long, text string").limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("score", F.when(F.col("doc_id") >= 0, 1))
     first = docs.limit(1).collect()[0]
