@@ -5,13 +5,15 @@
 2. Each global order sorts n-grams by rarity class and then by its own digest. Two sets of
    sufficient overlap share a token among the first |x| - ceil(t |x|) + 1 of each, in every order. The first
    order's prefix tokens are the join keys; those of the others travel as bitmaps, which must meet;
-   sizes and a parity sketch of the whole sets (whose Hamming distance never exceeds the sets'
-   difference) must allow the overlap too. No filter loses a pair.
-3. A token's texts are compared in one place; beyond BUCKET they are split into blocks, and each pair of
-   blocks is a place of its own. The first round keeps of each place's candidates a spanning
-   forest, the likeliest pairs first; those are verified on the whole sets, and the links contracted. The second
-   round takes every candidate between different components that is left. So groups of near copies
-   never turn into all their pairs, yet no pair that could join two components stays unverified.
+   sizes and parity sketches of the whole sets (whose Hamming distance never exceeds the sets'
+   difference), a short one and then one in proportion to the set, must allow the overlap too. No filter loses a pair.
+3. A token's texts are compared in one place; beyond BUCKET they are dealt into blocks, each a place of its own,
+   anew for each token. The first round keeps of each place's candidates a spanning forest, the likeliest pairs
+   first; those are verified on the whole sets, and the links contracted. The second round drops the tokens whose
+   texts are all in one component, which those of a group of near copies then are, and takes every candidate
+   between different components that is left; there a token of more than BUCKET texts is compared by pairs of
+   cells, but not within a component nor where sizes keep two cells apart. So groups of near copies never turn into
+   all their pairs, yet no pair that could join two components stays unverified.
 
 Defined results: a null, empty or wordless text has the empty set and is its own component; a text of
 fewer than n words has one n-gram, all of them; repeated rows are one vertex; a row with a null id never names a
@@ -20,6 +22,7 @@ component unless no other does; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .components import components
-from .shared import written
+from .shared import dropped, released, written
 
 #: Slots of the n-gram counts; the broadcast classes are as many bytes.
 SLOTS = 1 << 20
@@ -40,6 +43,10 @@ CHUNK = 1 << 14
 BUCKET = 2048
 #: Words of 64 bits in a parity sketch, and in the bitmap of another order's prefix.
 SKETCH, MASK = 8, 2
+#: Bits of a key in a bitmap, and how far apart their places in it begin.
+PROBES, PROBE_STEP = 4, 12
+#: Most sets that are held against one copy of a hub, and pairs in one batch of candidates.
+HUB, EMITTED = 1024, 1 << 16
 #: The largest bitmap has 2^MOST_BITS bits: 32 MB.
 MOST_BITS = 28
 _ORDERS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -92,7 +99,7 @@ def _surveyed(texts: DataFrame, n: int) -> DataFrame:
             some = [c for c in range(SLOTS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([counts[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in some], pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def _classes(survey: DataFrame) -> np.ndarray:
@@ -119,20 +126,31 @@ def _bitmap(values: np.ndarray, words: int) -> bytes:
     return out.tobytes()
 
 
-def _parity(values: np.ndarray) -> bytes:
-    bits = np.bincount((values >> np.uint64(24)).astype(np.int64) & (SKETCH * 64 - 1), minlength=SKETCH * 64) & 1
+def _parity(values: np.ndarray, size: int) -> bytes:
+    """How many of the values fall on each of ``size`` bits, odd or even: two sets' sketches differ in no more bits than the sets in values."""
+    bits = np.bincount((values >> np.uint64(24)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _fine(n: int, num: int, den: int) -> int:
+    """Bits of a sketch that tells apart sets of n values little over the difference that a link allows."""
+    return max(SKETCH * 64, 1 << (8 * 2 * n * (den - num) // (num + den)).bit_length())
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes of the same set."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
 def _prefixed(texts: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """(sig, n, sketch, masks, tokens) once for each set and task."""
+    """(sig, n, sketch, fine, masks, tokens) once for each set and task."""
     given = texts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = given.value, set()
         for batch in batches:
             for s in tb.slices(batch.column(1)):
-                sig, size, sketch, masks, tokens = [], [], [], [], []
+                sig, size, sketch, fine, masks, tokens = [], [], [], [], [], []
                 for x in sets(s, n):
                     if not len(x) or (key := signature(x)) in seen:
                         continue
@@ -143,66 +161,75 @@ def _prefixed(texts: DataFrame, n: int, num: int, den: int, classes: np.ndarray)
                     first = [np.partition(low | tb.mix(x * m) >> np.uint64(8), keep - 1)[:keep] for m in _ORDERS]
                     sig.append(key)
                     size.append(len(x))
-                    sketch.append(_parity(x))
+                    sketch.append(_parity(x, SKETCH * 64))
+                    fine.append(_parity(x, _fine(len(x), num, den)))
                     masks.append(b"".join(_bitmap(tb.mix(f), MASK) for f in first[1:]))
                     tokens.append(tb.signed(first[0]))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(masks, pa.binary()), lists], names=["sig", "n", "sketch", "masks", "tokens"])
-
-    return texts.mapInArrow(run, "sig long, n long, sketch binary, masks binary, tokens array<long>")
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def _place(rows: dict[str, np.ndarray], a: int, b: int, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Candidate pairs among rows a to b, all of one token and pair of blocks."""
-    size, sketch, masks, label, block = (rows[c][a:b] for c in ("n", "sketch", "masks", "label", "block"))
-    cross = block.min() != block.max()
-    found: list[tuple[int, int, int]] = []
-    for i in range(b - a - 1):
-        j = np.arange(i + 1, b - a)
-        j = j[(label[j] != label[i]) & ((block[j] != block[i]) | (not cross))]
-        # |x n y| >= num / (num + den) * (|x| + |y|), and never over the smaller set.
-        j = j[(den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i])) & (masks[j, :MASK] & masks[i, :MASK]).any(1) & (masks[j, MASK:] & masks[i, MASK:]).any(1)]
-        if len(j):
-            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
-            ok = (num + den) * apart <= (den - num) * (size[j] + size[i])
-            found += [(d, i, k) for d, k in zip(apart[ok].tolist(), j[ok].tolist(), strict=True)]
-    if forest:
-        trees = _Forest(b - a)
-        found = [e for e in sorted(found) if trees.join(e[1], e[2])]
-    return [(a + i, a + j) for _, i, j in found]
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fine, pa.binary()), pa.array(masks, pa.binary()), lists], names=["sig", "n", "sketch", "fine", "masks", "tokens"])
+
+    return texts.select("doc_id", "text").mapInArrow(released(run), "sig long, n long, sketch binary, fine binary, masks binary, tokens array<long>")
+
+
+def _close(rows: dict[str, np.ndarray], i: int, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows ``j`` that no filter keeps apart from row ``i``, and how far apart the sketches are."""
+    size, sketch, masks = rows["n"], rows["sketch"], rows["masks"]
+    # |x n y| >= num / (num + den) * (|x| + |y|), and never over the smaller set.
+    j = j[(rows["label"][j] != rows["label"][i]) & (den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))]
+    j = j[(masks[j, :MASK] & masks[i, :MASK]).any(1) & (masks[j, MASK:] & masks[i, MASK:]).any(1)]
+    apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+    ok = (num + den) * apart <= (den - num) * (size[j] + size[i])
+    return j[ok], apart[ok]
+
+
+def _forest(rows: dict[str, np.ndarray], a: int, b: int, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the candidates among rows a to b, the likeliest pairs first (Prim's way, in linear memory)."""
+    far = np.iinfo(np.int64).max
+    best, via, left = np.full(b - a, far), np.full(b - a, -1), np.arange(a, b)
+    out, now = [], a
+    while True:
+        if via[now - a] >= 0:
+            out.append((int(via[now - a]), now))
+        left = left[left != now]
+        if not len(left):
+            return out
+        j, apart = _close(rows, now, left, num, den)
+        nearer = apart < best[j - a]
+        best[j[nearer] - a], via[j[nearer] - a] = apart[nearer], now
+        now = int(left[np.argmin(best[left - a])])
+
+
+def _every(rows: dict[str, np.ndarray], a: int, b: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """All candidates among rows a to b; where the rows are of two cells, those across them."""
+    cell = rows["cell"][a:b]
+    cross = cell.min() != cell.max()
+    for i in range(a, b - 1):
+        j = np.arange(i + 1, b)
+        j = j[cell[i + 1 - a :] != cell[i - a]] if cross else j
+        yield from ((i, k) for k in _close(rows, i, j, num, den)[0].tolist())
 
 
 def _candidates(shared: DataFrame, sketches: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different labels."""
-    rows = shared.join(sketches, "sig").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "sig")
+    """Distinct candidate pairs (a, b) of different labels among rows (token, ca, cb, cell, sig) of one place (token, ca, cb)."""
+    rows = shared.join(sketches.select("sig", "n", "sketch", "masks", "label"), "sig").repartition("token", "ca", "cb").sortWithinPartitions("token", "ca", "cb", "sig")
 
     def flat(column: pa.Array, words: int) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        names = ["token", "bi", "bj", "block", "sig", "n", "sketch", "masks", "label"]
+        names = ["token", "ca", "cb", "cell", "sig", "n", "sketch", "masks", "label"]
 
-        def pairs(table: pa.Table) -> pa.RecordBatch:
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             cols = {c: table.column(c).to_numpy() for c in names if c not in ("sketch", "masks")}
             cols["sketch"], cols["masks"] = flat(table.column("sketch"), SKETCH), flat(table.column("masks"), 2 * MASK)
-            new = (np.diff(cols["token"]) != 0) | (np.diff(cols["bi"]) != 0) | (np.diff(cols["bj"]) != 0)
+
+            def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+                both = np.array(found, np.int64).reshape(-1, 2)
+                x, y = cols["sig"][both[:, 0]], cols["sig"][both[:, 1]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+            new = (np.diff(cols["token"]) != 0) | (np.diff(cols["ca"]) != 0) | (np.diff(cols["cb"]) != 0)
             edge = np.concatenate([[0], np.flatnonzero(new) + 1, [len(cols["sig"])]])
             width = np.diff(edge)
             out = []
@@ -216,10 +243,12 @@ def _candidates(shared: DataFrame, sketches: DataFrame, num: int, den: int, fore
                 ok &= (num + den) * np.bitwise_count(cols["sketch"][i] ^ cols["sketch"][j]).sum(1, dtype=np.int64) <= (den - num) * (n[i] + n[j])
                 out += list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
             for a, b in zip(edge[:-1][width > 2].tolist(), edge[1:][width > 2].tolist(), strict=True):
-                out += _place(cols, a, b, num, den, forest)
-            both = np.array(out, np.int64).reshape(-1, 2)
-            x, y = cols["sig"][both[:, 0]], cols["sig"][both[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                for pair in (_forest if forest else _every)(cols, a, b, num, den):
+                    out.append(pair)
+                    if len(out) == EMITTED:
+                        yield batch(out)
+                        out = []
+            yield batch(out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -227,23 +256,54 @@ def _candidates(shared: DataFrame, sketches: DataFrame, num: int, den: int, fore
             table = pa.Table.from_batches([batch]).select(names)
             table = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
             # The last place may go on in the next batch.
-            last = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
+            last = [table.column(c).to_numpy() for c in ("token", "ca", "cb")]
             same = np.logical_and.reduce([c == c[-1] for c in last])
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             held = table.slice(cut)
             if cut:
-                yield pairs(table.slice(0, cut).combine_chunks())
+                yield from pairs(table.slice(0, cut).combine_chunks())
         if held is not None and held.num_rows:
-            yield pairs(held.combine_chunks())
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            yield from pairs(held.combine_chunks())
+
+    return rows.mapInArrow(released(run), "a long, b long").distinct()
+
+
+def _cells(shared: DataFrame, labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, ca, cb, cell, sig): the places of the second round.
+
+    A token whose texts all have one label is done. The texts of others lie in cells of at most about BUCKET, by size
+    class and label; a place is a cell with itself, if it has two labels, or two cells whose sizes allow a link.
+    """
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if num < den else 1.0) + 1e-9).cast("int")
+    rows = shared.join(labelled.select("sig", "label", kind.alias("kind")), "sig")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("token", "rows")
+    rows = rows.drop("blocks").join(mixed, "token").withColumn("large", F.col("rows") > BUCKET)
+    # Most tokens are one cell.
+    kind, bag = F.when(F.col("large"), F.col("kind")).otherwise(F.lit(0)), F.when(F.col("large"), F.pmod(F.xxhash64("label"), F.ceil(F.col("rows") / BUCKET))).otherwise(F.lit(0))
+    rows = written(rows.select("token", "sig", "label", "large", kind.alias("kind"), bag.alias("bag")), "mixed")
+    small = rows.where(~F.col("large")).select("token", F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"), F.lit(0).cast("long").alias("cell"), "sig")
+
+    hot = rows.where("large")
+    bags = hot.groupBy("token", "kind", "bag").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("cuts"), (F.min("label") == F.max("label")).alias("alike"))
+    hot = hot.join(bags, ["token", "kind", "bag"])
+    cell = F.xxhash64("kind", "bag", F.pmod(F.xxhash64("sig"), F.col("cuts")))
+    hot = hot.select("token", "sig", cell.alias("cell"))
+    cells = bags.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
+    cells = cells.select("token", "kind", "bag", "alike", F.xxhash64("kind", "bag", "cut").alias("cell"))
+    x, y = cells.alias("x"), cells.alias("y")
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") <= F.col("y.cell")) & (F.abs(F.col("x.kind") - F.col("y.kind")) <= 1)
+    done = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.bag") == F.col("y.bag")) & F.col("x.alike")
+    places = x.join(y, near).where(~done).select(F.col("x.token").alias("token"), F.col("x.cell").alias("ca"), F.col("y.cell").alias("cb"))
+    sides = places.withColumn("cell", F.explode(F.array_distinct(F.array("ca", "cb"))))
+    return small.unionByName(hot.join(sides, ["token", "cell"]).select("token", "ca", "cb", "cell", "sig"))
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the column ``key`` by its lowest bits: eight times as many as there are keys, at most 2^MOST_BITS."""
+    """Bits of the column ``key``, PROBES each among sixteen times as many as there are keys, at most 2^MOST_BITS."""
     n = keys.count()
-    size = min(MOST_BITS, max(16, (8 * n).bit_length()))
-    spots = keys.select(F.col("key").bitwiseAND((1 << size) - 1).alias("at")).distinct().withColumn("chunk", F.shiftright("at", 16))
+    size = min(MOST_BITS, max(16, (16 * n - 1).bit_length()))
+    probes = F.array(*[F.shiftright("key", PROBE_STEP * k).bitwiseAND((1 << size) - 1) for k in range(PROBES)])
+    spots = keys.select(F.explode(probes).alias("at")).distinct().withColumn("chunk", F.shiftright("at", 16))
 
     def fill(key, table):
         bits = np.zeros(1 << 16, np.uint8)
@@ -258,55 +318,90 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of ``keys`` may be in a bitmap; all that are in it."""
-    at = keys & (len(bits) * 8 - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    out = np.ones(len(keys), bool)
+    for k in range(PROBES):
+        at = (keys >> PROBE_STEP * k) & (len(bits) * 8 - 1)
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` whose whole sets overlap enough. The texts stay where they are; the sets that pairs need move."""
-    needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    given = texts.sparkSession.sparkContext.broadcast(bitmap(needed.select(F.col("sig").alias("key"))))
+def _likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` whose fine sketches allow a link, written."""
+    own = sketches.select("sig", "n", "fine")
+    both = pairs.join(own.select(F.col("sig").alias("a"), F.col("n").alias("m"), F.col("fine").alias("x")), "a").join(own.select(F.col("sig").alias("b"), "n", F.col("fine").alias("y")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip((batch.column("m").to_numpy() + batch.column("n").to_numpy()).tolist(), batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                keep.append((num + den) * int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= (den - num) * n)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return written(both.select("a", "b", "m", "n", "x", "y").mapInArrow(released(check), "a long, b long"), "likely")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, elected: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` whose whole sets overlap enough.
+
+    Texts stay where they are; the sets that pairs need move, from the elected row of each. Of a pair, the end with
+    more pairs is the hub: the others come to its place, at most HUB of them to a copy of it, and are held against it one by one.
+    """
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+    pulls = ends.groupBy("sig").agg(F.count("*").alias("pull"))
+    given = texts.sparkSession.sparkContext.broadcast(bitmap(pulls.join(elected, "sig").select(F.col("sig").bitwiseXOR(F.col("row")).alias("key"))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for s in tb.slices(batch.column(1)):
                 sig, grams = [], []
-                for x in sets(s, n):
-                    if len(x) and (key := signature(x)) not in seen and _marked(given.value, np.array([key]))[0]:
-                        if len(seen) < 1 << 20:
-                            seen.add(key)
+                for x, row in zip(sets(s, n), batch.column(2)[s.lo : s.hi].to_pylist(), strict=True):
+                    if len(x) and _marked(given.value, np.array([(key := signature(x)) ^ row]))[0]:
                         sig.append(key)
                         grams.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(grams, pa.binary())], names=["sig", "grams"])
 
-    full = texts.mapInArrow(whole, "sig long, grams binary").join(needed, "sig", "left_semi")
-    full = written(full.dropDuplicates(["sig"]), "sets")
-    both = pairs.join(full.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(full.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
+    full = texts.select("doc_id", "text", "row").mapInArrow(released(whole), "sig long, grams binary")
+    pull = pairs.join(pulls.select(F.col("sig").alias("a"), F.col("pull").alias("pa")), "a").join(pulls.select(F.col("sig").alias("b"), F.col("pull").alias("pb")), "b")
+    first = F.struct("pa", "a") > F.struct("pb", "b")
+    pull = pull.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("pa", "pb").alias("pull"))
+    pull = written(pull.withColumn("copy", F.pmod(F.xxhash64("other"), F.ceil(F.col("pull") / HUB))), "hubs")
+    routes = pull.select(F.col("hub").alias("sig"), "hub", "copy", F.lit(0).alias("turn")).distinct().unionByName(pull.select(F.col("other").alias("sig"), "hub", "copy", F.lit(1).alias("turn")))
+    met = full.join(routes, "sig").select("hub", "copy", "turn", "sig", "grams").repartition("hub", "copy").sortWithinPartitions("hub", "copy", "turn")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            a, b = [], []
+            for hub, copy, turn, sig, grams in zip(*(batch.column(c).to_pylist() for c in ("hub", "copy", "turn", "sig")), batch.column("grams"), strict=True):
+                y = np.frombuffer(grams.as_buffer(), np.uint64)
+                if turn == 0:
+                    place, x = (hub, copy), y.copy()
+                elif place == (hub, copy):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * common >= num * (len(x) + len(y) - common):
+                        a.append(min(hub, sig))
+                        b.append(max(hub, sig))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return met.mapInArrow(released(verify), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; texts link when den * |x n y| >= num * |x u y|."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("row"))
     survey = written(_surveyed(texts, n), "survey")
     rows = survey.where(F.col("chunk").isNull()).select("doc_id", "n", "sig")
+    elected = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(F.xxhash64("doc_id")).alias("row"))
     prefixed = written(_prefixed(texts, n, num, den, _classes(survey)), "prefixes")
 
     # Tokens that occur once, which most do, are left out where they are.
     twice = prefixed.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    given = docs.sparkSession.sparkContext.broadcast(bitmap(written(twice.select("key"), "twice")))
+    twice = written(twice.select("key"), "twice")
+    given = docs.sparkSession.sparkContext.broadcast(bitmap(twice))
+    dropped(twice)
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,20 +410,25 @@ def near_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 10
             keep = _marked(given.value, token)
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(token[keep])], names=["sig", "token"])
 
-    tokens = prefixed.select("sig", "tokens").mapInArrow(often, "sig long, token long").distinct()
+    tokens = written(prefixed.select("sig", "tokens").mapInArrow(released(often), "sig long, token long").distinct(), "tokens")
     hot = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = tokens.join(hot.select("token", F.ceil(F.col("rows") / BUCKET).cast("int").alias("blocks")), "token")
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    shared = shared.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    shared = written(shared.select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sig"), "shared")
+    shared = written(tokens.join(hot.select("token", F.ceil(F.col("rows") / BUCKET).alias("blocks")), "token").select("token", "sig", "blocks"), "shared")
+    dropped(tokens)
 
-    sketches = prefixed.select("sig", "n", "sketch", "masks").dropDuplicates(["sig"]).join(shared.select("sig").distinct(), "sig", "left_semi")
+    sketches = prefixed.select("sig", "n", "sketch", "fine", "masks").dropDuplicates(["sig"]).join(shared.select("sig").distinct(), "sig", "left_semi")
     sketches = written(sketches, "sketches")
-    first = written(_candidates(shared, sketches.withColumn("label", F.col("sig")), num, den, True), "pairs")
-    trees = components(_links(first, texts, n, num, den))
+    dropped(prefixed)
+    # In the first round a token's block is its own place: linear in the token's texts. Each token deals them anew.
+    block = F.pmod(F.xxhash64("sig", "token"), F.col("blocks"))
+    dealt = shared.select("token", block.alias("ca"), F.lit(0).cast("long").alias("cb"), F.lit(0).cast("long").alias("cell"), "sig")
+    first = written(_candidates(dealt, sketches.withColumn("label", F.col("sig")), num, den, True), "pairs")
+    trees = components(_links(_likely(first, sketches, num, den), texts, elected, n, num, den))
     labelled = sketches.join(trees.withColumnRenamed("v", "sig"), "sig", "left").withColumn("label", F.coalesce("root", "sig")).drop("root")
-    second = _candidates(shared, labelled, num, den, False).join(first, ["a", "b"], "left_anti")
-    more = _links(written(second, "pairs"), texts, n, num, den)
+    labelled = written(labelled, "labelled")
+    second = _candidates(_cells(shared, labelled, num, den), labelled, num, den, False).join(first, ["a", "b"], "left_anti")
+    second = _likely(second, sketches, num, den)
+    dropped(shared, sketches, labelled)
+    more = _links(second, texts, elected, n, num, den)
     top = trees.select(F.col("v").alias("a"), F.col("root").alias("ra"))
     joined = more.join(top, "a", "left").join(top.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
     upper = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))

@@ -1,20 +1,28 @@
-"""The shared folder, and tables written there to cut lineage."""
+"""The shared folder, tables written there to cut lineage, and memory given back by workers."""
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used only where spark.checkpoint.dir is unset, and then only by a session on one machine, as in tests.
 UNSET_FOLDER = "/tmp/stallmark-checkpoints"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most rows in an Arrow batch: what a worker and its executor hold at a time is some MB.
+BATCH_ROWS = 1000
 
 
 def folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or UNSET_FOLDER
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or UNSET_FOLDER
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -23,18 +31,46 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a lost executor costs one read."""
+    """``df`` written as Parquet in the shared folder and read again: a lost executor costs one read.
+
+    The step's shuffle files go when it ends.
+    """
     spark, schema, path = df.sparkSession, df.schema, place(df.sparkSession, name)
-    df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Empty tables of ``written`` that no later plan reads."""
+    for table in tables:
+        table.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(table.written_to)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives back the memory that Arrow and the C library keep for it: workers outlive tasks."""
 
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files: Spark deletes them when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return one
+
+
+def trim() -> None:
+    """Give back free memory, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 def lowered(c: Column) -> Column:
@@ -43,4 +79,13 @@ def lowered(c: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most from now on in this session, unless it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
