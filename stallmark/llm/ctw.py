@@ -1,22 +1,23 @@
 """Context-tree weighting over bytes, trained and applied block by block.
 
-The model. A byte is eight binary decisions; each has a tree of contexts, which are the bytes before
-it, the nearest first, down to ``DEPTH``. A node estimates its decision by Krichevsky-Trofimov counts of the
+The model. A text is its bytes and then its end, coded as a byte of its own (``END``, which UTF-8 never has). A byte
+is eight binary decisions; each has a tree of contexts, which are the bytes before it, the nearest first,
+down to ``DEPTH``. A node estimates its decision by Krichevsky-Trofimov counts of the
 training texts and weighs its own estimate against the product of its children's, half and half:
 P_w = (P_kt + prod P_w(child)) / 2. The weights that follow give a decision's probability as the mix of
-estimates at all depths of its context; a text's score adds the logarithms. Contexts start with
-NUL bytes, and the text's end is not coded.
+estimates at all depths of its context; a text's score adds the logarithms. Before a text all bytes are ends.
 
 The data flow. Texts are dealt by hash into blocks of about ``BLOCK_BYTES``. A first pass
 takes from each block its distinct grams (DEPTH context bytes and the coded byte, 48 bits) with their training counts,
 and its distinct words likewise. Counts are summed over blocks; grams that share their last
-``ROOT`` context bytes meet in one task group, which has the whole subtree below; above it are at
-most 65,793 contexts of 255 decisions, weighed together. A last pass gives each block the
-probabilities of its own grams and the counts of its own words, and scores its texts: what a task
-holds follows the block, never the corpus.
-
-Defined results: a null text is an empty one, of score 0, one token (its end); with no training row
-every decision is 1/2; repeated rows score alike; other columns are ignored.
+``ROOT`` + 1 context bytes meet in one task group, which has the whole subtree below; there are as many groups as the
+grams need. Above are at most 257 contexts of 255 decisions, weighed together. A last pass streams each block's
+grams and words with their values, and then its texts, through one task: it holds the block's distinct
+grams and a slice of texts at a time.
+
+Defined results: a null text is an empty one, which has its end alone, one token; with no training row
+every decision is 1/2; repeated rows score alike; of very long texts a slice is held at a time; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import release, written
+from .shared import dropped, released, trim, written
 
-DEPTH, ROOT = 5, 2
-#: About so many bytes of text in a block.
-BLOCK_BYTES = 40 << 20
-#: Kinds of rows in the exchange: grams and words.
-GRAM, WORD = 0, 1
+DEPTH, ROOT = 5, 1
+END = 0xFF
+#: About so many bytes of text in a block, coded at once, and read at once.
+BLOCK_BYTES, CODED, READ = 40 << 20, 1 << 17, 1 << 18
+#: About so many distinct grams in a group, and at least so many groups.
+GROUP, GROUPS = 1 << 17, 64
+#: Kinds of rows in the exchange: grams, words, and texts.
+GRAM, WORD, TEXT = 0, 1, 2
 
 
 class Index:
@@ -73,18 +76,23 @@ class Index:
         return out
 
 
-def grams(s: tb.Slice) -> np.ndarray:
-    """For each byte of a slice: its DEPTH bytes of context, the nearest lowest, and then itself in the lowest 8 bits."""
-    data = tb.LOWER[s.data]
-    row = np.searchsorted(s.at, np.arange(len(data)), "right") - 1 if len(s.at) > 2 else np.zeros(len(data), np.int64)
-    place = np.arange(len(data)) - s.at[row]
-    out = data.astype(np.uint64)
-    for d in range(1, DEPTH + 1):
-        byte = np.zeros(len(data), np.uint64)
-        byte[d:] = data[:-d] if d < len(data) else 0
-        byte[place < d] = 0
-        out |= byte << np.uint64(8 * d)
-    return out
+def ended(s: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased bytes of a slice with each row's end, and where each row begins."""
+    return np.insert(tb.LOWER[s.data], s.at[1:], END), s.at + np.arange(len(s.at))
+
+
+def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some bytes at a time: their grams, which are the DEPTH bytes before, the nearest lowest, and in the lowest 8 bits the byte itself; and their rows."""
+    for lo in range(0, len(data), CODED):
+        here = np.arange(lo, min(lo + CODED, len(data)))
+        row = np.searchsorted(at, here, "right") - 1
+        room = here - at[row]
+        out = data[here].astype(np.uint64)
+        for d in range(1, DEPTH + 1):
+            byte = np.full(len(here), END, np.uint64)
+            byte[room >= d] = data[here[room >= d] - d]
+            out |= byte << np.uint64(8 * d)
+        yield out, row
 
 
 def _words(s: tb.Slice) -> tuple[tb.Words, np.ndarray]:
@@ -123,37 +131,26 @@ class _Tally:
 
 def _counted(blocks: DataFrame) -> DataFrame:
     """(block, kind, key, n): each block's distinct grams and words with their training counts."""
-    schema = "block long, kind int, key long, n long"
 
-    def run(key, batches):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = {GRAM: _Tally(), WORD: _Tally()}
         for batch in batches:
             train = np.array(batch.column("train").to_pylist(), np.int64)
-            for s in tb.slices(batch.column("text")):
+            for s in tb.slices(batch.column("text"), READ):
                 weight = train[s.lo : s.hi]
-                g = grams(s)
-                tallies[GRAM].add(g, np.repeat(weight, np.diff(s.at)))
+                for g, row in grams(*ended(s)):
+                    tallies[GRAM].add(g, weight[row])
                 w, h = _words(s)
                 tallies[WORD].add(h, weight[w.row])
-        for kind, tally in tallies.items():
-            keys, n = tally.settle()
-            for i in range(0, len(keys), 1 << 18):
-                k = keys[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), key[0].as_py())), pa.array(np.full(len(k), kind, np.int32)), pa.array(tb.signed(k)), pa.array(n[i : i + (1 << 18)])], names=["block", "kind", "key", "n"])
-
-    return blocks.groupBy("block").applyInArrow(_streamed(run), schema)
-
+        for kind in (GRAM, WORD):
+            keys, n = tallies.pop(kind).settle()
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), key[0].as_py(), np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(tb.signed(k)), pa.array(n[i : i + (1 << 16)])], names=["block", "kind", "key", "n"])
+        del keys, n
+        trim()
 
-def _streamed(run):
-    """A grouped function of (key, table) that gets the table's batches and returns one table."""
-
-    def one(key, table):
-        out = pa.Table.from_batches(list(run(key, table.to_batches(max_chunksize=2000))))
-        # Workers live on after a block; what Arrow keeps for them is given back.
-        pa.default_memory_pool().release_unused()
-        return out
-
-    return one
+    return blocks.select("block", "train", "text").groupBy("block").applyInArrow(run, "block int, kind int, key long, n long")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -162,7 +159,7 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     while (low := y < 8).any():
         shift[low] -= np.log(y[low])
         y[low] += 1
-    return shift + (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return shift + (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
 
 
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -210,9 +207,11 @@ def mixed(levels: list[tuple[Level, np.ndarray]]) -> np.ndarray:
 
 
 def _weighed(counts: DataFrame) -> DataFrame:
-    """(key, value): the base-10 logarithm of the probability of each gram's byte in its context."""
-    group = F.pmod(F.hash(F.shiftright(F.col("key"), 8).bitwiseAND((1 << 8 * (ROOT + 1)) - 1)), F.lit(256))
-    given = written(counts.select("key", "n", group.alias("part")), "grams")
+    """(key, value) of rows (key, n), written: the base-10 logarithm of the probability of each gram's byte in its context."""
+    table = written(counts, "grams")
+    groups = max(GROUPS, table.count() // GROUP)
+    group = F.pmod(F.hash(F.shiftright(F.col("key"), 8).bitwiseAND((1 << 8 * (ROOT + 1)) - 1)), F.lit(groups))
+    given = table.withColumn("part", group)
 
     def lower(_, table):
         gram, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
@@ -221,9 +220,10 @@ def _weighed(counts: DataFrame) -> DataFrame:
             level, back = subtree(gram, n, bit, ROOT + 1)[-1]
             ones = n * ((gram >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
             out.append(pa.table({"node": pa.array(tb.signed(level.keys)), "zeros": np.bincount(back, n - ones, len(level.keys)).astype(np.int64), "ones": np.bincount(back, ones, len(level.keys)).astype(np.int64), "log": level.log}))
+        trim()
         return pa.concat_tables(out)
 
-    # Nodes of depth ROOT + 1 lose their farthest byte: at most 65,536 contexts of 255 nodes are left.
+    # Nodes of depth ROOT + 1 lose their farthest byte: at most 256 contexts of 255 nodes are left.
     nodes = given.groupBy("part").applyInArrow(lower, "node long, zeros long, ones long, log double")
     parents = nodes.groupBy(F.col("node").bitwiseAND((1 << 8 * (ROOT + 1)) - 1).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("below"))
     upper = parents.toPandas()
@@ -240,10 +240,12 @@ def _weighed(counts: DataFrame) -> DataFrame:
             at = np.searchsorted(nodes, key)
             one = fixed[at] + rest[at] * deep
             total += np.log10(np.where((gram >> np.uint64(7 - bit)) & np.uint64(1) == 1, one, 1 - one))
-        # Single precision: a ten-millionth of a byte's logarithm, in half the bytes of a shuffle.
-        return pa.table({"key": table.column("key"), "value": total.astype(np.float32).astype(np.float64)})
+        trim()
+        return pa.table({"key": table.column("key"), "value": total})
 
-    return given.groupBy("part").applyInArrow(whole, "key long, value double")
+    out = written(given.groupBy("part").applyInArrow(whole, "key long, value double"), "values")
+    dropped(table)
+    return out
 
 
 def _upper(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,41 +273,57 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)))
+    known = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    ends, n_blocks = known[1], (known[0] or 0) // BLOCK_BYTES + 1
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     counts = written(_counted(blocks), "counts")
-    summed = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    words = summed.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
+    words = written(counts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 0), "words")
     total = words.agg(F.sum("n"), F.count("*")).first()
-    ends = rows.where("train").count()
-    values = _weighed(summed.where(F.col("kind") == GRAM).select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
-    values = values.unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
-    dealt = counts.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    values = _weighed(counts.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")))
+    # Words come with their counts.
+    both = values.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
+    dealt = written(counts.select("block", "kind", "key").join(both, ["kind", "key"]).select("block", "kind", "key", "value"), "dealt")
+    dropped(counts, words, values)
 
-    release(docs.sparkSession)
     end = float(np.log10(ends + 1))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("train", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens", "n_known")], T.StructField("log_known", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    def score(texts, model):
-        index, logs = {}, {}
-        for k in (GRAM, WORD):
-            part = model.filter(pc.equal(model.column("kind"), k))
-            own = part.column("value").to_numpy()
-            # Words come with their counts.
-            index[k], logs[k] = Index(part.column("key").to_numpy().view(np.uint64)), np.append(np.log10(own + 1) if k == WORD else own, 0.0)
-        del part, own
-        out = []
-        for batch in texts.to_batches(max_chunksize=2000):
-            for s in tb.slices(batch.column("text")):
-                n = s.hi - s.lo
-                edge = np.concatenate([[0.0], np.cumsum(logs[GRAM][index[GRAM].find(grams(s))])])
-                w, h = _words(s)
-                at = index[WORD].find(h)
-                known = np.bincount(w.row, at >= 0, minlength=n).astype(np.int64)
-                out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.lo, n), batch.column("train").slice(s.lo, n), pa.array(np.diff(s.at)), pa.array(np.bincount(w.row, minlength=n) + 1), pa.array(known + (ends > 0)), pa.array(np.bincount(w.row, logs[WORD][at], minlength=n) + end), pa.array(edge[s.at[1:]] - edge[s.at[:-1]])], names=schema.names))
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_batches(out, None if out else pa.schema([(f.name, pa.null()) for f in schema]))
-
-    done = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(score, schema)
-    return done.withColumn("train_tokens", F.lit((total[0] or 0) + ends)).withColumn("train_words", F.lit(total[1] + (ends > 0)))
+    def scored(texts: pa.RecordBatch, index: dict[int, Index], logs: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for s in tb.slices(texts.column("text"), READ):
+            n = s.hi - s.lo
+            score = np.zeros(n)
+            for g, row in grams(*ended(s)):
+                score += np.bincount(row, logs[GRAM][index[GRAM].find(g)], minlength=n)
+            w, h = _words(s)
+            at = index[WORD].find(h)
+            held = np.bincount(w.row, at >= 0, minlength=n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([texts.column("doc_id").slice(s.lo, n), texts.column("train").slice(s.lo, n), pa.array(np.diff(s.at)), pa.array(np.bincount(w.row, minlength=n) + 1), pa.array(held + (ends > 0)), pa.array(np.bincount(w.row, logs[WORD][at], minlength=n) + end), pa.array(score)], names=schema.names)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index, logs, parts = None, {}, {}, {}
+        for batch in batches:
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(block)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not part.num_rows:
+                    continue
+                if block[lo] != now:
+                    now, index, logs, parts = block[lo], {}, {}, {GRAM: [], WORD: []}
+                if kind[lo] != TEXT:
+                    parts[kind[lo]].append((part.column("key").to_numpy().view(np.uint64).copy(), part.column("value").to_numpy().copy()))
+                    continue
+                for k in list(parts):
+                    own = parts.pop(k)
+                    index[k] = Index(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in own)]))
+                    value = np.concatenate([*(v for _, v in own), np.zeros(1)])
+                    logs[k] = np.log10(value + 1) if k == WORD else value
+                yield from scored(part, index, logs)
+
+    nothing = [F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text")]
+    model = dealt.select("block", "kind", "key", "value", *nothing)
+    texts = blocks.select("block", F.lit(TEXT).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "doc_id", "train", "text")
+    stream = model.unionByName(texts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
+    done = stream.mapInArrow(released(score), schema)
+    return done.withColumn("train_tokens", F.lit((total[0] or 0) + ends)).withColumn("train_words", F.lit(total[1] + (1 if ends else 0)))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import written
+from .shared import released, written
 
 #: Most terms that one broadcast array holds.
 TERM_BLOCK = 1 << 20
@@ -85,7 +85,7 @@ def windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     terms += cuts
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "terms"])
 
-    out = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema).distinct()
+    out = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(released(cut), schema).distinct()
     return out.select("item_id", F.xxhash64("terms").alias("wid"), "terms")
 
 
@@ -113,7 +113,7 @@ def term_counts(texts: DataFrame, terms: np.ndarray) -> DataFrame:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(tb.signed(known.terms[some])), pa.array(n[some])], names=["term", "n"])
 
-    return texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(released(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def postings(texts: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -137,7 +137,7 @@ def postings(texts: DataFrame, terms: np.ndarray) -> DataFrame:
                 rows = pa.array(s.lo + row[head])
                 yield pa.RecordBatch.from_arrays([pa.array(tb.signed(known.terms[which[head]])), batch.column("key").take(rows), batch.column("doc_id").take(rows), lists], names=["term", "key", "doc_id", "positions"])
 
-    return texts.select("key", "doc_id", "text").mapInArrow(post, schema)
+    return texts.select("key", "doc_id", "text").mapInArrow(released(post), schema)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -300,7 +300,7 @@ def near_candidates(texts: DataFrame, pairs: Pairs) -> DataFrame:
                 rows = pa.array(s.lo + row[head])
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array(pairs.wid[own[head]]), lists], names=["key", "doc_id", "wid", "starts"])
 
-    return texts.select("key", "doc_id", "text").mapInArrow(meet, schema)
+    return texts.select("key", "doc_id", "text").mapInArrow(released(meet), schema)
 
 
 def _exact(own: np.ndarray, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -356,7 +356,7 @@ def _verified(found: DataFrame, slop: int | None = None) -> DataFrame:
                 columns = [batch.column("key").slice(s.lo, n), batch.column("doc_id").slice(s.lo, n), pa.array(np.diff(first).astype(np.int64)), pa.array(hit), pa.array(wids, lists), pa.array(n_near), pa.array(near, lists)]
                 yield pa.RecordBatch.from_arrays(columns[: len(schema)], names=schema.fieldNames())
 
-    return found.mapInArrow(check, schema)
+    return found.mapInArrow(released(check), schema)
 
 
 def _checked(texts: DataFrame, cands: DataFrame, slop: int | None = None) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .shared import released
 
 ORDER, BUCKETS = 4, 1 << 18
 #: Most labelled texts that a fit uses, most of them that are landmarks, and most bytes of each.
@@ -161,7 +162,7 @@ def classified(docs: DataFrame, train, *, text_col: str = "text", lang_col: str
                 found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(top), pa.array(lead)], names=kind.names)
                 yield pa.RecordBatch.from_arrays([*(c.slice(s.lo, n) for c in batch.columns), found], names=schema.names)
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(released(predict), schema)
 
 
 def identify(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import written
+from .shared import released, written
 
 #: About as many pieces in a block.
 BLOCK = 16384
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:

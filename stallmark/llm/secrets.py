@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .shared import released
 from .automaton import Dfa, compile_rules
 
 
@@ -160,4 +161,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
                 spans = [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .shared import released
 
 #: What an unknown character costs below the lowest score of the vocabulary.
 UNKNOWN = 10.0
@@ -125,4 +126,4 @@ def count_tokens(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
                 tokens = np.bincount(w.row, n[back], minlength=rows).astype(np.int64) + bare * counter.count(MARK)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, rows), pa.array(words + bare), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
