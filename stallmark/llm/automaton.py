@@ -24,9 +24,10 @@ class Dfa(NamedTuple):
 
 
 class _Parser:
-    """Recursive descent into a Thompson automaton held in two lists."""
+    """Recursive descent into a Thompson automaton held in two lists; of the patterns read from behind if ``backward``."""
 
-    def __init__(self) -> None:
+    def __init__(self, backward: bool = False) -> None:
+        self.backward = backward
         self.empty: list[list[int]] = []
         self.byte: list[list[tuple[frozenset[int], int]]] = []
 
@@ -132,7 +133,7 @@ class _Parser:
                 self.empty[b].append(last)
         elif kind == "and":
             at = first
-            for part in tree[1]:
+            for part in reversed(tree[1]) if self.backward else tree[1]:
                 a, b = self.build(part)
                 self.empty[at].append(a)
                 at = b
@@ -157,9 +158,9 @@ class _Parser:
         return first, last
 
 
-def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
-    """One minimal automaton for all patterns: matching from the first byte only, or from any byte."""
-    p = _Parser()
+def compile_rules(patterns: list[str], anywhere: bool, backward: bool = False) -> Dfa:
+    """One minimal automaton for all patterns: matching from the first byte only, or from any byte; bytes may come from behind."""
+    p = _Parser(backward)
     ends: dict[int, int] = {}
     start = p.state()
     for r, pattern in enumerate(patterns):

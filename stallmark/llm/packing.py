@@ -5,19 +5,21 @@ Texts become ids of a byte-level BPE, then one end id. A text's ids are cut into
 sequence each. The others are dealt by hash into blocks of about ``BLOCK`` pieces, and each block is
 packed on its own: best fit, longest first, and then local search over the underfull sequences. From
 the emptiest one, pieces move, swap one for one or swap two for one into fuller ones as long as squared fill grows,
-until it is empty or nothing grows any more. A block leaves about one sequence underfull, one in
-several thousand.
+until no pair of sequences has such a step left. What a round of blocks leaves in underfull sequences goes through
+a further round, until there is one block or a round saves nothing.
 
-Pre-tokens repeat, so a worker keeps their ids by digest, at most ``KEPT`` of them.
+The tokenizer's added tokens count wherever their text stands, as ``tokenizers`` has them. Pre-tokens repeat, so a
+worker keeps their ids by digest, at most ``KEPT`` of them.
 
-Defined results: a null text is an empty one, which is its end id alone; rows that share an id or are
-repeated are packed each for itself; with no row there is no sequence; columns other than the two
-named are ignored.
+Defined results: a null text is an empty one, which is its end id alone; of very long texts a slice and its ids are
+held; rows that share an id or are repeated are packed each for itself; sequences that are alike are told apart by
+number only; with no row there is no sequence; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,14 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import released, written
+from .shared import released, small_batches, trim, written
 
 #: About as many pieces in a block.
 BLOCK = 16384
 #: Most pre-tokens whose ids a worker keeps.
-KEPT = 1 << 20
-#: Sequences that local search empties at most before it looks no further for one that it can't: rounds without gain.
-STALE = 24
+KEPT = 1 << 18
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _kinds: list[np.ndarray] = []
@@ -107,8 +107,12 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        # The model alone: pre-tokens are cut here, and special tokens' strings are ordinary text.
-        self.model = Tokenizer.from_file(path).model
+        # The model alone: added tokens and pre-tokens are cut here.
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        #: Longest first, as the tokenizer prefers them.
+        self.added = dict(sorted(((t.content.encode(), i) for i, t in whole.get_added_tokens_decoder().items()), key=lambda x: -len(x[0])))
+        self.pattern = re.compile(b"|".join(map(re.escape, self.added))) if self.added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         #: Byte-level vocabularies write each byte as a visible character.
@@ -121,7 +125,7 @@ class Tokens:
         self.ids = np.zeros(0, np.int32)
 
     def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        new = [[t.id for t in self.model.tokenize(x.decode("latin-1").translate(self.visible))] for x in texts]
+        new = [[self.added[x]] if x in self.added else [t.id for t in self.model.tokenize(x.decode("latin-1").translate(self.visible))] for x in texts]
         count = np.concatenate([np.diff(self.first), [len(x) for x in new]])
         begin = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum([0, *[len(x) for x in new]])[:-1]])
         flat = np.concatenate([self.ids, np.array([i for x in new for i in x], np.int32)])
@@ -131,9 +135,22 @@ class Tokens:
         self.first = np.concatenate([[0], np.cumsum(count)])
         self.ids = flat[np.repeat(begin - self.first[:-1], count) + np.arange(self.first[-1])]
 
+    def starts(self, s: tb.Slice) -> np.ndarray:
+        """First bytes of all pre-tokens and added tokens. What stands between added tokens is cut as a text of its own."""
+        found = [(m.start(), m.end()) for m in self.pattern.finditer(s.data.tobytes())] if self.pattern else []
+        if found:
+            first, last = np.array(found).T
+            # Not across rows.
+            inside = np.searchsorted(s.at, first, "right") == np.searchsorted(s.at, last, "left")
+            first, last = first[inside], last[inside]
+            start = pretokens(s.data, np.unique(np.concatenate([s.at, first, last])))
+            within = np.searchsorted(first, start, "left") - 1
+            return start[(within < 0) | (start >= np.append(last, 0)[within])]
+        return pretokens(s.data, s.at)
+
     def encode(self, s: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice, and how many each row has."""
-        start = pretokens(s.data, s.at)
+        start = self.starts(s)
         end = np.append(start[1:], len(s.data))
         h = tb.hashes(s.data, start, end)
         uniq, where, back = np.unique(h, return_index=True, return_inverse=True)
@@ -204,68 +221,108 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search over the underfull bins: each step makes squared fill larger."""
+    """Local search over the underfull bins: each step makes squared fill larger, until no two of them have one left.
+
+    Bins of the same sizes are alike: a step that one pair of them lacks, no other pair of their kind has.
+    """
     size = sizes.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    stale = 0
-    stuck: set[int] = set()
-    while stale < STALE:
-        under = sorted((fill[b], b) for b in range(len(bins)) if 0 < fill[b] < capacity)
-        victim = next((b for _, b in under if b not in stuck), None)
-        if victim is None or len(under) < 2:
-            break
-        before = fill[victim]
-        for _, b in reversed(under):
-            if b != victim and fill[victim]:
-                _pour(bins, fill, size, victim, b, capacity)
-        if fill[victim] == before:
-            stuck.add(victim)
-            stale += 1
-        elif not fill[victim]:
-            stale = 0
-    return [b for b in bins if b]
-
-
-def _pour(bins: list[list[int]], fill: list[int], size: list[int], a: int, b: int, capacity: int) -> None:
-    """Make b fuller from a, which gets emptier, while a move or a swap can."""
-    while (gap := capacity - fill[b]) > 0 and bins[a]:
-        mine = sorted(bins[a], key=lambda i: size[i])
-        best = None  # (gain, out of a, out of b)
-        for i in mine:
-            if size[i] <= gap and (best is None or size[i] > best[0]):
-                best = (size[i], [i], [])
-        if best is None or best[0] < gap:
-            keys = [size[i] for i in mine]
-            pairs = sorted((size[i] + size[j], i, j) for x, i in enumerate(mine) for j in mine[:x]) if len(mine) <= 40 else []
-            sums = [p[0] for p in pairs]
-            for j in bins[b]:
-                # The largest of mine, or pair of mine, that j can make way for.
-                k = bisect.bisect_right(keys, size[j] + gap) - 1
-                if k >= 0 and (gain := keys[k] - size[j]) > (best[0] if best else 0):
-                    best = (gain, [mine[k]], [j])
-                k = bisect.bisect_right(sums, size[j] + gap) - 1
-                if k >= 0 and (gain := sums[k] - size[j]) > (best[0] if best else 0):
-                    best = (gain, [pairs[k][1], pairs[k][2]], [j])
-        # Squared fill grows by 2 * gain * (fill[b] - fill[a] + gain).
-        if best is None or fill[b] - fill[a] + best[0] <= 0:
-            return
-        gain, out, back = best
-        bins[a] = [i for i in bins[a] if i not in out] + back
-        bins[b] = [j for j in bins[b] if j not in back] + out
-        fill[a] -= gain
-        fill[b] += gain
+    alike: dict[tuple[int, ...], list[list[int]]] = {}
+    done = []
+    for b in bins:
+        kind = tuple(sorted(size[i] for i in b))
+        if sum(kind) < capacity:
+            alike.setdefault(kind, []).append(b)
+        else:
+            done.append(b)
+    stuck: set[tuple[tuple[int, ...], tuple[int, ...]]] = set()
+    moved = True
+    while moved:
+        moved = False
+        fill = {kind: sum(kind) for kind in alike}
+        for poor in sorted(alike, key=lambda k: (fill[k], k)):
+            for rich in sorted(alike, key=lambda k: (-sum(k), k)):
+                while alike.get(poor) and alike.get(rich) and (poor, rich) not in stuck and (poor != rich or len(alike[poor]) > 1):
+                    step = _step(poor, rich, capacity)
+                    if step is None:
+                        stuck.add((poor, rich))
+                        break
+                    moved = True
+                    a, b = alike[poor].pop(), alike[rich].pop()
+                    out, back = _taken(a, step[0], size), _taken(b, step[1], size)
+                    for one in (a + back, b + out):
+                        kind = tuple(sorted(size[i] for i in one))
+                        if sum(kind) == capacity:
+                            done.append(one)
+                        elif one:
+                            alike.setdefault(kind, []).append(one)
+        alike = {kind: own for kind, own in alike.items() if own}
+    return done + [b for own in alike.values() for b in own]
+
+
+def _taken(b: list[int], wanted: list[int], size: list[int]) -> list[int]:
+    """Pieces of the wanted sizes, taken out of ``b``."""
+    out = []
+    for n in wanted:
+        out.append(b.pop(next(k for k, i in enumerate(b) if size[i] == n)))
+    return out
+
+
+def _step(poor: tuple[int, ...], rich: tuple[int, ...], capacity: int) -> tuple[list[int], list[int]] | None:
+    """The sizes that go from poor to rich and those that come back, by which rich gains most and squared fill grows; or none.
+
+    Distinct sizes in a bin are few: d of them fill d * (d + 1) / 2 at least.
+    """
+    gap = capacity - sum(rich)
+    own = sorted(set(poor))
+    best = (0, [], [])
+    k = bisect.bisect_right(own, gap)
+    if k:
+        best = (own[k - 1], [own[k - 1]], [])
+    if best[0] < gap:
+        twice = {n for n in own if poor.count(n) > 1}
+        pairs = sorted((x + y, x, y) for i, x in enumerate(own) for y in own[i:] if x != y or x in twice)
+        sums = [p[0] for p in pairs]
+        for back in sorted(set(rich)):
+            # The largest of poor's, or pair of them, that this one can make way for.
+            k = bisect.bisect_right(own, back + gap)
+            if k and own[k - 1] - back > best[0]:
+                best = (own[k - 1] - back, [own[k - 1]], [back])
+            k = bisect.bisect_right(sums, back + gap)
+            if k and sums[k - 1] - back > best[0]:
+                best = (sums[k - 1] - back, [*pairs[k - 1][1:]], [back])
+    # Squared fill grows by 2 * gain * (fill of rich - fill of poor + gain).
+    gain, out, back = best
+    return (out, back) if gain and sum(rich) - sum(poor) + gain > 0 else None
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+    small_batches(docs.sparkSession)
     cut = written(pieces(docs, vocab_path, capacity, end_id, id_col, text_col), "pieces")
-    short = cut.where(F.col("length") < capacity)
-    blocks = max(1, -(-short.count() // BLOCK))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    # Whole pieces are numbered below zero by their place, the others from zero by block.
-    whole = cut.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = short.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32"), F.lit(blocks)))
-    schema = T.StructType([*[cut.schema[c] for c in names], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    # Whole pieces are numbered below zero by their place, the others from zero by round and block.
+    out = cut.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    left = cut.where(F.col("length") < capacity).select(*names, "row")
+    rest, turn, base = left.count(), 0, 0
+    while True:
+        blocks = max(1, -(-rest // BLOCK))
+        packed = _packed(left, cut, names, blocks, capacity, base, turn)
+        if blocks == 1:
+            return out.unionByName(packed.drop("row", "full"))
+        packed = written(packed, "packed")
+        under = packed.where(~F.col("full"))
+        n = under.count()
+        if n > rest // 2:
+            # Pieces that fill no sequence however they are dealt: a further round would save nothing worth it.
+            return out.unionByName(packed.drop("row", "full"))
+        out = out.unionByName(packed.where("full").drop("row", "full"))
+        left, rest, turn, base = under.select(*names, "row"), n, turn + 1, base + blocks * BLOCK * 4
+
+
+def _packed(left: DataFrame, cut: DataFrame, names: list[str], blocks: int, capacity: int, base: int, turn: int) -> DataFrame:
+    """The pieces in sequences, numbered from ``base``, with whether their sequence is full; each block on its own."""
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32", F.lit(turn)), F.lit(blocks)))
+    schema = T.StructType([*[cut.schema[c] for c in names], cut.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("full", T.BooleanType())])
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["length", "ids_crc32", "doc_id", "row"], kind="stable", ignore_index=True)
@@ -276,6 +333,9 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, capacity: int = 2048, en
         ends = np.cumsum(sizes[order])
         first = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1])
         offset = ends - sizes[order] - np.repeat((ends - sizes[order])[first], np.diff(np.append(first, len(order))))
-        return block.iloc[order][names].assign(sequence_id=int(block["block"].iloc[0]) * BLOCK * 4 + which, offset=offset)
+        full = np.array([sizes[b].sum() == capacity for b in bins])
+        out = block.iloc[order][[*names, "row"]].assign(sequence_id=base + int(block["block"].iloc[0]) * BLOCK * 4 + which, offset=offset, full=full[which])
+        trim()
+        return out
 
-    return whole.unionByName(dealt.groupBy("block").applyInPandas(run, schema))
+    return dealt.groupBy("block").applyInPandas(run, schema)

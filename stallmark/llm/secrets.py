@@ -1,14 +1,16 @@
 """Secret scanning with one deterministic automaton for all rules.
 
-One pass over the bytes finds which rules match in which texts. Bytes that lead every state to the
-same one (a line feed, for one) cut the bytes into lanes that are stepped together through the
-transition array; lanes never change what is found. Texts with matches are then walked with each
-matching rule's own anchored automaton for leftmost, longest, non-overlapping spans.
+One pass over the bytes, from behind, finds where matches of which rules begin: the combined automaton reads the
+patterns backward and accepts at a match's first byte. Bytes that lead every state to the same one (a line feed,
+for one) cut the bytes into lanes that are stepped together through the transition array; lanes never change what
+is found. From the leftmost beginning that no earlier match of its rule covers, the rule's own automaton walks to
+the longest end, inside the match only, so that work stays linear in the text.
 
 Base kinds: assign, access, hex. Further kinds: github, slack, jwt, private_key. Spans are counted in code points.
 
-Defined results: a null or empty text has no spans; a span is a span wherever it repeats; extra
-columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text has no spans; a span is a span wherever it repeats; repeated rows have the
+same spans; spans of several kinds that begin together come as the rules are listed; of very long texts a slice is
+read at a time, and a line longer than that byte by byte; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,77 +60,75 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = compile_rules([r.pattern for r in rules], anywhere=True)
-        self.each = [compile_rules([r.pattern], anywhere=False) for r in rules]
-        self.heads = [compile_rules([r.head], anywhere=False) if r.head else None for r in rules]
+        self.all = compile_rules([r.pattern for r in rules], anywhere=True, backward=True)
+        each = [compile_rules([r.pattern], anywhere=False) for r in rules]
+        heads = [compile_rules([r.head], anywhere=False) if r.head else None for r in rules]
         self.resets = (self.all.step == self.all.step[0]).all(0) & (self.all.step[0] == 0)
         self.walk = self.all.step.tolist()
-        self.firsts = [np.flatnonzero(~self.dead(d)[d.step[0]]) for d in self.each]
-        self.lists = [(d.step.tolist(), d.rules.tolist(), self.dead(d).tolist()) for d in self.each]
-        self.head_lists = [d and (d.step.tolist(), d.rules.tolist(), self.dead(d).tolist()) for d in self.heads]
+        self.lists = [(d.step.tolist(), d.rules.tolist(), self.dead(d).tolist()) for d in each]
+        self.head_lists = [d and (d.step.tolist(), d.rules.tolist(), self.dead(d).tolist()) for d in heads]
 
     @staticmethod
     def dead(d: Dfa) -> np.ndarray:
         """States that lead nowhere."""
         return (d.step == np.arange(len(d.step))[:, None]).all(1) & (d.rules == 0)
 
-    def masks(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each row, the rules that match somewhere in it."""
-        out = np.zeros(len(at) - 1, np.int64)
+    def begins(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending places where matches begin, and the rules that do; ``at`` has the rows' edges, which no match crosses."""
         if not len(data):
-            return out
-        after = np.flatnonzero(self.resets[data]) + 1
-        after = after[after < len(data)]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        back, edge = data[::-1], len(data) - at[::-1]
+        after = np.flatnonzero(self.resets[back]) + 1
+        after = after[after < len(back)]
         if len(after):  # about one in each LANE bytes
             after = after[np.concatenate([[True], np.diff(after // LANE) > 0])]
-        start = np.union1d(at[:-1][np.diff(at) > 0], after)
-        size = np.diff(np.append(start, len(data)))
+        start = np.union1d(edge[:-1][np.diff(edge) > 0], after)
+        size = np.diff(np.append(start, len(back)))
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        row = np.searchsorted(at, start, "right") - 1
         step, rules = self.all.step.ravel() << 8, self.all.rules
-        state, got = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
+        state = np.zeros(len(start), np.int32)
         active = np.searchsorted(-size, -np.arange(size[0]), "left")
-        t = 0
+        places, which, t = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         while t < size[0] and active[t] >= FEW:
             k = active[t]
-            state[:k] = step[state[:k] + data[start[:k] + t]]
-            got[:k] |= rules[state[:k] >> 8]
+            state[:k] = step[state[:k] + back[start[:k] + t]]
+            got = rules[state[:k] >> 8]
+            if got.any():
+                some = np.flatnonzero(got)
+                places.append(start[some] + t)
+                which.append(got[some])
             t += 1
         if t < size[0]:
             accepts = rules.tolist()
             for i in range(active[t]):
-                s, seen = int(state[i]) >> 8, 0
-                for b in data[start[i] + t : start[i] + size[i]].tobytes():
+                s, first, found = int(state[i]) >> 8, int(start[i]) + t, []
+                for j, b in enumerate(back[first : start[i] + size[i]].tobytes(), first):
                     s = self.walk[s][b]
-                    seen |= accepts[s]
-                got[i] |= seen
-        np.bitwise_or.at(out, row, got)
-        return out
-
-    def spans(self, text: bytes, r: int) -> list[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping matches of rule ``r`` that are long enough, in bytes."""
-        step, accept, dead = self.lists[r]
-        rule, out, free = self.rules[r], [], 0
-        data = np.frombuffer(text, np.uint8)
-        for i in np.flatnonzero(np.isin(data, self.firsts[r])).tolist():
-            if i < free:
-                continue
-            end = _longest(text, i, step, accept, dead)
-            if end > i:
-                free = end
-                begin = _longest(text, i, *self.head_lists[r]) if rule.head else i
-                if end - begin >= rule.least:
-                    out.append((i, end))
-        return out
-
-    def find(self, text: bytes, mask: int) -> list[tuple[int, int, str]]:
-        """(start, end, kind) in code points, by start and then as the rules are listed."""
-        found = sorted((a, r, b) for r in range(len(self.rules)) if mask >> r & 1 for a, b in self.spans(text, r))
+                    if accepts[s]:
+                        found.append((j, accepts[s]))
+                if found:
+                    pair = np.array(found, np.int64)
+                    places.append(pair[:, 0])
+                    which.append(pair[:, 1])
+        place, rule = len(data) - 1 - np.concatenate(places), np.concatenate(which)
+        order = np.argsort(place)
+        return place[order], rule[order]
+
+    def find(self, text: bytes, places: list[int], masks: list[int]) -> list[tuple[int, int, str]]:
+        """(start, end, kind) in code points, by start and then as the rules are listed: leftmost, longest, non-overlapping per rule."""
+        found, free = [], [0] * len(self.rules)
+        for i, mask in zip(places, masks, strict=True):
+            for r, rule in enumerate(self.rules):
+                if mask >> r & 1 and i >= free[r]:
+                    free[r] = _longest(text, i, *self.lists[r])
+                    begin = _longest(text, i, *self.head_lists[r]) if rule.head else i
+                    if free[r] - begin >= rule.least:
+                        found.append((i, free[r], rule.kind))
         if not found:
             return []
         point = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-        return [(int(point[a]), int(point[b]), self.rules[r].kind) for a, r, b in found]
+        return [(int(point[a]), int(point[b]), kind) for a, b, kind in found]
 
 
 def _longest(text: bytes, i: int, step: list, accept: list, dead: list) -> int:
@@ -157,7 +157,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
         scanner = _scanner[rules]
         for batch in batches:
             for s in tb.slices(batch.column(1)):
-                spans = [scanner.find(s.data[s.at[r] : s.at[r + 1]].tobytes(), m) if m else [] for r, m in enumerate(scanner.masks(s.data, s.at).tolist())]
+                place, mask = scanner.begins(s.data, s.at)
+                cuts = np.searchsorted(place, s.at).tolist()
+                spans = [scanner.find(s.data[s.at[r] : s.at[r + 1]].tobytes(), (place[a:b] - s.at[r]).tolist(), mask[a:b].tolist()) if b > a else [] for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
                 spans = [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(spans, kind)], names=["doc_id", "spans"])
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -48,7 +49,7 @@ def test_word_digests():
 
 def test_pack_is_whole_and_tight(spark, odd):
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
+    odd = odd.unionByName(spark.createDataFrame([(20, "hello <|endoftext|> world<|endoftext|><|endoftext|>", None, None, None, None, None)], odd.schema))
     got = packing.pack_documents(odd, BPE, capacity=64).toPandas()
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
     for doc, text in texts.items():
@@ -72,11 +73,53 @@ def test_local_search_gains():
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
 
 
+def fewest(sizes, capacity):
+    """The fewest sequences that hold all sizes, by trying every place for each."""
+    best = [len(sizes)]
+
+    def place(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(room)
+            return
+        for b in {r: i for i, r in enumerate(room) if r >= sizes[k]}.values():
+            place(k + 1, [r - sizes[k] if i == b else r for i, r in enumerate(room)])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_the_optimum():
+    rng = np.random.default_rng(4)
+    more = 0
+    for _ in range(60):
+        sizes = np.sort(rng.integers(3, 70, rng.integers(4, 11)))[::-1].copy()
+        bins = packing.pack(sizes, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 100 for b in bins)
+        more += len(bins) - fewest(sizes.tolist(), 100)
+    assert more <= 1
+    # Of 45 pieces two make way for one, the only step there is.
+    sizes = np.array([2] * 45 + [3, 96])
+    bins = packing.search([[*range(45)], [45, 46]], sizes, 100)
+    assert sorted(sizes[b].sum() for b in bins) == [89, 100]
+
+
+def test_blocks_share_what_they_leave(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    docs = spark.createDataFrame([(i, prose(i, 5 + i % 23)) for i in range(150)], "doc_id long, text string")
+    got = packing.pack_documents(docs, BPE, capacity=128).toPandas()
+    assert len(got) == 150 and got.sequence_id.nunique() <= math.ceil(got.length.sum() / 128) + 2
+    for _, seq in got.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq.offset.tolist() == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 128
+
+
 def test_pretokens_match_the_tokenizer():
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     rng = np.random.default_rng(3)
-    parts = ["'", "'s", "'re", " ", "  ", "\n", "a", "don't", "12", "é", "日", "!?", " ", " '", "\r\n", "ll", "<|endoftext|>"]
+    parts = ["'", "'s", "'re", " ", "  ", "\n", "a", "don't", "12", "é", "日", "!?", " ", " '", "\r\n", "ll", "<|endoftext|>", "<|endof", "text|>"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(1500)]
     import pyarrow as pa
 
@@ -287,7 +330,16 @@ def test_secrets(spark, odd):
         assert [s for s in got[i] if s[2] in secrets.BASE] == [(a, b, k) for a, _, b, k in sorted(want)]
     jwt = "x eyJhbGciOi.eyJzdWIiOi.abc_-9 -----BEGIN RSA PRIVATE KEY-----"
     assert [s["kind"] for s in secrets.scan(spark.createDataFrame([(1, jwt)], "doc_id long, text string")).first()["spans"]] == ["jwt", "private_key"]
-    assert secrets.scan(odd).count() == odd.count()
+    assert rows_of(secrets.scan(odd), "doc_id", "spans") == sorted([(r["doc_id"], []) for r in odd.collect()], key=str)
+
+
+def test_secrets_take_linear_time():
+    scanner = secrets.Scanner()
+    for text in (b"eyJ" * 350_000, b"password=" * 100_000, b"eyJa.eyJa." * 90_000):
+        began = time.time()
+        place, mask = scanner.begins(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        scanner.find(text, place.tolist(), mask.tolist())
+        assert time.time() - began < 8
 
 
 def test_automaton():
