@@ -1,4 +1,4 @@
-"""op3_unit_dedup and op3_line_units: every document without the sentences, or the lines, that an earlier one has."""
+"""op3_unit_dedup and op3_sentences: every document without the lines, or the sentences, that an earlier one has."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from .shared import documents
 from .unitdedup import dedup_units
 
-SQL = r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS tiles FROM documents),
+_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), 'UNITS') AS tiles FROM documents),
 u AS (SELECT doc_id, unnest(tiles) AS u, generate_subscripts(tiles, 1) AS i FROM t),
 k AS (SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i) AS e, regexp_replace(translate(trim(u, ' .!?' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r\n]+', ' ', 'g') AS key FROM u),
 g AS (SELECT *, length(key) >= 30 AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM k),
@@ -16,6 +16,10 @@ SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_re
 """
 
 
+SQL = _SQL.replace("UNITS", r"[^\n]+\n*|\n+")
+SENTENCES_SQL = _SQL.replace("UNITS", r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+
+
 def summed(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"), F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed"))
 
@@ -24,6 +28,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(dedup_units(documents(spark, sf_dir)))
 
 
-def by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole lines, however short their sentences; the columns are those of ``query``."""
-    return summed(dedup_units(documents(spark, sf_dir), unit="line"))
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences, which also repeat within lines that differ; the columns are those of ``query``."""
+    return summed(dedup_units(documents(spark, sf_dir), unit="sentence"))

@@ -6,7 +6,7 @@ QUERIES = {
     "op1_pack": op1.query,
     "op2_lm_scores": op2.query,
     "op3_unit_dedup": op3.query,
-    "op3_line_units": op3.by_lines,
+    "op3_sentences": op3.sentences,
     "op4_language": op4.query,
     "op5_fingerprints": op5.query,
     "op6_line_dedup": op6.query,
@@ -16,4 +16,4 @@ QUERIES = {
     "op10_decontaminate": op10.query,
     "op10_proximity": op10.near,
 }
-ORACLES = {"op3_unit_dedup": op3.SQL, "op5_fingerprints": op5.SQL, "op6_line_dedup": op6.SQL, "op7_near_copies": op7.SQL, "op10_decontaminate": op10.SQL}
+ORACLES = {"op3_unit_dedup": op3.SQL, "op3_sentences": op3.SENTENCES_SQL, "op5_fingerprints": op5.SQL, "op6_line_dedup": op6.SQL, "op7_near_copies": op7.SQL, "op10_decontaminate": op10.SQL}

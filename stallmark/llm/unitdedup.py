@@ -1,25 +1,30 @@
 """Substring dedup by unit hashing.
 
-A text is tiled by its units: sentences, lines or paragraphs (sentences also end at a line's end).
+A text is tiled by its units: lines, paragraphs or sentences (which also end at a line's end).
 Units are normalised (A-Z in lower case, white space and end marks off both ends, white space within
-made one space); those of ``least`` code points or more are digested and grouped over the whole
+made one space); those of ``least`` code points or more are digested (128 bits) and grouped over the whole
 corpus. The occurrence in the smallest (id, place) stays; all others go, and their code point
 offsets in the original text are kept.
 
 Defined results: a null or empty text has no units and stays empty; a unit that a text repeats stays
 in its first place only; rows that are repeated whole rank alike and are treated alike; rows with a
-null id rank first; an empty table gives an empty result; columns other than the two named are dropped.
+null id rank first; of a very long text the time is linear in its units; an empty table gives an empty result; columns other than the two named are dropped.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import lowered
+from .shared import lowered, released, small_batches, written
 
 #: Patterns whose matches tile a text.
-UNITS = {"sentence": r"[^.!?\n]+[.!?\n]*|[.!?\n]+", "line": r"[^\n]+\n*|\n+", "paragraph": r"(?s).+?(?:\n{2,}|\z)"}
+UNITS = {"sentence": r"[^.!?\n]+[.!?\n]*|[.!?\n]+", "line": r"[^\n]+\n*|\n+", "paragraph": r"(?:[^\n]|\n(?!\n))+\n*|\n+"}
 ENDS = " \t\n\x0b\f\r.!?"
 
 
@@ -27,25 +32,37 @@ def normal(unit: Column) -> Column:
     return F.regexp_replace(F.btrim(lowered(unit), F.lit(ENDS)), r"[ \t\x0B\f\r\n]+", " ")
 
 
-def dedup_units(docs: DataFrame, *, unit: str = "sentence", least: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_units(docs: DataFrame, *, unit: str = "line", least: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_units, text, removed): removed is an array of (start, end) in the original text."""
+    small_batches(docs.sparkSession)
     own = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(F.col(id_col), own).alias("key"), F.col(id_col).alias("doc_id"), own.alias("text"))
-    tiles = F.regexp_extract_all("text", F.lit(UNITS[unit]), F.lit(0))
     rank = F.struct("doc_id", "key", "place")
-    norm = F.transform(tiles, lambda u: normal(u))
-    long_ones = F.filter(F.transform(norm, lambda u, i: F.struct(F.when(F.char_length(u) >= least, F.xxhash64(u)).alias("h"), i.alias("place"))), lambda x: x["h"].isNotNull())
-    rows = texts.select("key", "doc_id", F.explode(long_ones).alias("u")).select("key", "doc_id", "u.h", "u.place")
-    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where(F.col("n") > 1).select("h", "kept")
-    gone = rows.join(first, "h").where(~rank.eqNullSafe(F.col("kept"))).groupBy(F.col("key").alias("gkey")).agg(F.collect_set("place").alias("gone"))
-    joined = texts.join(gone, F.col("key") == F.col("gkey"), "left").select("doc_id", tiles.alias("tiles"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    ends = F.aggregate("tiles", F.array(F.lit(0)).cast("array<int>"), lambda acc, u: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(u))))
-    spans = F.when(F.size("gone") > 0, F.transform(F.sort_array("gone"), lambda i: F.struct(F.get(F.col("ends"), i).alias("start"), F.get(F.col("ends"), i + 1).alias("end"))))
-    out = joined.withColumn("ends", F.when(F.size("gone") > 0, ends))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select(
-        "doc_id",
-        F.size("tiles").cast("long").alias("n_units"),
-        F.array_join(F.filter("tiles", lambda u, i: ~F.array_contains(F.col("gone"), i)), "").alias("text"),
-        F.coalesce(spans, empty).alias("removed"),
-    )
+    norm = F.transform(F.regexp_extract_all("text", F.lit(UNITS[unit]), F.lit(0)), lambda u: normal(u))
+    long_ones = F.filter(F.transform(norm, lambda u, i: F.when(F.char_length(u) >= least, F.struct(F.xxhash64(u).alias("h"), F.xxhash64(F.lit(1), u).alias("g"), i.alias("place")))), lambda x: x.isNotNull())
+    rows = texts.select("key", "doc_id", F.explode(long_ones).alias("u")).select("key", "doc_id", "u.h", "u.g", "u.place")
+    # Written, so that both sides of the join are dealt anew, and a unit that very many texts have can be split.
+    first = written(rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where(F.col("n") > 1).select("h", "g", "kept"), "repeated")
+    gone = rows.join(first, ["h", "g"]).where(~rank.eqNullSafe(F.col("kept"))).groupBy(F.col("key").alias("gkey")).agg(F.collect_set("place").alias("gone"))
+    joined = texts.join(gone, F.col("key") == F.col("gkey"), "left").select("doc_id", "text", "gone")
+    pattern = UNITS[unit]
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("n_units", T.LongType()), T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(pattern)
+        for batch in batches:
+            n, kept, removed = [], [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                if gone is None:
+                    n.append(sum(1 for _ in cut.finditer(text)))
+                    kept.append(text)
+                    removed.append([])
+                    continue
+                tiles, gone = list(cut.finditer(text)), set(gone)
+                n.append(len(tiles))
+                kept.append("".join(m[0] for i, m in enumerate(tiles) if i not in gone))
+                removed.append([{"start": m.start(), "end": m.end()} for i, m in enumerate(tiles) if i in gone])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, kind)], names=schema.names)
+
+    return joined.mapInArrow(released(run), schema)

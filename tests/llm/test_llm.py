@@ -188,12 +188,17 @@ def test_ctw_against_brute_force(spark):
 def test_unit_dedup_keeps_offsets(spark, odd):
     a = "This sentence is long enough to take part. Short one. And here is another one of good length!"
     df = spark.createDataFrame([(1, a), (2, "Intro. " + a), (3, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in unitdedup.dedup_units(df).collect()}
+    got = {r["doc_id"]: r for r in unitdedup.dedup_units(df, unit="sentence").collect()}
     src = "Intro. " + a
     assert got[1]["text"] == a and got[1]["removed"] == []
     assert [src[s["start"] : s["end"]].strip() for s in got[2]["removed"]] == ["This sentence is long enough to take part.", "And here is another one of good length!"]
     assert got[3]["text"] == ""
-    assert unitdedup.dedup_units(odd).count() == odd.count()
+    got = rows_of(unitdedup.dedup_units(odd.where("doc_id < 9")), "doc_id", "n_units", "text")
+    same = prose(1, 60)
+    assert got == [(0, 0, ""), (1, 0, ""), (2, 2, "   \n\t"), (3, 1, "one"), (4, 1, same), (5, 1, ""), (6, 1, ""), (7, 1, same + " extra"), (8, 2, "Été – 東京\n\nX\r\n")]
+    paragraphs = spark.createDataFrame([(1, "a first paragraph\nthat is of two lines\n\nb"), (2, "c\n\n\nA first paragraph\nthat is of two lines")], "doc_id long, text string")
+    assert rows_of(unitdedup.dedup_units(paragraphs, unit="paragraph"), "doc_id", "n_units", "text") == [(1, 2, paragraphs.first()["text"]), (2, 2, "c\n\n\n")]
+    assert unitdedup.dedup_units(odd.limit(0)).count() == 0
 
 
 def test_repeated_lines_of_short_sentences_go_whole(spark, tmp_path):
@@ -216,7 +221,7 @@ def test_repeated_lines_of_short_sentences_go_whole(spark, tmp_path):
             seen.add(norm)
         want.append((doc, len(tiles), len(removed), hashlib.sha256(kept.encode()).hexdigest(), ",".join(removed)))
     assert sum(w[2] for w in want) == 3
-    got = e.queries()["op3_line_units"](spark, str(tmp_path))
+    got = e.queries()["op3_unit_dedup"](spark, str(tmp_path))
     assert rows_of(got, "doc_id", "n_units", "n_removed", "kept_sha256", "removed") == sorted(want, key=str)
 
 
@@ -250,13 +255,37 @@ def test_merkle(spark, odd):
     assert {r["doc_id"]: r["next_text"] for r in merkle.with_next(spread).collect()} == {i * 5000: str((i + 1) % 7) for i in range(7)}
 
 
+def brute_lines(docs, copies=3, least=20):
+    """(doc_id, kept text, lines, dropped) of every row."""
+    def key(line):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
+
+    seen = {}
+    for doc, text in docs:
+        for k in {key(x) for x in (text or "").split("\n")}:
+            if len(k) >= least:
+                seen.setdefault(k, []).append(doc)
+    out = []
+    for doc, text in docs:
+        own = (text or "").split("\n")
+        kept = [x for x in own if doc is None or not (len(holders := seen.get(key(x), [])) >= copies and max(h for h in holders if h is not None) != doc)]
+        out.append((doc, "\n".join(kept), len(own), len(own) - len(kept)))
+    return sorted(out, key=str)
+
+
 def test_line_dedup(spark, odd):
     line = "a line that many documents share"
-    rows = [(i, f"{line}\nown {i}\n {line.upper()} ") for i in range(4)] + [(9, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r[linededup.STATS]["n_dropped"]) for r in linededup.dedup_lines(df, batches=3).collect()}
-    assert got[3] == (rows[3][1], 0) and got[0] == ("own 0", 2) and got[9] == ("", 0)
-    assert linededup.dedup_lines(odd).count() == odd.count()
+    rows = [(i, f"{line}\nown {i}\n {line.upper()} ") for i in range(4)] + [(9, None), (10, "\n\n"), (11, f"\x0b{line}\t\r\n"), (12, "É" * 20), (13, "É" * 20 + "\n" + "É" * 19), (14, " " + "É" * 20), (11, line), (None, line), (15, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = linededup.dedup_lines(df, batches=3).select("doc_id", "text", f"{linededup.STATS}.*")
+    assert rows_of(got, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows)
+    given = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    clash = odd.withColumns({c: F.lit(1) for c in ("gone_doc", "gone_lines", "_drop", "_doc", "g", "text_", linededup.STATS)})
+    got = linededup.dedup_lines(clash, as_col="stats")
+    assert got.columns == [*clash.columns, "stats"] and rows_of(got.select("doc_id", "text", "stats.*"), "doc_id", "text", "n_lines", "n_dropped") == brute_lines(given)
+    named = spark.createDataFrame([(f"k{i}", t) for i, t in rows if i is not None], "doc_id string, text string")
+    assert linededup.dedup_lines(named).where("doc_id = 'k2'").first()["text"] == "own 2"
+    assert linededup.dedup_lines(odd.limit(0)).count() == 0
     runs = linededup.LineRuns(spark, fanout=2)
     for b in range(4):
         batch = df.where(F.col("doc_id") == b)
@@ -265,6 +294,22 @@ def test_line_dedup(spark, odd):
     assert [len(x) for x in runs.levels] == [0, 0, 1]
 
 
+def test_runs_are_not_dealt_again(spark):
+    runs = linededup.LineRuns(spark, fanout=9)
+    rows = spark.createDataFrame([(i, i % 7, i % 3) for i in range(60)], "doc_id long, h long, g long")
+    for b in range(3):
+        runs.add_keys(rows.where(F.col("doc_id") % 3 == b))
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = runs.fresh(rows.select("h", "g").distinct())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The batch alone is dealt and sorted.
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
 def brute_components(texts, n, num, den):
     sets = {}
     for i, t in texts.items():
