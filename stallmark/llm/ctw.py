@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import dropped, released, trim, written
+from .shared import dropped, released, small_batches, trim, written
 
 DEPTH, ROOT = 5, 1
 END = 0xFF
@@ -271,6 +271,7 @@ def scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
     ``log_known`` adds log10(c + 1) over the text's tokens of training count c; ``train_tokens`` and
     ``train_words`` count all and distinct training tokens, ends included.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     known = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()

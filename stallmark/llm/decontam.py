@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import released, written
+from .shared import released, small_batches, written
 
 #: Most terms that one broadcast array holds.
 TERM_BLOCK = 1 << 20
@@ -381,6 +381,7 @@ def _with_items(done: DataFrame, wins: DataFrame, wids: str, name: str) -> DataF
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, anchors: int = 2) -> DataFrame:
     """Per document row: key, doc_id, n_words, n_hit, items (the ids of items that occur, sorted as strings)."""
+    small_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     wins = written(windows(items, item_col, item_text_col, width), "windows")
     index, chosen = build_index(texts, wins, anchors)
@@ -390,6 +391,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
 def proximity(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, slop: int = 4) -> DataFrame:
     """The columns of ``contamination``, and n_near (words that are terms of a near window in its run) and near_items."""
+    small_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     wins = written(windows(items, item_col, item_text_col, width), "windows")
     chosen = near_anchors(texts, wins)

@@ -6,12 +6,14 @@ the cosine of their presence vectors. ``landmarks`` training texts give a Nystr
 phi(x) = k(x, L) K(L, L)^(-1/2), in which one-versus-rest ridge regression is solved in closed form.
 Scoring is two matrix products, presence by (landmarks by weights); the inner one is taken once.
 
-The fit uses at most ``SAMPLE`` labelled texts, those with the smallest hash of their text, spread evenly over the
-languages; every text is scored whole.
+The fit uses about ``SAMPLE`` labelled texts at most, whole: of each language those with the smallest hash of their
+text, as many of each (one at least). Each text comes to the driver as its slots, at most ``BUCKETS`` numbers. Every text is
+scored whole.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; rows whose language is
-null or empty teach nothing; with no labelled row every text is ``und``; repeated rows score alike;
-further columns are ignored whatever their names.
+null or empty teach nothing; with no labelled row every text is ``und``; repeated rows score alike, and teach once; of
+languages with equal values the first by name is taken; of very long texts a slice is held; an empty table gives
+an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .shared import released
+from .shared import released, small_batches
 
 ORDER, BUCKETS = 4, 1 << 18
-#: Most labelled texts that a fit uses, most of them that are landmarks, and most bytes of each.
-SAMPLE, LANDMARKS, SAMPLE_BYTES = 2000, 400, 1 << 14
+#: Most labelled texts that a fit uses, and most of them that are landmarks.
+SAMPLE, LANDMARKS = 2000, 400
 RIDGE = 1e-3
 #: How fast a score nears 1 as the best language leads the second.
 SHARP = 8.0
@@ -70,17 +72,11 @@ def grams(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], langs: list[str]) -> Model | None:
-    """Nyström landmarks and one-versus-rest kernel ridge regression."""
+def fit(sets: list[np.ndarray], langs: list[str]) -> Model | None:
+    """Nyström landmarks and one-versus-rest kernel ridge regression over texts' distinct slots."""
     names = sorted(set(langs))
     if not names:
         return None
-    flags = np.zeros(BUCKETS, bool)
-    sets = [grams(tb.LOWER[np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8)], flags) for t in texts]
-    keep = [i for i, s in enumerate(sets) if len(s)]
-    sets, langs = [sets[i] for i in keep], [langs[i] for i in keep]
-    if not sets:
-        return None
     by = {n: [i for i, x in enumerate(langs) if x == n] for n in names}
     each = max(1, LANDMARKS // len(names))
     marks = [i for n in names for i in by[n][:each]]
@@ -123,14 +119,30 @@ def scores(model: Model, data: np.ndarray, at: np.ndarray, flags: np.ndarray) ->
     return out + model.shift
 
 
-def sample(docs: DataFrame, train, *, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """At most SAMPLE labelled texts: of each language those with the smallest text hash, evenly."""
+def sample(docs: DataFrame, train, *, text_col: str, lang_col: str) -> tuple[list[np.ndarray], list[str]]:
+    """Slots and languages of the sample.
+
+    Only rows whose hash lies below twice the share that their language needs are ranked, so no task has more than some thousand.
+    """
     text, lang = F.col(text_col), F.col(lang_col)
-    rows = docs.where(train & lang.isNotNull() & (lang != "") & text.rlike(r"\p{L}")).select(F.substring(text, 1, SAMPLE_BYTES).alias("t"), lang.alias("l"), F.xxhash64(text).alias("h"))
-    n = max(1, rows.select("l").distinct().count())
-    near = rows.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= max(1, SAMPLE // n)).limit(SAMPLE)
-    got = rows.join(F.broadcast(near), ["l", "h"]).dropDuplicates(["l", "h"]).limit(SAMPLE).orderBy("h").select("t", "l").toPandas()
-    return got["t"].tolist(), got["l"].tolist()
+    rows = docs.where(train & lang.isNotNull() & (lang != "") & text.rlike(r"\p{L}")).select(text.alias("t"), lang.alias("l"), F.xxhash64(text).alias("h"))
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n"))
+    sizes = sizes.withColumn("each", F.greatest(F.lit(1), F.floor(SAMPLE / F.count("*").over(Window.partitionBy()))))
+    share = (F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2.0 * F.col("each") + 20
+    few = rows.join(F.broadcast(sizes), "l").where(share).dropDuplicates(["l", "h"])
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    chosen = few.withColumn("r", rank).where(F.col("r") <= F.col("each")).select("l", "h", "t")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(BUCKETS, bool)
+        for batch in batches:
+            for s in tb.slices(batch.column("t")):
+                data, n = tb.LOWER[s.data], s.hi - s.lo
+                own = [grams(data[s.at[r] : s.at[r + 1]], flags).astype(np.int32).tobytes() for r in range(n)]
+                yield pa.RecordBatch.from_arrays([batch.column("l").slice(s.lo, n), batch.column("h").slice(s.lo, n), pa.array(own, pa.binary())], names=["l", "h", "slots"])
+
+    got = sorted(chosen.mapInArrow(released(slots), "l string, h long, slots binary").collect(), key=lambda r: (r["h"], r["l"]))
+    return [np.frombuffer(r["slots"], np.int32).astype(np.int64) for r in got], [r["l"] for r in got]
 
 
 def classified(docs: DataFrame, train, *, text_col: str = "text", lang_col: str = "lang", as_col: str = "langid") -> DataFrame:
@@ -138,6 +150,7 @@ def classified(docs: DataFrame, train, *, text_col: str = "text", lang_col: str
 
     The score is 1 / (1 + sum over other languages of exp(-SHARP * lead)); ``lead`` is how far the best value is before the second.
     """
+    small_batches(docs.sparkSession)
     model = fit(*sample(docs, train, text_col=text_col, lang_col=lang_col))
     given = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lead", T.DoubleType())])

@@ -1,15 +1,16 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
-A text's lines are its paragraphs; the SHA-256 of each is a leaf. A section ends after a paragraph
-whose digest begins with 0, 1, 2 or 3, so that an edit moves no section border but its own. A
-section's node is the SHA-256 of its leaves' digests, the root that of its sections' digests: two
-texts are equal if their roots are, and where roots differ, differing sections and then paragraphs
-show the place. Below each paragraph, digests of pieces of at most 64 code points refine the place
-and carry ``likeness``, the Dice coefficient of two texts' distinct pieces.
-
-Defined results: a null text is an empty one, whose only paragraph is empty; two texts without pieces are alike (1.0);
-repeated rows have equal fingerprints; a row with a null id is its own next document; of rows that
-share an id the one with the smaller text comes first; columns other than the two named are dropped.
+A text is cut into pieces by its content: after a blank behind an a or e, at the end of a line, and otherwise after 128 code
+points; so an edit moves no border but those beside it. The SHA-256 of each piece is a leaf. The pieces up to a line's
+end are a paragraph, whose node is the SHA-256 of its leaves' digests. A section ends after a paragraph whose digest
+begins with 0, 1, 2 or 3; its node is the SHA-256 of its paragraphs' digests, the root that of its sections'.
+Two texts are equal if their roots are, and where roots differ, differing sections, then paragraphs and
+then leaves show the place (``differing``). ``likeness`` is the Dice coefficient of two trees' distinct leaves.
+
+Defined results: a null text is an empty one, without leaves; two texts without leaves are alike (1.0);
+repeated rows have equal fingerprints and the same next document, the first row of another id or text; rows that share
+an id come in the order of their texts' digests; a row with a null id is its own next document, and so is the only row;
+of a very long text the time follows its length; columns other than the two named are dropped.
 """
 
 from __future__ import annotations
@@ -17,35 +18,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of so many consecutive ids are sorted together to find the next one.
-SPAN = 1024
-PIECE = r"[^\n]{1,64}\n?|\n"
+from .shared import written
 
+PIECE = r"[^\n]{1,127}?[ae] |[^\n]{1,128}\n?|\n"
 
-def paragraphs(text: Column) -> Column:
-    """The leaves: digests of a text's lines."""
-    return F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
 
+def leaves(text: Column) -> Column:
+    """Digests of a text's pieces; the last of a line that has an end is marked by a bar."""
+    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.when(p.endswith("\n"), F.concat(F.sha2(p, 256), F.lit("|"))).otherwise(F.sha2(p, 256)))
 
-def sections(leaves: Column) -> Column:
-    """Digests of sections of leaves."""
-    marked = F.array_join(F.transform(leaves, lambda d: F.when(F.substring(d, 1, 1) < "4", F.concat(d, F.lit("|"))).otherwise(d)), "")
-    return F.transform(F.filter(F.split(marked, r"\|"), lambda s: s != ""), lambda s: F.sha2(s, 256))
+
+def paragraphs(own: Column) -> Column:
+    """The nodes above leaves: a digest for each line."""
+    return F.transform(F.filter(F.split(F.array_join(own, ""), r"\|"), lambda s: s != ""), lambda s: F.sha2(s, 256))
 
 
-def root(text: Column) -> Column:
-    """The fingerprint: equal for equal texts and for no others."""
-    return F.sha2(F.array_join(sections(paragraphs(text)), ""), 256)
+def sections(nodes: Column) -> Column:
+    """Digests of sections of paragraphs."""
+    marked = F.array_join(F.transform(nodes, lambda d: F.when(F.substring(d, 1, 1) < "4", F.concat(d, F.lit("|"))).otherwise(d)), "")
+    return F.transform(F.filter(F.split(marked, r"\|"), lambda s: s != ""), lambda s: F.sha2(s, 256))
 
 
-def pieces(text: Column) -> Column:
-    """Distinct digests of a text's pieces."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
+def root(own: Column) -> Column:
+    """The fingerprint of a text's leaves: equal for equal texts and for no others."""
+    return F.sha2(F.array_join(sections(paragraphs(own)), ""), 256)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two arrays of distinct digests."""
-    total = F.size(a) + F.size(b)
+    """Dice coefficient of two texts' distinct leaves."""
+    total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
@@ -56,26 +57,32 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, sections, paragraphs) of every row."""
-    leaves = paragraphs(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.select(F.col(id_col).alias("doc_id"), leaves.alias("paragraphs")).withColumn("sections", sections(F.col("paragraphs")))
-    return out.select("doc_id", F.sha2(F.array_join("sections", ""), 256).alias("fingerprint"), "sections", "paragraphs")
+    """(doc_id, fingerprint, sections, paragraphs, leaves) of every row."""
+    out = docs.select(F.col(id_col).alias("doc_id"), leaves(F.coalesce(F.col(text_col), F.lit(""))).alias("leaves"))
+    out = out.withColumn("paragraphs", paragraphs(F.col("leaves"))).withColumn("sections", sections(F.col("paragraphs")))
+    return out.select("doc_id", F.sha2(F.array_join("sections", ""), 256).alias("fingerprint"), "sections", "paragraphs", "leaves")
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_text): each row with the text of the next id; the last has the first's.
 
-    Ids are sorted in spans of SPAN. The first text of each span is sent to the span before as well;
-    which spans there are is known from the ids alone, once more by spans of spans.
+    Ids alone are sorted, in written ranges; each range's first goes to the one before. Texts then meet by equal keys:
+    whatever the ids, no range of them is one task's, and a text moves once to its own key and once to the one before.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.floor(F.col(id_col) / SPAN).alias("span"))
-    spans = rows.where(F.col("span").isNotNull()).groupBy("span").agg(F.min("doc_id").alias("head")).withColumn("upper", F.floor(F.col("span") / SPAN))
-    uppers = spans.groupBy("upper").agg(F.max("span").alias("last"))
-    # One row for SPAN * SPAN ids.
-    before = uppers.select("upper", F.coalesce(F.lag("last").over(Window.orderBy("upper")), F.max("last").over(Window.partitionBy())).alias("wrap"))
-    heads = spans.join(before, "upper").select("head", F.coalesce(F.lag("span").over(Window.partitionBy("upper").orderBy("span")), "wrap").alias("to"))
-    sent = rows.join(heads, F.col("doc_id") == F.col("head")).select("doc_id", "text", F.col("to").alias("span"), F.lit(1).alias("sent"))
-    order = Window.partitionBy("span").orderBy("sent", "doc_id", "text")
-    placed = rows.where(F.col("span").isNotNull()).withColumn("sent", F.lit(0)).unionByName(sent)
-    out = placed.withColumn("next_text", F.lead("text").over(order)).where(F.col("sent") == 0).select("doc_id", "text", "next_text")
-    return out.unionByName(rows.where(F.col("span").isNull()).select("doc_id", "text", F.col("text").alias("next_text")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    keys = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "h").distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(keys.repartitionByRange(parts, "doc_id", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    # One row for each range.
+    heads = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    every = Window.orderBy("part")
+    heads = heads.select("part", F.coalesce(F.lead("head").over(every), F.min("head").over(Window.partitionBy())).alias("follows"))
+    order = Window.partitionBy("part").orderBy("doc_id", "h")
+    after = ranged.withColumn("after", F.lead(F.struct("doc_id", "h")).over(order)).join(F.broadcast(heads), "part")
+    after = after.select("doc_id", "h", F.coalesce("after", "follows").alias("after")).select(F.col("doc_id").alias("own_id"), F.col("h").alias("own_h"), F.col("after.doc_id").alias("next_id"), F.col("after.h").alias("next_h"))
+    after = written(after, "next")
+    texts = rows.join(after, (F.col("doc_id") == F.col("own_id")) & (F.col("h") == F.col("own_h")), "left")
+    first = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("other_id"), F.col("h").alias("other_h"), F.col("text").alias("other"))
+    out = texts.join(first, (F.col("next_id") == F.col("other_id")) & (F.col("next_h") == F.col("other_h")), "left")
+    return out.select("doc_id", "text", F.coalesce("other", "text").alias("next_text"))

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .components import components
-from .shared import dropped, released, written
+from .shared import dropped, released, small_batches, written
 
 #: Slots of the n-gram counts; the broadcast classes are as many bytes.
 SLOTS = 1 << 20
@@ -391,6 +391,7 @@ def _links(pairs: DataFrame, texts: DataFrame, elected: DataFrame, n: int, num:
 
 def near_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; texts link when den * |x n y| >= num * |x u y|."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("row"))
     survey = written(_surveyed(texts, n), "survey")
     rows = survey.where(F.col("chunk").isNull()).select("doc_id", "n", "sig")

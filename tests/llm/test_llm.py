@@ -235,6 +235,40 @@ def test_language(spark, odd):
     assert langid.identify(odd, F.lit(True)).count() == odd.count()
 
 
+def brute_language(rows, train):
+    """Dense presence vectors, their cosine kernel, all of Nyström's steps and ridge regression without folding."""
+    def vector(text):
+        data = textbytes.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        x = np.zeros(langid.BUCKETS)
+        x[langid.grams(data, np.zeros(langid.BUCKETS, bool))] = 1
+        return x / max(1, np.sqrt(x.sum()))
+
+    taught = [(t, lang) for i, t, lang in rows if train(i) and lang and t and re.search(r"[^\W\d_]", t)]
+    names = sorted({lang for _, lang in taught})
+    x = np.array([vector(t) for t, _ in taught])
+    values, vectors = np.linalg.eigh(x @ x.T)
+    good = values > 1e-8 * values[-1]
+    half = vectors[:, good] / np.sqrt(values[good])
+    phi, share = x @ x.T @ half, np.array([1 / sum(lang == other for _, other in taught) for _, lang in taught])[:, None]
+    y = np.where(np.array([lang for _, lang in taught])[:, None] == np.array(names), 1.0, -1.0)
+    shift = (y * share).sum(0) / share.sum()
+    beta = np.linalg.solve(phi.T @ (phi * share) + langid.RIDGE * np.eye(phi.shape[1]) * share.mean(), phi.T @ ((y - shift) * share))
+    out = {}
+    for i, t, _ in rows:
+        z = vector(t) @ x.T @ half @ beta + shift
+        out[i] = (names[int(z.argmax())], 1 / np.exp(-langid.SHARP * (z.max() - z)).sum()) if re.search(r"[^\W\d_]", t or "") else ("und", 0.0)
+    return out
+
+
+def test_language_against_brute_force(spark):
+    words = {"en": ["the", "and", "with", "house"], "de": ["der", "und", "mit", "haus"], "fr": ["le", "et", "avec", "maison"]}
+    rows = [(i, " ".join(np.random.default_rng(i).choice(words[lang], 12)), lang) for i, lang in enumerate(["en", "de", "fr", "en"] * 8)]
+    rows += [(50, "the maison", None), (51, None, "en"), (52, "12 3", "de"), (53, "e " * 4000, "fr"), (54, rows[0][1], "en")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 30).collect()}
+    for i, (lang, score) in brute_language(rows, lambda i: i < 30).items():
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.identify(docs, F.col("doc_id") % 4 != 2).join(docs, "doc_id").where("doc_id % 4 = 2")
@@ -242,17 +276,27 @@ def test_language_held_out(spark):
 
 
 def test_merkle(spark, odd):
-    got = {r["doc_id"]: r for r in merkle.with_next(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
-    for i in range(13):
-        assert got[i]["next_text"] == texts[(i + 1) % 13]
+    got = rows_of(merkle.with_next(odd), "doc_id", "text", "next_text")
+    assert got == sorted([(i, texts[i], texts[(i + 1) % 13]) for i in [*range(13), 11]] + [(None, texts[None], texts[None])], key=str)
     prints = {r["doc_id"]: r for r in merkle.fingerprints(odd).collect()}
     assert prints[4]["fingerprint"] == prints[5]["fingerprint"] != prints[6]["fingerprint"] and prints[9]["fingerprint"] == prints[10]["fingerprint"]
-    assert prints[0]["fingerprint"] == prints[1]["fingerprint"]
+    assert prints[0]["fingerprint"] == prints[1]["fingerprint"] and prints[0]["leaves"] == []
     df = spark.createDataFrame([("a\nb\nc", "a\nX\nc")], "a string, b string")
-    assert df.select(merkle.differing(merkle.paragraphs(F.col("a")), merkle.paragraphs(F.col("b"))).alias("x")).first()["x"] == [1]
-    spread = spark.createDataFrame([(i * 5000, str(i)) for i in range(7)], "doc_id long, text string")
-    assert {r["doc_id"]: r["next_text"] for r in merkle.with_next(spread).collect()} == {i * 5000: str((i + 1) % 7) for i in range(7)}
+    assert df.select(merkle.differing(merkle.paragraphs(merkle.leaves(F.col("a"))), merkle.paragraphs(merkle.leaves(F.col("b")))).alias("x")).first()["x"] == [1]
+    for ids in ([i * 5000 for i in range(7)], [f"k{i}" for i in range(7)]):
+        df = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], ["doc_id", "text"])
+        assert {r["doc_id"]: r["next_text"] for r in merkle.with_next(df).collect()} == {i: str((k + 1) % 7) for k, i in enumerate(ids)}
+    assert merkle.with_next(odd.limit(0)).count() == 0
+    one = merkle.with_next(spark.createDataFrame([(1, "only")] * 2 + [(None, "x")], "doc_id long, text string"))
+    assert rows_of(one, "doc_id", "next_text") == [(1, "only"), (1, "only"), (None, "x")]
+
+
+def test_an_edit_moves_only_its_own_leaves(spark):
+    line = prose(3, 4000)
+    df = spark.createDataFrame([(line, "x" + line), (line, line[:7000] + line[7003:]), ("e" * 50_000, "e" * 50_000)], "a string, b string")
+    near = [r["x"] for r in df.select(merkle.likeness(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("x")).collect()]
+    assert near[0] > 0.99 and near[1] > 0.98 and near[2] == 1.0
 
 
 def brute_lines(docs, copies=3, least=20):
