@@ -129,7 +129,7 @@ def sample(docs: DataFrame, train, *, text_col: str, lang_col: str) -> tuple[lis
     sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n"))
     sizes = sizes.withColumn("each", F.greatest(F.lit(1), F.floor(SAMPLE / F.count("*").over(Window.partitionBy()))))
     share = (F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2.0 * F.col("each") + 20
-    few = rows.join(F.broadcast(sizes), "l").where(share).dropDuplicates(["l", "h"])
+    few = rows.join(sizes, "l").where(share).dropDuplicates(["l", "h"])
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     chosen = few.withColumn("r", rank).where(F.col("r") <= F.col("each")).select("l", "h", "t")
 
