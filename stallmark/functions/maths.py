@@ -90,9 +90,17 @@ def corroboration(count: Column, known: Column) -> Column:
     return F.when(F.coalesce(count, F.lit(0)) >= 5, 1.0).when(known == "high", 0.95).when(known == "medium", 0.85).when(known == "low", 0.75).otherwise(0.6)
 
 
-def deal(discount: Column, mrp: Column, price: Column, spread: Column, offers: Column, median: Column) -> Column:
-    """50, more for a credible discount, for more offers and below the median; less for a discount over 55 %."""
+def deal(discount: Column, mrp: Column, price: Column, spread: Column, offers: Column, median: Column, history: dict[str, Column] | None = None) -> Column:
+    """50, more for a credible discount, for more offers and below the median; less for a discount over 55 %.
+
+    ``history`` (low, runs, position, trend) of the product's recorded prices counts from its second run on.
+    """
     credible = F.when(discount <= 40, discount.cast("double")).otherwise(F.greatest(F.lit(0.0), 40 - 2.0 * (discount - 40)))
     cut = F.when(discount.isNotNull() & mrp.isNotNull(), F.when(discount > 55, -6.0).otherwise(0.6 * credible)).otherwise(0.0)
     more = F.when(offers > 1, F.when(spread > 0, F.least(F.lit(15.0), spread / price * 100)).otherwise(0.0) + 5.0).otherwise(0.0)
-    return clamp(50.0 + cut + more + F.when(price < median, 5.0).otherwise(0.0))
+    told = F.lit(0.0)
+    if history:
+        where = F.when(price <= history["low"], 20.0).when(history["position"] <= 0.15, 12.0).when(history["position"] >= 0.85, -12.0).otherwise(0.0)
+        way = F.when(history["trend"] == "falling", -4.0).when(history["trend"] == "rising", 4.0).otherwise(0.0)
+        told = F.when(history["runs"] >= 2, where + way).otherwise(0.0)
+    return clamp(50.0 + cut + more + F.when(price < median, 5.0).otherwise(0.0) + told)

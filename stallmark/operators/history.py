@@ -22,10 +22,15 @@ def stats(observations: DataFrame) -> DataFrame:
     )
     earlier = (F.col("total") - F.col("current")) / (F.col("observations") - 1)
     position = F.when(F.col("high") > F.col("low"), (F.col("current") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
-    trend = F.when(F.col("observations") < 2, "flat").when(F.col("current") < earlier * 0.98, "falling").when(F.col("current") > earlier * 1.02, "rising").otherwise("flat")
+    trend = F.when(F.col("observations") < 2, "stable").when(F.col("current") < earlier * 0.98, "falling").when(F.col("current") > earlier * 1.02, "rising").otherwise("stable")
     return out.select("key", "low", "high", jround(F.col("total") / F.col("observations")).alias("average"), "current", "observations", "runs", "first_seen", "last_seen", jround(position, 4).alias("position"), trend.alias("trend"))
 
 
+def tracked(observations: DataFrame, limit: int = 50) -> DataFrame:
+    """The summaries of the keys that were seen last."""
+    return stats(observations).orderBy(F.desc("last_seen"), "key").limit(limit)
+
+
 def series(observations: DataFrame, cap: int) -> DataFrame:
     """The lowest price of each time among a key's last ``cap`` observations."""
     tail = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("ord"))

@@ -38,7 +38,7 @@ def from_text(c: Column) -> dict[str, Column]:
     storage = F.coalesce(F.when(F.lower(unit) == "tb", size * 1024).otherwise(size), whole(plus, 2), F.when(F.lower(unit2) == "tb", size2 * 1024).otherwise(size2))
     megapixels = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\b(\d{1,3})\s*mp\b"), F.lit(1)), lambda x: x.try_cast("int")), lambda x: (x >= 2) & (x <= 250))
     main = F.get(megapixels, F.lit(0))
-    others = F.slice(megapixels, 2, 10)
+    others = F.slice(megapixels, F.lit(2), F.greatest(F.size(megapixels), F.lit(1)))
     wide = F.coalesce(whole(r"(\d{1,2})\s*mp(?:(?!\d{1,2}\s*mp)[^\n]){0,24}ultra[\s-]?wide"), F.when(F.size(others) >= 2, F.array_min(F.filter(others, lambda x: x >= 8))))
     tele = F.when(matches(c, "telephoto|periscope"), F.coalesce(whole(r"(\d{1,2})\s*mp(?:(?!\d{1,2}\s*mp)[^\n]){0,24}(?:telephoto|periscope)"), F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.filter(others, lambda x: (x >= 8) & (x <= 64) & ~x.eqNullSafe(wide))), -1)))
     screen = r"display|screen|panel|inch|\bhz\b|fhd|hd\+"

@@ -9,19 +9,30 @@ from ..functions.maths import jround
 from ..functions.parse import matches
 
 
-def rule_scores(c: Column, rules: list[tuple[str, list[str], list[str], list[str]]], strong: int = 3, weak: int = 1) -> Column:
-    """(score, -place, name) of each rule: its strong and weak patterns that match, nothing if a veto does."""
+def product_head(title: Column) -> Column:
+    """What comes before a bar, if that says enough, at most 90 characters."""
+    head = F.substring_index(title, "|", 1)
+    return F.substring(F.when(F.length(head) >= 12, head).otherwise(title), 1, 90)
+
+
+def rule_scores(c: Column, rules: list[tuple[str, list[str], list[str], list[str]]], strong: int = 3, weak: int = 1, head: Column | None = None, by_head: set[str] | None = None) -> Column:
+    """(score, -place, name) of each rule: its strong and weak patterns that match, nothing if a veto matches the head.
+
+    Strong patterns of the rules ``by_head`` look at the head alone.
+    """
     out = []
+    head = c if head is None else head
     for i, (name, yes, maybe, no) in enumerate(rules):
-        score = sum((matches(c, p).cast("int") * strong for p in yes), F.lit(0)) + sum((matches(c, p).cast("int") * weak for p in maybe), F.lit(0))
-        veto = F.greatest(*(matches(c, p) for p in no), F.lit(False)) if no else F.lit(False)
+        seen = head if by_head and name in by_head else c
+        score = sum((matches(seen, p).cast("int") * strong for p in yes), F.lit(0)) + sum((matches(c, p).cast("int") * weak for p in maybe), F.lit(0))
+        veto = F.greatest(*(matches(head, p) for p in no), F.lit(False)) if no else F.lit(False)
         out.append(F.struct(F.when(veto, 0).otherwise(score).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("name")))
     return F.sort_array(F.array(*out), asc=False)
 
 
-def classified(df: DataFrame, c: Column, rules: list) -> DataFrame:
+def classified(df: DataFrame, c: Column, rules: list, head: Column | None = None, by_head: set[str] | None = None) -> DataFrame:
     """Adds category and category_confidence; the first rule wins a tie, none that scores is unknown."""
-    out = df.withColumn("_rules", rule_scores(c, rules))
+    out = df.withColumn("_rules", rule_scores(c, rules, head=head, by_head=by_head))
     top, second = F.col("_rules")[0], F.col("_rules")[1]
     margin = (top["score"] - second["score"]) / F.greatest(top["score"], F.lit(1))
     sure = F.least(F.lit(1.0), F.least(top["score"], F.lit(6)) / 6 * 0.6 + margin * 0.4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as m
 from ..functions import parse
-from ..operators import grouping, history, ranking, text
+from ..operators import external, grouping, history, ranking, text
 from .view import LISTING, OBSERVATION, listings, observations, table
 
 KEYS = ["model", "config"]
@@ -65,7 +65,8 @@ s6 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stock =
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of every query with their scores and rank."""
-    rows = candidates(spark, sf_dir).join(F.broadcast(intents(spark)), F.lit(True))
+    # Three queries, a row of the result for each candidate and query that it suits.
+    rows = candidates(spark, sf_dir).join(intents(spark), F.lit(True))
     rows = rows.where((F.col("price") > 0) & F.coalesce(F.col("price") <= F.col("budget_max"), F.lit(True))).drop("budget_max")
     q = Window.partitionBy("query_id")
     rows = rows.withColumn("spec", m.curve(F.col("size"), [(2, 10), (10, 60), (50, 100)])).withColumn("prior", F.coalesce(F.avg("rating").over(q), F.lit(4.0)))
@@ -109,24 +110,23 @@ def family_topn(spark, sf_dir):
     return grouping.topn_per(heads, ["query_id"], [F.col("rank")], 5, "k").select("query_id", "model", "rank")
 
 
-_BADGES = """, b AS (SELECT query_id, min(rank) AS top, arg_min(rank, -value * 1000 + rank / CAST(1000000 AS DOUBLE)) AS bv, arg_min(rank, price * 100000 + rank) AS ch, arg_min(rank, -rating * 1000000 + rank) FILTER (WHERE rating_count > 500) AS br FROM s6 GROUP BY query_id)
-SELECT query_id, rank, CASE WHEN rank = top THEN 'TOP PICK,' ELSE '' END || CASE WHEN stock = 2 THEN 'OUT OF STOCK,' ELSE '' END || CASE WHEN rank = bv THEN 'BEST VALUE,' ELSE '' END || CASE WHEN rank = ch THEN 'CHEAPEST,' ELSE '' END || CASE WHEN rank = br THEN 'BEST RATED,' ELSE '' END AS badges FROM s6 JOIN b USING (query_id)"""
+_BADGES = """, c0 AS (SELECT *, CASE WHEN size % 7 > 1 THEN size % 7 / CAST(7 AS DOUBLE) + CAST(0.1 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS confidence, size % 4 <> 0 AS chip, CASE WHEN size % 5 <> 0 THEN spec END AS speed, size * 2 % 37 + discount AS lasting FROM s6),
+c1 AS (SELECT *, stock <> 2 AND confidence >= CAST(0.6 AS DOUBLE) AND chip AND coalesce(rating_count, 0) >= 100 AND coalesce(rating, 0) >= CAST(3.5 AS DOUBLE) AS sure, count(*) FILTER (WHERE confidence >= 0.5) OVER (PARTITION BY query_id) AS n FROM c0),
+c2 AS (SELECT *, n < 2 OR confidence >= CAST(0.5 AS DOUBLE) AS pool FROM c1), c3 AS (SELECT *, count(*) FILTER (WHERE pool AND sure) OVER (PARTITION BY query_id) AS m FROM c2),
+b AS (SELECT query_id, arg_min(rank, (-value, rank)) FILTER (WHERE pool AND (m < 2 OR sure)) AS bv, arg_min(rank, (price, rank)) AS ch, arg_min(rank, (-speed, rank)) FILTER (WHERE pool AND speed IS NOT NULL) AS fa, arg_min(rank, (-lasting, rank)) FILTER (WHERE pool) AS la, arg_min(rank, (-trust, rank)) FILTER (WHERE pool AND coalesce(rating_count, 0) > 500 AND trust IS NOT NULL) AS br, max(speed) FILTER (WHERE pool) AS ts, max(lasting) FILTER (WHERE pool) AS tl FROM c3 GROUP BY query_id),
+d AS (SELECT query_id, count(*) FILTER (WHERE pool AND speed >= ts - CAST(0.5 AS DOUBLE)) AS ns, count(*) FILTER (WHERE pool AND lasting >= tl - CAST(0.5 AS DOUBLE)) AS nl FROM c3 JOIN b USING (query_id) GROUP BY query_id)
+SELECT query_id, rank, CASE WHEN rank = 1 THEN 'TOP PICK,' ELSE '' END || CASE WHEN stock = 2 THEN 'OUT OF STOCK,' ELSE '' END || CASE WHEN rank = bv AND sure THEN 'BEST VALUE,' ELSE '' END || CASE WHEN rank = ch THEN 'CHEAPEST,' ELSE '' END || CASE WHEN rank = fa AND ns = 1 AND sure THEN 'FASTEST,' ELSE '' END || CASE WHEN rank = la AND nl = 1 THEN 'BATTERY KING,' ELSE '' END || CASE WHEN rank = br THEN 'BEST RATED,' ELSE '' END AS badges FROM c3 JOIN b USING (query_id) JOIN d USING (query_id)"""
 
 
 @query(_SCORED + _BADGES)
 def badge_argmax(spark, sf_dir):
-    out = ranking.badges(scored(spark, sf_dir))
+    size = F.col("size")
+    rows = scored(spark, sf_dir).withColumn("confidence", F.when(size % 7 > 1, size % 7 / 7.0 + 0.1).otherwise(0.3)).withColumn("soc_name", F.when(size % 4 != 0, "chip"))
+    rows = rows.withColumn("performance", F.when(size % 5 != 0, F.col("spec"))).withColumn("battery", (size * 2 % 37 + F.col("discount")).cast("double")).withColumns({"antutu": F.lit(1), "battery_mah": F.lit(1)})
+    out = ranking.badges(rows)
     return out.select("query_id", "rank", F.array_join(F.transform("badges", lambda b: F.concat(b, F.lit(","))), "").alias("badges"))
 
 
-@query(CANDIDATE + f", {INTENT}" + """, r AS (SELECT query_id, cand.*, CASE WHEN price > budget_max THEN 'over budget,' ELSE '' END || CASE WHEN price < 105000 THEN 'below budget,' ELSE '' END || CASE WHEN brand <> 'Brand#1' AND query_id = 'q2' THEN 'brand not requested,' ELSE '' END AS reasons FROM cand, intent)
-SELECT query_id, model, config, reasons FROM r""")
-def gate_reasons(spark, sf_dir):
-    rules = [(F.col("price") > F.col("budget_max"), "over budget"), (F.col("price") < 105000, "below budget"), ((F.col("brand") != "Brand#1") & (F.col("query_id") == "q2"), "brand not requested")]
-    rows = candidates(spark, sf_dir).join(F.broadcast(intents(spark)), F.lit(True)).withColumn("reasons", ranking.reasons(rules))
-    return rows.select("query_id", *KEYS, F.array_join(F.transform("reasons", lambda r: F.concat(r, F.lit(","))), "").alias("reasons"))
-
-
 @query(CANDIDATE + " SELECT model, config, n_offers, price, spread, CAST(stock AS INTEGER) AS stock FROM cand")
 def offers_dedup_best(spark, sf_dir):
     return candidates(spark, sf_dir).select(*KEYS, "n_offers", "price", "spread", "stock")
@@ -202,7 +202,7 @@ def upper_median_price(spark, sf_dir):
 
 _STATS = f"""WITH {OBSERVATION}, s AS (SELECT key, min(price) AS low, max(price) AS high, CAST(sum(price) AS BIGINT) AS total, count(*) AS observations, arg_max(price, (ts, ord)) AS current, count(DISTINCT ts) AS runs FROM observation GROUP BY key),
 st AS (SELECT key, low, high, floor(total / CAST(observations AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS average, current, observations, runs, CASE WHEN high > low THEN floor((current - low) / CAST(high - low AS DOUBLE) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 ELSE 0 END AS position,
- CASE WHEN observations < 2 THEN 'flat' WHEN current < (total - current) / CAST(observations - 1 AS DOUBLE) * CAST(0.98 AS DOUBLE) THEN 'falling' WHEN current > (total - current) / CAST(observations - 1 AS DOUBLE) * CAST(1.02 AS DOUBLE) THEN 'rising' ELSE 'flat' END AS trend FROM s)"""
+ CASE WHEN observations < 2 THEN 'stable' WHEN current < (total - current) / CAST(observations - 1 AS DOUBLE) * CAST(0.98 AS DOUBLE) THEN 'falling' WHEN current > (total - current) / CAST(observations - 1 AS DOUBLE) * CAST(1.02 AS DOUBLE) THEN 'rising' ELSE 'stable' END AS trend FROM s)"""
 
 
 @query(_STATS + " SELECT key, low, high, average, current, observations, runs, position, trend FROM st")
@@ -210,9 +210,9 @@ def price_stats(spark, sf_dir):
     return history.stats(observations(spark, sf_dir)).select("key", "low", "high", "average", "current", "observations", "runs", "position", "trend")
 
 
-@query(_STATS + " SELECT key, observations, trend FROM st ORDER BY observations DESC, key LIMIT 20")
+@query(_STATS + ", seen AS (SELECT key, max(ts) AS last_seen FROM observation GROUP BY key) SELECT key, last_seen, observations, trend FROM st JOIN seen USING (key) ORDER BY last_seen DESC, key LIMIT 20")
 def tracked_topk(spark, sf_dir):
-    return history.stats(observations(spark, sf_dir)).orderBy(F.desc("observations"), "key").limit(20).select("key", "observations", "trend")
+    return history.tracked(observations(spark, sf_dir), 20).select("key", "last_seen", "observations", "trend")
 
 
 _SERIES = f"WITH {OBSERVATION}, t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, ord DESC) AS n FROM observation), se AS (SELECT key, ts, min(price) AS price FROM t WHERE n <= 10 GROUP BY ALL)"
@@ -260,26 +260,12 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages")
+@query("""SELECT page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '?pid=P' || page_id WHEN 1 THEN '?pid=A&skuId=' || page_id ELSE '' END AS url FROM pages""")
 def canonical_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", parse.canonical_url(F.col("url")).alias("url"))
-
-
-TYPES = [("earbuds", [r"\bPROMO\b"], [r"\bTIN\b"], []), ("headphone", [r"\bSTANDARD\b"], [r"\bCOPPER\b"], [r"\bTIN\b"]), ("phone", [r"\bECONOMY\b", r"\bSMALL\b"], [r"\bSTEEL\b"], [])]
-
-
-@query(r"""WITH s AS (SELECT p_partkey, p_type, CASE WHEN regexp_matches(p_type, 'PROMO') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p_type, 'TIN') THEN 1 ELSE 0 END AS a,
- CASE WHEN regexp_matches(p_type, 'TIN') THEN 0 ELSE CASE WHEN regexp_matches(p_type, 'STANDARD') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p_type, 'COPPER') THEN 1 ELSE 0 END END AS b,
- CASE WHEN regexp_matches(p_type, 'ECONOMY') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p_type, 'SMALL') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p_type, 'STEEL') THEN 1 ELSE 0 END AS c FROM part),
-t AS (SELECT p_partkey, a, b, c, greatest(a, b, c) AS top, list_sort([a, b, c])[2] AS second FROM s)
-SELECT p_partkey, CASE WHEN top = 0 THEN 'unknown' WHEN a = top THEN 'earbuds' WHEN b = top THEN 'headphone' ELSE 'phone' END AS category, CASE WHEN top = 0 THEN 0 ELSE floor(least(CAST(1 AS DOUBLE), least(top, 6) / CAST(6 AS DOUBLE) * CAST(0.6 AS DOUBLE) + (top - second) / CAST(greatest(top, 1) AS DOUBLE) * CAST(0.4 AS DOUBLE)) * 100 + CAST(0.5 AS DOUBLE)) / 100 END AS category_confidence FROM t""")
-def classify_text(spark, sf_dir):
-    return text.classified(table(spark, sf_dir, "part"), F.col("p_type"), TYPES).select("p_partkey", "category", "category_confidence")
-
-
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '([0-9]{4,5})', 1), '') AS four, nullif(regexp_extract(text, '(?i)(token|password)\s*[=:]', 1), '') AS word FROM documents")
-def regex_specs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", parse.found(F.col("text"), r"([0-9]{4,5})").alias("four"), parse.found(F.col("text"), r"(?i)(token|password)\s*[=:]").alias("word"))
+    n = F.col("page_id")
+    more = F.when(n % 3 == 0, F.concat(F.lit("pid=P"), n, F.lit("&ref=x"))).when(n % 3 == 1, F.concat(F.lit("skuId="), n, F.lit("&utm=1&pid=A#top"))).otherwise("q=pid")
+    given = F.concat(F.substring_index("url", "#", 1), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), more)
+    return table(spark, sf_dir, "pages").select("page_id", parse.canonical_url(given).alias("url"))
 
 
 ASPECTS = [("service", r"\b(order|delivery|return)\b"), ("value", r"\b(price|cost|value)\b"), ("the", r"\bthe\b")]
@@ -302,9 +288,15 @@ def dict_longest_match(spark, sf_dir):
     return text.longest_match(table(spark, sf_dir, "documents"), "doc_id", "text", phrases, 2)
 
 
-@query("SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@query("""WITH i AS (SELECT DISTINCT lower(p_brand) AS of, p_name AS name, 's' || (length(p_name) * 3 + p_size % 3) AS slug FROM part),
+b AS (SELECT of, name, slug, regexp_replace(of || ' ' || name, '[^a-z0-9 ]', ' ', 'g') AS full FROM i), p AS (SELECT p_partkey, lower(p_brand) AS of, CASE WHEN p_size % 2 = 0 THEN p_name ELSE regexp_replace(lower(p_brand) || ' ' || p_name, '[^a-z0-9 ]', ' ', 'g') END AS wanted FROM part),
+h AS (SELECT p_partkey, slug FROM p JOIN b ON p.of = b.of AND (p.wanted = b.name OR p.wanted = b.full)) SELECT p_partkey AS id, min(slug) AS slug FROM h GROUP BY p_partkey HAVING count(DISTINCT slug) = 1""")
 def resolve_unambiguous(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.count_distinct("p_brand").alias("n")).where("n = 1").drop("n")
+    parts = table(spark, sf_dir, "part")
+    index = parts.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.concat(F.lit("s"), F.length("p_name") * 3 + F.col("p_size") % 3).alias("slug")).distinct()
+    brand = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9 ]", " ")
+    asked = parts.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", brand, "p_name")).alias("name"), F.col("p_brand").alias("brand"))
+    return external.resolve(asked, index)
 
 
 @query(_SCORED + ", l AS (SELECT query_id, rank, unnest(['price', 'total', 'rating']) AS metric, unnest([CAST(price AS DOUBLE), total, rating]) AS x FROM s6 WHERE rank <= 3) SELECT query_id, metric, max(x) FILTER (WHERE rank = 1) AS r1, max(x) FILTER (WHERE rank = 2) AS r2, max(x) FILTER (WHERE rank = 3) AS r3 FROM l GROUP BY ALL")
@@ -314,37 +306,30 @@ def compare_matrix(spark, sf_dir):
     return long.groupBy("query_id", "metric").pivot("rank", [1, 2, 3]).agg(F.max("x")).toDF("query_id", "metric", "r1", "r2", "r3")
 
 
-@query(r"""WITH a AS (SELECT p_partkey, p_name, p_type FROM part) SELECT p_partkey, CAST(len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'with') AND list_contains(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), w))) AS INTEGER) AS n FROM a""")
+@query(r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'with')) AS a FROM documents), b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS b, count(*) OVER () AS size FROM benchmark)
+SELECT doc_id, CAST(len(list_filter(a, lambda w: list_contains(b, w))) AS INTEGER) AS n FROM d JOIN b ON doc_id % size = n""")
 def token_overlap(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.token_overlap(F.col("p_name"), F.concat_ws(" ", "p_name", "p_type"), ["the", "with"]).alias("n"))
+    """Each document against one benchmark item."""
+    items = table(spark, sf_dir, "benchmark")
+    size = items.count()
+    items = items.select(F.col("text").alias("other"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.join(items, F.col("doc_id") % size == F.col("n")).select("doc_id", text.token_overlap(F.col("text"), F.col("other"), ["the", "with"]).alias("n"))
 
 
-@query("""WITH k AS (SELECT p_partkey AS k, p_size AS x, p_retailprice AS y FROM part WHERE p_partkey % 10 = 0), q AS (SELECT p_partkey AS q, p_size AS x FROM part WHERE p_partkey % 50 = 1),
-n AS (SELECT q, k, y / (k.x + 1) AS r, row_number() OVER (PARTITION BY q ORDER BY abs(q.x - k.x), k) AS i FROM q, k) SELECT q, floor(list_sort(list(r))[3] * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS ratio FROM n WHERE i <= 5 GROUP BY q""")
+@query("""WITH n AS (SELECT q.p_partkey AS q, k.p_retailprice / (k.p_size + 1) AS r, row_number() OVER (PARTITION BY q.p_partkey ORDER BY abs(q.p_size - k.p_size), k.p_partkey) AS i FROM part q, part k) SELECT q, floor(list_sort(list(r))[3] * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS ratio FROM n WHERE i <= 5 GROUP BY q""")
 def knn_ratio(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    # Its SQL fixes these subsets of the ids; knn_ratio_all takes every part on both sides.
-    known = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("kx"), (F.col("p_retailprice") / (F.col("p_size") + 1)).alias("r"))
-    asked = parts.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("q"), F.col("p_size").alias("x"))
-    # One row of all known points by size; each query takes its five nearest from the sorted array.
-    every = known.groupBy("kx").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "r"))), 1, 5).alias("own"))
-    near = asked.join(every, F.lit(True)).select("q", F.abs(F.col("x") - F.col("kx")).alias("d"), F.explode("own").alias("p"))
-    five = grouping.topn_per(near, ["q"], [F.col("d"), F.col("p.k")], 5)
-    return five.groupBy("q").agg(m.jround(grouping.upper_median("p.r"), 3).alias("ratio"))
-
-
-def knn_ratio_all(spark, sf_dir):
-    """``knn_ratio`` asked of every part against every part; as SQL it compares all pairs, so that it has no oracle."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"), (F.col("p_retailprice") / (F.col("p_size") + 1)).alias("r"))
     return grouping.nearest_ratio(parts.select(F.col("p_partkey").alias("k"), "x", "r"), parts.select(F.col("p_partkey").alias("q"), "x"), 5)
 
 
-QUERIES["knn_ratio_all"] = knn_ratio_all
-
-
-@query(r"SELECT l_orderkey, l_linenumber, try_cast(regexp_extract(regexp_replace('Rs. ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || ' only', '[^0-9]', '', 'g'), '^([0-9]+)', 1) AS DOUBLE) AS amount, CASE WHEN l_discount > 0 THEN floor(l_discount * 100 + CAST(0.5 AS DOUBLE)) END AS pct FROM lineitem")
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_discount, CASE l_linenumber % 3 WHEN 0 THEN 'Rs. ' WHEN 1 THEN 'Rs ' ELSE '₹' END || CAST(CAST(floor(l_extendedprice) AS BIGINT) // 1000 AS VARCHAR) || ',' || lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || ' only' AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN s LIKE 'Rs.%' THEN CAST('0.' || regexp_replace(s, '[^0-9]', '', 'g') AS DOUBLE) ELSE CAST(regexp_replace(s, '[^0-9]', '', 'g') AS DOUBLE) END AS amount, CASE WHEN l_discount > 0 THEN floor(l_discount * 100 + CAST(0.5 AS DOUBLE)) END AS pct FROM t""")
 def money_parse(spark, sf_dir):
-    whole = F.concat(F.lit("Rs "), F.floor("l_extendedprice").cast("string"), F.lit(" only"))
+    """Digits and dots of the text as it is: the dot of an abbreviation comes first, and counts."""
+    n = F.floor("l_extendedprice")
+    sign = F.when(F.col("l_linenumber") % 3 == 0, "Rs. ").when(F.col("l_linenumber") % 3 == 1, "Rs ").otherwise("₹")
+    whole = F.concat(sign, F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit(" only"))
     off = F.concat(F.floor(F.col("l_discount") * 100 + 0.5).cast("string"), F.lit("% OFF"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse.money(whole).alias("amount"), parse.percent(off).alias("pct"))
 

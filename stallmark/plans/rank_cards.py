@@ -11,19 +11,21 @@ from ..functions.cut import written
 from ..operators import grouping, ranking, specs, text
 
 # Patterns of each category (strong, weak, veto), in order of precedence.
-_PARTS = r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|hinge|protector|stand|holder|replacement|spare)\b"
-_MADE_FOR = r"\bfor\s+(sony|bose|jbl|sennheiser|marshall|boat|noise|apple|samsung)\b"
+_PARTS = r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|{}hinge|protector|stand|holder|replacement|spare)\b"
+_MADE_FOR = r"\bfor\s+(?:sony|bose|jbl|sennheiser|marshall|boat|noise|apple|samsung)\b"
 CATEGORIES = [
-    ("earbuds", [r"\b(tws|true\s*wireless|earbuds?|ear\s*buds?|airdopes|airpods|neckband)\b"], [r"\bipx\d\b", "playtime", r"\bearphones?\b"], [_PARTS, r"\bcompatible\s+with\b", _MADE_FOR]),
-    ("headphone", [r"\b(over[-\s]?ear|on[-\s]?ear)\b", r"\bheadphones?\b", r"\bheadset\b"], [r"\banc\b|noise\s*cancell", r"\bdriver\b"], [r"\bearbuds?\b|\btws\b", _PARTS, r"\bcompatible\s+with\b", _MADE_FOR]),
+    ("earbuds", [r"\b(tws|true\s*wireless|earbuds?|ear\s*buds?|airdopes|airpods|neckband)\b", r"\bin[-\s]?ear\s+(?:wireless\s+)?(?:head|ear)phones?\b", r"\bbullets\s+z\d"], [r"\bipx\d\b", "playtime", r"\bearphones?\b"], [_PARTS.format(r"ear\s*tips?|"), r"\bcompatible\s+with\b", _MADE_FOR]),
+    ("headphone", [r"\b(over[-\s]?ear|on[-\s]?ear)\b", r"\bheadphones?\b", r"\bheadset\b", r"\bwh-\d{4}|\bqc\d{2}\b|quietcomfort"], [r"\banc\b|noise\s*cancell", r"\bdriver\b"], [r"\bearbuds?\b|\btws\b", _PARTS.format(""), r"\bcompatible\s+with\b", _MADE_FOR]),
     ("featurephone", [r"\bkeypad\b", r"\bfeature\s*phone\b", r"\b(basic|senior\s*citizen)\s*phone\b"], [r"\bmp3\s*player\b", r"\bwireless\s*fm\b", r"\btorch\b", r"\b[12]\.\d\s*inch\b"], [r"\b\d+\s*gb\s*ram\b", r"\bandroid\b"]),
-    ("phone", [r"\b(smartphone|mobile\s*phone)\b", r"\(\s*[\w\s]+,\s*\d+\s*(gb|tb)\s*\)", r"\biphone\s*\d", r"\bgalaxy\s+[amszf]\d"], [r"\b\d+\s*gb\s*ram\b", r"\b5g\b", r"\bdual\s*sim\b", r"\b(poco|redmi|realme|narzo|iqoo|vivo|oppo|infinix|tecno|lava|motorola|moto)\b"], [r"\bkeypad\b|\bfeature\s*phone\b", r"\b(case|cover|tempered|screen\s*guard|protector|charger|cable|adapter|holder|mount|stand|pouch|skin|sticker)\b", r"\b(earphones?|earbuds?|headphones?|headset|neckband|tws|speaker|smart\s*watch|power\s*bank|tablet|laptop)\b", r"\bcompatible\s+with\b"]),
-    ("smartwatch", [r"\bsmart\s*watch\b|\bfitness\s*band\b"], [r"\bbluetooth\s+calling\b"], []),
-    ("laptop", [r"\blaptop\b|\bnotebook\b|\bmacbook\b|\bchromebook\b"], [r"\b(i[3579]|ryzen|celeron)\b"], []),
-    ("tablet", [r"\btablet\b|\bipad\b"], [], [r"\bcase\b|\bcover\b|\bkeyboard\b"]),
-    ("tv", [r"\b(smart\s*)?(led|qled|oled)\s*tv\b", r"\btelevision\b"], [], []),
-    ("camera", [r"\bdslr\b|\bmirrorless\b|\baction\s*camera\b"], [], [r"\bcamera\s*(lens\s*)?(protector|cover)\b"]),
-    ("accessory", [r"\b(back\s*cover|flip\s*cover|tempered\s*glass|screen\s*(guard|protector)|charging\s*cable|usb\s*cable|charger|adapter|power\s*bank|car\s*mount|mobile\s*holder|selfie\s*stick|stylus|memory\s*card)\b", r"\b(carrying|hard|silicone|travel|headphones?)\s*case\b", r"\b(ear\s*pads?|ear\s*cushions?|ear\s*tips?)\b", r"\bcompatible\s+with\b"], [], []),
+    ("phone", [r"\b(smartphone|mobile\s*phone)\b", r"\(\s*[\w\s]+,\s*\d+\s*(?:gb|tb)\s*\)", r"\biphone\s*\d", r"\bgalaxy\s+[amszf]\d"], [r"\b\d+\s*gb\s*ram\b", r"\b5g\b", r"\bdual\s*sim\b", r"\b(poco|redmi|realme|narzo|iqoo|vivo|oppo|infinix|tecno|lava|motorola|moto|nothing\s*phone)\b"],
+     [r"\bkeypad\b|\bfeature\s*phone\b", r"\b(case|cover|tempered|screen\s*guard|protector|charger|cable|adapter|holder|mount|stand|pouch|skin|sticker|lens\s*protector|back\s*cover|flip\s*cover)\b", r"\b(earphones?|earbuds?|headphones?|headset|neckband|tws|speaker|smart\s*watch|smartwatch|power\s*bank|powerbank|tablet|laptop)\b", r"\bcompatible\s+with\b"]),
+    ("smartwatch", [r"\bsmart\s*watch\b|\bsmartwatch\b|\bfitness\s*band\b"], [r"\bamoled\s+display\b.*\bwatch\b", r"\bbluetooth\s+calling\b"], []),
+    ("laptop", [r"\blaptop\b|\bnotebook\b|\bmacbook\b|\bchromebook\b"], [r"\b(i[3579]|ryzen|celeron)\b", r"\bwindows\s*11\b"], []),
+    ("tablet", [r"\btablet\b|\bipad\b|\btab\s+[a-z]?\d"], [], [r"\bcase\b|\bcover\b|\bkeyboard\b"]),
+    ("tv", [r"\b(smart\s*)?(led|qled|oled)\s*tv\b", r"\btelevision\b", r"\b\d{2}\s*inch\b.*\btv\b"], [], []),
+    ("camera", [r"\bdslr\b|\bmirrorless\b|\baction\s*camera\b|\bgopro\b"], [], [r"\bcamera\s*(lens\s*)?(protector|cover)\b"]),
+    ("accessory", [r"\b(back\s*cover|flip\s*cover|tempered\s*glass|screen\s*(guard|protector)|charging\s*cable|usb\s*cable|charger|adapter|power\s*bank|powerbank|car\s*mount|mobile\s*holder|selfie\s*stick|stylus|memory\s*card|sim\s*ejector)\b", r"\b(carrying\s*case|hard\s*case|silicone\s*case|travel\s*case|headphone\s*case|headphones\s*case)\b", r"\b(ear\s*pads?|ear\s*cushions?|earpads?|ear\s*tips?|eartips?|headband\s*(cover|pad)|ear\s*cups?\s*protector)\b",
+     r"\b(hinge|replacement\s*part|spare\s*part|repair\s*kit)\b", r"\bcompatible\s+with\b", r"\bfor\s+(?:apple|samsung|oneplus|xiaomi|redmi|poco|realme|vivo|oppo|iqoo|sony|bose|jbl|sennheiser|marshall|boat|noise)\b"], [], []),
 ]
 STOP = ["black", "white", "blue", "green", "red", "gold", "silver", "grey", "gray", "purple", "pink", "with", "and", "smartphone", "mobile", "phone", "dual", "sim"]
 KEYS = ["model", "config"]
@@ -36,7 +38,7 @@ def analysed(listings: DataFrame, chips: DataFrame | None = None) -> DataFrame:
     """
     title = F.col("title")
     out = written(listings.drop("raw").withColumn("title", parse.spaced(title)), "listings")
-    out = text.classified(out, title, CATEGORIES)
+    out = text.classified(out, title, CATEGORIES, text.product_head(title), {"accessory"})
     out = written(specs.with_specs(out, title, "title"), "specs")
     if chips is not None:
         out = out.join(text.longest_match(out, "id", "title", chips.select(F.col("alias").alias("phrase")), 4).withColumnRenamed("phrase", "alias"), "id", "left")
@@ -65,11 +67,26 @@ def candidates(rows: DataFrame) -> DataFrame:
     return written(out, "candidates")
 
 
+def with_inferred_category(intents: DataFrame, rows: DataFrame) -> DataFrame:
+    """Intents that name no category take the one that most of the listings' certainty lies with, accessories aside."""
+    sums = rows.where(~F.col("category").isin("unknown", "accessory")).groupBy("category").agg(F.sum("category_confidence").alias("weight"), F.min("ord").alias("ord"))
+    top = sums.agg(F.max_by("category", F.struct("weight", -F.col("ord"))).alias("_top"))
+    return intents.join(top, F.lit(True)).withColumn("category_wanted", F.when(F.col("category_wanted") == "unknown", F.coalesce("_top", F.lit("unknown"))).otherwise(F.col("category_wanted"))).drop("_top")
+
+
+def with_history(cands: DataFrame, stats: DataFrame, key: str = "model") -> DataFrame:
+    """Candidates with what ``history.stats`` has recorded of their price, null where nothing."""
+    told = stats.select(F.col("key").alias("_key"), F.col("low").alias("recorded_low"), F.col("runs").alias("recorded_runs"), F.col("position").alias("recorded_position"), F.col("trend").alias("recorded_trend"))
+    return cands.join(told, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(ranked, rejected) for every query; ``parts`` ranges for queries whose survivors exceed a task."""
-    gated = ranking.gated(cands, F.broadcast(intents), tolerance)
-    rejected = gated.where(F.size("reasons") > 0)
-    s = gated.where(F.size("reasons") == 0)
+    """(ranked, rejected) for every query; ``parts`` ranges for queries whose survivors exceed a task.
+
+    ``rejected`` has a row for each candidate and query that refuses it, and is computed only where it is read.
+    """
+    rejected = ranking.gated(cands, intents, tolerance).where(F.size("reasons") > 0)
+    s = ranking.survivors(cands, intents, tolerance)
     null = F.lit(None)
     got = {c: F.col(c) if c in cands.columns else null for c in specs.FIELDS}
     s = s.withColumns({
@@ -82,7 +99,8 @@ def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: in
     over = s.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior"), F.median("price").alias("middle"))
     s = s.join(over, "query_id").withColumn("vouched", m.corroboration(F.col("rating_count"), F.lit(None).cast("string")))
     spec = F.col("spec_total") * F.col("vouched")
-    s = s.withColumns({"trust": m.trust(F.col("rating"), F.col("rating_count"), F.col("prior")), "deal": m.deal(F.col("discount_pct"), F.col("mrp"), F.col("price"), F.col("spread"), F.col("n_offers"), F.col("middle")), "ratio": spec / (F.col("price") / 1000)})
+    told = {k: F.col(f"recorded_{k}") for k in ("low", "runs", "position", "trend")} if "recorded_runs" in cands.columns else None
+    s = s.withColumns({"trust": m.trust(F.col("rating"), F.col("rating_count"), F.col("prior")), "deal": m.deal(F.col("discount_pct"), F.col("mrp"), F.col("price"), F.col("spread"), F.col("n_offers"), F.col("middle"), told), "ratio": spec / (F.col("price") / 1000)})
     s = ranking.with_percentile(s, F.col("ratio"), "_percentile", parts=parts)
     s = s.withColumn("value", m.clamp(F.col("_percentile") * (0.45 + 0.55 * (1 - F.col("imputed_weight")))))
     s = s.withColumn("confidence", ranking.confidence(F.col("imputed_weight"), F.col("completeness"), F.col("rating").isNotNull(), F.lit(None).cast("string")))
@@ -90,7 +108,6 @@ def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: in
     weak = (got["soc_name"].isNull() if "soc_name" in cands.columns else F.lit(True)) & (F.coalesce("rating_count", F.lit(0)) < 20)
     s = s.withColumn("total", F.when(weak, F.col("total") * 0.7).otherwise(F.col("total")))
     s = written(s, "scores")
-    exact = F.coalesce(F.contains(parse.model_token(F.concat("name", "model")), parse.model_token(F.col("model_hint"))), F.lit(False))
-    s = s.withColumn("exact", exact)
+    s = s.withColumn("exact", ranking.model_matches(F.col("model_hint"), F.col("brands"), F.concat("name", "model")))
     s = ranking.ranked(s, [F.desc("exact"), F.coalesce(F.col("in_stock") == F.lit(False), F.lit(False)), F.desc("total"), F.desc("confidence"), F.col("price"), F.col("best.ord")], parts=parts)
     return ranking.badges(s), rejected

@@ -1,6 +1,6 @@
 """Every query of the engine with its DuckDB oracle, by name."""
 
-from .plans import catalog
+from .plans import catalog, products  # noqa: F401, products registers its queries in the catalogue's
 
 FLAGSHIP = "catalog_rank"
 QUERIES: dict = {**catalog.QUERIES}

@@ -110,7 +110,7 @@ def test_knn_over_every_part(spark, tmp_path):
     rng = random.Random(4)
     parts = [(i, rng.choice([1, 2, 3, 7, 8, 30]), round(rng.uniform(900, 2000), 2)) for i in range(1, 90)] + [(90, 50, 1000.0), (91, None, 1000.0), (92, 7, None)]
     spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r["q"]: r["ratio"] for r in e.queries()["knn_ratio_all"](spark, str(tmp_path)).collect()}
+    got = {r["q"]: r["ratio"] for r in e.queries()["knn_ratio"](spark, str(tmp_path)).collect()}
     want = {91: None}
     for q, x, _ in parts:
         if x is not None:
@@ -123,7 +123,7 @@ def test_history(spark):
     rows = spark.createDataFrame([("k", "a", dt.datetime(2024, 1, d), float(p), d) for d, p in ((1, 100), (2, 90), (3, 80))] + [("z", "a", dt.datetime(2024, 1, 1), 5.0, 9)], "key string, platform string, ts timestamp, price double, ord long")
     got = {r["key"]: r for r in history.stats(rows).collect()}
     assert got["k"]["trend"] == "falling" and got["k"]["position"] == 0.0 and got["k"]["current"] == 80.0
-    assert got["z"]["trend"] == "flat"
+    assert got["z"]["trend"] == "stable"
     assert {r["level"] for r in history.buckets(history.series(rows.where("key = 'z'"), 5)).collect()} == {3}
 
 
