@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import found, matches, spaced
+from .text import html_to_text
 
 # Headings that begin a specification section.
 ANCHORS = ["product highlights", "specifications", "technical details", "product details", "key features", "highlights"]
@@ -35,6 +36,19 @@ def json_ld(html: Column) -> Column:
     return F.nullif(F.concat_ws(" ", *(F.concat(F.lit(f"LD_{k.upper()}="), F.regexp_replace(one[k], r"^https?://schema\.org/", "")) for k in ("price", "sku", "stock", "seller"))), F.lit(""))
 
 
+def json_state_text(html: Column, cap: int = 20000) -> Column:
+    """Distinct values of "text" in a page's state, unescaped, joined by bars."""
+    pattern = r'"text"\s*:\s*(?:"((?:[^"\\]|\\.){1,300})"|\[\s*"((?:[^"\\]|\\.){1,300})")'
+    raw = F.transform(F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("b")), lambda p: F.concat(p["a"], p["b"]))
+    plain = F.transform(raw, lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit('\\"'), F.lit('"')), r"\\u[\dA-Fa-f]{4}", " "), r"\\n", " ")))
+    return F.substring(F.array_join(F.array_distinct(F.filter(plain, lambda t: F.length(t) > 1)), " | "), 1, cap)
+
+
+def page_to_text(html: Column) -> Column:
+    """All that a page says: its text, its state and its structured product."""
+    return F.concat(html_to_text(html), F.lit(" | "), json_state_text(html), F.lit(" | "), F.coalesce(json_ld(html), F.lit("")))
+
+
 def _amount(c: Column, pattern: str, group: int = 1) -> Column:
     n = F.regexp_replace(found(c, f"(?i){pattern}", group), r"\D", "").try_cast("long")
     return F.when(n > 0, n)

@@ -39,25 +39,15 @@ def classified(df: DataFrame, c: Column, rules: list, head: Column | None = None
     return out.withColumn("category", F.when(top["score"] > 0, top["name"]).otherwise("unknown")).withColumn("category_confidence", F.when(top["score"] > 0, jround(sure, 2)).otherwise(0.0)).drop("_rules")
 
 
-def longest_match(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, most_words: int) -> DataFrame:
-    """(id, phrase) the longest dictionary phrase that a text holds as whole words, the first in order on a tie.
+def longest_match(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame) -> DataFrame:
+    """(id, phrase) the longest dictionary phrase that a text holds as whole words, the first in order on a tie."""
+    from .knowledge import phrase_hits
 
-    Texts turn into their distinct n-grams of up to ``most_words`` words, which meet the dictionary in an equi-join.
-    """
-    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = []
-    for n in range(1, most_words + 1):
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, _gram(n)))
-    rows = texts.select(F.col(id_col).alias("id"), words.alias("_w")).select("id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("phrase"))
-    hits = rows.join(phrases.select(F.lower("phrase").alias("phrase")).distinct(), "phrase")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    hits = phrase_hits(rows, phrases.select(F.lower("phrase").alias("phrase")).distinct(), r"[^\p{L}\p{N}]+", ["id"])
     return hits.groupBy("id").agg(F.min_by("phrase", F.struct(-F.length("phrase"), "phrase")).alias("phrase"))
 
 
-def _gram(n: int):
-    return lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")
-
-
 def html_to_text(c: Column) -> Column:
     """Text of a page: no scripts, styles or tags, four entities, numbered ones as spaces, white space squeezed."""
     out = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")

@@ -163,18 +163,6 @@ def fold_partial_configs(spark, sf_dir):
     return grouping.fold_configs(listings(spark, sf_dir))
 
 
-@query(f"WITH {LISTING} SELECT platform, count(*) AS raw_cards, count(price) AS priced, count(*) FILTER (WHERE price <= 150000) AS in_budget, count(*) FILTER (WHERE in_stock) AS stocked, floor((avg(CASE WHEN rating IS NULL THEN 0 ELSE 1 END) + avg(CASE WHEN in_stock IS NULL THEN 0 ELSE 1 END)) / 2 * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS field_fill FROM listing GROUP BY platform")
-def funnel_diagnostics(spark, sf_dir):
-    known = [F.avg(F.col(c).isNotNull().cast("int")) for c in ("rating", "in_stock")]
-    return listings(spark, sf_dir).groupBy("platform").agg(F.count("*").alias("raw_cards"), F.count("price").alias("priced"), F.count_if(F.col("price") <= 150000).alias("in_budget"), F.count_if("in_stock").alias("stocked"), m.jround((known[0] + known[1]) / 2, 4).alias("field_fill"))
-
-
-@query(f"WITH {LISTING}, r AS (SELECT platform, unnest(list_filter([CASE WHEN price > 150000 THEN 'over budget' END, CASE WHEN in_stock = false THEN 'out of stock' END, CASE WHEN rating < 3.5 THEN 'low rating' END], lambda x: x IS NOT NULL)) AS reason FROM listing) SELECT platform, reason, count(*) AS n FROM r GROUP BY ALL")
-def rejection_tally(spark, sf_dir):
-    rules = [(F.col("price") > 150000, "over budget"), (F.col("in_stock") == F.lit(False), "out of stock"), (F.col("rating") < 3.5, "low rating")]
-    return listings(spark, sf_dir).select("platform", F.explode(ranking.reasons(rules)).alias("reason")).groupBy("platform", "reason").agg(F.count("*").alias("n"))
-
-
 @query("WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS score FROM part), m AS (SELECT p_brand, coalesce(median(score), 50) * CAST(0.9 AS DOUBLE) AS peer FROM s GROUP BY p_brand) SELECT p_partkey, floor(coalesce(score, peer) * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS score FROM s JOIN m USING (p_brand)")
 def peer_median_impute(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double")).alias("score"))
@@ -285,7 +273,7 @@ def clause_aspects(spark, sf_dir):
 p AS (SELECT DISTINCT lower(n_name) AS phrase FROM nation UNION SELECT 'the of' UNION SELECT 'de la' UNION SELECT 'der die') SELECT id, arg_min(g.phrase, (-length(g.phrase), g.phrase)) AS phrase FROM g JOIN p ON g.phrase = p.phrase GROUP BY id""")
 def dict_longest_match(spark, sf_dir):
     phrases = table(spark, sf_dir, "nation").select(F.col("n_name").alias("phrase")).unionByName(spark.createDataFrame([("the of",), ("de la",), ("der die",)], "phrase string"))
-    return text.longest_match(table(spark, sf_dir, "documents"), "doc_id", "text", phrases, 2)
+    return text.longest_match(table(spark, sf_dir, "documents"), "doc_id", "text", phrases)
 
 
 @query("""WITH i AS (SELECT DISTINCT lower(p_brand) AS of, p_name AS name, 's' || (length(p_name) * 3 + p_size % 3) AS slug FROM part),

@@ -41,7 +41,7 @@ def analysed(listings: DataFrame, chips: DataFrame | None = None) -> DataFrame:
     out = text.classified(out, title, CATEGORIES, text.product_head(title), {"accessory"})
     out = written(specs.with_specs(out, title, "title"), "specs")
     if chips is not None:
-        out = out.join(text.longest_match(out, "id", "title", chips.select(F.col("alias").alias("phrase")), 4).withColumnRenamed("phrase", "alias"), "id", "left")
+        out = out.join(text.longest_match(out, "id", "title", chips.select(F.col("alias").alias("phrase"))).withColumnRenamed("phrase", "alias"), "id", "left")
         named = chips.select(F.lower("alias").alias("alias"), F.col("soc_name").alias("title_soc_name"), F.col("antutu").alias("chip_antutu"))
         out = out.join(named, "alias", "left").drop("alias")
         out = out.withColumn("title_antutu", F.coalesce("title_antutu", "chip_antutu")).drop("chip_antutu")
