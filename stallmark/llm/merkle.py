@@ -1,6 +1,6 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
-A text is cut into pieces by its content: after a blank behind an a or e, at the end of a line, and otherwise after 128 code
+A text is cut into pieces by its content: after a blank behind an a, at the end of a line, and otherwise after 128 code
 points; so an edit moves no border but those beside it. The SHA-256 of each piece is a leaf. The pieces up to a line's
 end are a paragraph, whose node is the SHA-256 of its leaves' digests. A section ends after a paragraph whose digest
 begins with 0, 1, 2 or 3; its node is the SHA-256 of its paragraphs' digests, the root that of its sections'.
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
-PIECE = r"[^\n]{1,127}?[ae] |[^\n]{1,128}\n?|\n"
+PIECE = r"[^\n]{1,127}?a |[^\n]{1,128}\n?|\n"
 
 
 def leaves(text: Column) -> Column:
@@ -39,9 +39,9 @@ def sections(nodes: Column) -> Column:
     return F.transform(F.filter(F.split(marked, r"\|"), lambda s: s != ""), lambda s: F.sha2(s, 256))
 
 
-def root(own: Column) -> Column:
-    """The fingerprint of a text's leaves: equal for equal texts and for no others."""
-    return F.sha2(F.array_join(sections(paragraphs(own)), ""), 256)
+def root(nodes: Column) -> Column:
+    """The fingerprint of a text's paragraphs: equal for equal texts and for no others."""
+    return F.sha2(F.array_join(sections(nodes), ""), 256)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -70,19 +70,21 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     whatever the ids, no range of them is one task's, and a text moves once to its own key and once to the one before.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    keys = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "h").distinct()
+    rows = docs.select(F.col(id_col).alias("own_id"), text.alias("own_text"), F.xxhash64(text).alias("h"))
+    known = rows.where(F.col("own_id").isNotNull())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(keys.repartitionByRange(parts, "doc_id", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    ranged = written(known.select("own_id", "h").distinct().repartitionByRange(parts, "own_id", "h").withColumn("part", F.spark_partition_id()), "ranges")
     # One row for each range.
-    heads = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    heads = ranged.groupBy("part").agg(F.min(F.struct("own_id", "h")).alias("head"))
     every = Window.orderBy("part")
     heads = heads.select("part", F.coalesce(F.lead("head").over(every), F.min("head").over(Window.partitionBy())).alias("follows"))
-    order = Window.partitionBy("part").orderBy("doc_id", "h")
-    after = ranged.withColumn("after", F.lead(F.struct("doc_id", "h")).over(order)).join(F.broadcast(heads), "part")
-    after = after.select("doc_id", "h", F.coalesce("after", "follows").alias("after")).select(F.col("doc_id").alias("own_id"), F.col("h").alias("own_h"), F.col("after.doc_id").alias("next_id"), F.col("after.h").alias("next_h"))
-    after = written(after, "next")
-    texts = rows.join(after, (F.col("doc_id") == F.col("own_id")) & (F.col("h") == F.col("own_h")), "left")
-    first = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("other_id"), F.col("h").alias("other_h"), F.col("text").alias("other"))
-    out = texts.join(first, (F.col("next_id") == F.col("other_id")) & (F.col("next_h") == F.col("other_h")), "left")
-    return out.select("doc_id", "text", F.coalesce("other", "text").alias("next_text"))
+    order = Window.partitionBy("part").orderBy("own_id", "h")
+    after = ranged.withColumn("after", F.lead(F.struct("own_id", "h")).over(order)).join(F.broadcast(heads), "part").withColumn("after", F.coalesce("after", "follows"))
+    after = written(after.select(F.col("own_id").alias("at_id"), F.col("h").alias("at_h"), F.col("after.own_id").alias("next_id"), F.col("after.h").alias("next_h")), "next")
+    dropped(ranged)
+    # Both joins read one exchange of the texts by their own keys; rows repeated whole give their text once.
+    once = known.withColumn("again", F.lag(F.lit(True)).over(Window.partitionBy("own_id", "h").orderBy("h"))).where(F.col("again").isNull())
+    first = once.select(F.col("own_id").alias("other_id"), F.col("h").alias("other_h"), F.col("own_text").alias("other"))
+    texts = known.join(after, (F.col("own_id") == F.col("at_id")) & (F.col("h") == F.col("at_h"))).select("own_id", "own_text", "next_id", "next_h")
+    out = texts.join(first, (F.col("next_id") == F.col("other_id")) & (F.col("next_h") == F.col("other_h"))).select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), F.col("other").alias("next_text"))
+    return out.unionByName(rows.where(F.col("own_id").isNull()).select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), F.col("own_text").alias("next_text")))

@@ -22,7 +22,7 @@ FROM q
 """
 #: The tree's levels, as in ``merkle``.
 _LEVELS = {
-    "LEAVES": (r"list_transform(regexp_extract_all({}, '[^\n]{{1,127}}?[ae] |[^\n]{{1,128}}\n?|\n'), lambda p: sha256(p) || CASE WHEN p LIKE '%' || chr(10) THEN '|' ELSE '' END)"),
+    "LEAVES": (r"list_transform(regexp_extract_all({}, '[^\n]{{1,127}}?a |[^\n]{{1,128}}\n?|\n'), lambda p: sha256(p) || CASE WHEN p LIKE '%' || chr(10) THEN '|' ELSE '' END)"),
     "NODES": "list_transform(list_filter(string_split(coalesce(list_aggregate({}, 'string_agg', ''), ''), '|'), lambda s: s <> ''), lambda s: sha256(s))",
     "SECTIONS": "list_transform(list_filter(string_split(coalesce(list_aggregate(list_transform({}, lambda d: CASE WHEN substr(d, 1, 1) < '4' THEN d || '|' ELSE d END), 'string_agg', ''), ''), '|'), lambda s: s <> ''), lambda s: sha256(s))",
 }
@@ -35,14 +35,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
     rows = pairs.select("doc_id", "n_chars", edited.alias("edited"), leaves(F.col("text")).alias("own"), leaves(F.col("next_text")).alias("beside"))
     rows = rows.withColumn("changed", leaves(F.col("edited")))
+    rows = rows.withColumn("own_lines", paragraphs(F.col("own"))).withColumn("changed_lines", paragraphs(F.col("changed")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        root(F.col("own")).alias("fingerprint"),
-        root(F.col("changed")).alias("edited_fingerprint"),
+        root(F.col("own_lines")).alias("fingerprint"),
+        root(F.col("changed_lines")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("beside")).alias("near_next"),
         # How many paragraphs the trees' branches show to differ.
-        F.size(differing(paragraphs(F.col("own")), paragraphs(F.col("changed")))).cast("long").alias("n_differing"),
+        F.size(differing(F.col("own_lines"), F.col("changed_lines"))).cast("long").alias("n_differing"),
     )
