@@ -539,8 +539,10 @@ def test_proximity_against_brute_force(spark, tmp_path):
 
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("score", F.when(F.col("doc_id") >= 0, 1))
+    clash = ("found", "stats", "kept", "bad", "bad_key", "gone_doc", "gone_lines", "_langid", "_drop", "_keep", "_key", "key", "h", "sig")
+    docs = docs.withColumns({c: F.when(F.col("doc_id") >= 0, 7) for c in clash})
     first = docs.limit(1).collect()[0]
-    extra = spark.createDataFrame([(9001, first["text"], "en", "s", 1, 1), (9002, "123 456", "en", "s", 7, 1), (9003, None, None, None, None, None)], docs.schema)
+    extra = spark.createDataFrame([(9001, first["text"], "en", "s", 1, 1, *[7] * 14), (9002, "123 456", "en", "s", 7, 1, *[7] * 14), (9003, None, None, None, None, None, *[None] * 14)], docs.schema)
     now = docs.unionByName(extra)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"] for r in now.select("doc_id").collect()}
