@@ -29,10 +29,12 @@ def global_row_number(df: DataFrame, by: list[str], order: list[Column], name: s
 
 def global_percent_rank(df: DataFrame, by: list[str], value: Column, name: str, parts: int = 200) -> DataFrame:
     """Adds ``name``: the share of rows of ``by`` strictly below, 0 to 1; ties share it; null for a single row."""
-    rows = df.withColumn("_v", value)
+    rows = written(df.withColumn("_v", value), "valued")
     levels = global_sum_before(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")), by, [F.col("_v")], "_n", "_below", parts)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_all"))
-    out = rows.join(levels.select(*by, "_v", "_below"), [*by, "_v"]).join(sizes, by)
+    below = levels.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_v").alias("_level"), "_below")
+    same = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_v").eqNullSafe(F.col("_level"))]
+    out = rows.join(below, same).drop("_level", *(f"_{c}" for c in by)).join(sizes, by)
     return out.withColumn(name, F.when(F.col("_all") > 1, F.col("_below") / (F.col("_all") - 1))).drop("_v", "_below", "_all")
 
 

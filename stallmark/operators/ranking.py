@@ -100,12 +100,6 @@ def totals(scored: DataFrame, priorities: Column | None = None) -> DataFrame:
     return scored.withColumn("spec_total", m.clamp(total)).withColumn("imputed_weight", missing)
 
 
-def percentile(value: Column, by: str = "query_id") -> Column:
-    """Share strictly below, in per cent; 50 where there is one row only."""
-    part = Window.partitionBy(by)
-    return F.when(F.count("*").over(part) <= 1, 50.0).otherwise(F.percent_rank().over(part.orderBy(value)) * 100)
-
-
 def confidence(missing: Column, completeness: Column, rated: Column, known: Column) -> Column:
     kb = F.when(known == "high", 10.0).when(known == "medium", 6.0).when(known == "low", 3.0).otherwise(0.0)
     return m.jround(m.clamp((1 - missing) * 60 + completeness * 20 + F.when(rated, 10.0).otherwise(0.0) + kb) / 100, 2)
@@ -117,22 +111,21 @@ def overall(value: Column, spec: Column, trust: Column, deal: Column, confidence
     return m.jround(m.clamp(base * (0.7 + 0.3 * confidence)), 1)
 
 
-def with_percentile(df: DataFrame, value: Column, name: str, by: str = "query_id", parts: int = 0) -> DataFrame:
-    """Adds the percentile as a column; with ``parts``, over ranges instead of one task per query."""
-    if not parts:
-        return df.withColumn(name, percentile(value, by))
-    return global_percent_rank(df, [by], value, name, parts).withColumn(name, F.coalesce(F.col(name) * 100, F.lit(50.0)))
+def _parts(df: DataFrame, parts: int | None) -> int:
+    return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_percentile(df: DataFrame, value: Column, name: str, by: str = "query_id", parts: int | None = None) -> DataFrame:
+    """Adds the share strictly below, in per cent, 50 where there is one row only; over ``parts`` ranges, the session's shuffle partitions if null."""
+    return global_percent_rank(df, [by], value, name, _parts(df, parts)).withColumn(name, F.coalesce(F.col(name) * 100, F.lit(50.0)))
 
 
-def ranked(scored: DataFrame, order: list[Column], model: str = "model", name: str = "name", by: str = "query_id", parts: int = 0) -> DataFrame:
+def ranked(scored: DataFrame, order: list[Column], model: str = "model", name: str = "name", by: str = "query_id", parts: int | None = None) -> DataFrame:
     """Adds rank, and variant_of: the name of the first row of the same model, null for that row.
 
-    With ``parts``, ranks come from ranges of the whole order, for queries whose survivors exceed a task.
+    Ranks come from ``parts`` ranges of the whole order, so a query's survivors never meet in one task.
     """
-    if parts:
-        out = global_row_number(scored, [by], order, "rank", parts)
-    else:
-        out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    out = global_row_number(scored, [by], order, "rank", _parts(scored, parts)).withColumn("rank", F.col("rank").cast("int"))
     first = F.first(name).over(Window.partitionBy(by, model).orderBy("rank"))
     return out.withColumn("_first", F.min("rank").over(Window.partitionBy(by, model))).withColumn("variant_of", F.when(F.col("rank") != F.col("_first"), first)).drop("_first")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as m
 from ..functions import parse
+from ..functions.cut import written
 from ..operators import external, grouping, history, ranking, text
 from .view import LISTING, OBSERVATION, listings, observations, table
 
@@ -68,12 +69,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Three queries, a row of the result for each candidate and query that it suits.
     rows = candidates(spark, sf_dir).join(intents(spark), F.lit(True))
     rows = rows.where((F.col("price") > 0) & F.coalesce(F.col("price") <= F.col("budget_max"), F.lit(True))).drop("budget_max")
-    q = Window.partitionBy("query_id")
-    rows = rows.withColumn("spec", m.curve(F.col("size"), [(2, 10), (10, 60), (50, 100)])).withColumn("prior", F.coalesce(F.avg("rating").over(q), F.lit(4.0)))
-    rows = rows.join(rows.groupBy("query_id").agg(F.median("price").alias("med")), "query_id")
+    rows = written(rows.withColumn("spec", m.curve(F.col("size"), [(2, 10), (10, 60), (50, 100)])), "survivors")
+    rows = rows.join(rows.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior"), F.median("price").alias("med")), "query_id")
     rows = rows.withColumn("trust", m.trust(F.col("rating"), F.col("rating_count"), F.col("prior")))
     rows = rows.withColumn("deal", m.deal(F.col("discount"), F.col("price"), F.col("price"), F.col("spread"), F.col("n_offers"), F.col("med")))
-    rows = rows.withColumn("value", ranking.percentile(F.col("spec") / (F.col("price") / 1000.0)))
+    rows = ranking.with_percentile(rows, F.col("spec") / (F.col("price") / 1000.0), "value")
     total = 0.35 * F.col("value") + 0.30 * F.col("spec") + 0.20 * F.coalesce("trust", F.lit(45.0)) + 0.15 * F.col("deal")
     rows = rows.withColumn("total", m.jround(total, 1)).withColumn("name", F.concat_ws(" ", "model", "config")).withColumn("in_stock", F.when(F.col("stock") == 2, False).when(F.col("stock") == 0, True))
     return ranking.ranked(rows, [F.col("stock") == 2, F.desc("total"), F.col("price"), F.col("model"), F.col("config")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import maths as m
 from ..functions import parse
 from ..functions.cut import written
-from ..operators import grouping, ranking, specs, text
+from ..operators import grouping, knowledge, ranking, specs, text
 
 # Patterns of each category (strong, weak, veto), in order of precedence.
 _PARTS = r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|{}hinge|protector|stand|holder|replacement|spare)\b"
@@ -31,29 +31,91 @@ STOP = ["black", "white", "blue", "green", "red", "gold", "silver", "grey", "gra
 KEYS = ["model", "config"]
 
 
-def analysed(listings: DataFrame, chips: DataFrame | None = None) -> DataFrame:
-    """Listings with category, brand, model and configuration keys and specifications from their titles.
-
-    ``chips`` (alias, soc_name, antutu) is a dimension of some hundred aliases.
+#: Sources of a specification, the most trusted first: an outside page, a model entry that is sure, the product's page, other model entries, the title.
+SOURCES = ["external", "trusted", "page", "known", "title"]
+
+
+def _page_text(out: DataFrame, page_text: DataFrame, chips: DataFrame | None) -> DataFrame:
+    """Adds page_<field> from the texts of product pages (id, text) and page_ambiguous: the page's chip may be another product's."""
+    out = written(out.join(page_text.select("id", F.col("text").alias("page_text")), "id", "left"), "pages")
+    out = written(specs.with_specs(out, F.col("page_text"), "page"), "page_specs")
+    if chips is None:
+        return out
+    told = knowledge.match_chips(out, chips, "id", "page_text").select("id", F.col("soc_name").alias("page_soc_name"), F.col("antutu").alias("_antutu"), F.when(F.col("has5g"), True).alias("_has5g"), F.col("ambiguous").alias("page_ambiguous"))
+    out = out.join(told, "id", "left")
+    return out.withColumns({"page_antutu": F.coalesce("page_antutu", "_antutu"), "page_has5g": F.coalesce("page_has5g", "_has5g")}).drop("_antutu", "_has5g")
+
+
+def _outside(out: DataFrame, outside: DataFrame, chips: DataFrame | None) -> DataFrame:
+    """Adds external_<field> of ``outside`` (id, external_<field>...); a chip that the dictionary knows takes its name and benchmark from there."""
+    fields = [f"external_{f}" for f in specs.FIELDS if f"external_{f}" in outside.columns]
+    rows = outside.select("id", *fields)
+    if "external_ois" in fields:
+        rows = rows.withColumn("external_ois", F.when(F.col("external_ois"), True))
+    if chips is not None and "external_soc_name" in fields:
+        exact = knowledge.exact_chips(rows, chips, "id", "external_soc_name").select("id", F.struct("soc_name", "antutu").alias("_exact"))
+        loose = knowledge.match_chips(rows, chips, "id", "external_soc_name").select("id", F.struct("soc_name", "antutu").alias("_loose"))
+        rows = rows.join(exact, "id", "left").join(loose, "id", "left").withColumn("_chip", F.coalesce("_exact", "_loose"))
+        own = F.col("external_antutu") if "external_antutu" in fields else F.lit(None).cast("int")
+        rows = rows.withColumns({"external_soc_name": F.coalesce("_chip.soc_name", "external_soc_name"), "external_antutu": F.when(F.col("external_soc_name").isNotNull(), F.coalesce("_chip.antutu", own))}).drop("_exact", "_loose", "_chip")
+    return out.join(rows, "id", "left")
+
+
+def _models(out: DataFrame, models: DataFrame, chips: DataFrame | None) -> DataFrame:
+    """Adds trusted_<field>, known_<field>, kb_name and kb_confidence from ``models`` (ord, model, keys, confidence, fields...), met by title, else by address."""
+    fields = [f for f in specs.FIELDS if f in models.columns]
+    table = models
+    if chips is not None and "soc_name" in fields:
+        table = table.join(knowledge.match_chips(models, chips, "ord", "soc_name").select(F.col("id").alias("ord"), F.col("antutu").alias("_antutu"), F.when(F.col("has5g"), True).alias("_has5g")), "ord", "left")
+    else:
+        table = table.withColumns({"_antutu": F.lit(None).cast("int"), "_has5g": F.lit(None).cast("boolean")})
+    sure = F.col("confidence") == "high"
+    table = table.select(F.col("model").alias("kb_name"), F.col("confidence").alias("kb_confidence"), *(F.when(sure, F.col(f)).alias(f"trusted_{f}") for f in fields), *(F.when(~sure, F.col(f)).alias(f"known_{f}") for f in fields if f not in ("antutu", "has5g")), F.col("_antutu").alias("known_antutu"), F.col("_has5g").alias("known_has5g"))
+    met = knowledge.lookup_models(out, models, "id", "title", "_slug").select("id", F.col("model").alias("kb_name"))
+    return out.join(met, "id", "left").join(table, "kb_name", "left")
+
+
+def analysed(listings: DataFrame, chips: DataFrame | None = None, page_text: DataFrame | None = None, outside: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
+    """Listings with category, brand, model and configuration keys and specifications from every source, merged field by field.
+
+    ``chips`` (ord, soc_name, antutu, has5g, aliases) and ``models`` are dimensions, ``page_text`` (id, text) and
+    ``outside`` (id, external_<field>...) one row for each listing that has them. ``spec_sources`` tells who spoke.
     """
     title = F.col("title")
-    out = written(listings.drop("raw").withColumn("title", parse.spaced(title)), "listings")
+    slug = F.regexp_replace(F.coalesce("url", F.lit("")), "[-/_]", " ")
+    out = listings.drop("raw").withColumn("title", parse.spaced(title)).withColumn("_slug", slug)
+    out = written(out, "listings")
     out = text.classified(out, title, CATEGORIES, text.product_head(title), {"accessory"})
-    out = written(specs.with_specs(out, title, "title"), "specs")
+    if page_text is not None:
+        out = _page_text(out, page_text, chips)
+    else:
+        out = out.withColumn("page_text", F.lit(None).cast("string"))
+    # Written, so that the patterns read a column and no copy of the expression that makes it.
+    out = written(out.withColumn("_full", F.concat_ws(" ", title, "page_text", "_slug")), "texts")
+    out = written(specs.with_specs(out, F.col("_full"), "title"), "specs")
     if chips is not None:
-        out = out.join(text.longest_match(out, "id", "title", chips.select(F.col("alias").alias("phrase"))).withColumnRenamed("phrase", "alias"), "id", "left")
-        named = chips.select(F.lower("alias").alias("alias"), F.col("soc_name").alias("title_soc_name"), F.col("antutu").alias("chip_antutu"))
-        out = out.join(named, "alias", "left").drop("alias")
-        out = out.withColumn("title_antutu", F.coalesce("title_antutu", "chip_antutu")).drop("chip_antutu")
-    out = specs.merged(out, ["title"])
+        told = knowledge.match_chips(out, chips, "id", "_full").select("id", F.col("soc_name").alias("title_soc_name"), F.col("antutu").alias("_antutu"), F.when(F.col("has5g"), True).alias("_has5g"))
+        out = out.join(told, "id", "left").withColumns({"title_antutu": F.coalesce("title_antutu", "_antutu"), "title_has5g": F.coalesce("title_has5g", "_has5g")}).drop("_antutu", "_has5g")
+    if outside is not None:
+        out = _outside(out, outside, chips)
+    if models is not None:
+        out = _models(out, models, chips)
+        if {"page_ambiguous", "trusted_soc_name"} <= set(out.columns):
+            other = F.coalesce(F.col("page_ambiguous") & (F.col("page_soc_name") != F.col("trusted_soc_name")), F.lit(False))
+            out = out.withColumns({c: F.when(~other, F.col(c)) for c in ("page_soc_name", "page_antutu")})
+    else:
+        out = out.withColumns({"kb_name": F.lit(None).cast("string"), "kb_confidence": F.lit(None).cast("string")})
+    out = specs.merged(out, SOURCES).drop("page_ambiguous", "page_text", "_full")
+    out = out.withColumns({"kb_confidence": F.coalesce("kb_confidence", F.lit("none")), "spec_sources": F.transform_values("spec_sources", lambda _, s: F.when(s.isin("trusted", "known"), "kb").otherwise(s))})
     for c in specs.COUNTED:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("int"))
+    out = out.withColumn("has5g", F.coalesce("has5g", F.when(parse.matches(title, r"\b4g\b"), False)))
     marks = F.array_join(parse.qualifiers(title), "+")
     model = F.concat(specs.model_key(title, STOP), F.when(marks != "", F.concat(F.lit(" #"), marks)).otherwise(""))
     config = F.concat(F.coalesce(F.col("ram_gb").cast("string"), F.lit("?")), F.lit("r-"), F.coalesce(F.col("storage_gb").cast("string"), F.lit("?")), F.lit("s"))
-    out = out.withColumns({"brand": parse.brand(title), "model": F.coalesce(F.nullif(model, F.lit("")), F.lower("title")), "config": config, "completeness": grouping.completeness(specs.COUNTED)})
-    return written(out, "analysed")
+    out = out.withColumns({"brand": parse.brand(F.concat_ws(" ", title, "_slug")), "model": F.coalesce(F.nullif(model, F.lit("")), F.lower("title")), "config": config, "completeness": grouping.completeness(specs.COUNTED)})
+    return written(out.drop("_slug"), "analysed")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -62,8 +124,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     fields = [c for c in specs.FIELDS if c in rows.columns]
     out = grouping.best_offers(folded, KEYS).join(grouping.merge_fields(folded, KEYS, fields + ["brand", "mrp", "discount_pct"]), KEYS)
     out = out.join(grouping.blend_rating(folded, KEYS), KEYS, "left").join(grouping.majority(folded, KEYS, "category", "category_confidence").drop("weight"), KEYS)
-    name = folded.groupBy(*KEYS).agg(F.min_by("title", "ord").alias("title"))
-    out = out.join(name, KEYS).withColumns({"price": F.col("best.price"), "in_stock": F.col("best.in_stock"), "n_offers": F.size("offers"), "name": parse.clean_name(F.col("title")), "nfc": F.col("nfc"), "has5g": F.col("has5g")})
+    known = F.when(F.col("kb_confidence") != "none", F.col("ord"))
+    name = folded.groupBy(*KEYS).agg(F.min_by("title", "ord").alias("title"), F.min_by("kb_name", known).alias("kb_name"), F.coalesce(F.min_by("kb_confidence", known), F.lit("none")).alias("kb_confidence"))
+    out = out.join(name, KEYS).withColumns({"price": F.col("best.price"), "in_stock": F.col("best.in_stock"), "n_offers": F.size("offers"), "name": F.coalesce("kb_name", parse.clean_name(F.col("title"))), "nfc": F.col("nfc"), "has5g": F.col("has5g")})
     return written(out, "candidates")
 
 
@@ -80,14 +143,15 @@ def with_history(cands: DataFrame, stats: DataFrame, key: str = "model") -> Data
     return cands.join(told, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(ranked, rejected) for every query; ``parts`` ranges for queries whose survivors exceed a task.
+def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ranked, rejected) for every query; ranks come from ``parts`` ranges, the session's shuffle partitions if null.
 
     ``rejected`` has a row for each candidate and query that refuses it, and is computed only where it is read.
     """
     rejected = ranking.gated(cands, intents, tolerance).where(F.size("reasons") > 0)
     s = ranking.survivors(cands, intents, tolerance)
     null = F.lit(None)
+    known = F.col("kb_confidence") if "kb_confidence" in cands.columns else null.cast("string")
     got = {c: F.col(c) if c in cands.columns else null for c in specs.FIELDS}
     s = s.withColumns({
         "performance": m.performance(got["antutu"]), "memory": m.memory(got["ram_gb"], got["storage_gb"]), "display": m.display(got["panel"], got["refresh_hz"], got["resolution"]),
@@ -97,13 +161,13 @@ def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: in
     s = written(s, "components")
     s = ranking.totals(ranking.imputed(s, list(ranking.WEIGHTS)), F.col("priorities"))
     over = s.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior"), F.median("price").alias("middle"))
-    s = s.join(over, "query_id").withColumn("vouched", m.corroboration(F.col("rating_count"), F.lit(None).cast("string")))
+    s = s.join(over, "query_id").withColumn("vouched", m.corroboration(F.col("rating_count"), known))
     spec = F.col("spec_total") * F.col("vouched")
     told = {k: F.col(f"recorded_{k}") for k in ("low", "runs", "position", "trend")} if "recorded_runs" in cands.columns else None
     s = s.withColumns({"trust": m.trust(F.col("rating"), F.col("rating_count"), F.col("prior")), "deal": m.deal(F.col("discount_pct"), F.col("mrp"), F.col("price"), F.col("spread"), F.col("n_offers"), F.col("middle"), told), "ratio": spec / (F.col("price") / 1000)})
     s = ranking.with_percentile(s, F.col("ratio"), "_percentile", parts=parts)
     s = s.withColumn("value", m.clamp(F.col("_percentile") * (0.45 + 0.55 * (1 - F.col("imputed_weight")))))
-    s = s.withColumn("confidence", ranking.confidence(F.col("imputed_weight"), F.col("completeness"), F.col("rating").isNotNull(), F.lit(None).cast("string")))
+    s = s.withColumn("confidence", ranking.confidence(F.col("imputed_weight"), F.col("completeness"), F.col("rating").isNotNull(), known))
     s = s.withColumn("total", ranking.overall(F.col("value"), spec, F.col("trust"), F.col("deal"), F.col("confidence"), F.array_contains("priorities", "value")))
     weak = (got["soc_name"].isNull() if "soc_name" in cands.columns else F.lit(True)) & (F.coalesce("rating_count", F.lit(0)) < 20)
     s = s.withColumn("total", F.when(weak, F.col("total") * 0.7).otherwise(F.col("total")))

@@ -1,6 +1,6 @@
 """Every query of the engine with its DuckDB oracle, by name."""
 
-from .plans import catalog, products, reports  # noqa: F401, the others register theirs in the catalogue's
+from .plans import catalog, origins, products, reports  # noqa: F401, the others register theirs in the catalogue's
 
 FLAGSHIP = "catalog_rank"
 QUERIES: dict = {**catalog.QUERIES}
