@@ -67,6 +67,31 @@ def page_fields(html: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(every, lambda p: p["k"] == k), F.lit(0))["v"]))
 
 
+def field_page(df: DataFrame, html: Column, prefix: str = "external") -> DataFrame:
+    """Adds <prefix>_<field> columns from the named values of a page (``page_fields``); a page without a chip says nothing."""
+    out = df.withColumn("_f", page_fields(html))
+
+    def get(*keys):
+        return F.coalesce(*(F.try_element_at("_f", F.lit(k)) for k in keys))
+
+    def number(c, pattern, kind="int"):
+        return F.regexp_replace(found(c, f"(?i){pattern}"), ",", "").try_cast("double").try_cast(kind)
+
+    chip, battery, camera = get("chipset", "processor"), get("battery"), get("rear camera", "primary camera")
+    name = F.regexp_replace(F.regexp_replace(chip, r"\(.*?\)", " "), r"(?i),?\s*[\d,]{4,9}\s*antutu\s*score", " ")
+    shown, lines, nfc = F.lower(get("display type", "display-type", "screen type")), get("resolution", "display-resolution"), get("nfc")
+    watts = r"([\d.]{1,3})\s*(?:w\b|watt)"
+    panel = F.when(shown.contains("oled"), "AMOLED").when(shown.contains("pls"), "PLS LCD").when(shown.contains("ips"), "IPS LCD").when(shown.contains("tft"), "TFT LCD").when(shown.contains("lcd"), "LCD")
+    fields = {
+        "soc_name": F.nullif(F.trim(F.regexp_replace(name, r"\s+", " ")), F.lit("")), "antutu": number(chip, r"([\d,]{5,9})\s*antutu"), "battery_mah": number(battery, r"([\d,]{4,5})\s*mah"),
+        "charging_w": F.coalesce(number(battery, watts), number(get("charging", "charging speed"), watts)), "panel": panel, "display_inches": number(get("display", "display size"), r"([\d.]{3,4})\s*inch", "double"),
+        "refresh_hz": number(get("refresh rate", "refresh-rate"), r"(\d{2,3})\s*hz"), "resolution": F.when(matches(lines, "qhd"), "QHD+").when(matches(lines, "fhd"), "FHD+").when(matches(lines, "hd"), "HD+"),
+        "main_camera_mp": number(camera, r"([\d.]{1,3})\s*mp"), "ois": F.when(matches(F.concat_ws(" ", camera, get("image stabilization")), r"\bois\b|optical image stabili"), True),
+        "nfc": F.when(nfc.isNotNull(), ~matches(nfc, r"^no\b")), "ip_rating": F.upper(found(get("ip rating"), "(?i)(IP[0-9X]{2})")),
+    }
+    return out.withColumns({f"{prefix}_{k}": F.when(chip.isNotNull(), v) for k, v in fields.items()}).drop("_f")
+
+
 def market_price(html: Column) -> Column:
     """(low, high) of a page's price range, null if there is none or it is upside down."""
     text = F.replace(html, F.lit("&quot;"), F.lit('"'))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grouping
+from ..operators import external, grouping
 from ..sources import captured
 from . import rank_cards
 from .catalog import query
@@ -88,3 +88,28 @@ def search_terms(spark, sf_dir):
 def resolution_tally(spark, sf_dir):
     kinds = F.array(*map(F.lit, ["matched", "unmatched", "cached", "direct", "paid", "failed", "skipped", "other"]))
     return captured.resolution_counts(table(spark, sf_dir, "documents").select(F.get(kinds, (F.col("doc_id") % 8).cast("int")).alias("outcome")))
+
+
+@query("""WITH t AS (SELECT p_partkey AS n, p_partkey % 6 <> 5 AS told, p_size FROM part)
+SELECT n AS id, CASE WHEN told THEN 'Chip ' || n % 7 || ' Plus' END AS soc_name, CASE WHEN told THEN CAST(600000 + n % 1000 AS INTEGER) END AS antutu, CASE WHEN told THEN CAST(5000 AS INTEGER) END AS battery_mah, CASE WHEN told THEN CAST(CASE WHEN n % 2 = 0 THEN 67 ELSE 33 END AS INTEGER) END AS charging_w,
+ CASE WHEN told THEN CASE n % 5 WHEN 0 THEN 'AMOLED' WHEN 1 THEN 'AMOLED' WHEN 2 THEN 'IPS LCD' WHEN 3 THEN 'LCD' END END AS panel, CASE WHEN told THEN 6.5::DOUBLE END AS display_inches, CASE WHEN told THEN CASE n % 4 WHEN 0 THEN 'QHD+' WHEN 1 THEN 'FHD+' WHEN 2 THEN 'HD+' END END AS resolution,
+ CASE WHEN told THEN CAST(p_size AS INTEGER) END AS main_camera_mp, CASE WHEN told AND n % 2 = 0 THEN true END AS ois, CASE WHEN told THEN CASE n % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS nfc, CASE WHEN told THEN 'IP68' END AS ip_rating FROM t""")
+def page_values(spark, sf_dir):
+    """Pages of named values in either encoding, escaped or not, some without a chip."""
+    n = F.col("p_partkey")
+
+    def item(name, value, when=None):
+        plain = F.concat(F.lit('{"name":"' + name + '","value":"'), value, F.lit('"}'))
+        boxed = F.concat(F.lit('{"name":[0,"' + name + '"],"value":[0,"'), value, F.lit('"]}'))
+        text = F.when(n % 2 == 0, plain).otherwise(boxed)
+        return text if when is None else F.when(when, text)
+
+    shown = F.element_at(F.array(*map(F.lit, ["Super AMOLED", "OLED", "IPS panel", "LCD", "unknown"])), (n % 5 + 1).cast("int"))
+    lines = F.element_at(F.array(*map(F.lit, ["QHD+ 1440", "FHD+ 1080", "HD+ 720", "none"])), (n % 4 + 1).cast("int"))
+    html = F.concat_ws(
+        ",", item("Chipset", F.concat(F.lit("Chip "), n % 7, F.lit(" Plus (4 nm), "), 600000 + n % 1000, F.lit(" AnTuTu score")), n % 6 != 5), item("Battery", F.when(n % 2 == 0, "5,000 mAh, 67W").otherwise("5,000 mAh")), item("Charging", F.lit("33 watt")),
+        item("Display", F.lit("6.5 inch")), item("Display Type", shown), item("Resolution", lines), item("Rear Camera", F.concat("p_size", F.lit(" MP"), F.when(n % 2 == 0, " with OIS").otherwise(""))), item("NFC", F.when(n % 3 == 0, "Yes").otherwise("No"), n % 3 != 2), item("IP Rating", F.lit("ip68 dust")),
+    )
+    rows = table(spark, sf_dir, "part").select(n.alias("id"), F.when(n % 4 == 0, F.replace(html, F.lit('"'), F.lit("&quot;"))).otherwise(html).alias("html"))
+    out = external.field_page(rows, F.col("html"))
+    return out.select("id", *(F.col(f"external_{c}").alias(c) for c in ("soc_name", "antutu", "battery_mah", "charging_w", "panel", "display_inches", "resolution", "main_camera_mp", "ois", "nfc", "ip_rating")))
