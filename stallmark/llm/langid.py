@@ -122,16 +122,20 @@ def scores(model: Model, data: np.ndarray, at: np.ndarray, flags: np.ndarray) ->
 def sample(docs: DataFrame, train, *, text_col: str, lang_col: str) -> tuple[list[np.ndarray], list[str]]:
     """Slots and languages of the sample.
 
-    Only rows whose hash lies below twice the share that their language needs are ranked, so no task has more than some thousand.
+    Each language's count comes to the driver, as its weights do, which are far larger. Only rows whose hash lies below
+    twice the share that their language needs move and are ranked, so no task has more than some thousand.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     rows = docs.where(train & lang.isNotNull() & (lang != "") & text.rlike(r"\p{L}")).select(text.alias("t"), lang.alias("l"), F.xxhash64(text).alias("h"))
-    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n"))
-    sizes = sizes.withColumn("each", F.greatest(F.lit(1), F.floor(SAMPLE / F.count("*").over(Window.partitionBy()))))
-    share = (F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2.0 * F.col("each") + 20
-    few = rows.join(sizes, "l").where(share).dropDuplicates(["l", "h"])
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not sizes:
+        return [], []
+    each = max(1, SAMPLE // len(sizes))
+    n = F.create_map(*[F.lit(v) for r in sizes for v in (r["l"], r["n"])])[F.col("l")]
+    share = (F.col("h") / 2.0**64 + 0.5) * n <= 2.0 * each + 20
+    few = rows.where(share).dropDuplicates(["l", "h"])
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    chosen = few.withColumn("r", rank).where(F.col("r") <= F.col("each")).select("l", "h", "t")
+    chosen = few.withColumn("r", rank).where(F.col("r") <= each).select("l", "h", "t")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(BUCKETS, bool)
