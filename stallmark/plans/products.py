@@ -141,15 +141,19 @@ _COMPONENTS = f"""{_PARTS}, k AS (SELECT p_partkey, p_size, {_null('antutu', "le
  CASE WHEN coalesce(has5g, nfc) IS NOT NULL OR ip IS NOT NULL OR updates IS NOT NULL THEN (CASE WHEN has5g THEN 35 ELSE 0 END + CASE WHEN nfc THEN 15 ELSE 0 END + CASE WHEN ip IS NULL THEN 0 ELSE 20 END + coalesce({_null('updates', _curve_sql('updates', m.UPDATES))}, 0)) / {_D.format('CASE WHEN has5g IS NULL THEN 0 ELSE 35 END + CASE WHEN nfc IS NULL THEN 0 ELSE 15 END + CASE WHEN ip IS NULL THEN 0 ELSE 20 END + CASE WHEN updates IS NULL THEN 0 ELSE 30 END')} * 100 END AS extras FROM c)"""
 
 
-def _components(spark, sf_dir):
+def _sheet() -> dict:
+    """The specifications of ``_PARTS`` as columns of ``part``."""
     n = F.col("p_size")
     when = F.when
-    c = {
+    return {
         "antutu": when(n % 4 > 0, n * 40000), "ram": when(n % 3 > 0, n % 16 + 1), "storage": when(n % 5 > 0, n * 20), "panel": when(n % 6 == 0, "AMOLED").when(n % 6 == 1, "IPS").when(n % 6 == 2, "TFT").when(n % 6 == 3, "OTHER"), "refresh": when(n % 7 > 2, n * 3 + 40),
         "resolution": when(n % 4 == 0, "QHD+").when(n % 4 == 1, "FHD+").when(n % 4 == 2, "HD+"), "mah": when(n % 8 > 0, n * 130 + 2000), "watts": when(n % 9 > 3, n * 2 + 5), "mp": when(n % 10 > 1, n * 3), "ois": when(n % 3 == 0, True).when(n % 3 == 1, False), "tele": when(n % 5 == 1, 10), "wide": when(n % 7 == 2, 8),
         "aperture": when(n % 2 == 0, (n % 5 + 14) / 10.0), "has5g": when(n % 5 == 0, True).when(n % 5 == 1, False), "nfc": when(n % 7 == 0, True).when(n % 7 == 1, False), "ip": when(n % 6 == 5, "IP54"), "updates": when(n % 4 == 3, n % 7),
     }
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", *(v.alias(k) for k, v in c.items()))
+
+
+def _components(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", *(v.alias(k) for k, v in _sheet().items()))
     g = F.col
     return rows.select(
         "p_partkey", "p_size", m.performance(g("antutu")).alias("performance"), m.memory(g("ram"), g("storage")).alias("memory"), m.display(g("panel"), g("refresh"), g("resolution")).alias("display"), m.battery(g("mah"), g("watts")).alias("battery"),

@@ -1,7 +1,7 @@
 """Every query of the engine with its DuckDB oracle, by name."""
 
-from .plans import catalog, origins, products, reports  # noqa: F401, the others register theirs in the catalogue's
+from .plans import catalog, origins, products, rankings, reports  # noqa: F401, the others register theirs in the catalogue's
 
-FLAGSHIP = "catalog_rank"
+FLAGSHIP = "rank_products"
 QUERIES: dict = {**catalog.QUERIES}
 ORACLES: dict = {**catalog.ORACLES}
