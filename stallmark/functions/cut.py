@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used only where spark.checkpoint.dir is unset, and then only by a session on one machine, as in tests.
 UNSET_FOLDER = "/tmp/stallmark-checkpoints"
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or UNSET_FOLDER).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder: evaluated once, read by all that follows."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or UNSET_FOLDER).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
