@@ -44,7 +44,7 @@ s2 AS (SELECT *, CASE WHEN rating IS NOT NULL THEN {_within(f"45 + ({_within(f'(
  CASE WHEN count(*) OVER (PARTITION BY query_id) <= 1 THEN 50 ELSE percent_rank() OVER (PARTITION BY query_id ORDER BY spec / (price / {_d(1000.0)})) * 100 END AS share,
  floor({_within(f"(1 - missing) * 60 + completeness * 20 + CASE WHEN rating IS NULL THEN 0 ELSE 10 END + CASE kb_confidence WHEN 'high' THEN 10 WHEN 'medium' THEN 6 WHEN 'low' THEN 3 ELSE 0 END")} / 100 * 100 + {_d(0.5)}) / 100 AS confidence FROM s1),
 s3 AS (SELECT *, {_within(f"share * ({_d(0.45)} + {_d(0.55)} * (1 - missing))")} AS value FROM s2),
-s4 AS (SELECT *, CASE WHEN soc_name IS NULL AND coalesce(rating_count, 0) < 20 THEN {_d(0.7)} ELSE {_d(1.0)} END * floor({_within(f"CASE WHEN query_id = 'w2' THEN {_d(0.35)} * value + {_d(0.3)} * spec + {_d(0.2)} * coalesce(trust, 45) + {_d(0.15)} * deal ELSE {_d(0.6)} * spec + {_d(0.25)} * coalesce(trust, 45) + {_d(0.15)} * deal END * ({_d(0.7)} + {_d(0.3)} * confidence)")} * 10 + {_d(0.5)}) / 10 AS total, query_id = 'w2' AND p_size = 14 AS exact FROM s3),
+s4 AS (SELECT *, floor({_within(f"CASE WHEN query_id = 'w2' THEN {_d(0.35)} * value + {_d(0.3)} * spec + {_d(0.2)} * coalesce(trust, 45) + {_d(0.15)} * deal ELSE {_d(0.6)} * spec + {_d(0.25)} * coalesce(trust, 45) + {_d(0.15)} * deal END * ({_d(0.7)} + {_d(0.3)} * confidence)")} * 10 + {_d(0.5)}) / 10 * CASE WHEN soc_name IS NULL AND coalesce(rating_count, 0) < 20 THEN {_d(0.7)} ELSE {_d(1.0)} END AS total, query_id = 'w2' AND p_size = 14 AS exact FROM s3),
 s5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, coalesce(NOT in_stock, false), total DESC, confidence DESC, price, p_partkey) AS rank FROM s4),
 c1 AS (SELECT *, in_stock IS DISTINCT FROM false AND confidence >= {_d(0.6)} AND soc_name IS NOT NULL AND coalesce(rating_count, 0) >= 100 AND coalesce(rating, 0) >= {_d(3.5)} AS sure, count(*) FILTER (WHERE confidence >= {_d(0.5)}) OVER (PARTITION BY query_id) AS n, bool_or(exact) OVER (PARTITION BY query_id) AS asked, arg_min(name, rank) OVER (PARTITION BY query_id, model) AS head, min(rank) OVER (PARTITION BY query_id, model) AS head_rank FROM s5),
 c2 AS (SELECT *, n < 2 OR confidence >= {_d(0.5)} AS pool FROM c1), c3 AS (SELECT *, count(*) FILTER (WHERE pool AND sure) OVER (PARTITION BY query_id) AS m FROM c2),
