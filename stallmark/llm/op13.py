@@ -38,7 +38,8 @@ SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGI
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     coded = written(coded, "codes")
-    # Longs could overflow in the sum; it stops at the largest.
-    sums = coded.groupBy(F.col("label").alias("of")).agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(2**63 - 1)).cast("long").alias("label_error"))
+    # Longs could overflow in the sum; it stops at the largest. Labels of rows without a code alone have none.
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.when(total.isNotNull(), F.least(total, F.lit(2**63 - 1))).cast("long").alias("label_error"))
     digest = hashlib.sha256(",".join(str(x) for book in books for x in book.reshape(-1).tolist()).encode()).hexdigest()
     return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

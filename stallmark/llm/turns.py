@@ -162,7 +162,7 @@ def bucket_batch(key: tuple[int], chunks: Iterator[pd.DataFrame], state: GroupSt
 
 def feed_rows(arrivals: DataFrame, buckets: int) -> DataFrame:
     """Arrivals (batch, conv_id, turn, first, role, text) with their buckets."""
-    bucket = F.coalesce(F.pmod(F.xxhash64("conv_id"), F.lit(buckets)), F.lit(NO_ID))
+    bucket = F.when(F.col("conv_id").isNull(), NO_ID).otherwise(F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
     return arrivals.select(bucket.cast("long").alias("bucket"), F.col("batch").cast("int"), F.lit(False).alias("tick"), F.lit(False).alias("last"), F.coalesce("conv_id", F.lit(0).cast("long")).alias("conv_id"), "turn", "first", "role", "text")
 
 
