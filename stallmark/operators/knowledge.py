@@ -1,10 +1,15 @@
-"""Chipsets and models by name: dictionaries that come as tables, met by equi-joins on words."""
+"""Chipsets and models by name: dictionaries that come as tables, met in texts by one automaton a block."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
+
 # Words of chip makers, words that make a bare model number a chip, and makers that digits may follow at once.
 VENDORS = r"snapdragon|dimensity|helio|exynos|unisoc|tensor|bionic|mediatek|qualcomm|apple"
 CONTEXT = r"processor|chipset|cpu|octa[- ]?core|quad[- ]?core|soc\b|ghz|snapdragon|dimensity|helio|exynos|unisoc|tensor|bionic"
@@ -23,39 +28,60 @@ def perf_tier(antutu: Column) -> Column:
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, split: str, keep: list[str]) -> DataFrame:
-    """Distinct columns ``keep`` of ``texts`` (text, ...) with the columns of ``phrases`` (phrase, ...) that stand in them as consecutive words.
+    """Columns ``keep`` of ``texts`` (text, ...) with the columns of ``phrases`` (phrase, ...) that stand in them as consecutive words.
 
-    Each word of a text, with as many after it as the longest phrase has, meets the phrases' first words in an equi-join.
+    Words are what ``split`` divides. Every text is read once by the dictionary's automaton.
     """
-    def words(c):
-        return F.filter(F.split(F.lower(c), split), lambda w: w != "")
+    def spaced(c: str) -> Column:
+        return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(c)), split, " ")), F.lit(" "))
+
+    known = phrases.withColumn("_phrase", spaced("phrase")).where(F.length("_phrase") > 2)
+    found = scan.hits(texts.select(*keep, spaced("text").alias("_text")), keep, "_text", known, "_phrase")
+    return found.join(known, "_phrase").drop("_phrase")
+
+
+_VENDORS, _CONTEXT, _GLUED = re.compile(VENDORS), re.compile(CONTEXT, re.I), re.compile(GLUED)
+
+
+def _inside_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and ("a" <= text[at] <= "z" or "0" <= text[at] <= "9")
+
+
+def _best_alias(names: list[str], aliases: list[list[str]]) -> Callable[[str, scan.Places], list[tuple]]:
+    """(name, whether it is ambiguous) of the longest name that holds in a lowered text; of equals the first in the list."""
+    turn = {i: n for n, i in enumerate(sorted(range(len(names)), key=lambda i: -len(names[i])))}
+
+    def told(text: str, places: scan.Places) -> list[tuple]:
+        hay = f" {_GLUED.sub(r'\1 \2', re.sub('[_/]+', ' ', text))} "
+        found = places(hay)
+        for i in sorted(found, key=turn.__getitem__):
+            at, stop = found[i], found[i] + len(names[i])
+            whole = not _inside_word(hay, at - 1) and not _inside_word(hay, stop)
+            if whole and (_VENDORS.search(names[i]) or _CONTEXT.search(hay[max(0, at - REACH) : stop + REACH])):
+                said = next((a for a in aliases[i] if a in text), "")
+                return [(names[i], not _VENDORS.search(said))]
+        return []
 
-    known = phrases.withColumn("_phrase", words(F.col("phrase"))).where(F.size("_phrase") > 0).withColumn("_first", F.col("_phrase")[0])
-    longest = known.agg(F.max(F.size("_phrase"))).first()[0] or 1
-    runs = F.transform(F.col("_words"), lambda w, i: F.struct(w.alias("first"), F.slice("_words", i + 1, F.lit(longest)).alias("run")))
-    rows = texts.select(*keep, words(F.col("text")).alias("_words")).select(*keep, F.explode(F.array_distinct(runs)).alias("_r")).select(*keep, F.col("_r.first").alias("_first"), F.col("_r.run").alias("_run"))
-    hits = rows.join(known, "_first").where(F.slice("_run", F.lit(1), F.size("_phrase")) == F.col("_phrase"))
-    return hits.drop("_run", "_phrase", "_first").distinct()
+    return told
 
 
 def match_chips(texts: DataFrame, chips: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, soc_name, antutu, has5g, ambiguous): the chip whose longest alias stands in a text as whole words.
 
     ``chips`` (ord, soc_name, antutu, has5g, aliases). Each alias is looked at where it first occurs; one without a
-    maker's word needs other words about chips near it. ``ambiguous``: the first of the chip's aliases in the text has no maker's word.
+    maker's word needs other words about chips near it. ``ambiguous``: the first of the chip's aliases in the text has no maker's
+    word. A text is read once for each block of the dictionary, and no text moves.
     """
-    lowered = F.lower(F.col(text_col))
-    hay = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lowered, "[_/]+", " "), GLUED, "$1 $2"), F.lit(" "))
-    rows = texts.select(F.col(id_col).alias("id"), hay.alias("text"), lowered.alias("raw"))
-    aliases = chips.select("ord", "soc_name", "antutu", "has5g", "aliases", F.explode("aliases").alias("phrase"))
-    hits = phrase_hits(rows, aliases, "[^a-z0-9]+", ["id"]).join(rows, "id").withColumn("_at", F.expr("locate(phrase, text)")).where("_at > 0")
-    at, size = F.col("_at"), F.length("phrase")
-    edge = ~F.substring("text", at - 1, F.lit(1)).rlike("[a-z0-9]") & ~F.substring("text", at + size, F.lit(1)).rlike("[a-z0-9]")
-    around = F.substring("text", F.greatest(at - REACH, F.lit(1)), size + F.lit(REACH) + F.least(at - 1, F.lit(REACH)))
-    hits = hits.where(edge & (F.col("phrase").rlike(VENDORS) | around.rlike(f"(?i){CONTEXT}")))
-    best = hits.groupBy("id").agg(F.min_by(F.struct("soc_name", "antutu", "has5g", "aliases", "raw"), F.struct(-size, F.col("ord"), F.col("phrase"))).alias("c"))
-    said = F.get(F.filter("c.aliases", lambda a: F.contains(F.col("c.raw"), a)), F.lit(0))
-    return best.select("id", "c.soc_name", "c.antutu", "c.has5g", F.coalesce(~said.rlike(VENDORS), F.lit(True)).alias("ambiguous"))
+    rows = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("_text"))
+    named = chips.select("ord", "aliases", F.explode("aliases").alias("phrase")).where(F.length("phrase") > 0).groupBy("phrase").agg(F.min(F.struct("ord", "aliases")).alias("c"))
+    hits = None
+    for block in scan.blocks(named, "phrase"):
+        known = sorted(block.collect(), key=lambda r: (r["c"]["ord"], r["c"]["aliases"].index(r["phrase"])))
+        names, aliases = [r["phrase"] for r in known], [r["c"]["aliases"] for r in known]
+        part = scan.scanned(rows, ["id"], "_text", names, _best_alias(names, aliases), {"phrase": "string", "ambiguous": "boolean"})
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.join(named.select("phrase", "c.ord"), "phrase").groupBy("id").agg(F.min(F.struct(-F.length("phrase"), "ord", "ambiguous")).alias("b"))
+    return hits.select("id", "b.ord", "b.ambiguous").join(chips.select("ord", "soc_name", "antutu", "has5g"), "ord").select("id", "soc_name", "antutu", "has5g", "ambiguous")
 
 
 def exact_chips(names: DataFrame, chips: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
