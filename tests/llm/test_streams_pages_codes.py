@@ -250,6 +250,6 @@ def test_hostile_pages_take_linear_time(evil):
 def test_equals_sql(spark, name, query, sql):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
-    want = con.execute(sql).df()
-    got = query(spark, SF).toPandas()[list(want.columns)]
-    assert sorted(map(str, got.astype(object).where(got.notna(), None).values.tolist())) == sorted(map(str, want.astype(object).where(want.notna(), None).values.tolist()))
+    found = con.execute(sql)
+    columns = [c[0] for c in found.description]
+    assert rows_of(query(spark, SF).select(*columns)) == sorted(found.fetchall(), key=str)
