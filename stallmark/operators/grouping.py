@@ -59,17 +59,31 @@ def siblings(candidates: DataFrame, model: str = "model", config: str = "config"
 
 
 def fold_configs(candidates: DataFrame) -> DataFrame:
-    """(model, config, target): configurations that are partly unknown go to the cheapest known one of their model.
+    """(model, config, target): configurations that are partly unknown go, in the order first seen, to a known one of their model.
 
-    A known configuration with the same storage comes first. Prices are those before any folding, so the
-    result does not depend on the order of folds. Without a known, priced configuration nothing folds.
+    Of the known ones with the same storage, or else of all, it is the cheapest, the first seen of equals. What folds takes its
+    price along, so that an earlier fold may change where later ones go. Where none of them has a price nothing folds. The fold goes
+    over the distinct configurations of one model; listings are aggregated before.
     """
-    unknown = F.col("config").contains("?")
-    least = candidates.groupBy("model", "config").agg(F.min("price").alias("price"), F.min("ord").alias("ord"))
-    known = least.where(~unknown & F.col("price").isNotNull()).groupBy("model").agg(F.collect_list(F.struct("price", "ord", "config")).alias("known"))
-    storage = F.substring_index("config", "-", -1)
-    target = F.array_min(F.transform("known", lambda k: F.struct(F.when(F.substring_index(k["config"], "-", -1) == storage, 0).otherwise(1).alias("other"), k["price"].alias("price"), k["ord"].alias("ord"), k["config"].alias("config"))))["config"]
-    return least.join(known, "model", "left").select("model", "config", F.when(unknown & F.col("known").isNotNull(), target).otherwise(F.col("config")).alias("target"))
+    none = F.lit(float("inf"))
+    rows = candidates.groupBy("model", "config").agg(F.min("price").cast("double").alias("price"), F.min("ord").alias("ord"))
+    one = F.struct("ord", "config", F.get(F.split("config", "-"), F.lit(1)).alias("storage"), F.coalesce("price", none).alias("price"))
+    models = rows.groupBy("model").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    partial = F.filter("all", lambda c: c["config"].contains("?"))
+    known = F.filter("all", lambda c: ~F.coalesce(c["config"].contains("?"), F.lit(False)))
+
+    def folded(state: Column, c: Column) -> Column:
+        alike = F.filter(state["known"], lambda k: k["storage"].eqNullSafe(c["storage"]))
+        pool = F.when(F.size(alike) > 0, alike).otherwise(state["known"])
+        priced = F.transform(F.filter(pool, lambda k: k["price"] < none), lambda k: F.struct(k["price"], k["ord"], k["config"]))
+        target = F.array_min(priced)["config"]
+        now = F.transform(state["known"], lambda k: k.withField("price", F.when(k["config"] == target, F.least(k["price"], c["price"])).otherwise(k["price"])))
+        return F.struct(now.alias("known"), F.concat(state["targets"], F.array(F.struct(c["config"].alias("config"), F.coalesce(target, c["config"]).alias("target")))).alias("targets"))
+
+    start = F.struct(F.col("known"), F.array().cast("array<struct<config:string,target:string>>").alias("targets"))
+    done = models.select("model", known.alias("known"), partial.alias("partial")).select("model", "known", F.aggregate("partial", start, folded)["targets"].alias("targets"))
+    every = F.concat(F.transform("known", lambda k: F.struct(k["config"].alias("config"), k["config"].alias("target"))), F.col("targets"))
+    return done.select("model", F.explode(every).alias("t")).select("model", "t.config", "t.target")
 
 
 def attach_first(candidates: DataFrame, listings: DataFrame, side: DataFrame, key: str, on: str, columns: list[str]) -> DataFrame:

@@ -156,13 +156,33 @@ def sibling_configs(spark, sf_dir):
     return out.select(*KEYS, F.array_join(F.transform("siblings", lambda s: F.concat_ws(":", s["config"], s["low"])), ",").alias("siblings"))
 
 
-@query(f"""WITH {LISTING}, l AS (SELECT model, config, min(price) AS price, min(ord) AS ord FROM listing GROUP BY ALL),
-t AS (SELECT u.model, u.config, k.config AS target, row_number() OVER (PARTITION BY u.model, u.config ORDER BY split_part(k.config, '-', 2) <> split_part(u.config, '-', 2), k.price, k.ord) AS n FROM l u JOIN l k ON u.model = k.model AND u.config LIKE '%?%' AND k.config NOT LIKE '%?%')
-SELECT l.model, l.config, coalesce(t.target, l.config) AS target FROM l LEFT JOIN t ON l.model = t.model AND l.config = t.config AND t.n = 1""")
+def _fold_sql(rows: str) -> str:
+    """Folds one after another, in the order of first listings: the state is the list of known configurations."""
+    return f"""WITH RECURSIVE {rows},
+c AS (SELECT model, config, min(price) AS price, min(ord) AS ord FROM listing GROUP BY ALL),
+k AS (SELECT model, list(struct_pack(price := coalesce(CAST(price AS DOUBLE), CAST('inf' AS DOUBLE)), ord := ord, config := config) ORDER BY ord, config) AS known FROM c WHERE config NOT LIKE '%?%' GROUP BY model),
+p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ord, config) AS n FROM c WHERE config LIKE '%?%'),
+f(model, n, known, config, target) AS (SELECT model, CAST(0 AS BIGINT), known, '', '' FROM k UNION ALL
+ SELECT model, n, list_transform(known, lambda x: struct_pack(price := CASE WHEN x.config = t THEN least(x.price, price) ELSE x.price END, ord := x.ord, config := x.config)), config, coalesce(t, config) FROM (
+  SELECT *, list_min(list_filter(CASE WHEN len(alike) > 0 THEN alike ELSE known END, lambda x: x.price < CAST('inf' AS DOUBLE))).config AS t FROM (
+   SELECT f.model, p.n, f.known, p.config, coalesce(CAST(p.price AS DOUBLE), CAST('inf' AS DOUBLE)) AS price, list_filter(f.known, lambda x: split_part(x.config, '-', 2) = split_part(p.config, '-', 2)) AS alike FROM f JOIN p ON f.model = p.model AND p.n = f.n + 1)))
+SELECT c.model, c.config, coalesce(f.target, c.config) AS target FROM c LEFT JOIN f ON c.model = f.model AND c.config = f.config"""
+
+
+@query(_fold_sql(LISTING))
 def fold_partial_configs(spark, sf_dir):
     return grouping.fold_configs(listings(spark, sf_dir))
 
 
+@query(_fold_sql("""listing AS (SELECT 'm' || (l_orderkey // 4) AS model, ['8r-128s', '?r-128s', '6r-64s', '?r-?s', '4r-64s', '6r-?s', '8r-256s', '?r-256s', '?r-512s'][l_partkey % 9 + 1] AS config, CASE WHEN l_partkey % 5 > 0 THEN CAST(floor(l_extendedprice) AS BIGINT) END AS price, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"""))
+def fold_in_order(spark, sf_dir):
+    """Several partly unknown configurations of a model, some without a price: an earlier fold makes its target cheaper for the next."""
+    n = F.col("l_partkey")
+    configs = F.array(*map(F.lit, ["8r-128s", "?r-128s", "6r-64s", "?r-?s", "4r-64s", "6r-?s", "8r-256s", "?r-256s", "?r-512s"]))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("m"), F.floor(F.col("l_orderkey") / 4)).alias("model"), F.get(configs, (n % 9).cast("int")).alias("config"), F.when(n % 5 > 0, F.floor("l_extendedprice")).alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return grouping.fold_configs(rows)
+
+
 @query("WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS score FROM part), m AS (SELECT p_brand, coalesce(median(score), 50) * CAST(0.9 AS DOUBLE) AS peer FROM s GROUP BY p_brand) SELECT p_partkey, floor(coalesce(score, peer) * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS score FROM s JOIN m USING (p_brand)")
 def peer_median_impute(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double")).alias("score"))

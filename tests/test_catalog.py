@@ -208,3 +208,11 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "catalog_rank" in e.queries()
+
+
+def test_earlier_folds_change_later_targets(spark):
+    """The known one of 128 is dearer until '?r-128s' folds into it; then '?r-?s' follows, where prices before folds say 64."""
+    rows = [("m", "8r-128s", 100, 1), ("m", "6r-64s", 90, 2), ("m", "?r-128s", 80, 3), ("m", "?r-?s", 70, 4), ("m", "4r-?s", None, 5), ("u", "8r-128s", None, 6), ("u", "?r-128s", 5, 7)]
+    got = {(r["model"], r["config"]): r["target"] for r in grouping.fold_configs(spark.createDataFrame(rows, "model string, config string, price long, ord long")).collect()}
+    assert got[("m", "?r-128s")] == got[("m", "?r-?s")] == got[("m", "4r-?s")] == "8r-128s"
+    assert got[("u", "?r-128s")] == "?r-128s"
