@@ -83,14 +83,20 @@ def page_price(listings: DataFrame, checkouts: DataFrame) -> DataFrame:
     return both.withColumns({"card_price": F.when(off, F.col("price")), "mrp": F.when(off, F.coalesce("page_mrp", "mrp")).otherwise(F.col("mrp")), "price": F.when(off, F.col("page_price").cast("double")).otherwise(F.col("price"))}).drop("page_price", "page_mrp")
 
 
-def reviews(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, stars, text, verified, date): the reviews of a page of them."""
-    parts = F.split(text_col, r"(?=\b[1-5]\.\d\s*•\s)")
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("pos", "part")).where(F.col("part").rlike(r"^[1-5]\.\d\s*•\s"))
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("part", r"^[1-5]\.\d\s*•\s*", ""), r"(?i)Review for:([^|]*?Storage\s*\d+\s*GB\s*)?", " "), r"(?is)\s*Helpful for.*$", " ")
-    for entity, char in (("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+def _first(c: Column, pattern: str) -> Column:
+    """Without the first match of a pattern, a space in its place."""
+    return F.regexp_replace(c, f"(?is)^(.*?){pattern}", "$1 ")
+
+
+def reviews(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, pos, stars, text, verified, date): the reviews of a page of them, in their order; columns ``more`` come along."""
+    parts = F.split(spaced(F.col(text_col)), r"(?=\b[1-5]\.\d\s*•\s)")
+    rows = df.select(F.col(id_col).alias("id"), *more, F.posexplode(parts).alias("pos", "part")).where(F.col("part").rlike(r"^[1-5]\.\d\s*•\s"))
+    body = _first(_first(F.regexp_replace("part", r"^[1-5]\.\d\s*•\s*", ""), r"Review for:[^|]*?Storage\s*\d+\s*GB\s*"), r"Review for:\s*")
+    body = F.regexp_replace(body, r"(?is)\s*Helpful for.*$", " ")
+    for entity, char in (("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&amp;", "&"), ("&nbsp;", " ")):
         body = F.replace(body, F.lit(entity), F.lit(char))
-    return rows.select("id", "pos", F.substring("part", 1, 3).cast("double").alias("stars"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("text"), matches(F.col("part"), "Verified Purchase").alias("verified"), found(F.col("part"), r"(?i)Verified Purchase\s*·\s*([A-Za-z]{3,9},?\s*\d{4})").alias("date"))
+    return rows.select("id", *more, "pos", F.substring("part", 1, 3).cast("double").alias("stars"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("text"), matches(F.col("part"), "Verified Purchase").alias("verified"), found(F.col("part"), r"(?i)Verified Purchase\s*·\s*([A-Za-z]{3,9},?\s*\d{4})").alias("date"))
 
 
 def histogram(c: Column) -> Column:

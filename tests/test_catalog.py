@@ -216,3 +216,18 @@ def test_earlier_folds_change_later_targets(spark):
     got = {(r["model"], r["config"]): r["target"] for r in grouping.fold_configs(spark.createDataFrame(rows, "model string, config string, price long, ord long")).collect()}
     assert got[("m", "?r-128s")] == got[("m", "?r-?s")] == got[("m", "4r-?s")] == "8r-128s"
     assert got[("u", "?r-128s")] == "?r-128s"
+
+
+def test_reviews_of_a_product(spark):
+    from stallmark.operators import reviews
+
+    page = "Great 4.2 ★ 1,234 Ratings and 56 Reviews 5 ★ 100 4 ★ 50 3 ★ 20 2 ★ 10 1 ★ 20 5.0 • Review for: Phone Color Red Storage 128 GB Battery is great and it heats up. Not bad camera Verified Purchase · Mar, 2025 Helpful for 3 1.0 • The sound! Doesn&#x27;t heat, battery is a waste 3.0 • display 4.0 • " + "Battery " + "very " * 20 + "good"
+    rows = spark.createDataFrame([("a", 1, page), ("a", 2, "2.0 • camera, CAMERA is poor"), ("b", 1, "nothing here"), ("c", 1, None)], "key string, ord int, text string")
+    got = {r["key"]: r for r in reviews.summaries(rows).collect()}
+    a = got["a"]
+    assert (a["total_ratings"], a["total_reviews"], a["sampled"], a["distribution"][2], a["negative_share"]) == (1234, 56, 5, 10, 30 / 200)
+    tally = {t["aspect"]: (t["positive"], t["negative"], t["example"]) for t in a["aspects"]}
+    assert tally == {"battery": (2, 1, "Battery is great"), "camera": (1, 2, "Not bad camera Verified Purchase · Mar"), "heating": (1, 1, "it heats up"), "sound": (0, 1, "The sound")}
+    assert [t["aspect"] for t in a["aspects"]] == ["battery", "camera", "heating", "sound"]
+    assert [t["aspect"] for t in a["praised"]] == ["battery"] and [t["aspect"] for t in a["complained"]] == ["camera"]
+    assert got["b"]["sampled"] == got["c"]["sampled"] == 0 and got["b"]["aspects"] == [] and got["c"]["distribution"] is None
