@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import written
 from ..functions.parse import found, matches, normal_model
+from .globalrank import global_sum_before
 
 # Brands whose products are listed under another one.
 PARENTS = {"poco": "xiaomi", "redmi": "xiaomi", "iqoo": "vivo", "cmf": "nothing", "moto": "motorola"}
 
 
-def index_entries(pages: DataFrame, brand_col: str = "brand", html_col: str = "html") -> DataFrame:
-    """(slug, brand, name): the models that brand pages link to, the first page of each slug."""
+def index_entries(pages: DataFrame, brand_col: str = "brand", html_col: str = "html", page_col: str | None = None, order_col: str | None = None, most: int | None = None) -> DataFrame:
+    """(slug, brand, name): the models that brand pages link to, the first page of each slug.
+
+    With ``page_col`` a brand's pages are numbered from 1 and count up to the first that links to none or is not there, ``most`` at
+    most; brands come in the order of ``order_col``, or of their names.
+    """
     link = r'href="(?:https?://[^/"]+/)?([a-z0-9_]+-\d+\.php)"[^>]*>(?:<[^>]+>)*\s*([^<]{2,44})'
     slugs, names = (F.regexp_extract_all(html_col, F.lit(link), F.lit(g)) for g in (1, 2))
-    rows = pages.select(F.col(brand_col).alias("brand"), F.posexplode(F.arrays_zip(slugs.alias("slug"), names.alias("name"))).alias("pos", "e"))
-    rows = rows.select("brand", "pos", "e.slug", F.trim(F.regexp_replace("e.name", r"\s+", " ")).alias("name")).where(~matches(F.col("name"), "^(home|news|reviews|compare|deals)?$"))
-    return rows.groupBy("slug").agg(F.min_by(F.struct("brand", "name"), F.struct("brand", "pos")).alias("e")).select("slug", "e.brand", "e.name")
+    rows = pages.select(F.col(brand_col).alias("brand"), F.col(page_col or F.lit(1)).alias("page"), F.col(order_col or brand_col).alias("turn"), F.posexplode(F.arrays_zip(slugs.alias("slug"), names.alias("name"))).alias("pos", "e"))
+    rows = rows.select("brand", "page", "turn", "pos", "e.slug", F.trim(F.regexp_replace("e.name", r"\s+", " ")).alias("name")).where(~matches(F.col("name"), "^(home|news|reviews|compare|deals)?$"))
+    if most is not None:
+        rows = rows.where(F.col("page") <= most)
+    if page_col is not None:
+        # Pages that link to something, in order: those that stand at their own number come before the first gap.
+        full = F.sort_array(F.collect_set(F.when(F.col("page") >= 1, F.col("page").cast("int"))))
+        reach = rows.groupBy("brand").agg(F.size(F.filter(full, lambda p, i: p == i + 1)).alias("_reach"))
+        rows = rows.join(reach, "brand").where(F.col("page").between(1, F.col("_reach")))
+    return rows.groupBy("slug").agg(F.min_by(F.struct("brand", "name"), F.struct("turn", "page", "pos")).alias("e")).select("slug", "e.brand", "e.name")
 
 
 def resolve(products: DataFrame, index: DataFrame, id_col: str = "id", name_col: str = "name", brand_col: str = "brand") -> DataFrame:
@@ -134,8 +147,43 @@ def failure(d: DataFrame) -> DataFrame:
     return d.withColumn("failure", F.when(F.col("status") == "error", "crawler_error").when(F.col("raw_cards") == 0, "empty").when(F.col("category_matched") == 0, "wrong_products").when(thin, "fields_missing").otherwise("healthy"))
 
 
+#: How many pages that said little are read a second time, rendered, and the families of facts from which a page says enough.
+RESCUES, ENOUGH = 12, 2
+
+
+def _wanted(candidates: DataFrame, cached: DataFrame) -> DataFrame:
+    """Candidates with an address that are neither fully specified nor cached."""
+    full = (F.col("completeness") >= 0.95) & (F.col("kb_confidence") == "high") & F.col("checkout").isNotNull()
+    return candidates.where(F.col("url").isNotNull() & ~F.coalesce(full, F.lit(False))).join(cached.select("page_key").distinct(), "page_key", "left_anti")
+
+
 def fetch_queue(candidates: DataFrame, cached: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
     """What to fetch: candidates with a URL that are neither fully specified nor cached, the least complete first."""
-    full = (F.col("completeness") >= 0.95) & (F.col("kb_confidence") == "high") & F.col("checkout").isNotNull()
-    todo = candidates.where(F.col("url").isNotNull() & ~F.coalesce(full, F.lit(False))).join(cached.select("page_key").distinct(), "page_key", "left_anti")
+    todo = _wanted(candidates, cached)
     return todo.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("completeness", "page_key"))).where(F.col("place") <= budget)
+
+
+def affordable(rows: DataFrame, by: str, order: list[str], cost: Column, budget: int, parts: int | None = None) -> DataFrame:
+    """Rows that a budget pays for, in order, with ``spent``: what those before them cost.
+
+    A row is paid while anything is left. Sums run over ranges of the whole order: no query's rows meet in one task.
+    """
+    out = global_sum_before(rows.withColumn("_cost", cost), [by], [F.col(c) for c in order], "_cost", "spent", parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return out.where(F.col("spent") < budget).drop("_cost")
+
+
+def fetch_rounds(candidates: DataFrame, cached: DataFrame, found: DataFrame, budget: int, rescues: int = RESCUES, paid: bool = True, by: str = "query_id", parts: int | None = None) -> DataFrame:
+    """(by, page_key, place, rescued): the pages that a budget lets read, the least complete product first, and which are read again.
+
+    A second round reads again, while ``rescues`` last, pages of a shop that loads its table late: those that were read directly
+    and said too little. ``found`` (page_key, via, richness) tells how each page was read and how many families of facts it names.
+    """
+    order = ["completeness", "page_key"]
+    first = affordable(_wanted(candidates, cached), by, order, F.lit(1), budget, parts).withColumn("place", (F.col("spent") + 1).cast("int")).drop("spent")
+    read = first.join(found.select("page_key", "via", "richness"), "page_key", "left")
+    if not paid:
+        return read.select(by, "page_key", "place", F.lit(False).alias("rescued"))
+    read = written(read, "first_round")
+    thin = read.where(F.col("url").contains("flipkart.com") & (F.col("via") == "direct") & (F.col("richness") < ENOUGH))
+    again = affordable(thin, by, order, F.lit(1), rescues, parts).select(by, "page_key", F.lit(True).alias("rescued"))
+    return read.join(again, [by, "page_key"], "left").select(by, "page_key", "place", F.coalesce("rescued", F.lit(False)).alias("rescued"))

@@ -45,3 +45,24 @@ def global_sum_before(df: DataFrame, by: list[str], order: list[Column], column:
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     own = F.coalesce(F.sum(column).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_own", own).join(before, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", "_part")
+
+
+def global_medians(df: DataFrame, by: list[str], columns: list[str], parts: int | None = None) -> DataFrame:
+    """(by..., <column>...): the exact median of each column's known values within ``by``, the mean of two middle ones.
+
+    Values are counted by level and the counts summed over ranges of their order, all columns in one pass: no buffer holds a
+    set's distinct values. A column without a known value is null.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
+    long = df.select(*by, F.inline(pairs)).where(F.col("v").isNotNull())
+    levels = written(long.groupBy(*by, "i", "v").agg(F.count("*").alias("_n")), "levels")
+    sizes = levels.groupBy(*by, "i").agg(F.sum("_n").alias("_all"))
+    line = global_sum_before(levels, [*by, "i"], [F.col("v")], "_n", "_under", parts).join(sizes, [*by, "i"])
+
+    def at(place: Column) -> Column:
+        return (F.col("_under") <= place) & (place < F.col("_under") + F.col("_n"))
+
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = line.where(at(low) | at(high)).groupBy(*by, "i").agg((F.max(F.when(at(low), F.col("v"))) * 0.5 + F.max(F.when(at(high), F.col("v"))) * 0.5).alias("m"))
+    return middle.groupBy(*by).agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(c) for i, c in enumerate(columns)))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import written
 from ..functions.maths import jround
+from .globalrank import global_sum_before
 
 
 def stock_rank(in_stock: Column) -> Column:
@@ -137,14 +139,24 @@ def topn_per(df: DataFrame, keys: list[str], order: list[Column], n: int, name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def nearest_ratio(known: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+def nearest_ratio(known: DataFrame, asked: DataFrame, n: int, parts: int | None = None) -> DataFrame:
     """(q, ratio): of the ``n`` known rows (k, x, r) nearest in x to each asked row (q, x), the upper median of r.
 
     A tie goes to the smaller k. An asked row that is known too counts among its own neighbours; one without x
-    has no ratio; known rows without x or r are left out. Distances are between distinct x only, and of the
-    known rows of one x the first ``n`` can be among the nearest, so that no asked row meets every known one.
+    has no ratio; known rows without x or r are left out.
+
+    Distinct known x are levels, numbered over ranges of their order, and of the rows of one level the first ``n`` can be among the
+    nearest. An asked x lies between two levels: the ``n`` on either side, met by their numbers in an equi-join, hold its neighbours.
     """
-    first = topn_per(known.where("x IS NOT NULL AND r IS NOT NULL"), ["x"], [F.col("k")], n).select(F.col("x").alias("kx"), "k", "r")
-    near = asked.where("x IS NOT NULL").select("x").distinct().join(first, F.lit(True)).withColumn("d", F.abs(F.col("x") - F.col("kx")))
-    ratios = topn_per(near, ["x"], [F.col("d"), F.col("k")], n).groupBy("x").agg(jround(upper_median("r"), 3).alias("ratio"))
-    return asked.join(ratios, "x", "left").select("q", "ratio")
+    first = topn_per(known.where("x IS NOT NULL AND r IS NOT NULL"), ["x"], [F.col("k")], n).groupBy("x").agg(F.collect_list(F.struct("k", "r")).alias("own"))
+    wanted = asked.where("x IS NOT NULL").select("x").distinct().withColumn("asked", F.lit(True))
+    both = first.join(wanted, "x", "full").withColumn("_level", F.when(F.col("own").isNotNull(), 1).otherwise(0))
+    line = written(global_sum_before(both, [], [F.col("x")], "_level", "_under", parts or int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "line")
+    place = (F.col("_under") + F.col("_level")).cast("long")
+    levels = line.where("_level = 1").select(place.alias("level"), F.col("x").alias("kx"), "own")
+    near = line.where("asked").select("x", F.explode(F.sequence(place - (n - 1), place + n)).alias("level")).join(levels, "level")
+    one = near.select("x", F.abs(F.col("x") - F.col("kx")).alias("d"), F.explode("own").alias("o"))
+    # 2 n levels of n rows at most for each x.
+    best = one.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "o.k", "o.r"))), 1, n).alias("b"))
+    middle = F.get(F.sort_array(F.transform("b", lambda b: b["r"])), F.floor(F.size("b") / 2).cast("int"))
+    return asked.join(best.select("x", jround(middle, 3).alias("ratio")), "x", "left").select("q", "ratio")

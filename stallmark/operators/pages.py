@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.maths import jround
 from ..functions.parse import found, matches, spaced
 from .text import html_to_text
 
@@ -28,12 +29,40 @@ def richness(c: Column, chips: Column) -> Column:
     return reduce(lambda a, b: a + b, (t.cast("int") for t in tests))
 
 
+#: Blocks of structured data in a page.
+LD_BLOCK = r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>([\s\S]{2,20000}?)</script>"""
+
+
+def _number(v: Column) -> Column:
+    """A whole number, halves up; no number is NaN, as null is zero."""
+    return F.when(F.is_variant_null(v), F.lit("0")).otherwise(F.coalesce(jround(F.try_variant_get(v, "$", "string").try_cast("double")).cast("long").cast("string"), F.lit("NaN")))
+
+
+def _text(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def json_ld(html: Column) -> Column:
-    """LD_PRICE, LD_SKU, LD_STOCK and LD_SELLER tokens of the first structured product with one positive price."""
-    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
-    offers = F.filter(F.transform(blocks, lambda b: F.struct(F.get_json_object(b, "$.offers.price").alias("price"), F.get_json_object(b, "$.sku").alias("sku"), F.get_json_object(b, "$.offers.availability").alias("stock"), F.get_json_object(b, "$.offers.seller.name").alias("seller"))), lambda o: o["price"].try_cast("double") > 0)
-    one = F.get(offers, F.lit(0))
-    return F.nullif(F.concat_ws(" ", *(F.concat(F.lit(f"LD_{k.upper()}="), F.regexp_replace(one[k], r"^https?://schema\.org/", "")) for k in ("price", "sku", "stock", "seller"))), F.lit(""))
+    """LD_PRICE, LD_SKU, LD_STOCK and LD_SELLER of the first structured product that is offered once, at a price.
+
+    Blocks come in the order of the page, the members of a block that is an array in theirs; what is no JSON is passed over. An
+    offer of several sellers is none: its lowest price, LD_LOW, is told before. Without a single offer nothing is told.
+    """
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(LD_BLOCK), F.lit(1)), lambda b: F.try_parse_json(F.trim(b)))
+    nodes = F.flatten(F.transform(F.filter(blocks, lambda v: v.isNotNull()), lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+
+    def told(v: Column) -> Column:
+        got = {k: F.try_variant_get(v, f"$.{path}", "variant") for k, path in (("price", "offers.price"), ("low", "offers.lowPrice"), ("type", "offers['@type']"), ("sku", "sku"), ("stock", "offers.availability"), ("seller", "offers.seller.name"))}
+        price = F.try_variant_get(got["price"], "$", "string").try_cast("double")
+        several = F.coalesce(F.lower(F.try_variant_get(got["type"], "$", "string")).contains("aggregate"), F.lit(False)) | (got["low"].isNotNull() & got["price"].isNull())
+        stock = F.nullif(F.element_at(F.split(F.try_variant_get(got["stock"], "$", "string"), "/"), -1), F.lit(""))
+        tokens = F.concat_ws(" ", F.concat(F.lit("LD_PRICE="), jround(price).cast("long").cast("string")), F.concat(F.lit("LD_SKU="), _text(got["sku"])), F.concat(F.lit("LD_STOCK="), stock), F.concat(F.lit("LD_SELLER="), _text(got["seller"])))
+        return F.struct((~several & F.coalesce(price > 0, F.lit(False))).alias("single"), tokens.alias("tokens"), F.when(got["low"].isNotNull(), F.concat(F.lit("LD_LOW="), _number(got["low"]))).alias("low"))
+
+    found_ = F.transform(nodes, told)
+    first = F.array_position(F.transform(found_, lambda t: t["single"]), F.lit(True)).cast("int")
+    lows = F.transform(F.slice(found_, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda t: t["low"])
+    return F.when(first > 0, F.concat_ws(" ", F.array_compact(lows), F.get(found_, first - 1)["tokens"]))
 
 
 def json_state_text(html: Column, cap: int = 20000) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as m
 from ..functions import parse
-from .globalrank import global_percent_rank, global_row_number
+from .globalrank import global_medians, global_percent_rank, global_row_number
 
 # Weights of the components of the specification score.
 WEIGHTS = {"performance": 0.30, "memory": 0.15, "display": 0.18, "battery": 0.17, "camera": 0.12, "extras": 0.08}
@@ -88,8 +88,9 @@ def weights(priorities: Column | None = None) -> dict[str, Column]:
 
 def imputed(scored: DataFrame, components: list[str], by: str = "query_id") -> DataFrame:
     """Adds <component>_peer: 0.9 of the median of those that have it, of 50 where none has."""
-    over = scored.groupBy(by).agg(*((F.coalesce(F.median(c), F.lit(50.0)) * 0.9).alias(f"{c}_peer") for c in components))
-    return scored.join(over, by)
+    over = global_medians(scored, [by], components).select(F.col(by).alias("_by"), *(F.col(c).alias(f"{c}_peer") for c in components))
+    out = scored.join(over, F.col(by) == F.col("_by"), "left").drop("_by")
+    return out.withColumns({f"{c}_peer": F.coalesce(f"{c}_peer", F.lit(50.0)) * 0.9 for c in components})
 
 
 def totals(scored: DataFrame, priorities: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import maths as m
 from ..functions import parse
 from ..functions.cut import written
 from ..operators import external, grouping, history, ranking, text
+from ..operators.globalrank import global_medians
 from .view import LISTING, OBSERVATION, listings, observations, table
 
 KEYS = ["model", "config"]
@@ -70,7 +71,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates(spark, sf_dir).join(intents(spark), F.lit(True))
     rows = rows.where((F.col("price") > 0) & F.coalesce(F.col("price") <= F.col("budget_max"), F.lit(True))).drop("budget_max")
     rows = written(rows.withColumn("spec", m.curve(F.col("size"), [(2, 10), (10, 60), (50, 100)])), "survivors")
-    rows = rows.join(rows.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior"), F.median("price").alias("med")), "query_id")
+    over = rows.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior")).join(global_medians(rows, ["query_id"], ["price"]).withColumnRenamed("price", "med"), "query_id")
+    rows = rows.join(over, "query_id")
     rows = rows.withColumn("trust", m.trust(F.col("rating"), F.col("rating_count"), F.col("prior")))
     rows = rows.withColumn("deal", m.deal(F.col("discount"), F.col("price"), F.col("price"), F.col("spread"), F.col("n_offers"), F.col("med")))
     rows = ranking.with_percentile(rows, F.col("spec") / (F.col("price") / 1000.0), "value")
@@ -331,6 +333,14 @@ def knn_ratio(spark, sf_dir):
     return grouping.nearest_ratio(parts.select(F.col("p_partkey").alias("k"), "x", "r"), parts.select(F.col("p_partkey").alias("q"), "x"), 5)
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_retailprice + p_size / CAST(1000 AS DOUBLE) AS x, CASE WHEN p_partkey % 3 > 0 THEN p_size / p_retailprice END AS r FROM part),
+n AS (SELECT q.k AS q, o.r, row_number() OVER (PARTITION BY q.k ORDER BY abs(q.x - o.x), o.k) AS i FROM p q JOIN p o ON o.r IS NOT NULL) SELECT q, floor(list_sort(list(r))[3] * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS ratio FROM n WHERE i <= 5 GROUP BY q""")
+def knn_continuous(spark, sf_dir):
+    """Every part against those with a known ratio, by a price that hardly two share."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_retailprice") + F.col("p_size") / 1000.0).alias("x"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size") / F.col("p_retailprice")).alias("r"))
+    return grouping.nearest_ratio(parts, parts.select(F.col("k").alias("q"), "x"), 5)
+
+
 @query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_discount, CASE l_linenumber % 3 WHEN 0 THEN 'Rs. ' WHEN 1 THEN 'Rs ' ELSE '₹' END || CAST(CAST(floor(l_extendedprice) AS BIGINT) // 1000 AS VARCHAR) || ',' || lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || ' only' AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN s LIKE 'Rs.%' THEN CAST('0.' || regexp_replace(s, '[^0-9]', '', 'g') AS DOUBLE) ELSE CAST(regexp_replace(s, '[^0-9]', '', 'g') AS DOUBLE) END AS amount, CASE WHEN l_discount > 0 THEN floor(l_discount * 100 + CAST(0.5 AS DOUBLE)) END AS pct FROM t""")
 def money_parse(spark, sf_dir):

@@ -58,3 +58,34 @@ def fetch_order(spark, sf_dir):
     cands = part.select(F.col("p_size").alias("query_id"), n.alias("page_key"), F.when(n % 9 > 0, F.concat(F.lit("https://shop.example/"), n)).alias("url"), (n % 21 / 20.0).alias("completeness"), F.when(n % 2 == 0, "high").otherwise("low").alias("kb_confidence"), F.when(n % 3 > 0, F.lit(True)).alias("checkout"))
     cached = part.where("p_partkey % 4 = 0").select(n.alias("page_key"))
     return external.fetch_queue(cands, cached, 15).select("query_id", "page_key", "place")
+
+
+@query("""WITH t AS (SELECT p_size % 5 AS query_id, p_partkey AS page_key, p_partkey % 21 / CAST(20 AS DOUBLE) AS completeness, p_partkey % 2 = 0 AS shop, p_partkey % 7 AS richness, p_partkey % 5 AS way FROM part WHERE p_partkey % 9 > 0 AND NOT (p_partkey % 21 >= 19 AND p_partkey % 2 = 0 AND p_partkey % 3 > 0) AND p_partkey % 4 > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY completeness, page_key) AS place FROM t QUALIFY place <= 150),
+r AS (SELECT query_id, page_key, row_number() OVER (PARTITION BY query_id ORDER BY completeness, page_key) AS turn FROM f WHERE shop AND way > 1 AND richness < 2)
+SELECT f.query_id, f.page_key, CAST(f.place AS INTEGER) AS place, coalesce(turn <= 12, false) AS rescued FROM f LEFT JOIN r USING (query_id, page_key)""")
+def fetch_rounds(spark, sf_dir):
+    """A budget of 150 pages for each of five large queries; pages of one shop, read directly, that say too little are read again, twelve a query."""
+    n = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    url = F.when(n % 9 > 0, F.concat(F.when(n % 2 == 0, "https://www.flipkart.com/").otherwise("https://shop.example/"), n))
+    cands = part.select((F.col("p_size") % 5).alias("query_id"), n.alias("page_key"), url.alias("url"), (n % 21 / 20.0).alias("completeness"), F.when(n % 2 == 0, "high").otherwise("low").alias("kb_confidence"), F.when(n % 3 > 0, F.lit(True)).alias("checkout"))
+    found = part.select(n.alias("page_key"), F.when(n % 5 > 1, "direct").when(n % 5 == 1, "unlocker").alias("via"), (n % 7).alias("richness"))
+    return external.fetch_rounds(cands, part.where("p_partkey % 4 = 0").select(n.alias("page_key")), found, 150)
+
+
+@query("""WITH p AS (SELECT p_brand AS brand, p_size % 5 + 1 AS page, p_partkey AS pos, 'w_' || (p_partkey % 300) || '-' || (p_partkey % 300) || '.php' AS slug, 'Widget ' || p_partkey AS name FROM part),
+k AS (SELECT * FROM p WHERE NOT (brand LIKE '%2' AND page = 2) AND NOT (brand LIKE '%3' AND page = 3) AND page <= 4 AND name NOT LIKE '%7'),
+e AS (SELECT brand, page, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT brand, min(q.page) AS stop FROM (SELECT DISTINCT brand FROM p) b, (VALUES (1), (2), (3), (4), (5)) q(page) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.brand = b.brand AND e.page = q.page) GROUP BY brand)
+SELECT slug, arg_min(k.brand, (k.brand, page, pos)) AS brand, arg_min(name, (k.brand, page, pos)) AS name FROM k JOIN g ON k.brand = g.brand AND k.page < g.stop GROUP BY slug""")
+def index_walk(spark, sf_dir):
+    """Numbered pages of every brand: one brand's second page has no links, another's third is missing, a slug is on several pages."""
+    n = F.col("p_partkey")
+    slug = F.concat(F.lit("w_"), n % 300, F.lit("-"), n % 300, F.lit(".php"))
+    name = F.when(n % 10 == 7, "News").otherwise(F.concat(F.lit("Widget "), n))
+    link = F.concat(F.lit('<li><a href="'), F.when(n % 2 == 0, "https://index.example/").otherwise(""), slug, F.lit('" title="x"><img src=a><strong>'), name, F.lit("</strong></a>"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") % 5 + 1).alias("page"), n.alias("pos"), link.alias("link"))
+    empty = F.col("brand").endswith("2") & (F.col("page") == 2)
+    pages = rows.where(~(F.col("brand").endswith("3") & (F.col("page") == 3))).groupBy("brand", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "link"))), lambda x: x["link"]), "\n").alias("links"))
+    pages = pages.select("brand", "page", F.when(empty, "<p>No phones</p>").otherwise(F.col("links")).alias("html"))
+    return external.index_entries(pages, page_col="page", most=4)

@@ -9,6 +9,7 @@ from ..functions import maths as m
 from ..functions import parse
 from ..functions.cut import written
 from ..operators import grouping, knowledge, ranking, specs, text
+from ..operators.globalrank import global_medians
 
 # Patterns of each category (strong, weak, veto), in order of precedence.
 _PARTS = r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|{}hinge|protector|stand|holder|replacement|spare)\b"
@@ -160,7 +161,8 @@ def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: in
     })
     s = written(s, "components")
     s = ranking.totals(ranking.imputed(s, list(ranking.WEIGHTS)), F.col("priorities"))
-    over = s.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior"), F.median("price").alias("middle"))
+    s = written(s, "totals")
+    over = s.groupBy("query_id").agg(F.coalesce(F.avg("rating"), F.lit(4.0)).alias("prior")).join(global_medians(s, ["query_id"], ["price"]).withColumnRenamed("price", "middle"), "query_id")
     s = s.join(over, "query_id").withColumn("vouched", m.corroboration(F.col("rating_count"), known))
     spec = F.col("spec_total") * F.col("vouched")
     told = {k: F.col(f"recorded_{k}") for k in ("low", "runs", "position", "trend")} if "recorded_runs" in cands.columns else None

@@ -151,6 +151,21 @@ def page_state(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", shown.alias("state"), report.refreshable(url).alias("again"), F.substring(whole, F.length(shown) + 4, F.lit(100)).alias("product"))
 
 
+_LD = """CASE page_id % 8
+ WHEN 0 THEN '<script type="application/ld+json">[{"@type":"Crumbs"},{"offers":{"@type":"AggregateOffer","lowPrice":' || page_id || '.5,"price":5}},{"sku":"S' || page_id || '","offers":{"price":"' || (page_id + 10) || '.5","availability":"https://schema.org/InStock","seller":{"name":"Shop A"}}},{"offers":{"price":1}}]</script>'
+ WHEN 1 THEN '<script id="x" type=''application/ld+json'' defer>{broken</script><script type="application/ld+json">{"sku":5,"offers":{"price":' || (page_id + 1) || ',"availability":""}}</script>'
+ WHEN 2 THEN '<script type="application/ld+json">{"offers":{"lowPrice":"' || page_id || '","highPrice":9}}</script>'
+ WHEN 3 THEN '<script type="application/ld+json">{"offers":{"lowPrice":"x"}}</script><SCRIPT TYPE="application/ld+json">{"offers":{"price":0,"lowPrice":null}}</SCRIPT><script type="application/ld+json"> {"offers":{"price":7,"seller":{"name":3},"availability":"OutOfStock"}} </script>'
+ WHEN 4 THEN '<script type="application/ld+json">{"offers":[{"price":7}]}</script>' WHEN 5 THEN '<script>{"offers":{"price":7}}</script>'
+ WHEN 6 THEN '<script type="application/ld+json">{"offers":{"price":"1,299"}}</script><script type="application/ld+json">[]</script><script type="application/ld+json">{"offers":{"price":12.49}}</script>' ELSE '' END"""
+
+
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'LD_LOW=' || (page_id + 1) || ' LD_PRICE=' || (page_id + 11) || ' LD_SKU=S' || page_id || ' LD_STOCK=InStock LD_SELLER=Shop A' WHEN 1 THEN 'LD_PRICE=' || (page_id + 1) WHEN 3 THEN 'LD_LOW=NaN LD_LOW=0 LD_PRICE=7 LD_STOCK=OutOfStock' WHEN 6 THEN 'LD_PRICE=12' END AS told FROM pages""")
+def structured_products(spark, sf_dir):
+    """Arrays of nodes, offers of several sellers before and instead of a single one, broken JSON, prices as texts, numbers and neither."""
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_LD).alias("html")).select("page_id", pages.json_ld(F.col("html")).alias("told"))
+
+
 @query("""SELECT p_brand AS brand, count(*) AS models FROM part GROUP BY p_brand""")
 def models_per_brand(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("models"))
