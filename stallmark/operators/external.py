@@ -21,7 +21,7 @@ def index_entries(pages: DataFrame, brand_col: str = "brand", html_col: str = "h
     """
     link = r'href="(?:https?://[^/"]+/)?([a-z0-9_]+-\d+\.php)"[^>]*>(?:<[^>]+>)*\s*([^<]{2,44})'
     slugs, names = (F.regexp_extract_all(html_col, F.lit(link), F.lit(g)) for g in (1, 2))
-    rows = pages.select(F.col(brand_col).alias("brand"), F.col(page_col or F.lit(1)).alias("page"), F.col(order_col or brand_col).alias("turn"), F.posexplode(F.arrays_zip(slugs.alias("slug"), names.alias("name"))).alias("pos", "e"))
+    rows = pages.select(F.col(brand_col).alias("brand"), (F.col(page_col) if page_col else F.lit(1)).alias("page"), F.col(order_col or brand_col).alias("turn"), F.posexplode(F.arrays_zip(slugs.alias("slug"), names.alias("name"))).alias("pos", "e"))
     rows = rows.select("brand", "page", "turn", "pos", "e.slug", F.trim(F.regexp_replace("e.name", r"\s+", " ")).alias("name")).where(~matches(F.col("name"), "^(home|news|reviews|compare|deals)?$"))
     if most is not None:
         rows = rows.where(F.col("page") <= most)
