@@ -15,7 +15,7 @@ CHARGING = [(10, 15), (18, 35), (33, 60), (45, 75), (67, 90), (100, 100)]
 REFRESH = [(60, 35), (90, 65), (120, 90), (144, 97), (165, 100)]
 CAMERA = [(8, 15), (13, 30), (32, 55), (50, 72), (64, 78), (108, 88), (200, 95)]
 UPDATES = [(0, 0), (2, 15), (4, 27), (6, 30)]
-PANELS = {"AMOLED": 100, "pOLED": 100, "PLS": 55, "IPS": 55, "TFT": 40}
+PANELS = {"AMOLED": 100, "pOLED": 100, "PLS LCD": 55, "IPS LCD": 55, "TFT LCD": 40}
 
 
 def jround(c: Column, digits: int = 0) -> Column:

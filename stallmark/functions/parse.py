@@ -103,21 +103,24 @@ def stable_id(platform: Column, text: Column) -> Column:
 def title_case(token: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in CASING.items() for x in kv))
     low = F.lower(token)
-    return F.coalesce(F.get(F.array(F.try_element_at(known, low)), F.lit(0)), F.when(low.rlike(r"^[a-z]{1,3}\d+[a-z]?$"), F.upper(token)), F.when(low.rlike(r"^\d"), token), F.concat(F.upper(F.substring(token, 1, 1)), F.substring(low, 2, 1000)))
+    return F.coalesce(F.get(F.array(F.try_element_at(known, low)), F.lit(0)), F.when(low.rlike(r"^[a-z]{1,3}\d+[a-z]?$"), F.upper(token)), F.when(low.rlike(r"^\d"), low), F.concat(F.upper(F.substring(token, 1, 1)), F.substring(low, 2, 1000)))
 
 
 def title_from_url(c: Column) -> Column:
-    """A product name from the words of a URL's path; null if under four characters are left."""
-    parts = F.filter(F.split(F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")), "/"), lambda s: s != "")
+    """A product name from the words of a URL's path; null if under four characters are left.
+
+    Long codes go, and of three words or more a last one of five to eight letters and digits that is no size: it is a code as well.
+    """
+    path = F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.when(F.try_parse_url(c, F.lit("HOST")).isNull(), F.substring_index(c, "?", 1)), F.lit(""))
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
     mark = F.array_position(F.transform(parts, lambda s: F.when(s.isin("p", "dp"), "p").otherwise(s)), "p").cast("int")
-    product = F.array_position(parts, "product").cast("int")
-    slug = F.coalesce(F.when(mark > 1, F.get(parts, mark - 2)), F.when(product > 0, F.get(parts, product)), F.element_at(F.concat(F.array(F.lit("")), parts), -1))
+    slug = F.coalesce(F.when(mark > 1, F.get(parts, mark - 2)), F.when(F.get(parts, F.lit(0)) == "product", F.get(parts, F.lit(1))), F.element_at(F.concat(F.array(F.lit("")), parts), -1))
     tokens = F.filter(F.split(slug, "[-_]"), lambda t: (t != "") & ~t.rlike("(?i)^itm[0-9a-f]{6,}$") & ~t.rlike("(?i)^[0-9a-f]{10,}$"))
     last = F.element_at(F.concat(F.array(F.lit("")), tokens), -1)
-    opaque = (F.size(tokens) > 2) & last.rlike(r"(?i)^(?=.*\d)(?=.*[a-z])[a-z0-9]{5,8}$") & ~last.rlike(r"(?i)^\d+(gb|tb|mah|mp|hz|w|inch|cm|mm)$")
+    opaque = (F.size(tokens) > 2) & last.rlike(r"(?i)^[a-z0-9]{5,8}$") & ~last.rlike(r"(?i)^\d+(gb|tb|mp|mah|hz)?$")
     kept = F.when(opaque, F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
     title = F.array_join(F.transform(kept, title_case), " ")
-    return F.when(F.length(title) >= 4, title)
+    return F.when((F.length(slug) >= 4) & (F.length(title) >= 4), title)
 
 
 def clean_name(c: Column) -> Column:

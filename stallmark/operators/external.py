@@ -54,7 +54,7 @@ def spec_page(df: DataFrame, c: Column, prefix: str = "external") -> DataFrame:
 
     chip = r"Chipset\s+(?:Qualcomm\s+\w+\s+|Mediatek\s+|Google\s+|Samsung\s+|Unisoc\s+|Apple\s+)?([A-Za-z][\w+ .]{2,34}?)\s*\(\d+\s*nm\)"
     shown = found(c, r"(?i)Display\s+Type\s+([A-Za-z+ ]{3,24}?)(?:,|\s+\d)")
-    panel = F.when(matches(shown, "amoled"), "AMOLED").when(matches(shown, "oled"), "pOLED").when(matches(shown, "ips"), "IPS").when(matches(shown, "tft|lcd"), "TFT")
+    panel = F.when(matches(shown, "amoled"), "AMOLED").when(matches(shown, "oled"), "pOLED").when(matches(shown, "ips"), "IPS LCD").when(matches(shown, "tft|lcd"), "TFT LCD")
     wide = number(r"Resolution\s+(\d{3,4})\s*x")
     fields = {
         "name": F.trim(found(c, r"(?im)^\s*([\w+.\- ]{3,60}?)\s*-\s*Full phone specifications")), "soc_name": F.trim(F.regexp_replace(found(c, f"(?i){chip}"), r"\s+", " ")), "antutu": number(r"AnTuTu:\s*(\d{4,7})"), "battery_mah": number(r"(\d{4,5})\s*mAh"),

@@ -42,10 +42,10 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CARD = """WITH t AS (SELECT p_partkey AS n, p_size AS size, p_partkey // 100 % 3 AS shop FROM part),
 c AS (SELECT *, CASE shop WHEN 0 THEN 'flipkart' WHEN 1 THEN 'amazon' ELSE 'unknown' END AS platform, CASE n % 3 WHEN 0 THEN size * 100 WHEN 1 THEN size * 1000 + n % 1000 END AS price, n % 13 = 0 AS error FROM t),
-m AS (SELECT *, CASE WHEN n % 15 = 0 THEN size * 150 END AS mrp FROM c)"""
+m AS (SELECT *, CASE WHEN n % 5 = 0 AND n % 3 <> 1 THEN size * 150 END AS mrp FROM c)"""
 
 
-@query(_CARD + """ SELECT platform, 'Widget ' || n AS title, CAST(price AS DOUBLE) AS price, CAST(mrp AS DOUBLE) AS mrp, CAST(CASE WHEN n % 7 = 0 THEN 25 WHEN mrp IS NOT NULL THEN 33 END AS INTEGER) AS discount_pct, CASE n % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false END AS in_stock,
+@query(_CARD + """ SELECT platform, 'Widget ' || n AS title, CAST(price AS DOUBLE) AS price, CAST(mrp AS DOUBLE) AS mrp, CAST(CASE WHEN n % 7 = 0 THEN 25 WHEN mrp IS NOT NULL AND price IS NOT NULL THEN 33 END AS INTEGER) AS discount_pct, CASE n % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false END AS in_stock,
  CASE WHEN n % 4 > 0 THEN (n % 20 + 30) / CAST(10 AS DOUBLE) END AS rating, CASE WHEN n % 4 > 0 THEN CAST((n % 90 + 1) * 1000 AS BIGINT) END AS rating_count, n % 8 = 0 AS sponsored, concat_ws(',', CASE WHEN price IS NULL THEN 'price' END, CASE WHEN mrp IS NULL THEN 'mrp' END, CASE WHEN n % 4 = 0 THEN 'rating' END) AS missing FROM m WHERE NOT error AND (n % 11 > 0 OR shop = 0)""")
 def card_listings(spark, sf_dir):
     """Cards of any shape to listings; error cards and those without a title or an address go."""

@@ -52,14 +52,47 @@ def classify_text(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT *, p_partkey % 11 < 4 AS lit, p_partkey % 13 < 5 AS cam FROM part) SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN p_size % 6 * 2 + 2 END AS ram_gb, CASE WHEN p_partkey % 3 = 0 THEN p_size % 4 * 64 + 64 END AS storage_gb, CASE WHEN p_partkey % 7 < 3 AND p_size >= 5 THEN p_size * 100 + 1000 END AS battery_mah,
- CASE WHEN p_partkey % 7 < 3 AND p_size >= 2 THEN p_size + 8 END AS charging_w, CASE WHEN lit THEN CAST('6.' || (p_size % 9 + 10) AS DOUBLE) END AS display_inches, CASE WHEN lit AND p_size % 3 = 0 THEN 120 END AS refresh_hz, CASE WHEN lit THEN CASE WHEN p_size % 2 = 0 THEN 'AMOLED' ELSE 'IPS' END END AS panel, CASE WHEN lit THEN CASE WHEN p_size % 2 = 0 THEN 'FHD+' ELSE 'HD+' END END AS resolution,
- CASE WHEN cam THEN p_size + 1 END AS main_camera_mp, CASE WHEN cam THEN CAST('1.' || (p_size % 10) AS DOUBLE) END AS aperture, CASE WHEN cam THEN true END AS ois, CASE WHEN cam THEN true END AS nfc, CASE WHEN cam THEN 'IP54' END AS ip_rating, CASE WHEN p_partkey % 3 = 0 THEN true END AS has5g, CASE WHEN p_partkey % 3 = 0 THEN 'Ocean Blue' END AS colour FROM s""")
+ CASE WHEN p_partkey % 7 < 3 AND p_size >= 2 THEN p_size + 8 END AS charging_w, CASE WHEN lit THEN CAST('6.' || (p_size % 9 + 10) AS DOUBLE) END AS display_inches, CASE WHEN lit AND p_size % 3 = 0 THEN 120 END AS refresh_hz, CASE WHEN lit THEN CASE WHEN p_size % 2 = 0 THEN 'AMOLED' ELSE 'IPS LCD' END END AS panel, CASE WHEN lit THEN CASE WHEN p_size % 2 = 0 THEN 'FHD+' ELSE 'HD+' END END AS resolution,
+ CASE WHEN cam AND p_size >= 9 THEN p_size + 1 END AS main_camera_mp, CASE WHEN cam THEN CAST('1.' || (p_size % 10) AS DOUBLE) END AS aperture, CASE WHEN cam THEN true END AS ois, CASE WHEN cam THEN true END AS nfc, CASE WHEN cam THEN 'IP54' END AS ip_rating, CASE WHEN p_partkey % 3 = 0 THEN true END AS has5g, CASE WHEN p_partkey % 3 = 0 THEN 'Ocean Blue' END AS colour FROM s""")
 def regex_specs(spark, sf_dir):
     fields = ["ram_gb", "storage_gb", "battery_mah", "charging_w", "display_inches", "refresh_hz", "panel", "resolution", "main_camera_mp", "aperture", "ois", "nfc", "ip_rating", "has5g", "colour"]
     out = specs.merged(specs.with_specs(titles(spark, sf_dir), F.col("title"), "title"), ["title"])
     return out.select("p_partkey", *fields)
 
 
+# Titles and the model keys that the rules make of them; then texts and the lenses, panels and claims in them.
+KEYED = [
+    ("realme 12x 5G Twilight Purple", "realme 12x 5g"), ("Samsung Galaxy-M14 5G (Smoky Teal, 128 GB)", "samsung galaxy m14 5g"), ("POCO C61 refurbished phone", "poco c61"), ("Nothing Phone (4a) (Blue, 256 GB)", "nothing 4a"), ("Midnight Black Case", "midnight black case"),
+    ("Moto G45 5G 8GB RAM 128 GB | Vegan leather", "moto g45 5g"), ("New latest smartphone vivo T3x", "vivo t3x"), ("Nothing Phone (4a) 2 (4b) Pro Blue", "nothing 2 pro 4a 4b"), ("one two three four five six seven", "one two three four five six"), ("OnePlus Nord CE4 locked with Jio Blue", "oneplus nord ce4"), ("(only brackets)", ""), ("Galaxy S24+ Titanium Grey", "galaxy s24+"), ("Starlight Midnight (2a)", "starlight midnight"),
+]
+LENSES = [
+    ("8MP + 50MP camera", {"main_camera_mp": 50}), ("50MP + 8MP ultrawide + 10MP telephoto, 3x optical", {"main_camera_mp": 50, "ultra_wide_mp": 8, "tele_mp": 10}), ("ultra wide 12MP for groups and landscapes, telephoto 64MP", {"main_camera_mp": 12, "ultra_wide_mp": 12, "tele_mp": 64}), ("108MP + 12MP + 8MP + 2MP, 3x tele", {"main_camera_mp": 108, "ultra_wide_mp": 8, "tele_mp": 12}),
+    ("6.5 inch LCD display", {"panel": "TFT LCD"}), ("IPX4 rated IPS screen", {"panel": "IPS LCD"}), ("IP68, PLS panel", {"ip_rating": "IP68", "panel": "PLS LCD"}), ("AnTuTu 1234", {}), ("AnTuTu: 62K", {"antutu": 62000}), ("antutu 1234567", {"antutu": 1234567}), ("AMOLED poster", {}), ("P-OLED touch, f/ 1.8", {"panel": "pOLED", "aperture": 1.8}),
+    ("50MP telephoto", {"main_camera_mp": 50}), ("4+64GB (Deep Sea, 1 TB)", {"ram_gb": 4, "storage_gb": 64, "colour": "Deep Sea"}), ("33 W adapter, 45W radio", {"charging_w": 33}), ("2.4 inch IPS 60Hz HD 5G OIS 1000mAh", {}),
+]
+
+
+def _cases(values: list[object], n: str = "p_partkey") -> str:
+    return f"CASE {n} % {len(values)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'") for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT p_partkey, {_cases([k for _, k in KEYED])} AS model FROM part")
+def title_keys(spark, sf_dir):
+    """Colours and stop words before and after two words, tags in brackets, conditions of sale, memory sizes, hyphens."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_cases([t for t, _ in KEYED])).alias("title")).select("p_partkey", specs.model_key(F.col("title")).alias("model"))
+
+
+_LENS_FIELDS = ["ram_gb", "storage_gb", "battery_mah", "charging_w", "refresh_hz", "panel", "resolution", "main_camera_mp", "ultra_wide_mp", "tele_mp", "aperture", "ois", "has5g", "ip_rating", "antutu", "colour"]
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{_cases([want.get(f) for _, want in LENSES])} AS {f}" for f in _LENS_FIELDS if any(f in w for _, w in LENSES)) + " FROM part")
+def lens_specs(spark, sf_dir):
+    """Several cameras with labels before and after, panels near a screen and not, claims with and without a K, a screen too small for a phone."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_cases([t for t, _ in LENSES])).alias("t"))
+    out = specs.with_specs(rows, F.col("t"), "x")
+    return out.select("p_partkey", *(F.col(f"x_{f}").alias(f) for f in _LENS_FIELDS if any(f in w for _, w in LENSES)))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Samsung' WHEN 1 THEN 'POCO' WHEN 2 THEN 'Noise' WHEN 3 THEN 'Sony' WHEN 4 THEN 'Nokia' WHEN 5 THEN 'Sony' WHEN 6 THEN 'OnePlus' END AS brand FROM part""")
 def brand_of_title(spark, sf_dir):
     return titles(spark, sf_dir).select("p_partkey", parse.brand(F.col("title")).alias("brand"))
@@ -79,7 +112,7 @@ def intent_parse(spark, sf_dir):
     return intent.intents(wishes).select("query_id", "category_wanted", "budget_min", "budget_max", "budget_operator", *lists)
 
 
-_PRODUCT = """product AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'phone' WHEN 1 THEN 'earbuds' WHEN 2 THEN 'headphone' WHEN 3 THEN 'accessory' ELSE 'unknown' END AS category, CASE WHEN p_size % 9 > 0 THEN p_size * 1000 END AS price, CASE p_size % 3 WHEN 0 THEN 'Samsung' WHEN 1 THEN 'realme' END AS brand, CASE p_size % 4 WHEN 0 THEN 'AMOLED' WHEN 1 THEN 'IPS' END AS panel, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has5g FROM part)"""
+_PRODUCT = """product AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'phone' WHEN 1 THEN 'earbuds' WHEN 2 THEN 'headphone' WHEN 3 THEN 'accessory' ELSE 'unknown' END AS category, CASE WHEN p_size % 9 > 0 THEN p_size * 1000 END AS price, CASE p_size % 3 WHEN 0 THEN 'Samsung' WHEN 1 THEN 'realme' END AS brand, CASE p_size % 4 WHEN 0 THEN 'AMOLED' WHEN 1 THEN 'IPS LCD' END AS panel, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has5g FROM part)"""
 _WISHES = [("w1", "phone", 30000, 5000, [], [], ["5g"]), ("w2", "unknown", 25000, None, ["Samsung"], [], []), ("w3", "headphone", None, None, [], ["realme"], ["amoled"]), ("w4", "earbuds", 9000, None, [], [], [])]
 
 
@@ -87,7 +120,7 @@ def _products(spark, sf_dir):
     n, size = F.col("p_partkey"), F.col("p_size")
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.when(n % 5 == 0, "phone").when(n % 5 == 1, "earbuds").when(n % 5 == 2, "headphone").when(n % 5 == 3, "accessory").otherwise("unknown").alias("category"), F.when(size % 9 > 0, size * 1000).alias("price"),
-        F.when(size % 3 == 0, "Samsung").when(size % 3 == 1, "realme").alias("brand"), F.when(size % 4 == 0, "AMOLED").when(size % 4 == 1, "IPS").alias("panel"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("has5g"), F.lit(None).cast("boolean").alias("nfc"), F.lit(None).cast("boolean").alias("ois"),
+        F.when(size % 3 == 0, "Samsung").when(size % 3 == 1, "realme").alias("brand"), F.when(size % 4 == 0, "AMOLED").when(size % 4 == 1, "IPS LCD").alias("panel"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("has5g"), F.lit(None).cast("boolean").alias("nfc"), F.lit(None).cast("boolean").alias("ois"),
     )
 
 
@@ -98,7 +131,7 @@ def _wishes(spark):
 _REASONS = f"""WITH {_PRODUCT}, r AS (
 SELECT 'w1' AS query_id, p_partkey, [CASE WHEN category <> 'phone' THEN 'category' END, CASE WHEN category = 'accessory' THEN 'accessory' END, CASE WHEN price IS NULL THEN 'no price' END, CASE WHEN price > 30000 THEN 'over budget' END, CASE WHEN price < 5000 THEN 'below budget' END, CASE WHEN has5g = false THEN 'no 5g' END] AS r FROM product
 UNION ALL SELECT 'w2', p_partkey, [CASE WHEN category = 'accessory' THEN 'category' END, CASE WHEN category = 'accessory' THEN 'accessory' END, CASE WHEN price IS NULL THEN 'no price' END, CASE WHEN price > 25000 THEN 'over budget' END, CASE WHEN brand <> 'Samsung' THEN 'brand not requested' END] FROM product
-UNION ALL SELECT 'w3', p_partkey, [CASE WHEN category NOT IN ('headphone', 'earbuds') THEN 'category' END, CASE WHEN category = 'accessory' THEN 'accessory' END, CASE WHEN price IS NULL THEN 'no price' END, CASE WHEN brand = 'realme' THEN 'brand excluded' END, CASE WHEN panel = 'IPS' THEN 'not amoled' END] FROM product
+UNION ALL SELECT 'w3', p_partkey, [CASE WHEN category NOT IN ('headphone', 'earbuds') THEN 'category' END, CASE WHEN category = 'accessory' THEN 'accessory' END, CASE WHEN price IS NULL THEN 'no price' END, CASE WHEN brand = 'realme' THEN 'brand excluded' END, CASE WHEN panel = 'IPS LCD' THEN 'not amoled' END] FROM product
 UNION ALL SELECT 'w4', p_partkey, [CASE WHEN category NOT IN ('headphone', 'earbuds') THEN 'category' END, CASE WHEN category = 'accessory' THEN 'accessory' END, CASE WHEN price IS NULL THEN 'no price' END, CASE WHEN price > 9000 THEN 'over budget' END] FROM product),
 s AS (SELECT query_id, p_partkey, list_aggregate(list_concat(list_filter(r, lambda x: x IS NOT NULL), ['']), 'string_agg', ',') AS reasons FROM r)"""
 
@@ -121,7 +154,7 @@ def rejection_reasons(spark, sf_dir):
 
 
 _D = "CAST({} AS DOUBLE)"
-_PARTS = f"""c AS (SELECT p_partkey, p_size, CASE WHEN p_size % 4 > 0 THEN p_size * 40000 END AS antutu, CASE WHEN p_size % 3 > 0 THEN p_size % 16 + 1 END AS ram, CASE WHEN p_size % 5 > 0 THEN p_size * 20 END AS storage, CASE p_size % 6 WHEN 0 THEN 'AMOLED' WHEN 1 THEN 'IPS' WHEN 2 THEN 'TFT' WHEN 3 THEN 'OTHER' END AS panel, CASE WHEN p_size % 7 > 2 THEN p_size * 3 + 40 END AS refresh, CASE p_size % 4 WHEN 0 THEN 'QHD+' WHEN 1 THEN 'FHD+' WHEN 2 THEN 'HD+' END AS resolution,
+_PARTS = f"""c AS (SELECT p_partkey, p_size, CASE WHEN p_size % 4 > 0 THEN p_size * 40000 END AS antutu, CASE WHEN p_size % 3 > 0 THEN p_size % 16 + 1 END AS ram, CASE WHEN p_size % 5 > 0 THEN p_size * 20 END AS storage, CASE p_size % 6 WHEN 0 THEN 'AMOLED' WHEN 1 THEN 'IPS LCD' WHEN 2 THEN 'TFT LCD' WHEN 3 THEN 'OTHER' END AS panel, CASE WHEN p_size % 7 > 2 THEN p_size * 3 + 40 END AS refresh, CASE p_size % 4 WHEN 0 THEN 'QHD+' WHEN 1 THEN 'FHD+' WHEN 2 THEN 'HD+' END AS resolution,
  CASE WHEN p_size % 8 > 0 THEN p_size * 130 + 2000 END AS mah, CASE WHEN p_size % 9 > 3 THEN p_size * 2 + 5 END AS watts, CASE WHEN p_size % 10 > 1 THEN p_size * 3 END AS mp, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ois, CASE WHEN p_size % 5 = 1 THEN 10 END AS tele, CASE WHEN p_size % 7 = 2 THEN 8 END AS wide, CASE WHEN p_size % 2 = 0 THEN {_D.format('p_size % 5 + 14')} / 10 END AS aperture, CASE p_size % 5 WHEN 0 THEN true WHEN 1 THEN false END AS has5g, CASE p_size % 7 WHEN 0 THEN true WHEN 1 THEN false END AS nfc, CASE WHEN p_size % 6 = 5 THEN 'IP54' END AS ip, CASE WHEN p_size % 4 = 3 THEN p_size % 7 END AS updates FROM part)"""
 
 
@@ -136,7 +169,7 @@ def _null(c: str, x: str) -> str:
 
 
 _COMPONENTS = f"""{_PARTS}, k AS (SELECT p_partkey, p_size, {_null('antutu', "least(greatest((ln(antutu) - ln(150000)) / (ln(2200000) - ln(150000)) * 100, 0), 100)")} AS performance, {_mean_sql([(_null('ram', _curve_sql('ram', m.RAM)), 0.5), (_null('storage', _curve_sql('storage', m.STORAGE)), 0.5)])} AS memory,
- {_mean_sql([("CASE panel WHEN 'AMOLED' THEN 100 WHEN 'IPS' THEN 55 WHEN 'TFT' THEN 40 WHEN 'OTHER' THEN 50 END", 0.4), (_null('refresh', _curve_sql('refresh', m.REFRESH)), 0.35), ("CASE resolution WHEN 'QHD+' THEN 100 WHEN 'FHD+' THEN 80 WHEN 'HD+' THEN 45 END", 0.25)])} AS display, {_mean_sql([(_null('mah', _curve_sql('mah', m.BATTERY)), 0.7), (_null('watts', _curve_sql('watts', m.CHARGING)), 0.3)])} AS battery,
+ {_mean_sql([("CASE panel WHEN 'AMOLED' THEN 100 WHEN 'IPS LCD' THEN 55 WHEN 'TFT LCD' THEN 40 WHEN 'OTHER' THEN 50 END", 0.4), (_null('refresh', _curve_sql('refresh', m.REFRESH)), 0.35), ("CASE resolution WHEN 'QHD+' THEN 100 WHEN 'FHD+' THEN 80 WHEN 'HD+' THEN 45 END", 0.25)])} AS display, {_mean_sql([(_null('mah', _curve_sql('mah', m.BATTERY)), 0.7), (_null('watts', _curve_sql('watts', m.CHARGING)), 0.3)])} AS battery,
  CASE WHEN mp IS NOT NULL OR ois IS NOT NULL THEN least(100, floor(CASE WHEN ois THEN least(100, coalesce({_null('mp', _curve_sql('mp', m.CAMERA))}, 50) + 12) ELSE coalesce({_null('mp', _curve_sql('mp', m.CAMERA))}, 50) END + CASE WHEN tele IS NULL THEN 0 ELSE 10 END + CASE WHEN wide IS NULL THEN 0 ELSE 6 END + CASE WHEN aperture <= {_D.format(1.7)} THEN 6 WHEN aperture <= 2 THEN 3 ELSE 0 END + {_D.format(0.5)})) END AS camera,
  CASE WHEN coalesce(has5g, nfc) IS NOT NULL OR ip IS NOT NULL OR updates IS NOT NULL THEN (CASE WHEN has5g THEN 35 ELSE 0 END + CASE WHEN nfc THEN 15 ELSE 0 END + CASE WHEN ip IS NULL THEN 0 ELSE 20 END + coalesce({_null('updates', _curve_sql('updates', m.UPDATES))}, 0)) / {_D.format('CASE WHEN has5g IS NULL THEN 0 ELSE 35 END + CASE WHEN nfc IS NULL THEN 0 ELSE 15 END + CASE WHEN ip IS NULL THEN 0 ELSE 20 END + CASE WHEN updates IS NULL THEN 0 ELSE 30 END')} * 100 END AS extras FROM c)"""
 
@@ -146,7 +179,7 @@ def _sheet() -> dict:
     n = F.col("p_size")
     when = F.when
     return {
-        "antutu": when(n % 4 > 0, n * 40000), "ram": when(n % 3 > 0, n % 16 + 1), "storage": when(n % 5 > 0, n * 20), "panel": when(n % 6 == 0, "AMOLED").when(n % 6 == 1, "IPS").when(n % 6 == 2, "TFT").when(n % 6 == 3, "OTHER"), "refresh": when(n % 7 > 2, n * 3 + 40),
+        "antutu": when(n % 4 > 0, n * 40000), "ram": when(n % 3 > 0, n % 16 + 1), "storage": when(n % 5 > 0, n * 20), "panel": when(n % 6 == 0, "AMOLED").when(n % 6 == 1, "IPS LCD").when(n % 6 == 2, "TFT LCD").when(n % 6 == 3, "OTHER"), "refresh": when(n % 7 > 2, n * 3 + 40),
         "resolution": when(n % 4 == 0, "QHD+").when(n % 4 == 1, "FHD+").when(n % 4 == 2, "HD+"), "mah": when(n % 8 > 0, n * 130 + 2000), "watts": when(n % 9 > 3, n * 2 + 5), "mp": when(n % 10 > 1, n * 3), "ois": when(n % 3 == 0, True).when(n % 3 == 1, False), "tele": when(n % 5 == 1, 10), "wide": when(n % 7 == 2, 8),
         "aperture": when(n % 2 == 0, (n % 5 + 14) / 10.0), "has5g": when(n % 5 == 0, True).when(n % 5 == 1, False), "nfc": when(n % 7 == 0, True).when(n % 7 == 1, False), "ip": when(n % 6 == 5, "IP54"), "updates": when(n % 4 == 3, n % 7),
     }

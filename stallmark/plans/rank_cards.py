@@ -28,7 +28,6 @@ CATEGORIES = [
     ("accessory", [r"\b(back\s*cover|flip\s*cover|tempered\s*glass|screen\s*(guard|protector)|charging\s*cable|usb\s*cable|charger|adapter|power\s*bank|powerbank|car\s*mount|mobile\s*holder|selfie\s*stick|stylus|memory\s*card|sim\s*ejector)\b", r"\b(carrying\s*case|hard\s*case|silicone\s*case|travel\s*case|headphone\s*case|headphones\s*case)\b", r"\b(ear\s*pads?|ear\s*cushions?|earpads?|ear\s*tips?|eartips?|headband\s*(cover|pad)|ear\s*cups?\s*protector)\b",
      r"\b(hinge|replacement\s*part|spare\s*part|repair\s*kit)\b", r"\bcompatible\s+with\b", r"\bfor\s+(?:apple|samsung|oneplus|xiaomi|redmi|poco|realme|vivo|oppo|iqoo|sony|bose|jbl|sennheiser|marshall|boat|noise)\b"], [], []),
 ]
-STOP = ["black", "white", "blue", "green", "red", "gold", "silver", "grey", "gray", "purple", "pink", "with", "and", "smartphone", "mobile", "phone", "dual", "sim"]
 KEYS = ["model", "config"]
 
 
@@ -86,7 +85,8 @@ def analysed(listings: DataFrame, chips: DataFrame | None = None, page_text: Dat
     slug = F.regexp_replace(F.coalesce("url", F.lit("")), "[-/_]", " ")
     out = listings.drop("raw").withColumn("title", parse.spaced(title)).withColumn("_slug", slug)
     out = written(out, "listings")
-    out = text.classified(out, title, CATEGORIES, text.product_head(title), {"accessory"})
+    said = F.concat_ws(" ", title, F.regexp_replace(F.coalesce("url", F.lit("")), "[-/]", " "))
+    out = text.classified(out, said, CATEGORIES, text.product_head(title), {"accessory"})
     if page_text is not None:
         out = _page_text(out, page_text, chips)
     else:
@@ -113,7 +113,7 @@ def analysed(listings: DataFrame, chips: DataFrame | None = None, page_text: Dat
             out = out.withColumn(c, F.lit(None).cast("int"))
     out = out.withColumn("has5g", F.coalesce("has5g", F.when(parse.matches(title, r"\b4g\b"), False)))
     marks = F.array_join(parse.qualifiers(title), "+")
-    model = F.concat(specs.model_key(title, STOP), F.when(marks != "", F.concat(F.lit(" #"), marks)).otherwise(""))
+    model = F.concat(specs.model_key(title), F.when(marks != "", F.concat(F.lit(" #"), marks)).otherwise(""))
     config = F.concat(F.coalesce(F.col("ram_gb").cast("string"), F.lit("?")), F.lit("r-"), F.coalesce(F.col("storage_gb").cast("string"), F.lit("?")), F.lit("s"))
     out = out.withColumns({"brand": parse.brand(F.concat_ws(" ", title, "_slug")), "model": F.coalesce(F.nullif(model, F.lit("")), F.lower("title")), "config": config, "completeness": grouping.completeness(specs.COUNTED)})
     return written(out.drop("_slug"), "analysed")

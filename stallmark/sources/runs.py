@@ -70,10 +70,11 @@ def listings(raw: DataFrame) -> DataFrame:
     price, mrp = parse.money(_field("price")), parse.money(_field("mrp"))
     stock_text = _text("availability")
     out = out.withColumns({"price": price, "mrp0": mrp, "availability": stock_text, "image_url": _text("image_url"), "sponsored": F.coalesce(parse.flag(_field("sponsored")), F.lit(False)), "source_rank": _field("source_rank").try_cast("int")})
-    out = out.withColumn("mrp", F.when((F.col("mrp0") > F.col("price")) & (F.col("mrp0") <= 5 * F.col("price")), F.col("mrp0"))).drop("mrp0")
+    # A list price stands where there is no price to hold it against.
+    out = out.withColumn("mrp", F.when(F.col("price").isNull() | ((F.col("mrp0") > F.col("price")) & (F.col("mrp0") <= 5 * F.col("price"))), F.col("mrp0"))).drop("mrp0")
     given = _field("discount")
     off = F.coalesce(parse.percent(given), F.when(given.rlike(r"^\d+(\.\d+)?$") & given.try_cast("double").between(0.5, 100), jround(given.try_cast("double"))), jround((F.col("mrp") - F.col("price")) / F.col("mrp") * 100))
-    stock = F.coalesce(parse.flag(_field("in_stock")), F.when(parse.matches(stock_text, "pincode"), None).when(parse.matches(stock_text, "out of stock|sold out|unavailable"), False).when(parse.matches(stock_text, "in stock|available|instock"), True))
+    stock = F.coalesce(parse.flag(_field("in_stock")), F.when(parse.matches(stock_text, "out of stock|sold out|unavailable"), False).when(parse.matches(stock_text, "pincode"), None).when(parse.matches(stock_text, "in stock|available|instock"), True))
     out = out.withColumns({"discount_pct": off.cast("int"), "in_stock": stock, "rating": parse.rating(_field("rating").try_cast("double")), "rating_count": parse.count_of(_field("rating_count"))})
     identity = parse.stable_id(F.col("platform"), F.coalesce(parse.canonical_url(F.col("url")), F.col("title")))
     missing = F.array_compact(F.array(F.when(F.col("price").isNull(), "price"), F.when(F.col("mrp").isNull(), "mrp"), F.when(F.col("rating").isNull(), "rating"), F.when(F.col("own_title").isNull(), "title(recovered)")))
