@@ -21,7 +21,7 @@ def stock_rank(in_stock: Column) -> Column:
 def best_offers(listings: DataFrame, keys: list[str]) -> DataFrame:
     """One row per candidate: its offers, distinct by platform and price, the best first."""
     rank = stock_rank(F.col("in_stock"))
-    more = [c for c in ["url"] if c in listings.columns]
+    more = [c for c in ["url", "mrp", "discount_pct"] if c in listings.columns]
     kept = listings.where(F.col("price").isNotNull()).groupBy(*keys, "platform", "price").agg(F.min(F.struct(rank.alias("stock"), "ord", "in_stock", *more)).alias("o"))
     offers = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("o.stock").alias("stock"), "price", F.col("o.ord").alias("ord"), "platform", *(F.col(f"o.{c}").alias(c) for c in ["in_stock", *more])))).alias("offers"))
     return offers.withColumn("best", F.get("offers", F.lit(0))).withColumn("spread", F.array_max(F.transform("offers", lambda o: o["price"])) - F.col("best.price"))
@@ -114,13 +114,14 @@ def promoted(candidates: DataFrame, listings: DataFrame, checkouts: DataFrame, k
     leads = F.coalesce(price.isNotNull() & ~F.coalesce(here, F.lit(False)) & (F.abs(price - best["price"]) / best["price"] > TRUSTED_GAP), F.lit(False))
     told = ~leads & stock.isNotNull() & F.coalesce(near | (here & price.isNotNull()), F.lit(False))
     kinds = dict(candidates.select("best.*").dtypes)
-    values = {"stock": stock_rank(stock), "price": price, "ord": page["ord"], "platform": page["platform"], "in_stock": stock, "url": page["url"]}
+    mrp = F.coalesce(page["page_mrp"].cast("double"), page["mrp"].cast("double"))
+    off = F.when(mrp > price, jround((mrp - price) / mrp * 100).cast("int"))
+    values = {"stock": stock_rank(stock), "price": price, "ord": page["ord"], "platform": page["platform"], "in_stock": stock, "url": page["url"], "mrp": mrp, "discount_pct": off}
     first = F.struct(*(values[c].cast(k).alias(c) for c, k in kinds.items()))
     offers = F.when(leads, F.concat(F.array(first), F.filter("offers", lambda o: ~o["url"].eqNullSafe(page["url"]))))
     offers = offers.when(told, F.concat(F.array(best.withField("in_stock", stock).withField("stock", stock_rank(stock))), F.slice("offers", 2, F.greatest(F.size("offers"), F.lit(1))))).otherwise(F.col("offers"))
-    mrp = F.coalesce(page["page_mrp"].cast("double"), page["mrp"])
     own = {c: F.col(c) if c in candidates.columns else F.lit(None) for c in ("mrp", "discount_pct")}
-    out = out.withColumns({"offers": offers, "mrp": F.when(leads, mrp).otherwise(own["mrp"]), "discount_pct": F.when(leads, F.when(mrp > price, jround((mrp - price) / mrp * 100).cast("int"))).otherwise(own["discount_pct"])}).drop("_hit")
+    out = out.withColumns({"offers": offers, "mrp": F.when(leads, mrp).otherwise(own["mrp"]), "discount_pct": F.when(leads, off).otherwise(own["discount_pct"])}).drop("_hit")
     best = F.get("offers", F.lit(0))
     return out.withColumns({"best": best, "price": best["price"], "in_stock": best["in_stock"], "n_offers": F.size("offers"), "spread": F.array_max(F.transform("offers", lambda o: o["price"])) - best["price"]})
 

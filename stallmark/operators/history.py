@@ -23,7 +23,8 @@ def stats(observations: DataFrame) -> DataFrame:
     earlier = (F.col("total") - F.col("current")) / (F.col("observations") - 1)
     position = F.when(F.col("high") > F.col("low"), (F.col("current") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
     trend = F.when(F.col("observations") < 2, "stable").when(F.col("current") < earlier * 0.98, "falling").when(F.col("current") > earlier * 1.02, "rising").otherwise("stable")
-    return out.select("key", "low", "high", jround(F.col("total") / F.col("observations")).alias("average"), "current", "observations", "runs", "first_seen", "last_seen", jround(position, 4).alias("position"), trend.alias("trend"))
+    days = F.greatest(F.lit(0), jround(F.expr("timestampdiff(SECOND, first_seen, last_seen)") / 86400)).cast("long")
+    return out.select("key", "low", "high", jround(F.col("total") / F.col("observations")).alias("average"), "current", "observations", "runs", "first_seen", "last_seen", days.alias("days_tracked"), jround(position, 4).alias("position"), trend.alias("trend"))
 
 
 def tracked(observations: DataFrame, limit: int = 50) -> DataFrame:

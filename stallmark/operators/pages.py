@@ -106,9 +106,9 @@ def checkout(df: DataFrame, text_col: str = "text", pid: Column | None = None) -
 
 
 def page_price(listings: DataFrame, checkouts: DataFrame) -> DataFrame:
-    """Listings with the page's price where it differs from the card's by over 2 %; the card's is kept beside it."""
+    """Listings with the page's price where it differs from the card's by over 2 %; the card's is kept beside it. A card without a price keeps none."""
     both = listings.join(checkouts.select("id", "page_price", "page_mrp"), "id", "left")
-    off = F.coalesce(F.abs(F.col("page_price") - F.col("price")) / F.col("price") > 0.02, F.col("page_price").isNotNull())
+    off = F.coalesce((F.col("page_price") > 0) & (F.col("price") > 0) & (F.abs(F.col("page_price") - F.col("price")) / F.nullif(F.col("price"), F.lit(0)) > 0.02), F.lit(False))
     return both.withColumns({"card_price": F.when(off, F.col("price")), "mrp": F.when(off, F.coalesce("page_mrp", "mrp")).otherwise(F.col("mrp")), "price": F.when(off, F.col("page_price").cast("double")).otherwise(F.col("price"))}).drop("page_price", "page_mrp")
 
 

@@ -37,8 +37,11 @@ def accepted_classes(wanted: Column) -> Column:
     return F.filter(every, lambda c: category_matches(wanted, c))
 
 
-def gate_rules(tolerance: float = 0.0) -> list[tuple[Column, Column | str]]:
-    """Gates over candidate columns and intent columns (budget_min, budget_max, brands, exclude_brands, must_have)."""
+def gate_rules(tolerance: float = 0.0, in_stock_only: bool = False) -> list[tuple[Column, Column | str]]:
+    """Gates over candidate columns and intent columns (budget_min, budget_max, brands, exclude_brands, must_have).
+
+    ``in_stock_only``: a candidate of whose ``offers`` every one is known to be sold out goes as well.
+    """
     price, must = F.col("price"), F.coalesce("must_have", F.array().cast("array<string>"))
     rules: list[tuple[Column, Column | str]] = [
         (~category_matches(F.col("category_wanted"), F.coalesce("category", F.lit("unknown"))), "category"),
@@ -50,23 +53,25 @@ def gate_rules(tolerance: float = 0.0) -> list[tuple[Column, Column | str]]:
         (F.array_contains("exclude_brands", F.col("brand")), "brand excluded"),
         (F.array_contains(must, "amoled") & ~F.lower("panel").contains("oled"), "not amoled"),
     ]
+    if in_stock_only:
+        rules.append((F.forall("offers", lambda o: F.coalesce(o["in_stock"] == F.lit(False), F.lit(False))), "out of stock everywhere"))
     return rules + [(F.array_contains(must, k) & (F.col(c) == F.lit(False)), f"no {k}") for k, c in (("5g", "has5g"), ("nfc", "nfc"), ("ois", "ois"))]
 
 
-def gated(candidates: DataFrame, intents: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def gated(candidates: DataFrame, intents: DataFrame, tolerance: float = 0.0, in_stock_only: bool = False) -> DataFrame:
     """Candidates of every query with the reasons against them; survivors have none.
 
     A reason for each candidate and query is what is asked here, so every pair is a row of the result; ``survivors`` is the way to a ranking.
     """
     both = candidates.join(intents, F.lit(True))
-    return both.withColumn("reasons", reasons(gate_rules(tolerance)))
+    return both.withColumn("reasons", reasons(gate_rules(tolerance, in_stock_only)))
 
 
-def survivors(candidates: DataFrame, intents: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def survivors(candidates: DataFrame, intents: DataFrame, tolerance: float = 0.0, in_stock_only: bool = False) -> DataFrame:
     """The rows of ``gated`` without a reason: candidates meet the queries that accept their class in an equi-join."""
     keyed = intents.withColumn("_class", F.explode(accepted_classes(F.col("category_wanted"))))
     both = candidates.withColumn("_class", F.coalesce("category", F.lit("unknown"))).join(keyed, "_class").drop("_class")
-    return both.withColumn("reasons", reasons(gate_rules(tolerance))).where(F.size("reasons") == 0)
+    return both.withColumn("reasons", reasons(gate_rules(tolerance, in_stock_only))).where(F.size("reasons") == 0)
 
 
 def model_matches(hint: Column, brands: Column, name: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import maths as m
 from ..functions import parse
 from ..functions.cut import written
-from ..operators import grouping, knowledge, ranking, specs, text
+from ..operators import grouping, history, knowledge, notes, pages, ranking, report, reviews, specs, text
 from ..operators.globalrank import global_medians
+from ..sources import runs
 
 # Patterns of each category (strong, weak, veto), in order of precedence.
 _PARTS = r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|{}hinge|protector|stand|holder|replacement|spare)\b"
@@ -119,38 +120,79 @@ def analysed(listings: DataFrame, chips: DataFrame | None = None, page_text: Dat
     return written(out.drop("_slug"), "analysed")
 
 
+def fold_targets(rows: DataFrame) -> DataFrame:
+    """Listings under the configuration that theirs folds into."""
+    return rows.join(grouping.fold_configs(rows), KEYS).withColumn("config", F.col("target")).drop("target")
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """One row per model and configuration, partly unknown configurations folded, that has a priced offer."""
-    folded = rows.join(grouping.fold_configs(rows), KEYS).withColumn("config", F.col("target")).drop("target")
+    """One row per model and configuration, partly unknown configurations folded, that has a priced offer.
+
+    List price and discount are the best offer's; brand and image the first listing's, in order, that has one; the name is the
+    knowledge base's, else the first title's, with its configuration and condition of sale.
+    """
+    folded = fold_targets(rows)
     fields = [c for c in specs.FIELDS if c in rows.columns]
-    out = grouping.best_offers(folded, KEYS).join(grouping.merge_fields(folded, KEYS, fields + ["brand", "mrp", "discount_pct"]), KEYS)
+    out = grouping.best_offers(folded, KEYS).join(grouping.merge_fields(folded, KEYS, fields), KEYS)
     out = out.join(grouping.blend_rating(folded, KEYS), KEYS, "left").join(grouping.majority(folded, KEYS, "category", "category_confidence").drop("weight"), KEYS)
     known = F.when(F.col("kb_confidence") != "none", F.col("ord"))
-    name = folded.groupBy(*KEYS).agg(F.min_by("title", "ord").alias("title"), F.min_by("kb_name", known).alias("kb_name"), F.coalesce(F.min_by("kb_confidence", known), F.lit("none")).alias("kb_confidence"))
-    out = out.join(name, KEYS).withColumns({"price": F.col("best.price"), "in_stock": F.col("best.in_stock"), "n_offers": F.size("offers"), "name": F.coalesce("kb_name", parse.clean_name(F.col("title"))), "nfc": F.col("nfc"), "has5g": F.col("has5g")})
+    first = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in ("brand", "image_url") if c in rows.columns}
+    name = folded.groupBy(*KEYS).agg(F.min_by("title", "ord").alias("title"), F.min_by("kb_name", known).alias("kb_name"), F.coalesce(F.min_by("kb_confidence", known), F.lit("none")).alias("kb_confidence"), *first.values())
+    shown = report.display_name(F.coalesce("kb_name", parse.clean_name(F.col("title"))), F.col("ram_gb"), F.col("storage_gb"), F.regexp_extract("model", "#(.*)$", 1))
+    out = out.join(name, KEYS).withColumns({"key": F.concat_ws("|", *KEYS), "price": F.col("best.price"), "in_stock": F.col("best.in_stock"), "mrp": F.col("best.mrp"), "discount_pct": F.col("best.discount_pct"), "n_offers": F.size("offers"), "platform_name": notes.platform_name(F.col("best.platform")), "name": shown})
     return written(out, "candidates")
 
 
+def reviewed(cands: DataFrame, listings: DataFrame, told: DataFrame) -> DataFrame:
+    """Candidates with what is said (``reviews.summaries`` by listing id, as ``key``) of their first listing, in order, that has reviews."""
+    columns = [c for c in told.columns if c != "key"]
+    said = listings.select(*KEYS, "id", "ord").join(told.withColumnRenamed("key", "id"), "id").groupBy(*KEYS).agg(F.min_by(F.struct(*columns), "ord").alias("reviews"))
+    return cands.join(said, KEYS, "left")
+
+
+def ranked_cards(raw: DataFrame, intents: DataFrame, chips: DataFrame | None = None, models: DataFrame | None = None, page_text: DataFrame | None = None, outside: DataFrame | None = None, checkouts: DataFrame | None = None, review_pages: DataFrame | None = None, observations: DataFrame | None = None, tolerance: float = 0.0, in_stock_only: bool = False, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ranked, rejected) from raw cards (``runs.cards``) to notes, with all that is known beside them.
+
+    ``page_text`` (id, text), ``outside`` (id, external_<field>), ``checkouts`` (id, page_price, page_mrp, in_stock) and ``review_pages``
+    (key: a listing's id, ord, text) have rows for the listings that have them, ``observations`` are recorded prices by candidate key.
+    """
+    rows = runs.listings(raw)
+    if checkouts is not None:
+        rows = pages.page_price(rows, checkouts)
+    seen = analysed(rows, chips, page_text, outside, models)
+    intents = with_inferred_category(intents, seen)
+    cands, folded = candidates(seen), fold_targets(seen)
+    if review_pages is not None:
+        cands = reviewed(cands, folded, reviews.summaries(review_pages))
+    if checkouts is not None:
+        cands = grouping.promoted(cands, folded, checkouts, KEYS).withColumn("platform_name", notes.platform_name(F.col("best.platform")))
+    if observations is not None:
+        cands = with_history(cands, history.stats(observations))
+    out, rejected = rank(written(cands, "asked"), intents, tolerance, parts, in_stock_only)
+    return notes.annotated(out, parts=parts), rejected
+
+
 def with_inferred_category(intents: DataFrame, rows: DataFrame) -> DataFrame:
     """Intents that name no category take the one that most of the listings' certainty lies with, accessories aside."""
     sums = rows.where(~F.col("category").isin("unknown", "accessory")).groupBy("category").agg(F.sum("category_confidence").alias("weight"), F.min("ord").alias("ord"))
-    top = sums.agg(F.max_by("category", F.struct("weight", -F.col("ord"))).alias("_top"))
+    top = sums.agg(F.min_by("category", F.struct(-F.col("weight"), "ord")).alias("_top"))
     return intents.join(top, F.lit(True)).withColumn("category_wanted", F.when(F.col("category_wanted") == "unknown", F.coalesce("_top", F.lit("unknown"))).otherwise(F.col("category_wanted"))).drop("_top")
 
 
-def with_history(cands: DataFrame, stats: DataFrame, key: str = "model") -> DataFrame:
+def with_history(cands: DataFrame, stats: DataFrame, key: str = "key") -> DataFrame:
     """Candidates with what ``history.stats`` has recorded of their price, null where nothing."""
-    told = stats.select(F.col("key").alias("_key"), F.col("low").alias("recorded_low"), F.col("runs").alias("recorded_runs"), F.col("position").alias("recorded_position"), F.col("trend").alias("recorded_trend"))
+    more = {"high": "recorded_high", "days_tracked": "recorded_days"}
+    told = stats.select(F.col("key").alias("_key"), F.col("low").alias("recorded_low"), F.col("runs").alias("recorded_runs"), F.col("position").alias("recorded_position"), F.col("trend").alias("recorded_trend"), *(F.col(c).alias(n) for c, n in more.items() if c in stats.columns))
     return cands.join(told, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def rank(cands: DataFrame, intents: DataFrame, tolerance: float = 0.0, parts: int | None = None, in_stock_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ranked, rejected) for every query; ranks come from ``parts`` ranges, the session's shuffle partitions if null.
 
     ``rejected`` has a row for each candidate and query that refuses it, and is computed only where it is read.
     """
-    rejected = ranking.gated(cands, intents, tolerance).where(F.size("reasons") > 0)
-    s = ranking.survivors(cands, intents, tolerance)
+    rejected = ranking.gated(cands, intents, tolerance, in_stock_only).where(F.size("reasons") > 0)
+    s = ranking.survivors(cands, intents, tolerance, in_stock_only)
     null = F.lit(None)
     known = F.col("kb_confidence") if "kb_confidence" in cands.columns else null.cast("string")
     got = {c: F.col(c) if c in cands.columns else null for c in specs.FIELDS}

@@ -168,7 +168,7 @@ def test_cards_to_ranking(spark, tmp_path):
     again, _ = rank_cards.rank(cands, asked, parts=3)
     assert {(r["query_id"], r["rank"], r["name"], r["total"]) for r in again.collect()} == {(r["query_id"], r["rank"], r["name"], r["total"]) for r in out}
     said = notes.annotated(ranked.withColumn("soc_name", F.lit(None).cast("string"))).where("query_id = 'a' AND rank = 1").first()
-    assert "AMOLED panel" in said["pros"] and "chipset unknown" in said["cons"] and said["verdict"].startswith("Best overall at ₹")
+    assert "AMOLED panel" in said["pros"] and "chipset unknown — performance not verified" in said["cons"] and said["verdict"].startswith("Best overall pick at ₹")
     table = notes.head_to_head(ranked, ["price", "total"], 2).where("query_id = 'a' AND metric = 'total'").first()
     assert float(table["p1"]) >= float(table["p2"])
     why = {x for r in rejected.collect() for x in r["reasons"]}
