@@ -18,12 +18,12 @@ an empty result; further columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +38,8 @@ RIDGE = 1e-3
 #: How fast a score nears 1 as the best language leads the second.
 SHARP = 8.0
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: The same letters for learning and for prediction: numbers that look like letters are none.
+_LETTER = regex.compile(r"\p{L}")
 _MULT = np.array([0, 0, 0, 0x9E3779B1, 0x85EBCA6B], np.uint64)
 
 
