@@ -43,8 +43,9 @@ def dedup_units(docs: DataFrame, *, unit: str = "line", least: int = 30, id_col:
     rows = texts.select("key", "doc_id", F.explode(long_ones).alias("u")).select("key", "doc_id", "u.h", "u.g", "u.place")
     # Written, so that both sides of the join are dealt anew, and a unit that very many texts have can be split.
     first = written(rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where(F.col("n") > 1).select("h", "g", "kept"), "repeated")
-    gone = rows.join(first, ["h", "g"]).where(~rank.eqNullSafe(F.col("kept"))).groupBy(F.col("key").alias("gkey")).agg(F.collect_set("place").alias("gone"))
-    joined = texts.join(gone, F.col("key") == F.col("gkey"), "left").select("doc_id", "text", "gone")
+    gone = rows.join(first, ["h", "g"]).where(~rank.eqNullSafe(F.col("kept"))).groupBy(F.col("key").alias("gkey"), F.col("doc_id").alias("gdoc")).agg(F.collect_set("place").alias("gone"))
+    # By id as well: two documents whose digests are equal by chance keep apart.
+    joined = texts.join(gone, (F.col("key") == F.col("gkey")) & F.col("doc_id").eqNullSafe(F.col("gdoc")), "left").select("doc_id", "text", "gone")
     pattern = UNITS[unit]
     schema = T.StructType([texts.schema["doc_id"], T.StructField("n_units", T.LongType()), T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
