@@ -303,19 +303,20 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, capacity: int = 2048, en
     # Whole pieces are numbered below zero by their place, the others from zero by round and block.
     out = cut.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = cut.where(F.col("length") < capacity).select(*names, "row")
-    rest, turn, base = left.count(), 0, 0
+    rest, turn, base, before = left.count(), 0, 0, None
     while True:
         blocks = max(1, -(-rest // BLOCK))
-        packed = _packed(left, cut, names, blocks, capacity, base, turn)
+        packed = written(_packed(left, cut, names, blocks, capacity, base, turn), "packed")
+        # Every sequence has one piece at its beginning.
+        n, made = packed.agg(F.count_if(~F.col("full")), F.count_if(F.col("offset") == 0)).first()
+        if before is not None and made >= before[1]:
+            # This round has saved no sequence over the one before.
+            return out.unionByName(before[0].drop("row", "full"))
         if blocks == 1:
             return out.unionByName(packed.drop("row", "full"))
-        packed = written(packed, "packed")
         under = packed.where(~F.col("full"))
-        n = under.count()
-        if n > rest // 2:
-            # Pieces that fill no sequence however they are dealt: a further round would save nothing worth it.
-            return out.unionByName(packed.drop("row", "full"))
         out = out.unionByName(packed.where("full").drop("row", "full"))
+        before = (under, under.where("offset = 0").count())
         left, rest, turn, base = under.select(*names, "row"), n, turn + 1, base + blocks * BLOCK * 4
 
 
