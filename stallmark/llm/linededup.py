@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,18 @@ def lines(s: tb.Slice, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, counts, h, g
 
 
+@contextmanager
+def in_order(spark: SparkSession) -> Iterator[None]:
+    """A run has a file a bucket, sorted as a whole: Spark trusts that only if told to, when an action's plan is made."""
+    ordered = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(ordered)
+    spark.conf.set(ordered, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ordered, before)
+
+
 class LineRuns:
     """Levelled runs of line digests."""
 
@@ -92,14 +105,8 @@ class LineRuns:
 
     def _saved(self, rows: DataFrame, name: str) -> str:
         """``rows`` as a table of one sorted file a bucket."""
-        # A file a bucket is sorted as a whole; Spark trusts that only if told to.
-        ordered = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-        before = self.spark.conf.get(ordered)
-        self.spark.conf.set(ordered, "true")
-        try:
+        with in_order(self.spark):
             rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
-        finally:
-            self.spark.conf.set(ordered, before)
         return f"{self.name}_{name}"
 
     def _tables(self) -> list[DataFrame]:
@@ -123,7 +130,8 @@ class LineRuns:
     def fresh(self, rows: DataFrame) -> DataFrame:
         """Those of ``rows`` whose keys are in no run."""
         for run in self._tables():
-            rows = rows.join(run.select(*KEY), KEY, "left_anti")
+            # Merged with the run as it lies, however small it is: a broadcast would drop its buckets.
+            rows = rows.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
         return rows
 
     def add_keys(self, rows: DataFrame) -> None:
@@ -131,7 +139,8 @@ class LineRuns:
         own = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
         if self._tables():
             own = written(own, "batch")
-            new = written(self.fresh(own), "fresh")
+            with in_order(self.spark):
+                new = written(self.fresh(own), "fresh")
             known = own.join(new.select(*KEY), KEY, "left_anti").withColumn("again", F.lit(True))
             self._write(new.withColumn("again", F.col("n") > 1).unionByName(known), 0)
             dropped(own, new)
@@ -155,7 +164,8 @@ class LineRuns:
         rows = own[0]
         for more in own[1:]:
             rows = rows.unionByName(more)
-        return written(rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).where(F.col("n") >= copies).select(*KEY, "holder"), "held")
+        with in_order(self.spark):
+            return written(rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).where(F.col("n") >= copies).select(*KEY, "holder"), "held")
 
     def without(self, docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_col: str = STATS) -> DataFrame:
         """``docs`` without the lines with the digests that ``gone`` (doc_id, h, g) has for them, and the struct ``as_col``."""

@@ -338,20 +338,42 @@ def test_line_dedup(spark, odd):
     assert [len(x) for x in runs.levels] == [0, 0, 1]
 
 
-def test_runs_are_not_dealt_again(spark):
+def test_runs_are_not_dealt_again(spark, monkeypatch):
+    """The plan that adding a batch runs, under the session's own settings."""
+    plans, writes = [], linededup.written
+
+    def seen(df, name):
+        if name == "fresh":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return writes(df, name)
+
+    monkeypatch.setattr(linededup, "written", seen)
     runs = linededup.LineRuns(spark, fanout=9)
     rows = spark.createDataFrame([(i, i % 7, i % 3) for i in range(60)], "doc_id long, h long, g long")
-    for b in range(3):
-        runs.add_keys(rows.where(F.col("doc_id") % 3 == b))
-    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = runs.fresh(rows.select("h", "g").distinct())._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # The batch alone is dealt and sorted.
-    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    for b in range(4):
+        runs.add_keys(rows.where(F.col("doc_id") % 4 == b))
+    # The batch alone is dealt and sorted, whatever the number of runs.
+    assert [p.count("SortMergeJoin") for p in plans] == [1, 2, 3] and all(p.count("Exchange") == p.count("Sort [") == 1 and "Broadcast" not in p for p in plans)
+
+
+def test_letters_are_unicode_letters(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the words of it", "en"), ("der die das", "de")] * 20)] + [(100, "½ ² 12 ①", None), (101, "12 é", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] in ("en", "de")
+
+
+def test_rounds_go_on_while_they_save(spark, monkeypatch):
+    """Pieces of middling lengths in small blocks: no two in a block fit, yet further rounds bring fitting ones together."""
+    monkeypatch.setattr(packing, "BLOCK", 4)
+    rows = [(i, "word " * (30 if i % 2 else 33)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, BPE, capacity=64).toPandas()
+    assert len(got) == 40 and got.groupby("sequence_id").length.sum().max() <= 64
+    lengths = sorted(got.length)
+    # 31 and 34 or so: two short ones share a sequence, long ones stand alone or with none.
+    monkeypatch.setattr(packing, "BLOCK", 16384)
+    whole = packing.pack_documents(docs, BPE, capacity=64).toPandas()
+    assert sorted(whole.length) == lengths and got.sequence_id.nunique() <= whole.sequence_id.nunique() + 2
 
 
 def brute_components(texts, n, num, den):
