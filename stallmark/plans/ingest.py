@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cut import place
-from ..sources import runs
+from ..sources import runs, saved
 from .catalog import query
 from .view import table
 
@@ -56,3 +56,17 @@ def card_listings(spark, sf_dir):
 @query(_CARD + " SELECT platform, count(*) AS raw_cards, count(*) FILTER (WHERE error) AS errors, CASE WHEN bool_or(error) THEN 'timeout' END AS first_error, CASE WHEN bool_or(NOT error) THEN 'ok' ELSE 'error' END AS status FROM m GROUP BY platform")
 def scan_health(spark, sf_dir):
     return runs.health(_run(spark, sf_dir)).select("platform", "raw_cards", "errors", "first_error", "status")
+
+
+@query("""WITH c AS (SELECT p_partkey AS n, p_size AS size, ['flipkart', 'amazon', 'reliance'][p_partkey % 3 + 1] AS platform, p_partkey % 5 + 1 AS page, CASE p_partkey % 4 WHEN 0 THEN p_size * 100 WHEN 1 THEN p_size * 1000 + p_partkey % 1000 WHEN 2 THEN p_size * 10 END AS price FROM part)
+SELECT platform, page, count(*) AS cards, CAST(sum(price) AS BIGINT) AS total, min(n) AS first FROM c WHERE platform IN ('flipkart', 'amazon') AND page <= 2 AND price <= 20000 AND price > 100 GROUP BY ALL""")
+def saved_cards(spark, sf_dir):
+    """A run saved by platform and page, read again by a source that takes in what is asked of platform, page and budget."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    price = F.when(n % 4 == 1, F.concat(F.lit("₹"), size, F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))).when(n % 4 == 2, (size * 10).cast("string"))
+    card = F.struct(F.concat(F.lit("Widget "), n).alias("title"), F.when(n % 4 == 0, F.struct((size * 100).alias("value"))).alias("selling_price"), price.alias("final_price"), n.alias("id"))
+    path = place(spark, "saved")
+    platform = F.get(F.array(*map(F.lit, ["flipkart", "amazon", "reliance"])), (n % 3).cast("int"))
+    saved.save(table(spark, sf_dir, "part").select(platform.alias("platform"), (n % 5 + 1).alias("page"), F.to_json(card).alias("raw")), path)
+    rows = saved.saved_runs(spark, path).where(F.col("platform").isin("flipkart", "amazon") & (F.col("page") <= 2) & (F.col("price") <= 20000) & (F.col("price") > 100))
+    return rows.groupBy("platform", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("cards"), F.sum("price").cast("long").alias("total"), F.min(F.get_json_object("raw", "$.id").cast("long")).alias("first"))
