@@ -52,6 +52,7 @@ def spec_page(df: DataFrame, c: Column, prefix: str = "external") -> DataFrame:
     def number(pattern, kind="int"):
         return found(c, f"(?i){pattern}").try_cast(kind)
 
+    # Headings and units of specification pages.
     chip = r"Chipset\s+(?:Qualcomm\s+\w+\s+|Mediatek\s+|Google\s+|Samsung\s+|Unisoc\s+|Apple\s+)?([A-Za-z][\w+ .]{2,34}?)\s*\(\d+\s*nm\)"
     shown = found(c, r"(?i)Display\s+Type\s+([A-Za-z+ ]{3,24}?)(?:,|\s+\d)")
     panel = F.when(matches(shown, "amoled"), "AMOLED").when(matches(shown, "oled"), "pOLED").when(matches(shown, "ips"), "IPS LCD").when(matches(shown, "tft|lcd"), "TFT LCD")
@@ -118,6 +119,50 @@ def same_name(got: Column, wanted: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
+# How a source writes brands in addresses, and words that say nothing of a model.
+BRAND_SLUGS = {"motorola": "moto", "xiaomi": "redmi", "mi": "redmi"}
+SLUG_NOISE = r"\b(dual sim|india|smartphone|mobile phone|with|free|offer|new|latest)\b"
+#: How many addresses of a product are tried.
+TRIED = 4
+
+
+def slug_of(c: Column) -> Column:
+    """A name as words of an address: no noise, brackets and memory sizes, a plus as a word."""
+    words = F.regexp_replace(F.regexp_replace(F.replace(F.lower(c), F.lit("+"), F.lit(" plus ")), SLUG_NOISE, " "), r"\([^)]*\)|\b\d+\s*gb\b", " ")
+    return F.regexp_replace(F.regexp_replace(words, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def slugs(name: Column, brand: Column) -> Column:
+    """Addresses at which a source may hold a product, the likeliest first, four at most: under the source's word for the brand, as
+    named, with the brand in front, and without its network generation.
+    """
+    words = F.create_map(*(F.lit(x) for kv in BRAND_SLUGS.items() for x in kv))
+    base = slug_of(name)
+    head = F.substring_index(base, "-", 1)
+    word = F.coalesce(F.try_element_at(words, head), F.try_element_at(words, F.lower(brand)))
+
+    def under(slug: Column) -> Column:
+        return F.when(word.isNotNull(), F.concat(word, F.substring(slug, F.length(head) + 1, F.length(slug)))).otherwise(slug)
+
+    own = F.coalesce(F.try_element_at(words, F.lower(brand)), slug_of(brand))
+    bare = F.regexp_replace(base, "-(5g|4g|lte)$", "")
+    every = F.array(under(base), base, F.when((own != "") & ~base.startswith(own), F.concat(own, F.lit("-"), base)), F.when(bare != base, under(bare)))
+    return F.when(base != "", F.slice(F.array_distinct(F.filter(F.array_compact(every), lambda x: x != "")), 1, TRIED)).otherwise(F.array().cast("array<string>"))
+
+
+def identity(c: Column) -> Column:
+    """A name for telling products apart: letters and digits, without network generation, country, brackets and memory sizes."""
+    plain = F.regexp_replace(F.replace(F.lower(c), F.lit("+"), F.lit("plus")), r"\bmotorola\b", "moto")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\b(5g|4g|lte|dual sim|india|smartphone)\b", " "), r"\([^)]*\)|\b\d+\s*gb\b", " "), "[^a-z0-9]+", "")
+
+
+def is_page_of(model: Column, html: Column, slug: Column) -> Column:
+    """Whether a page is the model's, by its title, else the first name in it, else its address."""
+    title = F.coalesce(found(html, r"(?i)<title[^>]*>([^<]{3,120})<"), found(html, r'"name":\s*"([^"]{3,80})"'), slug)
+    want, got = identity(model), identity(title)
+    return (want != "") & (F.contains(got, want) | F.contains(want, got) | (identity(slug) == want))
+
+
 def first_source(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, slug, name): for each product the first of its candidate slugs whose page is the same product.
 

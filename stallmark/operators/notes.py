@@ -64,6 +64,7 @@ def annotated(rows: DataFrame, by: str = "query_id", parts: int | None = None) -
     tracked = c["recorded_runs"] >= 2
     lowest = tracked & (c["price"] <= c["recorded_low"])
     mark = F.nullif(F.regexp_extract(c["model"], "#([a-z+-]+)$", 1), F.lit(""))
+    # What is said, rule by rule.
     pros = [
         (lowest, F.when(c["recorded_days"] >= 1, _say("lowest price in ", c["recorded_days"].cast("string"), " day(s) of tracking")).otherwise("lowest price we have recorded so far")),
         (c["soc_name"].isNotNull() & quick, _say(c["soc_name"], " — faster than most here", F.coalesce(_say(" (", tier, ")"), F.lit("")))), (oled, _say(c["panel"], " panel")), (c["refresh_hz"] >= 120, _say(c["refresh_hz"].cast("string"), "Hz display")),

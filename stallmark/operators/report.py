@@ -153,3 +153,27 @@ def decisive(aspects: DataFrame) -> DataFrame:
     """Adds praised and complained: two mentions or more, and twice as many as on the other side."""
     up, down = F.col("positive"), F.col("negative")
     return aspects.withColumn("praised", (up >= 2) & (up >= down * 2)).withColumn("complained", (down >= 2) & (down >= up * 2))
+
+
+#: How many products at the top of a result have their prices read again.
+REFRESHED = 15
+
+
+def to_refresh(ranked: DataFrame, limit: int = REFRESHED) -> DataFrame:
+    """The first rows of every result by rank."""
+    return ranked.where(F.col("rank") <= limit)
+
+
+def known_issues(diagnostics: DataFrame, platforms: DataFrame) -> DataFrame:
+    """(platform, note): where a platform returned nothing of the class asked for and it is known why.
+
+    ``platforms`` (platform, known_issue) is a table of a few rows.
+    """
+    silent = diagnostics.where(F.coalesce("category_matched", F.lit(0)) == 0).join(platforms.where(F.length("known_issue") > 0), "platform")
+    return silent.select("platform", F.concat("platform", F.lit(" returned "), F.col("raw_cards").cast("string"), F.lit(" cards and no phones — "), "known_issue").alias("note"))
+
+
+def listing_of_page(listings: Column, address: Column) -> Column:
+    """Of a candidate's listings (with ``url``) the one whose address the page was read under, else the first."""
+    wanted = canonical_url(address)
+    return F.coalesce(F.get(F.filter(listings, lambda l: canonical_url(l["url"]) == wanted), F.lit(0)), F.get(listings, F.lit(0)))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import maths as m
 from ..functions import parse
 from ..functions.cut import written
 from ..operators import external, grouping, history, ranking, text
-from ..operators.globalrank import global_medians
+from ..operators.globalrank import global_medians, global_row_number
 from .view import LISTING, OBSERVATION, listings, observations, table
 
 KEYS = ["model", "config"]
@@ -319,12 +319,12 @@ def compare_matrix(spark, sf_dir):
 @query(r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'with')) AS a FROM documents), b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS b, count(*) OVER () AS size FROM benchmark)
 SELECT doc_id, CAST(len(list_filter(a, lambda w: list_contains(b, w))) AS INTEGER) AS n FROM d JOIN b ON doc_id % size = n""")
 def token_overlap(spark, sf_dir):
-    """Each document against one benchmark item."""
-    items = table(spark, sf_dir, "benchmark")
-    size = items.count()
-    items = items.select(F.col("text").alias("other"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.join(items, F.col("doc_id") % size == F.col("n")).select("doc_id", text.token_overlap(F.col("text"), F.col("other"), ["the", "with"]).alias("n"))
+    """Each document against one benchmark item, by the items' places in their order; places come from ranges of it."""
+    items = global_row_number(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other")), [], [F.col("item_id")], "place", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = items.agg(F.count("*").alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(size, F.lit(True))
+    both = docs.withColumn("place", F.col("doc_id") % F.col("size") + 1).join(items, "place")
+    return both.select("doc_id", text.token_overlap(F.col("text"), F.col("other"), ["the", "with"]).alias("n"))
 
 
 @query("""WITH n AS (SELECT q.p_partkey AS q, k.p_retailprice / (k.p_size + 1) AS r, row_number() OVER (PARTITION BY q.p_partkey ORDER BY abs(q.p_size - k.p_size), k.p_partkey) AS i FROM part q, part k) SELECT q, floor(list_sort(list(r))[3] * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS ratio FROM n WHERE i <= 5 GROUP BY q""")

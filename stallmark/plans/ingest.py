@@ -70,3 +70,9 @@ def saved_cards(spark, sf_dir):
     saved.save(table(spark, sf_dir, "part").select(platform.alias("platform"), (n % 5 + 1).alias("page"), F.to_json(card).alias("raw")), path)
     rows = saved.saved_runs(spark, path).where(F.col("platform").isin("flipkart", "amazon") & (F.col("page") <= 2) & (F.col("price") <= 20000) & (F.col("price") > 100))
     return rows.groupBy("platform", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("cards"), F.sum("price").cast("long").alias("total"), F.min(F.get_json_object("raw", "$.id").cast("long")).alias("first"))
+
+
+@query(_CARD + " SELECT platform, count(*) AS raw_cards, count(*) FILTER (WHERE error) AS error_cards, CAST(0 AS BIGINT) AS title_recovered, count(*) FILTER (WHERE NOT error AND n % 11 = 0 AND shop > 0) AS dropped FROM m GROUP BY platform")
+def scan_counts(spark, sf_dir):
+    """What became of every platform's cards."""
+    return runs.scan_counts(_run(spark, sf_dir))

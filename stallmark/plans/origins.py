@@ -113,3 +113,15 @@ def page_values(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(n.alias("id"), F.when(n % 4 == 0, F.replace(html, F.lit('"'), F.lit("&quot;"))).otherwise(html).alias("html"))
     out = external.field_page(rows, F.col("html"))
     return out.select("id", *(F.col(f"external_{c}").alias(c) for c in ("soc_name", "antutu", "battery_mah", "charging_w", "panel", "display_inches", "resolution", "main_camera_mp", "ois", "nfc", "ip_rating")))
+
+
+@query("""WITH w AS (SELECT p_partkey AS query_id, CASE WHEN p_size % 2 = 0 THEN p_size * 1000 END AS most, CASE WHEN p_size % 3 = 0 THEN 500 END AS least, p_size % 5 = 0 AS branded, 'phone%20x' || p_size || '%20%26%20y' AS t FROM part),
+p AS (SELECT 'flipkart' AS platform, unnest([1, 6]) AS page UNION ALL SELECT 'amazon', unnest([1, 2, 3, 4, 5, 6]) UNION ALL SELECT 'reliance', unnest([1, 6]) UNION ALL SELECT 'tatacliq', unnest([1, 6]))
+SELECT query_id, platform, page, CASE platform WHEN 'flipkart' THEN 'https://www.flipkart.com/search?q=' || t || '&page=' || page || '&sort=popularity' || coalesce('&p%5B%5D=facets.price_range.from%3DMin&p%5B%5D=facets.price_range.to%3D' || most, '') || coalesce('&p%5B%5D=facets.price_range.from%3D' || least, '') || CASE WHEN branded THEN '&p%5B%5D=facets.brand%5B%5D%3DPOCO' ELSE '' END
+ WHEN 'amazon' THEN 'https://www.amazon.in/s?k=' || t || '&page=' || page || coalesce('&low-price=0&high-price=' || most, '') WHEN 'reliance' THEN 'https://www.reliancedigital.in/search?q=' || t || '&page_no=' || page || '&page_size=40&page_type=number'
+ ELSE 'https://www.tatacliq.com/search/?searchCategory=all&text=' || t || '&page=' || page || coalesce('&p%5B%5D=facets.price_range.from%3DMin&p%5B%5D=facets.price_range.to%3D' || most, '') END AS url FROM w, p""")
+def search_pages(spark, sf_dir):
+    """Two seeds a platform, three times as many single pages of one; budgets and brands as facets where a platform has them."""
+    size = F.col("p_size")
+    wish = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("the best phone x"), size, F.lit(" & y")).alias("raw"), F.lit("phone").alias("category_wanted"), F.when(size % 5 == 0, F.array(F.lit("POCO"))).otherwise(F.array().cast("array<string>")).alias("brands"), F.when(size % 2 == 0, size * 1000).alias("budget_max"), F.when(size % 3 == 0, 500).alias("budget_min"))
+    return captured.search_pages(wish, 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import external
+from ..operators import external, report
 from .catalog import query
 from .view import table
 
@@ -89,3 +89,33 @@ def index_walk(spark, sf_dir):
     pages = rows.where(~(F.col("brand").endswith("3") & (F.col("page") == 3))).groupBy("brand", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "link"))), lambda x: x["link"]), "\n").alias("links"))
     pages = pages.select("brand", "page", F.when(empty, "<p>No phones</p>").otherwise(F.col("links")).alias("html"))
     return external.index_entries(pages, page_col="page", most=4)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'moto-g45,motorola-g45' WHEN 1 THEN 'redmi-13-pro-plus-5g,note-13-pro-plus-5g,redmi-note-13-pro-plus-5g,redmi-13-pro-plus' WHEN 2 THEN 'edge-' || p_size || ',samsung-edge-' || p_size WHEN 3 THEN '' ELSE 'vivo-t3x-5g,vivo-t3x' END AS slugs,
+ p_partkey % 5 <> 3 AND p_partkey % 3 < 2 AS same FROM part""")
+def source_slugs(spark, sf_dir):
+    """Addresses of a model under other words for its brand, with the brand before it and without its network; pages that are its own and not."""
+    n = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(n % 5 == 0, "Motorola G45 (Blue) 8 GB").when(n % 5 == 1, "Note 13 Pro+ 5G").when(n % 5 == 2, F.concat(F.lit("Edge "), "p_size")).when(n % 5 == 3, "(smartphone)").otherwise("vivo T3x 5G India").alias("name"), F.when(n % 5 == 1, "Xiaomi").when(n % 5 == 2, "Samsung").when(n % 5 == 4, "vivo").alias("brand"))
+    title = F.when(n % 3 == 0, F.concat(F.lit("<title>"), F.regexp_replace("name", "Motorola", "Moto"), F.lit(" full specs</title>"))).when(n % 3 == 1, F.concat(F.lit('{"name": "'), "name", F.lit('"}'))).otherwise("<title>Another Device</title>")
+    out = rows.select("p_partkey", external.slugs(F.col("name"), F.coalesce("brand", F.lit(""))).alias("slugs"), title.alias("html"), "name")
+    return out.select("p_partkey", F.array_join("slugs", ",").alias("slugs"), external.is_page_of(F.col("name"), F.col("html"), F.lit("unrelated")).alias("same"))
+
+
+@query("""SELECT 'amazon' AS platform, 'amazon returned ' || count(*) || ' cards and no phones — pages are rendered late' AS note FROM part WHERE p_partkey % 4 = 1 HAVING count(*) > 0 UNION ALL SELECT 'reliance', 'reliance returned ' || count(*) || ' cards and no phones — only accessories are listed' FROM part WHERE p_partkey % 4 = 2 HAVING count(*) > 0""")
+def platform_issues(spark, sf_dir):
+    """Platforms that returned cards but none of the class, with and without a known reason."""
+    n = F.col("p_partkey")
+    name = F.get(F.array(*map(F.lit, ["flipkart", "amazon", "reliance", "tatacliq"])), (n % 4).cast("int"))
+    seen = table(spark, sf_dir, "part").groupBy(name.alias("platform")).agg(F.count("*").alias("raw_cards"), F.count_if(n % 4 == 0).alias("category_matched"))
+    known = spark.createDataFrame([("flipkart", "never"), ("amazon", "pages are rendered late"), ("reliance", "only accessories are listed"), ("tatacliq", None)], "platform string, known_issue string")
+    return report.known_issues(seen, known)
+
+
+@query("""WITH l AS (SELECT p_brand AS brand, list(struct_pack(n := p_partkey, url := 'https://x.example/p/' || p_size) ORDER BY p_partkey) AS ls, max(p_size) AS asked FROM part GROUP BY p_brand) SELECT brand, coalesce(list_filter(ls, lambda x: x.url = 'https://x.example/p/' || (asked - asked % 2))[1].n, ls[1].n) AS listing FROM l""")
+def page_listings(spark, sf_dir):
+    """The listing that a page of each brand belongs to: the first of its address, whatever the parameters, else the first."""
+    url = F.concat(F.lit("https://x.example/p/"), "p_size", F.lit("?ref="), "p_partkey")
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("n"), url.alias("url")))).alias("ls"), F.max("p_size").alias("asked"))
+    page = F.concat(F.lit("https://x.example/p/"), F.col("asked") - F.col("asked") % 2, F.lit("?utm=1"))
+    return rows.select("brand", report.listing_of_page(F.col("ls"), page)["n"].alias("listing"))

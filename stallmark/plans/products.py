@@ -247,3 +247,13 @@ def scalar_parse(spark, sf_dir):
 def shown_numbers(spark, sf_dir):
     n = F.floor("o_totalprice")
     return table(spark, sf_dir, "orders").select("o_orderkey", parse.short_count(n).alias("shown"), parse.age_label(n).alias("age"))
+
+
+@query("""SELECT p_partkey, p_size % 4 = 0 AS sold_out FROM part""")
+def stock_gate(spark, sf_dir):
+    """A candidate goes only where every offer is known to be sold out."""
+    size = F.col("p_size")
+    offers = F.array(F.struct(F.lit(False).alias("in_stock")), F.struct(F.when(size % 4 == 0, False).when(size % 4 == 1, True).alias("in_stock")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", offers.alias("offers"), F.lit("phone").alias("category"), F.lit(10).alias("price"), F.lit("x").alias("brand"), F.lit(None).cast("string").alias("panel"), *(F.lit(None).cast("boolean").alias(c) for c in ("has5g", "nfc", "ois")))
+    wish = spark.createDataFrame([("w", "phone", None, None, [], [], [])], "query_id string, category_wanted string, budget_max long, budget_min long, brands array<string>, exclude_brands array<string>, must_have array<string>")
+    return ranking.gated(rows, wish, 0.0, True).select("p_partkey", F.array_contains("reasons", "out of stock everywhere").alias("sold_out"))

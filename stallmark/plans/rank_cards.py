@@ -13,21 +13,67 @@ from ..operators.globalrank import global_medians
 from ..sources import runs
 
 # Patterns of each category (strong, weak, veto), in order of precedence.
-_PARTS = r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|{}hinge|protector|stand|holder|replacement|spare)\b"
-_MADE_FOR = r"\bfor\s+(?:sony|bose|jbl|sennheiser|marshall|boat|noise|apple|samsung)\b"
 CATEGORIES = [
-    ("earbuds", [r"\b(tws|true\s*wireless|earbuds?|ear\s*buds?|airdopes|airpods|neckband)\b", r"\bin[-\s]?ear\s+(?:wireless\s+)?(?:head|ear)phones?\b", r"\bbullets\s+z\d"], [r"\bipx\d\b", "playtime", r"\bearphones?\b"], [_PARTS.format(r"ear\s*tips?|"), r"\bcompatible\s+with\b", _MADE_FOR]),
-    ("headphone", [r"\b(over[-\s]?ear|on[-\s]?ear)\b", r"\bheadphones?\b", r"\bheadset\b", r"\bwh-\d{4}|\bqc\d{2}\b|quietcomfort"], [r"\banc\b|noise\s*cancell", r"\bdriver\b"], [r"\bearbuds?\b|\btws\b", _PARTS.format(""), r"\bcompatible\s+with\b", _MADE_FOR]),
-    ("featurephone", [r"\bkeypad\b", r"\bfeature\s*phone\b", r"\b(basic|senior\s*citizen)\s*phone\b"], [r"\bmp3\s*player\b", r"\bwireless\s*fm\b", r"\btorch\b", r"\b[12]\.\d\s*inch\b"], [r"\b\d+\s*gb\s*ram\b", r"\bandroid\b"]),
-    ("phone", [r"\b(smartphone|mobile\s*phone)\b", r"\(\s*[\w\s]+,\s*\d+\s*(?:gb|tb)\s*\)", r"\biphone\s*\d", r"\bgalaxy\s+[amszf]\d"], [r"\b\d+\s*gb\s*ram\b", r"\b5g\b", r"\bdual\s*sim\b", r"\b(poco|redmi|realme|narzo|iqoo|vivo|oppo|infinix|tecno|lava|motorola|moto|nothing\s*phone)\b"],
-     [r"\bkeypad\b|\bfeature\s*phone\b", r"\b(case|cover|tempered|screen\s*guard|protector|charger|cable|adapter|holder|mount|stand|pouch|skin|sticker|lens\s*protector|back\s*cover|flip\s*cover)\b", r"\b(earphones?|earbuds?|headphones?|headset|neckband|tws|speaker|smart\s*watch|smartwatch|power\s*bank|powerbank|tablet|laptop)\b", r"\bcompatible\s+with\b"]),
-    ("smartwatch", [r"\bsmart\s*watch\b|\bsmartwatch\b|\bfitness\s*band\b"], [r"\bamoled\s+display\b.*\bwatch\b", r"\bbluetooth\s+calling\b"], []),
-    ("laptop", [r"\blaptop\b|\bnotebook\b|\bmacbook\b|\bchromebook\b"], [r"\b(i[3579]|ryzen|celeron)\b", r"\bwindows\s*11\b"], []),
-    ("tablet", [r"\btablet\b|\bipad\b|\btab\s+[a-z]?\d"], [], [r"\bcase\b|\bcover\b|\bkeyboard\b"]),
-    ("tv", [r"\b(smart\s*)?(led|qled|oled)\s*tv\b", r"\btelevision\b", r"\b\d{2}\s*inch\b.*\btv\b"], [], []),
-    ("camera", [r"\bdslr\b|\bmirrorless\b|\baction\s*camera\b|\bgopro\b"], [], [r"\bcamera\s*(lens\s*)?(protector|cover)\b"]),
-    ("accessory", [r"\b(back\s*cover|flip\s*cover|tempered\s*glass|screen\s*(guard|protector)|charging\s*cable|usb\s*cable|charger|adapter|power\s*bank|powerbank|car\s*mount|mobile\s*holder|selfie\s*stick|stylus|memory\s*card|sim\s*ejector)\b", r"\b(carrying\s*case|hard\s*case|silicone\s*case|travel\s*case|headphone\s*case|headphones\s*case)\b", r"\b(ear\s*pads?|ear\s*cushions?|earpads?|ear\s*tips?|eartips?|headband\s*(cover|pad)|ear\s*cups?\s*protector)\b",
-     r"\b(hinge|replacement\s*part|spare\s*part|repair\s*kit)\b", r"\bcompatible\s+with\b", r"\bfor\s+(?:apple|samsung|oneplus|xiaomi|redmi|poco|realme|vivo|oppo|iqoo|sony|bose|jbl|sennheiser|marshall|boat|noise)\b"], [], []),
+    (
+        "earbuds",
+        [r"\b(tws|true\s*wireless|earbuds?|ear\s*buds?|airdopes|airpods|neckband)\b", r"\bin[-\s]?ear\s+(?:wireless\s+)?(?:head|ear)phones?\b", r"\bbullets\s+z\d"],
+        [r"\bipx\d\b", r"playtime", r"\bearphones?\b"],
+        [r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|ear\s*tips?|hinge|protector|stand|holder|replacement|spare)\b", r"\bcompatible\s+with\b", r"\bfor\s+(?:sony|bose|jbl|sennheiser|marshall|boat|noise|apple|samsung)\b"],
+    ),
+    (
+        "headphone",
+        [r"\b(over[-\s]?ear|on[-\s]?ear)\b", r"\bheadphones?\b", r"\bheadset\b", r"\bwh-\d{4}|\bqc\d{2}\b|quietcomfort"],
+        [r"\banc\b|noise\s*cancell", r"\bdriver\b"],
+        [r"\bearbuds?\b|\btws\b", r"\b(case|cover|pouch|ear\s*pads?|ear\s*cushions?|hinge|protector|stand|holder|replacement|spare)\b", r"\bcompatible\s+with\b", r"\bfor\s+(?:sony|bose|jbl|sennheiser|marshall|boat|noise|apple|samsung)\b"],
+    ),
+    (
+        "featurephone",
+        [r"\bkeypad\b", r"\bfeature\s*phone\b", r"\b(basic|senior\s*citizen)\s*phone\b"],
+        [r"\bmp3\s*player\b", r"\bwireless\s*fm\b", r"\btorch\b", r"\b[12]\.\d\s*inch\b"],
+        [r"\b\d+\s*gb\s*ram\b", r"\bandroid\b"],
+    ),
+    (
+        "phone",
+        [r"\b(smartphone|mobile\s*phone)\b", r"\(\s*[\w\s]+,\s*\d+\s*(?:gb|tb)\s*\)", r"\biphone\s*\d", r"\bgalaxy\s+[amszf]\d"],
+        [r"\b\d+\s*gb\s*ram\b", r"\b5g\b", r"\bdual\s*sim\b", r"\b(poco|redmi|realme|narzo|iqoo|vivo|oppo|infinix|tecno|lava|motorola|moto|nothing\s*phone)\b"],
+        [r"\bkeypad\b|\bfeature\s*phone\b", r"\b(case|cover|tempered|screen\s*guard|protector|charger|cable|adapter|holder|mount|stand|pouch|skin|sticker|lens\s*protector|back\s*cover|flip\s*cover)\b", r"\b(earphones?|earbuds?|headphones?|headset|neckband|tws|speaker|smart\s*watch|smartwatch|power\s*bank|powerbank|tablet|laptop)\b", r"\bcompatible\s+with\b"],
+    ),
+    (
+        "smartwatch",
+        [r"\bsmart\s*watch\b|\bsmartwatch\b|\bfitness\s*band\b"],
+        [r"\bamoled\s+display\b.*\bwatch\b", r"\bbluetooth\s+calling\b"],
+        [],
+    ),
+    (
+        "laptop",
+        [r"\blaptop\b|\bnotebook\b|\bmacbook\b|\bchromebook\b"],
+        [r"\b(i[3579]|ryzen|celeron)\b", r"\bwindows\s*11\b"],
+        [],
+    ),
+    (
+        "tablet",
+        [r"\btablet\b|\bipad\b|\btab\s+[a-z]?\d"],
+        [],
+        [r"\bcase\b|\bcover\b|\bkeyboard\b"],
+    ),
+    (
+        "tv",
+        [r"\b(smart\s*)?(led|qled|oled)\s*tv\b", r"\btelevision\b", r"\b\d{2}\s*inch\b.*\btv\b"],
+        [],
+        [],
+    ),
+    (
+        "camera",
+        [r"\bdslr\b|\bmirrorless\b|\baction\s*camera\b|\bgopro\b"],
+        [],
+        [r"\bcamera\s*(lens\s*)?(protector|cover)\b"],
+    ),
+    (
+        "accessory",
+        [r"\b(back\s*cover|flip\s*cover|tempered\s*glass|screen\s*(guard|protector)|charging\s*cable|usb\s*cable|charger|adapter|power\s*bank|powerbank|car\s*mount|mobile\s*holder|selfie\s*stick|stylus|memory\s*card|sim\s*ejector)\b", r"\b(carrying\s*case|hard\s*case|silicone\s*case|travel\s*case|headphone\s*case|headphones\s*case)\b", r"\b(ear\s*pads?|ear\s*cushions?|earpads?|ear\s*tips?|eartips?|headband\s*(cover|pad)|ear\s*cups?\s*protector)\b", r"\b(hinge|replacement\s*part|spare\s*part|repair\s*kit)\b", r"\bcompatible\s+with\b", r"\bfor\s+(?:apple|samsung|oneplus|xiaomi|redmi|poco|realme|vivo|oppo|iqoo|sony|bose|jbl|sennheiser|marshall|boat|noise)\b"],
+        [],
+        [],
+    ),
 ]
 KEYS = ["model", "config"]
 

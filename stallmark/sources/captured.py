@@ -80,6 +80,44 @@ def picked(asked: Column, platforms: list[str] = PLATFORMS) -> Column:
     return F.when(F.size(named) > 0, named).otherwise(every)
 
 
+# Search addresses of each platform, and what a budget and brands add to them.
+SEARCHES = {
+    "flipkart": "https://www.flipkart.com/search?q={term}&page={page}&sort=popularity",
+    "amazon": "https://www.amazon.in/s?k={term}&page={page}",
+    "reliance": "https://www.reliancedigital.in/search?q={term}&page_no={page}&page_size=40&page_type=number",
+    "tatacliq": "https://www.tatacliq.com/search/?searchCategory=all&text={term}&page={page}",
+}
+FACET = "&p%5B%5D=facets.price_range."
+#: One address of a collector walks so many pages; of the platform that walks none so many times more are asked for.
+STRIDE, DEEPER = 5, 3
+
+
+def _search_page(platform: str, before: Column, after: Column):
+    return lambda p: F.struct(F.lit(platform).alias("platform"), p.alias("page"), F.concat(before, p.cast("string"), after).alias("url"))
+
+
+def search_pages(intents: DataFrame, pages: int) -> DataFrame:
+    """(query_id, platform, page, url): every platform's search pages with budget and brands in their addresses, as far as it has facets.
+
+    Pages are 1, 6, 11 ... ; of amazon 1, 2, 3 ... and three times as many.
+    """
+    term = F.replace(F.url_encode(search_term(intents)), F.lit("+"), F.lit("%20"))
+    most, least = (F.col(c).cast("string") for c in ("budget_max", "budget_min"))
+    to = F.coalesce(F.concat(F.lit(f"{FACET}from%3DMin{FACET}to%3D"), most), F.lit(""))
+    brands = F.array_join(F.transform("brands", lambda b: F.concat(F.lit("&p%5B%5D="), F.replace(F.url_encode(F.concat(F.lit("facets.brand[]="), b)), F.lit("+"), F.lit("%20")))), "")
+    facets = {
+        "flipkart": F.concat(to, F.coalesce(F.concat(F.lit(f"{FACET}from%3D"), least), F.lit("")), brands),
+        "amazon": F.coalesce(F.concat(F.lit("&low-price=0&high-price="), most), F.lit("")), "reliance": F.lit(""), "tatacliq": to,
+    }
+    each = []
+    for platform, address in SEARCHES.items():
+        step, n = (1, pages * DEEPER) if platform == "amazon" else (STRIDE, pages)
+        head, _, tail = address.partition("{term}")
+        mid, _, end = tail.partition("{page}")
+        each.append(F.transform(F.sequence(F.lit(1), F.lit(1 + (n - 1) * step), F.lit(step)), _search_page(platform, F.concat(F.lit(head), term, F.lit(mid)), F.concat(F.lit(end), facets[platform]))))
+    return intents.select("query_id", F.inline(F.concat(*each)))
+
+
 def manifest(health: DataFrame, query: str, search_query: str, timestamp: str) -> DataFrame:
     """One row of JSON that tells a run's query, time and, for each platform of ``runs.health``, file, count, status and error."""
     each = F.struct("platform", F.concat("platform", F.lit(".json")).alias("file"), F.col("raw_cards").alias("count"), "status", F.col("first_error").alias("error"))

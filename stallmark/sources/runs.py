@@ -89,6 +89,13 @@ def health(raw: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(usable > 0, "ok").when(F.col("errors") > 0, "error").otherwise("empty"))
 
 
+def scan_counts(raw: DataFrame) -> DataFrame:
+    """Per platform what became of its cards: raw, error cards, titles recovered from addresses, and cards dropped without one."""
+    failed = F.coalesce(_get("error"), _get("error_code")).isNotNull()
+    own, recovered = _text("title").isNotNull(), parse.title_from_url(_text("url")).isNotNull()
+    return raw.groupBy("platform").agg(F.count("*").alias("raw_cards"), F.count_if(failed).alias("error_cards"), F.count_if(~failed & ~own & recovered).alias("title_recovered"), F.count_if(~failed & ~own & ~recovered).alias("dropped"))
+
+
 def save(raw: DataFrame, path: str) -> None:
     """One folder of JSON per platform."""
     raw.select("platform", F.to_json("raw").alias("value")).write.partitionBy("platform").mode("errorifexists").text(path)
