@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ UNSET_FOLDER = "/tmp/stallmark-checkpoints"
 def place(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(named or UNSET_FOLDER).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
