@@ -41,9 +41,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 MARKED = frozenset("aside audio button canvas dialog embed footer form head iframe input label math menu nav noscript object option script search select style svg template textarea title video".split())
+TEXTUAL = frozenset("a abbr b blockquote br cite code dd dl dt em figcaption figure h1 h2 h3 h4 h5 h6 i img li mark ol p pre q s small span strong sub sup table tbody td th thead tr u ul".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 FURNITURE = frozenset(
-    "ad ads adsense advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget".split()
+    "ad ads adsense advert advertisement advertising adverts alert aside banner bottom breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget".split()
 )
 HEADERS = frozenset("header page-header site-header top-header".split())
 NEGATED = frozenset("has no with without".split())
@@ -163,12 +164,12 @@ def keyed(item: Item, holder: str) -> tuple[bool, str]:
 
 
 def guess(kind: str, tag: bool) -> float:
-    """How likely content is before any page has been seen."""
-    if kind.endswith(" out"):
-        return 0.05
+    """How likely content is before any page has been seen: sure inside a page's one article and outside of it; elsewhere by the element."""
+    if kind.endswith((" in", " out")):
+        return 0.97 if kind.endswith(" in") else 0.05
     if tag:
-        return 0.5
-    return 0.3 if " a" in kind and not kind.startswith("p ") else 0.9
+        return 0.85 if kind in TEXTUAL else 0.5
+    return 0.3 if kind.endswith(" a") and not kind.startswith("p ") else 0.9
 
 
 def weight(kind: str, tag: bool, inside: int, outside: int) -> float:

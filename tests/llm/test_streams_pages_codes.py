@@ -208,6 +208,16 @@ def test_pages_without_an_article(spark):
     assert all(w < 0 for (tag, _), w in weights.items() if tag) and weights[False, "p in"] > 0
 
 
+RICH = """<html><head><title>T</title></head><body><header><a href=/>Home</a> Big Site</header><nav>Menu one two</nav><main><article><header><h1>Head line</h1><p class="byline">By Jane</p></header><div class="notice">An old notice</div><p>Para one is here.</p>
+<figure><img src=x><figcaption>Cap tion</figcaption></figure><blockquote>Quote text</blockquote><ul><li>item one</li><li>item <a href=y>two link</a></li></ul><form class="newsletter">Subscribe now <input></form><table><tr><td>a</td><td>b c</td></tr></table><pre>code  here
+ x</pre><p>End<br>line &amp; more.</p><footer>Posted in x</footer></article><section class="comments"><h2>Comments</h2><p>I love this article very much indeed it is great</p></section></main><aside>Side bar stuff</aside><footer>foot</footer></body></html>"""
+
+
+def test_elements_that_no_page_has_taught():
+    """Inside a page's one article everything but furniture is content, whatever the element."""
+    assert maintext.main_text(RICH, {}).split("\n") == ["Head line", "By Jane", "Para one is here.", "Cap tion", "Quote text", "item one", "item two link", "a", "b c", "code here x", "End line & more."]
+
+
 def test_main_text_is_the_best_region():
     """The scan against all regions."""
     rng = np.random.default_rng(3)
