@@ -84,14 +84,17 @@ def _amount(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def checkout(df: DataFrame, text_col: str = "text", pid: Column | None = None) -> DataFrame:
-    """Adds the facts of a product page's buy box; structured data of another product does not count."""
+    """Adds the facts of a product page's buy box; structured data of another product does not count.
+
+    ``list_price`` is the list price as it stands there; ``page_mrp`` is it where it is no less than the price.
+    """
     c = spaced(F.col(text_col))
     gap = r"[\s\[\](){}|]*"
     fee = r"\+\s?₹\d+" + gap + "Protect Promise Fee"
-    full = r"\d{1,2}%" + gap + r"([\d,]{3,8})" + gap + r"₹\s?([\d,]{3,8})" + gap + fee
+    full = r"\d{1,2}%" + gap + r"([\d,]{3,12})" + gap + r"₹\s?([\d,]{3,12})" + gap + fee
     sku = found(c, r"LD_SKU=([^|\s]+)")
     trusted = sku.isNull() | F.coalesce(sku == pid, F.lit(True)) if pid is not None else F.lit(True)
-    box = F.coalesce(_amount(c, full, 2), _amount(c, r"₹\s?([\d,]{3,8})" + gap + fee))
+    box = F.coalesce(_amount(c, full, 2), _amount(c, r"₹\s?([\d,]{3,12})" + gap + fee))
     price = F.coalesce(box, F.when(trusted, _amount(c, r"LD_PRICE=(\d{3,8})")))
     mrp = F.coalesce(_amount(c, full, 1), _amount(c, r"₹([\d,]{3,8})\s*\|\s*MRP \(Incl\. of all taxes\)"))
     stock = F.when(trusted, found(c, r"LD_STOCK=(\w+)"))
@@ -99,7 +102,7 @@ def checkout(df: DataFrame, text_col: str = "text", pid: Column | None = None) -
     delivery = F.trim(found(c, r"(?i)Delivery by ([A-Za-z0-9 ,]{4,20}?)(?:\s+Arriving|\s+Fulfil|\s*\|)"))
     seller = F.coalesce(F.when(trusted, F.trim(found(c, r"LD_SELLER=([^|]{2,40}?)(?:\s{2,}|$)"))), F.trim(found(c, r"(?i)(?:Fulfilled by|Sold by|Seller)\s+([A-Za-z0-9][A-Za-z0-9 .&'-]{2,38}?)(?:\s+\d\.\d|\s*\||\s+See other sellers|\s{2,}|\s*$)")))
     return df.withColumns({
-        "page_price": price, "page_mrp": F.when(mrp >= price, mrp), "seller": seller, "in_stock": F.when(out, False).when(stock.isNotNull() | delivery.isNotNull(), True), "delivery_by": delivery,
+        "page_price": price, "list_price": mrp, "page_mrp": F.when(mrp >= price, mrp), "seller": seller, "in_stock": F.when(out, False).when(stock.isNotNull() | delivery.isNotNull(), True), "delivery_by": delivery,
         "buy_at": F.coalesce(_amount(c, r"Buy at ₹([\d,]+)"), _amount(c, r"₹([\d,]+)\s*Lowest price for you")), "bank_offer": _amount(c, r"Bank offers?\s*₹([\d,]+)\s*off"), "exchange_up_to": _amount(c, r"Exchange offer[^₹]{0,80}Up to ₹([\d,]+)"),
         "no_cost_emi": matches(c, "No Cost EMI"), "pincode_blocked": matches(c, "Not available at this Pincode"),
     })
