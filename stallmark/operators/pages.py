@@ -18,9 +18,15 @@ PAGE_LIMIT, HEAD_LIMIT = 24000, 4000
 
 def spec_section(c: Column) -> Column:
     """From the first heading on, after a head of up to HEAD_LIMIT characters; PAGE_LIMIT in all."""
-    at = F.least(*(F.nullif(F.locate(a, F.lower(c)), F.lit(0)) for a in ANCHORS))
-    head = F.when(at > 1, F.concat(F.substring(c, F.lit(1), F.least(at - 1, F.lit(HEAD_LIMIT))), F.lit(" "))).otherwise("")
-    return F.substring(F.when(at.isNull(), c).otherwise(F.concat(head, F.substring(c, at, F.length(c)))), 1, PAGE_LIMIT)
+    # The lowered text and the places are bound, so that each is made once a page.
+    places = F.transform(F.array(F.lower(c)), lambda low: F.array(*(F.locate(a, low) for a in ANCHORS)))
+    first = F.transform(places, lambda p: F.array_min(F.filter(p, lambda x: x > 0)))
+
+    def section(at: Column) -> Column:
+        head = F.when(at > 1, F.concat(F.substring(c, F.lit(1), F.least(at - 1, F.lit(HEAD_LIMIT))), F.lit(" "))).otherwise("")
+        return F.substring(F.when(at.isNull(), c).otherwise(F.concat(head, F.substring(c, at, F.lit(PAGE_LIMIT)))), 1, PAGE_LIMIT)
+
+    return F.get(F.transform(first, section), F.lit(0))
 
 
 def richness(c: Column, chips: Column) -> Column:

@@ -27,3 +27,8 @@ def test_checkout_of_pages_with_high_numbers(spark, tmp_path):
     """List prices under the price stand as they are; prices of seven digits are read."""
     ids = [*range(12), *range(9000, 9012), *range(18000, 18012), *range(1_200_000, 1_200_012)]
     assert same(spark, tmp_path, "checkout_pages", pages=pd.DataFrame({"page_id": ids, "url": "x", "html": ""}))
+
+
+def test_sections_of_pages_with_high_numbers(spark, tmp_path):
+    """The head before a heading doesn't grow with a page's number."""
+    assert same(spark, tmp_path, "spec_sections", pages=pd.DataFrame({"page_id": [0, 1, 2, 3_000_000_000, 3_000_000_001], "url": "x", "html": ""}))
