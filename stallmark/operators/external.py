@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cut import written
+from ..functions.cut import dealt, written
 from ..functions.parse import found, matches, normal_model
 from .globalrank import global_sum_before
 
@@ -77,13 +77,18 @@ def page_fields(html: Column) -> Column:
 
     every = F.transform(F.concat(pairs(boxed, 1, 3), pairs(boxed, 2, 3), pairs(plain, 1, 2)), lambda p: F.struct(F.lower(F.trim(p["k"])).alias("k"), F.trim(p["v"]).alias("v")))
     every = F.filter(every, lambda p: (p["k"] != "") & (p["v"] != ""))
-    keys = F.array_distinct(F.transform(every, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(every, lambda p: p["k"] == k), F.lit(0))["v"]))
+
+    def first(pairs_: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs_, lambda p: p["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(pairs_, lambda p: p["k"] == k), F.lit(0))["v"]))
+
+    # Bound once a page; named in the inner functions, the pairs would be read again for each key.
+    return F.get(F.transform(F.array(every), first), F.lit(0))
 
 
 def field_page(df: DataFrame, html: Column, prefix: str = "external") -> DataFrame:
     """Adds <prefix>_<field> columns from the named values of a page (``page_fields``); a page without a chip says nothing."""
-    out = df.withColumn("_f", page_fields(html))
+    out = dealt(df).withColumn("_f", page_fields(html))
 
     def get(*keys):
         return F.coalesce(*(F.try_element_at("_f", F.lit(k)) for k in keys))

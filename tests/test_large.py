@@ -1,9 +1,13 @@
 """Registered queries against their oracles on rows that only larger tables have: high numbers, copies, chance collisions."""
 
+import time
+
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from stallmark import registry
+from stallmark.operators import external
 
 
 def same(spark, tmp_path, name, **tables):
@@ -32,3 +36,18 @@ def test_checkout_of_pages_with_high_numbers(spark, tmp_path):
 def test_sections_of_pages_with_high_numbers(spark, tmp_path):
     """The head before a heading doesn't grow with a page's number."""
     assert same(spark, tmp_path, "spec_sections", pages=pd.DataFrame({"page_id": [0, 1, 2, 3_000_000_000, 3_000_000_001], "url": "x", "html": ""}))
+
+
+def tasks(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_page_values_of_a_small_file_are_dealt(spark):
+    """A file of one row group goes to as many tasks as the session shuffles to; a page of many fields is read once."""
+    html = ",".join(f'{{"name":"Field {i}","value":"{i}"}}' for i in range(2000)) + ',{"name":"Chipset","value":"Chip 1"}'
+    df = spark.createDataFrame([(1, html)], "id int, html string").coalesce(1)
+    out = external.field_page(df, F.col("html"))
+    assert tasks(out) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = time.time()
+    assert out.first()["external_soc_name"] == "Chip 1"
+    assert time.time() - t < 15
