@@ -79,5 +79,6 @@ def token_overlap(a: Column, b: Column, stop: list[str]) -> Column:
     def words(c):
         return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
-    other = words(b)
-    return F.size(F.filter(words(a), lambda w: F.array_contains(other, w)))
+    # b's words are bound once a row; named in the inner function, they would be made again for each word of a.
+    counts = F.transform(F.array(F.array_distinct(words(b))), lambda other: F.size(F.filter(words(a), lambda w: F.array_contains(other, w))))
+    return F.get(counts, F.lit(0))

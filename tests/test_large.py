@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stallmark import registry
-from stallmark.operators import external
+from stallmark.operators import external, text
 
 
 def same(spark, tmp_path, name, **tables):
@@ -51,3 +51,11 @@ def test_page_values_of_a_small_file_are_dealt(spark):
     t = time.time()
     assert out.first()["external_soc_name"] == "Chip 1"
     assert time.time() - t < 15
+
+
+def test_overlap_makes_the_other_words_once(spark):
+    """A long text against one with very many words: linear in the first, times the distinct words of the second."""
+    df = spark.createDataFrame([(" ".join(["word", "other"] * 10000), "word " * 20000)], "a string, b string")
+    t = time.time()
+    assert df.select(text.token_overlap(F.col("a"), F.col("b"), ["the"])).first()[0] == 10000
+    assert time.time() - t < 15
