@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import dealt
 from ..functions.maths import jround
 from ..functions.parse import BRANDS, found, matches
 
@@ -56,6 +57,6 @@ def intents(queries: DataFrame, id_col: str = "query_id", text_col: str = "query
     coded = F.get(F.filter(tokens, lambda t: t.rlike("[a-z]") & t.rlike(r"\d") & ~t.isin(GENERIC)), F.lit(0))
     worded = found(low, r"\b([a-z]{3,}\s+\d{1,4})\b")
     hint = F.coalesce(coded, F.when(~worded.rlike(r"^(under|below|above|over|around|about|within|upto|max|min)\b"), worded))
-    out = queries.select(F.col(id_col).alias("query_id"), F.trim(text_col).alias("raw"), F.coalesce(*(F.when(matches(low, p), F.lit(c)) for p, c in CATEGORIES), F.lit("unknown")).alias("category_wanted"), least.alias("budget_min"), most.alias("budget_max"), operator.alias("budget_operator"), _labels(low, BRANDS).alias("named"), _labels(low, unwanted).alias("exclude_brands"), _labels(low, PRIORITIES).alias("priorities"), _labels(low, MUST_HAVES).alias("must_have"), hint.alias("hint"))
+    out = dealt(queries.select(id_col, text_col)).select(F.col(id_col).alias("query_id"), F.trim(text_col).alias("raw"), F.coalesce(*(F.when(matches(low, p), F.lit(c)) for p, c in CATEGORIES), F.lit("unknown")).alias("category_wanted"), least.alias("budget_min"), most.alias("budget_max"), operator.alias("budget_operator"), _labels(low, BRANDS).alias("named"), _labels(low, unwanted).alias("exclude_brands"), _labels(low, PRIORITIES).alias("priorities"), _labels(low, MUST_HAVES).alias("must_have"), hint.alias("hint"))
     out = out.withColumn("exclude_brands", F.array_intersect("named", "exclude_brands")).withColumn("brands", F.array_except("named", "exclude_brands"))
     return out.withColumn("model_hint", F.when(~(F.col("budget_max").isNotNull() & amount(F.col("hint")).isNotNull()), F.col("hint"))).drop("named", "hint")

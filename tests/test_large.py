@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stallmark import registry
-from stallmark.operators import external, text
+from stallmark.operators import external, intent, text
 
 
 def same(spark, tmp_path, name, **tables):
@@ -59,3 +59,8 @@ def test_overlap_makes_the_other_words_once(spark):
     t = time.time()
     assert df.select(text.token_overlap(F.col("a"), F.col("b"), ["the"])).first()[0] == 10000
     assert time.time() - t < 15
+
+
+def test_wishes_of_a_small_file_are_dealt(spark):
+    df = spark.createDataFrame([(1, "phones under 9k")], "query_id int, query string").coalesce(1)
+    assert tasks(intent.intents(df)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
