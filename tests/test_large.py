@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stallmark import registry
 from stallmark.operators import external, intent, text
+from stallmark.plans import products
 
 
 def same(spark, tmp_path, name, **tables):
@@ -64,3 +65,7 @@ def test_overlap_makes_the_other_words_once(spark):
 def test_wishes_of_a_small_file_are_dealt(spark):
     df = spark.createDataFrame([(1, "phones under 9k")], "query_id int, query string").coalesce(1)
     assert tasks(intent.intents(df)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_titles_of_a_small_file_are_dealt(spark):
+    assert tasks(products.titles(spark, "/root/testdata/sf0.001")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
