@@ -76,7 +76,9 @@ def listings(raw: DataFrame) -> DataFrame:
     off = F.coalesce(parse.percent(given), F.when(given.rlike(r"^\d+(\.\d+)?$") & given.try_cast("double").between(0.5, 100), jround(given.try_cast("double"))), jround((F.col("mrp") - F.col("price")) / F.col("mrp") * 100))
     stock = F.coalesce(parse.flag(_field("in_stock")), F.when(parse.matches(stock_text, "out of stock|sold out|unavailable"), False).when(parse.matches(stock_text, "pincode"), None).when(parse.matches(stock_text, "in stock|available|instock"), True))
     out = out.withColumns({"discount_pct": off.cast("int"), "in_stock": stock, "rating": parse.rating(_field("rating").try_cast("double")), "rating_count": parse.count_of(_field("rating_count"))})
-    identity = parse.stable_id(F.col("platform"), F.coalesce(parse.canonical_url(F.col("url")), F.col("title")))
+    named = F.coalesce(parse.canonical_url(F.col("url")), F.col("title"))
+    # 64 bits more: of a million addresses some hundred pairs share the 32 bits of a stable id.
+    identity = F.concat(parse.stable_id(F.col("platform"), named), F.lit("-"), F.lower(F.hex(F.xxhash64(named))))
     missing = F.array_compact(F.array(F.when(F.col("price").isNull(), "price"), F.when(F.col("mrp").isNull(), "mrp"), F.when(F.col("rating").isNull(), "rating"), F.when(F.col("own_title").isNull(), "title(recovered)")))
     return out.withColumns({"id": identity, "missing": missing, "ord": F.struct("file", "pos")}).drop("own_title")
 

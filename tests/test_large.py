@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stallmark import registry
 from stallmark.operators import external, intent, text
 from stallmark.plans import products
+from stallmark.sources import runs
 
 
 def same(spark, tmp_path, name, **tables):
@@ -69,3 +70,11 @@ def test_wishes_of_a_small_file_are_dealt(spark):
 
 def test_titles_of_a_small_file_are_dealt(spark):
     assert tasks(products.titles(spark, "/root/testdata/sf0.001")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_addresses_of_one_hash_are_two_listings(spark):
+    """Aa and BB have the same 32-bit hash."""
+    cards = spark.sql("""SELECT 'flipkart' AS platform, 'f' AS file, id AS pos, parse_json(concat('{"title": "Phone", "url": "https://www.flipkart.com/g/p/itm?pid=', pid, '"}')) AS raw FROM VALUES (0, 'Aa'), (1, 'BB'), (2, 'Aa') AS t(id, pid)""")
+    ids = [r["id"] for r in runs.listings(cards).orderBy("pos").collect()]
+    assert ids[0] == ids[2] != ids[1]
+    assert ids[0].split("-")[0] == ids[1].split("-")[0]
