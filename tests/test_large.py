@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stallmark import registry
-from stallmark.operators import external, intent, text
+from stallmark.operators import external, intent, pages, text
 from stallmark.plans import products
 from stallmark.sources import runs
 
@@ -78,3 +78,10 @@ def test_addresses_of_one_hash_are_two_listings(spark):
     ids = [r["id"] for r in runs.listings(cards).orderBy("pos").collect()]
     assert ids[0] == ids[2] != ids[1]
     assert ids[0].split("-")[0] == ids[1].split("-")[0]
+
+
+def test_histogram_reads_a_page_once(spark):
+    """Stars and counts are taken out of a page once each, not for every star; the last count of a star stands."""
+    df = spark.createDataFrame([("5 ★ 1,000 4 ★ 2 3 ★ 3 2 ★ 4 1 ★ 5 5 ★ 7",), ("5 ★ 1",), (None,)], "t string").select(pages.histogram(F.col("t")).alias("h"))
+    assert [r["h"] for r in df.collect()] == [{1: 5, 2: 4, 3: 3, 4: 2, 5: 7}, None, None]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
