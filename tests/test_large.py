@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stallmark import registry
-from stallmark.operators import external, intent, pages, text
+from stallmark.operators import external, intent, pages, ranking, text
 from stallmark.plans import products
 from stallmark.sources import runs
 
@@ -85,3 +85,10 @@ def test_histogram_reads_a_page_once(spark):
     df = spark.createDataFrame([("5 ★ 1,000 4 ★ 2 3 ★ 3 2 ★ 4 1 ★ 5 5 ★ 7",), ("5 ★ 1",), (None,)], "t string").select(pages.histogram(F.col("t")).alias("h"))
     assert [r["h"] for r in df.collect()] == [{1: 5, 2: 4, 3: 3, 4: 2, 5: 7}, None, None]
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+
+
+def test_weights_are_quotients_of_decimals(spark):
+    """To the last bit, lifted or not: else products whose scores are equal tie in one engine only, and shares of a large set differ."""
+    for wish, lifted, total in ((["performance", "battery"], {"performance": 0.45, "battery": 0.32}, 1.3), (["value"], {}, 1.0), (["camera"], {"camera": 0.27}, 1.15)):
+        got = spark.range(1).select(*(w.alias(k) for k, w in ranking.weights(F.array(*map(F.lit, wish))).items())).first().asDict()
+        assert got == {k: (w | lifted)[k] / total for w in [ranking.WEIGHTS] for k in w}
