@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -225,6 +226,42 @@ def test_repeated_lines_of_short_sentences_go_whole(spark, tmp_path):
     assert rows_of(got, "doc_id", "n_units", "n_removed", "kept_sha256", "removed") == sorted(want, key=str)
 
 
+def test_passages_go_from_lines_that_differ(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rng = np.random.default_rng(5)
+    sentence = lambda n: " ".join(rng.choice(["over", "lines", "Passage", "of", "copied", "words", "here"], n)) + rng.choice([". ", "! ", "?? "])
+    passage, short = "".join(sentence(12) for _ in range(6)), "One is. Two is. Three is. Four is. Five is."
+    texts = [f"Alone at first. {passage}", short, f"{sentence(9)}{passage}then on.\nmine\n", f"head\n  {short.upper()} \n\n{short} More.\n.{short}", f"{passage}\n\n. {passage}", None, "", "\n\n", "...\n.\n!", "été.\r\n東京 " * 9]
+    texts += ["".join(rng.choice([sentence(3), short, "\n", ".", passage, sentence(8), "\t"]) for _ in range(12)) for _ in range(30)]
+    docs = [((7 * i) % 41, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda u: re.sub(r"[ \t\x0b\f\r\n]+", " ", u.lower().strip(" \t\n\x0b\f\r.!?"))
+    met, want = set(), []
+    for doc, text in sorted(docs):
+        n, kept, removed = 0, "", []
+        for line in re.finditer(r"[^\n]+\n*|\n+", text or ""):
+            whole = len(norm(line[0])) >= 30 and ("line", norm(line[0])) in met
+            for part in re.finditer(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", line[0]):
+                n += 1
+                if whole or (len(norm(part[0])) >= 30 and ("part", norm(part[0])) in met):
+                    removed.append(f"{line.start() + part.start()}:{line.start() + part.end()}")
+                else:
+                    kept += part[0]
+                met.add(("part", norm(part[0])))
+            met.add(("line", norm(line[0])))
+        want.append((doc, n, len(removed), hashlib.sha256(kept.encode()).hexdigest(), ",".join(removed)))
+    got = e.queries()["op3_passages"](spark, str(tmp_path))
+    assert rows_of(got, "doc_id", "n_units", "n_removed", "kept_sha256", "removed") == sorted(want, key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(e.oracle_sql()["op3_passages"]).fetchall(), key=str) == sorted(want, key=str)
+    # Document 14 has the first one's passage inside a line of its own, document 21 the second one's line: each single unit misses one of them.
+    removed = {name: {r["doc_id"]: r["n_removed"] for r in e.queries()[name](spark, str(tmp_path)).collect()} for name in ("op3_unit_dedup", "op3_sentences", "op3_passages")}
+    assert removed["op3_unit_dedup"][14] == 0 == removed["op3_sentences"][21]
+    assert removed["op3_passages"][14] >= 6 and removed["op3_passages"][21] >= 5
+
+
 def test_language(spark, odd):
     rows = [(i, " ".join(np.random.default_rng(i).choice(w, 30)), lang) for i, (w, lang) in enumerate([(["the", "and", "with", "house"], "en"), (["der", "und", "mit", "haus"], "de")] * 20)] + [(98, None, "en"), (99, "123 ...", "de"), (97, "und der haus", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
