@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.maths import jround
-from ..functions.parse import found, matches, spaced
+from ..functions.parse import WIDE_SPACES, found, matches, spaced
 from .text import html_to_text
 
 # Headings that begin a specification section.
@@ -121,20 +125,81 @@ def page_price(listings: DataFrame, checkouts: DataFrame) -> DataFrame:
     return both.withColumns({"card_price": F.when(off, F.col("price")), "mrp": F.when(off, F.coalesce("page_mrp", "mrp")).otherwise(F.col("mrp")), "price": F.when(off, F.col("page_price").cast("double")).otherwise(F.col("price"))}).drop("page_price", "page_mrp")
 
 
-def _first(c: Column, pattern: str) -> Column:
-    """Without the first match of a pattern, a space in its place."""
-    return F.regexp_replace(c, f"(?is)^(.*?){pattern}", "$1 ")
+#: How a review begins, and what of it is not its text: the variant that it is for, and the votes with all that follows.
+HEAD = re.compile(r"\b[1-5]\.\d\s*•\s", re.A)
+STARS, NAMED, NAMELESS, VOTES = (re.compile(p, re.A | re.I) for p in (r"^[1-5]\.\d\s*•\s*", r"Review for:[^|]*?Storage\s*\d+\s*GB\s*", r"Review for:\s*", r"Helpful for"))
+VERIFIED, DATED = re.compile("Verified Purchase", re.A | re.I), re.compile(r"Verified Purchase\s*·\s*([A-Za-z]{3,9},?\s*\d{4})", re.A | re.I)
+ENTITIES = (("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&amp;", "&"), ("&nbsp;", " "))
+#: Totals of a page, and its ratings by star.
+TOTALS, RATED = re.compile(r"([\d,]+)\s*ratings?\s*and\s*([\d,]+)\s*reviews?", re.A | re.I), re.compile(r"([1-5])\s*★\s*([\d,]+)", re.A)
+_TO_SPACE = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+
+
+def plain(page: str | None) -> str:
+    """Every kind of space as a plain one; a null page is an empty one."""
+    page = page or ""
+    for c in WIDE_SPACES:
+        page = page.replace(c, " ")
+    return page
+
+
+def cut(page: str) -> list[str]:
+    """The reviews of a plain page in their order, each from its stars on."""
+    at = [m.start() for m in HEAD.finditer(page)]
+    return [page[a:b] for a, b in zip(at, [*at[1:], len(page)])]
+
+
+def said(review: str) -> str:
+    """What a review says: its text without stars, variant and votes."""
+    body = STARS.sub("", review)
+    body = NAMELESS.sub(" ", NAMED.sub(" ", body, count=1), count=1)
+    votes = VOTES.search(body)
+    if votes:
+        body = body[: votes.start()]
+    if "&" in body:
+        for entity, char in ENTITIES:
+            body = body.replace(entity, char)
+    return " ".join(w for w in body.translate(_TO_SPACE).split(" ") if w)
 
 
 def reviews(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(id, pos, stars, text, verified, date): the reviews of a page of them, in their order; columns ``more`` come along."""
-    parts = F.split(spaced(F.col(text_col)), r"(?=\b[1-5]\.\d\s*•\s)")
-    rows = df.select(F.col(id_col).alias("id"), *more, F.posexplode(parts).alias("pos", "part")).where(F.col("part").rlike(r"^[1-5]\.\d\s*•\s"))
-    body = _first(_first(F.regexp_replace("part", r"^[1-5]\.\d\s*•\s*", ""), r"Review for:[^|]*?Storage\s*\d+\s*GB\s*"), r"Review for:\s*")
-    body = F.regexp_replace(body, r"(?is)\s*Helpful for.*$", " ")
-    for entity, char in (("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&amp;", "&"), ("&nbsp;", " ")):
-        body = F.replace(body, F.lit(entity), F.lit(char))
-    return rows.select("id", *more, "pos", F.substring("part", 1, 3).cast("double").alias("stars"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("text"), matches(F.col("part"), "Verified Purchase").alias("verified"), found(F.col("part"), r"(?i)Verified Purchase\s*·\s*([A-Za-z]{3,9},?\s*\d{4})").alias("date"))
+    rows = df.select(F.col(id_col).alias("id"), *more, F.col(text_col).alias("_page"))
+    kinds = (pa.int32(), pa.float64(), pa.string(), pa.bool_(), pa.string())
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("pos int, stars double, text string, verified boolean, date string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, out = [], []
+            for i, page in enumerate(batch.column("_page").to_pylist()):
+                for pos, r in enumerate(cut(plain(page))):
+                    dated = DATED.search(r)
+                    place.append(i)
+                    out.append((pos, float(r[:3]), said(r), bool(VERIFIED.search(r)), dated and dated[1]))
+            kept = batch.drop_columns(["_page"]).take(pa.array(place, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[j] for r in out], k) for j, k in enumerate(kinds))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _whole(digits: str) -> int | None:
+    """Digits and commas as a long, null where they are none."""
+    digits = digits.replace(",", "")
+    n = digits.lstrip("0")
+    return int(n or 0) if digits and len(n) < 20 and int(n or 0) < 2**63 else None
+
+
+def totals(page: str) -> tuple[int | None, int | None]:
+    """Ratings and reviews that a plain page says there are."""
+    told = TOTALS.search(page)
+    return (_whole(told[1]), _whole(told[2])) if told else (None, None)
+
+
+def counts(page: str) -> list[int] | None:
+    """``histogram`` of one plain page: ratings from one star to five, none unless all are there."""
+    last = dict(RATED.findall(page))
+    out = [_whole(last.get(s, "")) for s in "12345"]
+    return None if None in out else out
 
 
 def histogram(c: Column) -> Column:

@@ -4,6 +4,7 @@ import time
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stallmark import registry
@@ -103,3 +104,48 @@ def test_aspects_meet_a_clause_once(spark):
     assert got == [(0, 0, "camera", 1, "Not a bad camera"), (1, 0, "heating", -1, "heating"), (2, 0, "heating", 1, "no heating issue"), (3, 0, "sound", 1, "Speakers are ok"), (4, 0, "battery", 1, "The POWER BANK is good"), (8, 0, "performance", 1, "fast"), (8, 1, "performance", -1, "slow"), (8, 2, "battery", 1, "Battery")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("fabulous") == 0
     assert reviews.mentions(df.limit(0)).count() == 0
+
+
+def test_summaries_read_a_page_once(spark):
+    """One pass over the pages and no join, where facts, counts of reviews and aspects had each read all pages; equal reviews count each."""
+    liked = "5.0 • Great battery. The display is dull Helpful for 3 "
+    rows = [("a", 2, "12 Ratings and 3 Reviews 5 ★ 1 4 ★ 2 3 ★ 3 2 ★ 4 1 ★ 5 " + liked * 3), ("a", 1, "x9.0 • é" + liked + "1.0 •　Camera"), ("b", 1, "99999999999999999999 ratings and 7 reviews 5 ★ 1"), ("c", 1, None), ("d", 1, "")]
+    out = reviews.summaries(spark.createDataFrame(rows, "key string, ord int, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    got = {r["key"]: r for r in out.collect()}
+    a = got["a"]
+    assert (a["total_ratings"], a["total_reviews"], a["sampled"], a["distribution"], a["negative_share"]) == (12, 3, 5, {1: 5, 2: 4, 3: 3, 4: 2, 5: 1}, 9 / 15)
+    assert [tuple(t) for t in a["aspects"]] == [("battery", 4, 0, "Great battery"), ("display", 0, 4, "The display is dull"), ("camera", 0, 1, "Camera")]
+    assert ([t["aspect"] for t in a["praised"]], [t["aspect"] for t in a["complained"]]) == (["battery"], ["display"])
+    assert [(got[k]["total_ratings"], got[k]["total_reviews"], got[k]["sampled"], got[k]["aspects"], got[k]["distribution"]) for k in "bcd"] == [(None, 7, 0, [], None), (None, None, 0, [], None), (None, None, 0, [], None)]
+
+
+def test_tallies_are_sums_of_mentions(spark):
+    """What pages say, read once for all equal reviews, is what their reviews say one by one."""
+    some = ["5.0 • Not a bad camera", "1.0 • heating and lag", "3.0 • screen", "4.0 • " + "very " * 20 + "good screen", "2.0 • nice sound, bad sound; price"]
+    rows = [(k, p, "Reviews " + " ".join(some[(k * 7 + p * 3 + i * i) % 5] for i in range(k % 4 * 5))) for k in range(40) for p in range(3)]
+    df = spark.createDataFrame(rows, "key int, ord int, text string")
+    when = F.struct("ord", "pos", "at", "turn")
+    each = reviews.mentions(pages.reviews(df, "key", "text", "ord").withColumnRenamed("id", "key")).groupBy("key", "aspect").agg(F.count_if(F.col("side") > 0), F.count_if(F.col("side") < 0), F.min_by(F.when(F.length("clause") <= 70, F.col("clause")), F.when(F.length("clause") <= 70, when)), F.min(when))
+    got = sorted(tuple(r) for r in reviews.tallies(df).collect())
+    assert len(got) > 100 and got == sorted(tuple(r) for r in each.collect())
+
+
+def test_pages_are_held_by_their_bytes(monkeypatch):
+    """A slice is a page and less than HELD bytes more; no page is lost."""
+    monkeypatch.setattr(reviews, "HELD", 100)
+    texts = ["x" * 60, None, "y" * 60, "z" * 1000, "", "w" * 10]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    held = [b.column("text").to_pylist() for b in reviews._held(batch)]
+    assert sum(held, []) == texts and len(held) > 2 and all(sum(len(t or "") for t in h[1:]) < 100 for h in held)
+    assert [b.num_rows for b in reviews._held(batch.slice(0, 0))] == [0]
+
+
+def test_counts_are_the_histogram(spark):
+    """One page in Python or a column of them: the same ratings by star."""
+    texts = ["5 ★ 1,000 4 ★ 2 3★3 2 ★ 4 1 ★ 5 5 ★ 7", "5★4★3 3 ★ 1 2 ★ 1 1 ★ 1", "5 ★ 1 4 ★ , 3 ★ 1 2 ★ 1 1 ★ 1", "5 ★ 0001 4 ★ 9223372036854775807 3 ★ 0 2 ★ 1 1 ★ 1", "5 ★ 1 4 ★ 9223372036854775808 3 ★ 1 2 ★ 1 1 ★ 1", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", pages.histogram(F.col("t")).alias("h"))
+    for r in df.collect():
+        want = pages.counts(r["t"])
+        assert r["h"] == (want and dict(enumerate(want, 1)))
