@@ -131,16 +131,18 @@ STARS, NAMED, NAMELESS, VOTES = (re.compile(p, re.A | re.I) for p in (r"^[1-5]\.
 VERIFIED, DATED = re.compile("Verified Purchase", re.A | re.I), re.compile(r"Verified Purchase\s*·\s*([A-Za-z]{3,9},?\s*\d{4})", re.A | re.I)
 ENTITIES = (("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&amp;", "&"), ("&nbsp;", " "))
 #: Totals of a page, and its ratings by star.
-TOTALS, RATED = re.compile(r"([\d,]+)\s*ratings?\s*and\s*([\d,]+)\s*reviews?", re.A | re.I), re.compile(r"([1-5])\s*★\s*([\d,]+)", re.A)
-_TO_SPACE = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+TOTALS, RATED = re.compile(r"(?<![\d,])([\d,]++)\s*+ratings?\s*+and\s*+([\d,]++)\s*+reviews?", re.A | re.I), re.compile(r"([1-5])\s*★\s*([\d,]+)", re.A)
+
+
+def _spaces(text: str, kinds: str) -> str:
+    for c in kinds:
+        text = text.replace(c, " ")
+    return text
 
 
 def plain(page: str | None) -> str:
-    """Every kind of space as a plain one; a null page is an empty one."""
-    page = page or ""
-    for c in WIDE_SPACES:
-        page = page.replace(c, " ")
-    return page
+    """Wide spaces as plain ones; a null page is an empty one."""
+    return _spaces(page or "", WIDE_SPACES)
 
 
 def cut(page: str) -> list[str]:
@@ -159,7 +161,7 @@ def said(review: str) -> str:
     if "&" in body:
         for entity, char in ENTITIES:
             body = body.replace(entity, char)
-    return " ".join(w for w in body.translate(_TO_SPACE).split(" ") if w)
+    return " ".join(w for w in _spaces(body, "\t\n\v\f\r").split(" ") if w)
 
 
 def reviews(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

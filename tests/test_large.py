@@ -149,3 +149,10 @@ def test_counts_are_the_histogram(spark):
     for r in df.collect():
         want = pages.counts(r["t"])
         assert r["h"] == (want and dict(enumerate(want, 1)))
+
+
+def test_totals_of_a_page_of_digits():
+    """Time is linear in a run of digits that no total ends."""
+    t = time.time()
+    assert pages.totals("1," * 100000 + " " * 100000) == (None, None) and pages.totals("see 1,2 Ratings and 3 reviews") == (12, 3)
+    assert time.time() - t < 5
